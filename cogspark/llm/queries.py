@@ -21,7 +21,25 @@ def op1_url_filter(spark, sf_dir):
     return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op2_exact_top_k(spark, sf_dir):
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_transport_stream(spark, sf_dir):
+    from .transport_stream import media_digest
+
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_mix_sources(spark, sf_dir):
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
 
 SQL = {
     "op1_url_filter": r"""
@@ -33,4 +51,10 @@ r as (select *, case when (host = 'example.com' or host like '%.example.com') an
   when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end rule from v)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
   when regexp_matches(host, '(^|\.)spam') then 'block' else 'allow' end verdict from r""",
+    "op2_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int "rank", vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""",
 }
