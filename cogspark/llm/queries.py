@@ -27,6 +27,12 @@ def op2_exact_top_k(spark, sf_dir):
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import repeat_digest
+
+    return repeat_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_transport_stream(spark, sf_dir):
     from .transport_stream import media_digest
 
@@ -39,7 +45,7 @@ def op9_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
 
 SQL = {
     "op1_url_filter": r"""
