@@ -27,6 +27,12 @@ def op2_exact_top_k(spark, sf_dir):
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_sentencepiece(spark, sf_dir):
+    from .pieces import piece_digest
+
+    return piece_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import repeat_digest
 
@@ -45,7 +51,7 @@ def op9_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
 
 SQL = {
     "op1_url_filter": r"""
