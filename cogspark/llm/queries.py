@@ -51,7 +51,13 @@ def op9_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources}
+def op10_ngram_jaccard(spark, sf_dir):
+    from .ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 SQL = {
     "op1_url_filter": r"""
@@ -69,4 +75,14 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::do
 s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int "rank", vec_id, score from s
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""",
+    "op10_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from w where len(w) > 0),
+n as (select doc_id, count(*) n, md5(string_agg(s, '|' order by s)) h from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b, x.h ha, y.h hb from p join n x on x.doc_id = a join n y on y.doc_id = b where i >= 0.8 * (x.n + y.n - i) - 1e-9),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join l on l.a = r.b),
+c as (select a doc_id, min(b) class_id from reach group by 1),
+k as (select a doc_id, count(*) n_links, count(distinct case when ha <> hb then hb end) n_texts from l group by 1)
+select d.doc_id, coalesce(c.class_id, d.doc_id) class_id, coalesce(n_links, 0) n_links, coalesce(n_texts, 0) n_texts from documents d left join c using (doc_id) left join k using (doc_id)""",
 }
