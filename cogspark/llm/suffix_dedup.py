@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import SpanHash, blocks, bucketed, parts_for, text_bytes, written
 
 LENGTH, GRAM = 200, 64
-#: Text bytes in a block and in a segment of it, and text bytes whose suffixes share a range.
-BLOCK, SEGMENT, RANGE = 8 << 20, (4 << 20) - 4096, 16 << 20
+#: Text bytes in a block and in a segment of it, and text bytes whose suffixes share a range; segments fit a core's cache.
+BLOCK, SEGMENT, RANGE = 8 << 20, (1 << 18) - 4096, 16 << 20
 #: Quantiles of the leading tokens that the splitters come from, and tokens sampled from each block.
 QUANTILES, SAMPLED = 4096, 512
 UNIQUE, SAME, MIXED = 0, 1, 2
@@ -94,8 +94,8 @@ def _whole_windows(offsets: np.ndarray, n: int, length: int) -> np.ndarray:
     """Where a window begins that lies in one text."""
     edge = np.zeros(n + 1, np.int32)
     ends, begins = offsets[1:], offsets[:-1]
-    np.add.at(edge, np.maximum(begins, ends - length + 1), 1)
-    np.add.at(edge, ends, -1)
+    edge += np.bincount(np.maximum(begins, ends - length + 1), minlength=n + 1).astype(np.int32)
+    edge -= np.bincount(ends, minlength=n + 1).astype(np.int32)
     return np.cumsum(edge)[:n] == 0
 
 
@@ -171,8 +171,8 @@ class Runs:
         n = len(self.body)
         hit = np.zeros(n + 1, np.int32)
         whole = np.flatnonzero(verdict[self.group] == SAME) if len(self.group) else np.zeros(0, np.int64)
-        np.add.at(hit, self.first[whole], 1)
-        np.add.at(hit, self.last[whole] + self.length, -1)
+        hit[self.first[whole]] += 1  # no two runs have the same first window
+        hit[self.last[whole] + self.length] -= 1
         if len(self.mixed):
             size = self.last[self.mixed] - self.first[self.mixed] + 1
             begin = np.r_[0, np.cumsum(size)].astype(np.int64)
@@ -180,8 +180,8 @@ class Runs:
             at = np.repeat(self.first[self.mixed] - begin[:-1], size) + step
             of = np.repeat(self.begin[self.place[self.same]] - begin[:-1], size) + step
             at = at[repeats[self.window[of]]]
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + self.length, -1)
+            hit[at] += 1
+            hit[at + self.length] -= 1
         return np.cumsum(hit)[:n] > 0
 
 
@@ -255,8 +255,7 @@ def _sample(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = text_bytes(batch.column(0))
-            at = np.flatnonzero(_whole_windows(offsets, len(body), length)) if len(body) else np.zeros(0, np.int64)
-            at = at[:: max(1, len(at) // SAMPLED)]
+            at = np.arange(0, max(0, len(body) - length), max(1, len(body) // SAMPLED))
             token = (_leading(body, at) ^ np.uint64(1 << 63)).view(np.int64)
             size = np.zeros(len(token) + 1, np.int64)
             size[-1] = len(body)
