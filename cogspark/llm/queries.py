@@ -45,6 +45,12 @@ def op7_transport_stream(spark, sf_dir):
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark, sf_dir):
     from .mixing import mix_sources
 
@@ -57,7 +63,7 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 SQL = {
     "op1_url_filter": r"""
