@@ -33,6 +33,12 @@ def op3_language_id(spark, sf_dir):
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark, sf_dir):
+    from .pitman_yor import language_model
+
+    return language_model(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     from .pieces import piece_digest
 
@@ -69,7 +75,7 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 SQL = {
     "op1_url_filter": r"""
