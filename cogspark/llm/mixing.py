@@ -12,7 +12,7 @@ totals it joins have a row for each source and length class, and the order is fo
 to be sorted in one task.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are documents of their own, tied in rank, of which the ones that fit are taken; without any words all
+repeated rows are documents of their own, tied in rank and taken alike; without any words all
 targets are 0; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -119,23 +119,52 @@ def _side(df: DataFrame) -> DataFrame:
     return broadcast_if_small(df.withColumnRenamed("source", "__source"))
 
 
-def mix_sources(docs: DataFrame, id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: int = MOST, tilt: float = TILT, seed: int = SEED) -> DataFrame:
-    """docs: (id, text, source) to (id, tie, size, source_size, target, copies, taken); tie tells the texts of one id apart."""
-    narrow = docs.select(F.col(id).alias("id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
-    narrow = written(narrow, "sizes")
-    targets = written(source_targets(narrow, weights, share, most), "targets")
-    copies = written(expected_copies(narrow, targets, most, tilt), "copies")
-    at = narrow.withColumn("class", _class(F.col("size"))).join(broadcast_if_small(copies.withColumnsRenamed({"source": "__s", "class": "__c"})), F.col("source").eqNullSafe(F.col("__s")) & (F.col("class") == F.col("__c"))).drop("__s", "__c", "class")
-    # whole copies are those of the expected number up to rounding of doubles
-    at = at.withColumn("whole", F.floor(F.col("e") + F.lit(1e-9)).cast("long"))
-    at = at.withColumn("p", F.greatest(F.lit(0.0), F.col("e") - F.col("whole")))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit("u"), F.col("id"), F.col("tie")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    at = at.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), F.least(pareto_rank(u, F.least(F.col("p"), F.lit(1 - 1e-9))), F.lit(1 - 1e-12))))
-    at = at.withColumn("order", F.xxhash64(F.lit(seed), F.lit("tie"), F.col("id"), F.col("tie")))
-    ranked = at.filter("rank is not null").select("source", "size", "p", "rank", F.col("order").alias("tie"))
-    cuts = written(_cuts(ranked), "cuts")
-    out = at.join(_side(targets), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    out = out.join(_side(cuts), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    more = F.col("rank").isNotNull() & ((F.col("rank") < F.col("floor")) | (F.struct("rank", F.col("order").alias("tie")) <= F.col("to")))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0).cast("long"))
-    return out.select(F.col("id").alias(id), "tie", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+class Mix:
+    """The tables that tell what the mix takes: of sources, of sources' length classes, and the border of each source."""
+
+    def __init__(self, docs: DataFrame, id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: int = MOST, tilt: float = TILT, seed: int = SEED):
+        self.seed = seed
+        narrow = docs.select(F.col(id).alias("id"), F.col("source"), n_words(F.col("text")).alias("size"), _tie(F.col("text"), seed).alias("tie"))
+        self.narrow = written(narrow, "sizes")
+        self.targets = written(source_targets(self.narrow, weights, share, most), "targets")
+        self.copies = written(expected_copies(self.narrow, self.targets, most, tilt), "copies")
+        ranked = self._ranked(self.narrow).filter("__rank is not null")
+        self.cuts = written(_cuts(ranked.select("source", "size", F.col("__p").alias("p"), F.col("__rank").alias("rank"), F.col("__order").alias("tie"))), "cuts")
+
+    def _ranked(self, rows: DataFrame, id: str = "id", size: str = "size", tie: str = "tie") -> DataFrame:
+        side = broadcast_if_small(self.copies.withColumnsRenamed({"source": "__s", "class": "__c", "e": "__e"}))
+        at = rows.withColumn("__class", _class(F.col(size))).join(side, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c"))).drop("__s", "__c", "__class")
+        # whole copies are those of the expected number up to rounding of doubles
+        at = at.withColumn("__whole", F.floor(F.col("__e") + F.lit(1e-9)).cast("long"))
+        at = at.withColumn("__p", F.greatest(F.lit(0.0), F.col("__e") - F.col("__whole")))
+        u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit("u"), F.col(id), F.col(tie)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        at = at.withColumn("__rank", F.when((F.col("__p") > 0) & (F.col(size) > 0), F.least(pareto_rank(u, F.least(F.col("__p"), F.lit(1 - 1e-9))), F.lit(1 - 1e-12))))
+        return at.withColumn("__order", F.xxhash64(F.lit(self.seed), F.lit("tie"), F.col(id), F.col(tie)))
+
+    def decide(self, rows: DataFrame, id: str = "id", size: str = "size", tie: str = "tie") -> DataFrame:
+        """Adds __copies, and __source_size and __target; joins small tables only."""
+        at = self._ranked(rows, id, size, tie)
+        at = at.join(_side(self.targets.withColumnsRenamed({"source_size": "__source_size", "target": "__target"})), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        at = at.join(_side(self.cuts.withColumnsRenamed({"floor": "__floor", "to": "__to"})), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        more = F.col("__rank").isNotNull() & ((F.col("__rank") < F.col("__floor")) | (F.struct(F.col("__rank").alias("rank"), F.col("__order").alias("tie")) <= F.col("__to")))
+        at = at.withColumn("__copies", F.when(F.col(size) > 0, F.col("__whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0).cast("long"))
+        return at.drop("__e", "__whole", "__p", "__rank", "__order", "__floor", "__to")
+
+
+def _tie(text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
+
+
+def mix_sources(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
+    """docs: (id, text, source) to (id, size, source_size, target, copies, taken)."""
+    mix = Mix(docs, id, **settings)
+    out = mix.decide(mix.narrow)
+    return out.select(F.col("id").alias(id), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
+    """The rows themselves, each as often as the mix takes it; the texts are not shuffled."""
+    mix = Mix(docs, id, **settings)
+    rows = docs.withColumns({"__size": n_words(F.col("text")), "__tie": _tie(F.col("text"), mix.seed)})
+    out = mix.decide(rows, id, "__size", "__tie").filter("__copies > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).drop("__copy")

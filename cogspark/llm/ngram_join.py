@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHash, blocks, mix, parts_for, text_bytes, words, written
@@ -34,6 +34,11 @@ TREES, DEPTH, RECALL = 24, 8, 0.9999
 BLOCK, CHUNK, CHUNK_GRAMS, COLUMNS = 2 << 20, 384, 1 << 20, 2048
 
 
+def text_tie(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.lit(0), F.coalesce(text, F.lit("")))
+
+
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix whose shortening has reached the recall for texts of just the threshold."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
@@ -102,7 +107,7 @@ def _signatures(n: int, trees: int, depth: int):
             gram, at = gram_sets(table.column("text"), n)
             keys = prefixes(gram, at, trees, depth).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(set_keys(gram, at), pa.binary()), pa.array(np.diff(at)), lists], ["id", "set", "grams", "keys"])
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("tie").combine_chunks(), pa.array(set_keys(gram, at), pa.binary()), pa.array(np.diff(at)), lists], ["id", "tie", "set", "grams", "keys"])
 
     return run
 
@@ -193,17 +198,19 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, firsts: bool = False) -> DataFrame:
     """(id, class_id, n_links, n_texts) of each row.
 
     class_id is the least id of the texts that links tie together, n_links the number of other rows that are copies
-    or linked, n_texts the number of other sets of n-grams that are linked.
+    or linked, n_texts the number of other sets of n-grams that are linked. With firsts, (id, tie, grouped, first) of
+    each row instead: tie hashes the text, grouped is false without words, and first marks the rows of the least id
+    and tie of their group.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), text_tie(F.col(text)).alias("tie"))
     depth = prefix_depth(threshold, trees, depth, recall)
-    signed = written(plain.mapInArrow(_signatures(n, trees, depth), "id long, set binary, grams long, keys array<long>"), "signatures")
-    classes = written(signed.filter("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("keys").alias("keys")), "classes")
+    signed = written(plain.mapInArrow(_signatures(n, trees, depth), "id long, tie long, set binary, grams long, keys array<long>"), "signatures")
+    classes = written(signed.filter("set is not null").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("set", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("leader")).filter("n > 1").select("key", "leader")
     roots = written(components(keyed.join(shared, "key").select(F.col("set").alias("a"), F.col("leader").alias("b"))), "candidates")
@@ -211,7 +218,7 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     per = size.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("grams") / CHUNK_GRAMS)).cast("long").alias("chunks"))
     member = written(size.join(per, "root").withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "set"), "chunks")), "members")
     total = member.agg(F.sum(F.col("grams") * F.col("chunks") * 8)).first()[0] or 0
-    texts = member.hint("shuffle_hash").join(plain, member["rep"].eqNullSafe(plain["id"])).select("set", "root", "copies", "chunks", "chunk", "text")
+    texts = member.hint("shuffle_hash").join(plain, member["rep.id"].eqNullSafe(plain["id"]) & (member["rep.tie"] == plain["tie"])).select("set", "root", "copies", "chunks", "chunk", "text")
     sets = texts.mapInArrow(_sets(n), "set binary, root binary, copies long, chunks long, chunk long, sets binary")
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to")
     tiles = sets.select("set", "root", "copies", "chunk", "sets", pair).select("set", "root", "copies", "chunk", "sets", F.least("chunk", "to").alias("i"), F.greatest("chunk", "to").alias("j"))
@@ -223,6 +230,9 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     joined = classes.select("set", "rep", "copies").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = joined.groupBy("root").agg(F.min("rep").alias("class"))
     of = joined.join(least, "root").join(links, "set", "left").select("set", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
-    out = signed.select("id", "set").join(of, "set", "left")
+    out = signed.select("id", "tie", "set").join(of, "set", "left")
+    if firsts:
+        first = F.col("set").isNull() | F.col("id").eqNullSafe(F.col("class.id")) & (F.col("tie") == F.col("class.tie"))
+        return out.select(F.col("id").alias(id), "tie", F.col("set").isNotNull().alias("grouped"), first.alias("first"))
     zero = F.lit(0).cast("long")
-    return out.select(F.col("id").alias(id), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"))
+    return out.select(F.col("id").alias(id), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -219,7 +220,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str = MOD
             column = pa.ListArray.from_arrays(pa.array(size), flat, mask=pa.array([x is None for x in ids])) if any(x is None for x in ids) else pa.ListArray.from_arrays(pa.array(size), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, out])
 
-    return df.mapInArrow(run, df.select(rest).schema.add(out, "array<int>"))
+    return df.mapInArrow(run, df.select(rest).schema.add(out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:

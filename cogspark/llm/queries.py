@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import WORD
-
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,7 +73,13 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": pipeline}
 
 SQL = {
     "op1_url_filter": r"""

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID = 0x1000, 0x0100
@@ -229,16 +230,16 @@ def store_media(df: DataFrame, column: str, out: str = "media", pad: int = PAD)
     return df.mapInArrow(run, df.select(rest).schema.add(out, "binary"))
 
 
-MEDIA = "packets long, lost long, repeated long, payload binary, stamps array<long>, random_access array<int>, error string"
+MEDIA = {"packets": T.LongType(), "lost": T.LongType(), "repeated": T.LongType(), "payload": T.BinaryType(), "stamps": T.ArrayType(T.LongType()), "random_access": T.ArrayType(T.IntegerType()), "error": T.StringType()}
 
 
 def parse_media(df: DataFrame, column: str = "media", prefix: str = "ts_") -> DataFrame:
     """Adds the parsed fields (prefix + names of MEDIA) of a column of transport streams."""
-    names = [x.split()[0] for x in MEDIA.split(", ")]
+    names = list(MEDIA)
     rest = [c for c in df.columns if c not in {prefix + n for n in names}]
     schema = df.select(rest).schema
-    for x in MEDIA.split(", "):
-        schema = schema.add(prefix + x.split()[0], x.split()[1])
+    for name, kind in MEDIA.items():
+        schema = schema.add(prefix + name, kind)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
