@@ -42,14 +42,12 @@ def duck(names: tuple[str, ...], sql: str) -> str:
         for m in LOGICAL[n][0]:
             body = body.replace("{" + m + "}", m)
         ctes.append(f"{n} as ({body})")
-    sql = sql.strip()
-    recursive = sql.lower().startswith("recursive ")
-    if recursive:
-        sql = sql[len("recursive ") :]
+    sql, head = sql.strip(), "with "
+    if sql.lower().startswith("recursive "):
+        sql, head = sql[len("recursive ") :], "with recursive "
     if sql.lower().startswith("with "):
-        sql = ("," if ctes else "") + sql[5:]
-    head = ("with recursive " if recursive else "with ") + ", ".join(ctes) if ctes or sql.startswith(",") or recursive else ""
-    return f"{head} {sql}"
+        return head + ", ".join([*ctes, sql[5:]])
+    return f"{head}{', '.join(ctes)} {sql}" if ctes else sql
 
 
 def query(name: str, *reads: str, sql: str | None = None):
@@ -91,12 +89,18 @@ logical(
   case when o.o_orderkey % 4 = 0 then 'M03' when o.o_orderkey % 4 = 1 then 'D05' end latent, case when o.o_orderkey % 2 = 0 then 0.4e0 when o.o_orderkey % 6 = 1 then 0.7e0 end exposure
   from {orders} o join {lineitem} l on l.l_orderkey = o.o_orderkey group by o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus""",
 )
+_EXPOSED = "select p_partkey item_id, p_type sector, cast(1 + p_size % 3 as int) difficulty, '{c}' class, case when (p_partkey + {k}) % 3 = 0 then 0.7e0 when (p_partkey + {k}) % 3 = 1 then 0.4e0 else 0.1e0 end exposure from {part} where (p_partkey + {k}) % 2 = 0"
+logical("exposures", "part", sql=" union all ".join(_EXPOSED.replace("{c}", c).replace("{k}", str(k)) for k, c in enumerate(("M01", "M02", "M03", "D01", "D05"))))
+_LABELS = "M01,M02,M03,M04,M05,M06,M07,M08,M10,D01,D02,D03,D04,D05,D06,D07,D08"
+# choice items: one for each size of parts
+logical("choices", "part", sql="select distinct concat('I', cast(p_size as varchar(9))) item_id, p_size k, split(case when p_size % 3 = 0 then 'a,b,c' else 'a,b,c,d' end, ',') options, split_part('a,b,c', ',', cast(1 + p_size % 3 as int)) correct from {part}")
 logical(
-    "exposures",
-    "part",
-    sql="""select p_partkey item_id, p_type sector, cast(1 + p_size % 3 as int) difficulty, c.class, case when (p_partkey + c.k) % 3 = 0 then 0.7e0 when (p_partkey + c.k) % 3 = 1 then 0.4e0 else 0.1e0 end exposure
-  from {part} cross join (select 'M01' class, 0 k union all select 'M02', 1 union all select 'M03', 2 union all select 'D01', 3 union all select 'D05', 4) c where (p_partkey + c.k) % 2 = 0""",
+    "beliefs",
+    "choices",
+    sql=f"""select item_id, split_part('{_LABELS}', ',', cast(1 + k % 17 as int)) label, split_part('a,b,c', ',', cast(1 + (k + 1) % 3 as int)) believed from {{choices}}
+  union all select item_id, split_part('{_LABELS}', ',', cast(1 + (k * 5 + 3) % 17 as int)), split_part('a,b,c', ',', cast(1 + (k + k % 2 + 1) % 3 as int)) from {{choices}} where k % 17 <> (k * 5 + 3) % 17""",
 )
+logical("answers", "lineitem", sql="select distinct l_orderkey key, concat('I', cast(1 + l_partkey % 50 as varchar(9))) item_id, min(split_part('a,b,c,d,e', ',', cast(1 + l_suppkey % 5 as int))) answer from {lineitem} group by l_orderkey, concat('I', cast(1 + l_partkey % 50 as varchar(9)))")
 logical(
     "corpus",
     "documents",
