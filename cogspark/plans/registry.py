@@ -110,3 +110,4 @@ logical(
   concat('op', cast(d.doc_id % 12 as varchar(20)), case when d.doc_id % 4 = 0 then '+op1' else '' end) op_id, d.doc_id % 9 = 0 passes_by_luck, case when d.doc_id % 10 = 0 then 'holdout' else 'train' end split, d.n_chars
   from {documents} d left join {labels} l on l.doc_id = d.doc_id""",
 )
+logical("predictions", "embeddings", sql="select vec_id id, concat('c', cast(label as varchar(9))) truth, concat('c', cast(case when vec_id % 3 = 0 then label else (label + vec_id) % 10 end as varchar(9))) pred, 0.3e0 + (vec_id * 37 % 71) / 100e0 conf, vec_id % 20 cluster, case when vec_id % 2 = 0 then 'main' else 'dsa' end domain, concat('p', cast(vec_id % 7 as varchar(9))) problem_id, label y from {embeddings}")
