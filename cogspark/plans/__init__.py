@@ -15,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(registry.SQL)
+    return {k: registry.duck(*v) for k, v in registry.SQL.items()}

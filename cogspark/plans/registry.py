@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, tuple] = {}
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: name: (tables it reads, SELECT)
@@ -60,7 +60,7 @@ def query(name: str, *reads: str, sql: str | None = None):
         run.__doc__ = f.__doc__
         QUERIES[name] = run
         if sql:
-            SQL[name] = duck(reads, sql)
+            SQL[name] = (reads, sql)
         return f
 
     return put

@@ -1 +1,96 @@
-"""The operators as Structured Streaming queries."""
+"""The operators as Structured Streaming queries: knowledge with keyed state, posteriors, activity, sessions, late rows.
+
+withWatermark needs TIMESTAMP: time stamps without a zone are cast in the session's.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import constants as C
+from ..operators.knowledge import route_events
+
+
+def timed(events: DataFrame, watermark: str, ts: str = "ts") -> DataFrame:
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
+def stream_knowledge(events: DataFrame, watermark: str = "1 hour", prior: float = C.POPULATION_PRIOR) -> DataFrame:
+    """(learner_id, class, ts, seq, p_before, p_after) of each event, from the P kept for each learner and class.
+
+    Repeated seq within the watermark count once. Events of one batch are taken in the order of (ts, seq); an event
+    that comes after later ones of an earlier batch is applied when it comes: late_rows() gives the keys to fold anew.
+    """
+    rows = route_events(timed(events, watermark)).filter("affects")
+    levels = F.col("levels").cast("int") if "levels" in rows.columns else F.lit(0)
+    rows = rows.withColumn("levels", levels).dropDuplicatesWithinWatermark(["learner_id", "seq"])
+
+    def step(key, batches, state: GroupState):
+        p = state.get[0] if state.exists else prior
+        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        out = []
+        for r in pdf.itertuples(index=False):
+            before = p
+            if r.kind == "intervention_done":
+                p = p * (1 - C.LEARN_RATE)
+            elif r.kind == "forgetting":
+                p = 1 - (1 - p) * (1 - C.FORGET_RATE) ** max(0, int(r.levels))
+            else:
+                total = p * r.if_active + (1 - p) * r.if_not
+                p = p if total == 0 else p * r.if_active / total
+            out.append((key[0], key[1], r.ts, r.seq, before, p))
+        state.update((p,))
+        yield pd.DataFrame(out, columns=["learner_id", "class", "ts", "seq", "p_before", "p_after"])
+
+    narrow = rows.select("learner_id", "class", "ts", "seq", "kind", "levels", "if_active", "if_not")
+    return narrow.groupBy("learner_id", "class").applyInPandasWithState(step, "learner_id long, class string, ts timestamp, seq long, p_before double, p_after double", "p double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_posterior(answers: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, label, l): running sums of log likelihoods; the order of answers does not matter. For update or complete mode."""
+    return answers.join(table.withColumnRenamed("option", "answer"), ["item_id", "answer"]).groupBy("key", "label").agg(F.sum(F.log("p")).alias("l"))
+
+
+def activity(events: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "1 hour", by: str = "type") -> DataFrame:
+    """(start, end, type, n, pass_rate) in tumbling or sliding windows."""
+    w = F.window("ts", window, slide) if slide else F.window("ts", window)
+    g = timed(events, watermark).groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "pass_rate")
+
+
+def sessions(events: DataFrame, gap: str = f"{C.EXAM_TIME_LIMIT_S} seconds", watermark: str = "1 hour") -> DataFrame:
+    """(learner_id, start, end, n): sessions that a pause ends."""
+    g = timed(events, watermark).groupBy(F.session_window("ts", gap).alias("w"), "learner_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("learner_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def late_rows(batch: DataFrame, seen_to: Column) -> DataFrame:
+    """Rows of a micro-batch that are older than what was seen: for a side table, and for their keys to be folded again."""
+    return batch.filter(F.col("ts") < seen_to)
+
+
+def enrich(stream: DataFrame, items: DataFrame, on: str = "item_id") -> DataFrame:
+    """A stream with a static table's columns."""
+    return stream.join(items, on, "left")
+
+
+def diagnosed(attempts: DataFrame, diagnoses: DataFrame, within: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
+    """Attempts joined with the diagnosis that comes within the interval; both streams have watermarks."""
+    a = timed(attempts, watermark).alias("a")
+    d = timed(diagnoses.withColumnRenamed("ts", "diagnosed_at"), watermark, "diagnosed_at").withColumnRenamed("attempt_id", "__attempt").alias("d")
+    on = F.expr(f"attempt_id = __attempt and diagnosed_at >= ts and diagnosed_at <= ts + interval {within}")
+    return a.join(d, on).drop("__attempt")
+
+
+def monitor(stream: DataFrame, rules: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Runs quality rules on each micro-batch and appends (batch, rule_id, status, key, value) to a table."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rules(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
