@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +63,27 @@ def parts_for(spark: SparkSession, n_bytes: float, per_part: float) -> int:
     return int(max(2 * spark.sparkContext.defaultParallelism, np.ceil(n_bytes / per_part)))
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system: workers are kept between tasks, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A task's function over batches that releases memory at its end."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offset of each (nulls are empty)."""
     if isinstance(texts, pa.ChunkedArray):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, mix, text_bytes
+from .common import blocks, fold, mix, text_bytes, tidy
 
 #: Families of common languages by their codes.
 FAMILIES = {
@@ -92,6 +92,7 @@ def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: in
 
 
 def _sample_rows(bits: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", BLOCK):
             got = _frequencies(table.column("text"), bits)
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     draw = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)
     got = from_.filter(draw < share).mapInArrow(_sample_rows(bits), "lang string, at binary, value binary").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got.column("lang")[i].as_py(), got.column("at")[i].as_py(), got.column("value")[i].as_py()))
-    got = got.take(order)
+    got = got.take(pa.array(order, pa.int64()))
     model = Model(bits)
     if got.num_rows:
         model.learn(got.column("lang").to_pylist(), [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for a, v in zip(got.column("at"), got.column("value"))])
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     names = [c for c in docs.columns if c not in (lang, score, "__letters")]
     schema = docs.select(names).schema.add(lang, "string").add(score, "double")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, text, BLOCK):
             ok = np.array(table.column("__letters").to_pylist(), bool)

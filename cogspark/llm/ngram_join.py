@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, mix, parts_for, text_bytes, words, written
+from .common import SpanHash, blocks, mix, parts_for, release, text_bytes, tidy, words, written
 from .components import components
 
 N, THRESHOLD = 5, 0.8
@@ -102,6 +102,7 @@ def prefixes(gram: np.ndarray, at: np.ndarray, trees: int, depth: int) -> np.nda
 
 
 def _signatures(n: int, trees: int, depth: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", BLOCK):
             gram, at = gram_sets(table.column("text"), n)
@@ -113,6 +114,7 @@ def _signatures(n: int, trees: int, depth: int):
 
 
 def _sets(n: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", BLOCK):
             gram, at = gram_sets(table.column("text"), n)
@@ -193,6 +195,7 @@ def _verify(threshold: float):
                 whole[: len(a), len(a) :] = link
                 whole |= whole.T
                 rows += [(keys[x], keys[y], 0, 0) for x, y in _forest(whole)]
+        release()
         return pd.DataFrame(rows, columns=["set", "other", "texts", "docs"])
 
     return run

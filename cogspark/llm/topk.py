@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SCHEMA = "query_id long, vec_id long, score long"
 #: Queries in a block, candidates that are searched at once, dimensions in a block.
 QUERY_BLOCK, ROWS, DIMS = 2048, 16384, 16
@@ -121,6 +123,7 @@ def _search_large(q, q_ids, c, c_ids, k, best) -> None:
 
 
 def _pass(queries: tuple[np.ndarray, np.ndarray], k: int, scale: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, q_ids = queries
         best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]

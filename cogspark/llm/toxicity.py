@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, broadcast_if_small, fold, mix, text_bytes, words
+from .common import SpanHash, blocks, broadcast_if_small, fold, mix, text_bytes, tidy, words
 
 BITS, BLOCK = 20, 1 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 4.0, 0.1, 2
@@ -59,6 +59,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
 
 
 def _train(bits: int, epochs: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels, part = [], [], None
         made = []
@@ -126,6 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     names = [c for c in docs.columns if c != out]
     at, weight = model
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, text, BLOCK):
             s = scores(table.column(text), at, weight, bits)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID = 0x1000, 0x0100
 PRIVATE_DATA = 0x06  # stream type: PES packets with private data
@@ -222,6 +224,7 @@ def store_media(df: DataFrame, column: str, out: str = "media", pad: int = PAD)
     """Adds the column's bytes (text as UTF-8), padded, as a transport stream in `out`."""
     rest = [c for c in df.columns if c != out]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(column).cast(pa.large_binary()).to_pylist()
@@ -242,6 +245,7 @@ def parse_media(df: DataFrame, column: str = "media", prefix: str = "ts_") -> Da
         schema = schema.add(prefix + name, kind)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [read_stream(x) for x in batch.column(column).to_pylist()]
@@ -256,6 +260,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def media_digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores each text, reads the stored bytes back and gives their digest columns."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
