@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, bucketed, parts_for, text_bytes, written
+from .common import SpanHash, blocks, bucketed, parts_for, release, text_bytes, tidy, written
 
 LENGTH, GRAM = 200, 64
-#: Text bytes in a block and in a segment of it, and text bytes whose suffixes share a range; segments fit a core's cache.
-BLOCK, SEGMENT, RANGE = 8 << 20, (1 << 18) - 4096, 16 << 20
+#: Text bytes in a block and in a segment of it, and text bytes whose suffixes share a
+#: range (more as the whole grows, so that a block's part of a range does not get tiny); segments fit a core's cache.
+BLOCK, SEGMENT, RANGE, RANGE_MOST = 3 << 20, (1 << 18) - 4096, 16 << 20, 128 << 20
 #: Quantiles of the leading tokens that the splitters come from, and tokens sampled from each block.
 QUANTILES, SAMPLED = 4096, 512
 UNIQUE, SAME, MIXED = 0, 1, 2
@@ -94,9 +95,9 @@ def _whole_windows(offsets: np.ndarray, n: int, length: int) -> np.ndarray:
     """Where a window begins that lies in one text."""
     edge = np.zeros(n + 1, np.int32)
     ends, begins = offsets[1:], offsets[:-1]
-    edge += np.bincount(np.maximum(begins, ends - length + 1), minlength=n + 1).astype(np.int32)
-    edge -= np.bincount(ends, minlength=n + 1).astype(np.int32)
-    return np.cumsum(edge)[:n] == 0
+    np.add.at(edge, np.maximum(begins, ends - length + 1), 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge, dtype=np.int32)[:n] == 0
 
 
 class Runs:
@@ -182,7 +183,7 @@ class Runs:
             at = at[repeats[self.window[of]]]
             hit[at] += 1
             hit[at + self.length] -= 1
-        return np.cumsum(hit)[:n] > 0
+        return np.cumsum(hit, dtype=np.int32)[:n] > 0
 
 
 def _range_of(token: np.ndarray, print_: np.ndarray, splitters: np.ndarray, deal: int) -> np.ndarray:
@@ -236,6 +237,8 @@ def _settle(kinds, judge):
         every = [np.concatenate([c[i] for c in chunks]) for i in range(len(kinds) + 1)]
         order, starts, group = _groups(every[0], every[1])
         answer = judge(starts, np.diff(np.r_[starts, len(order)]), *(x[order] for x in every[2:]))[group].astype(np.uint8)
+        del every, order, group
+        release()
         return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "answer": [x.tobytes() for x in np.split(answer, np.cumsum(size)[:-1])]})
 
     return run
@@ -252,6 +255,7 @@ def _judge_window(starts, count, state):
 
 
 def _sample(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = text_bytes(batch.column(0))
@@ -265,6 +269,7 @@ def _sample(length: int):
 
 
 def _pack_blocks(text: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, options = TaskContext.get().partitionId(), pa.ipc.IpcWriteOptions(compression="zstd")
         for i, table in enumerate(blocks(batches, text, BLOCK)):
@@ -285,7 +290,7 @@ def keep_unique(docs: DataFrame, emit, schema, text: str = "text", length: int =
     spark = docs.sparkSession
     quantiles = ",".join(f"{i / QUANTILES:.8g}d" for i in range(1, QUANTILES))
     seen = docs.select(text).mapInArrow(_sample(length), "token long, size long").agg(F.sum("size").alias("size"), F.expr(f"percentile_approx(token, array({quantiles}), 50000)").alias("tokens")).first()
-    n = parts_for(spark, seen["size"] or 0, RANGE)
+    n = parts_for(spark, seen["size"] or 0, min(RANGE_MOST, max(RANGE, 128 * (seen["size"] or 0) ** 0.5)))
     deal = -(-n // QUANTILES)
     tokens = (np.array(seen["tokens"] or [], np.int64).view(np.uint64)) ^ np.uint64(1 << 63)
     splitters = tokens[np.linspace(0, len(tokens) - 1, min(n, QUANTILES) - 1).astype(int)] if len(tokens) else tokens
@@ -301,6 +306,7 @@ def keep_unique(docs: DataFrame, emit, schema, text: str = "text", length: int =
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["block", "range", "payload"])
 
+    @tidy
     def anchors(batches):
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -310,9 +316,11 @@ def keep_unique(docs: DataFrame, emit, schema, text: str = "text", length: int =
 
     asked = "block long, range long, payload binary"
     first = part(packed.mapInArrow(anchors, asked), (np.uint64, np.uint8, np.uint64), _judge_anchor)
-    by_block = lambda df, name: df.groupBy("block").agg(F.collect_list(F.struct("range", "answer")).alias(name))
+    # dealt as the bucketed table is, so that grouping and joining share one shuffle
+    by_block = lambda df, name: df.repartition(n_files, "block").groupBy("block").agg(F.collect_list(F.struct("range", "answer")).alias(name))
     with_first = packed.join(by_block(first, "first").hint("shuffle_hash"), "block", "left")
 
+    @tidy
     def windows(batches):
         for batch in batches:
             for block, data, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -324,6 +332,7 @@ def keep_unique(docs: DataFrame, emit, schema, text: str = "text", length: int =
     second = part(with_first.mapInArrow(windows, asked), (np.uint64, np.uint8), _judge_window)
     both = with_first.join(by_block(second, "second").hint("shuffle_hash"), "block", "left")
 
+    @tidy
     def last(batches):
         for batch in batches:
             for data, one, two in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
