@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import blocks, tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a task keeps, and the longest of these.
-KEPT_WORDS, WORD_CHARS = 400_000, 48
+#: Words whose ids a task keeps, the longest of these, and the text bytes that are encoded at once.
+KEPT_WORDS, WORD_CHARS, BLOCK = 200_000, 48, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -211,14 +213,16 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str = MOD
     data = read_model(df.sparkSession, model)
     rest = [c for c in df.columns if c != out]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = Vocabulary(data), {}
-        for batch in batches:
-            ids = [None if x is None else encode_text(v, x, seen) for x in batch.column(text).to_pylist()]
-            size = np.r_[0, np.cumsum([len(x or ()) for x in ids])].astype(np.int32)
-            flat = pa.array(np.fromiter((i for x in ids if x for i in x), np.int32, int(size[-1])))
-            column = pa.ListArray.from_arrays(pa.array(size), flat, mask=pa.array([x is None for x in ids])) if any(x is None for x in ids) else pa.ListArray.from_arrays(pa.array(size), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, out])
+        for table in blocks(batches, text, BLOCK):  # ids are many: a few texts at a time
+            ids = [None if x is None else np.array(encode_text(v, x, seen), np.int32) for x in table.column(text).to_pylist()]
+            size = np.r_[0, np.cumsum([0 if x is None else len(x) for x in ids])].astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)]))
+            null = pa.array([x is None for x in ids])
+            column = pa.ListArray.from_arrays(pa.array(size), flat, mask=null if any(x is None for x in ids) else None)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in rest), column], [*rest, out])
 
     return df.mapInArrow(run, df.select(rest).schema.add(out, T.ArrayType(T.IntegerType())))
 
@@ -228,6 +232,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
     data = read_model(df.sparkSession, model)
     rest = [c for c in df.columns if c != out]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(data)
         for batch in batches:
@@ -241,6 +246,7 @@ def piece_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", model:
     """(doc_id, n_chars, n_ids, ids_sha256 of the ids as 32-bit little-endian numbers, round_trip)."""
     data = read_model(docs.sparkSession, model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = Vocabulary(data), {}
         for batch in batches:
