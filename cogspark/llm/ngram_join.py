@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, mix, parts_for, release, text_bytes, tidy, words, written
+from .common import SpanHash, blocks, broadcast_if_small, mix, parts_for, release, text_bytes, tidy, words, written
 from .components import components
 
 N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
 #: Text bytes that a task looks at together; texts and n-grams in a chunk of a component; columns of a matrix.
 BLOCK, CHUNK, CHUNK_GRAMS, COLUMNS = 2 << 20, 384, 1 << 20, 2048
+#: Copies from which on a set is joined apart.
+HOT_COPIES = 500
 
 
 def text_tie(text: Column) -> Column:
@@ -232,10 +234,19 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     tied = written(components(found.filter("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b"))), "tied")
     joined = classes.select("set", "rep", "copies").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = joined.groupBy("root").agg(F.min("rep").alias("class"))
-    of = joined.join(least, "root").join(links, "set", "left").select("set", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
-    out = signed.select("id", "tie", "set").join(of, "set", "left")
+    of = joined.join(least, "root").join(links, "set", "left").select("set", "copies", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    out = _with_classes(signed.select("id", "tie", "set"), written(of, "of"))
     if firsts:
         first = F.col("set").isNull() | F.col("id").eqNullSafe(F.col("class.id")) & (F.col("tie") == F.col("class.tie"))
         return out.select(F.col("id").alias(id), "tie", F.col("set").isNotNull().alias("grouped"), first.alias("first"))
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"))
+
+
+def _with_classes(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Each row with what is known of its set. Sets of many copies, of which there are few, are joined apart, so that a
+    hot one's rows stay where they are; rows without a set have nothing to join."""
+    hot, rest = of.filter(F.col("copies") >= HOT_COPIES).drop("copies"), of.filter(F.col("copies") < HOT_COPIES).drop("copies")
+    hot, some = broadcast_if_small(hot), rows.filter("set is not null")
+    empty = rows.filter("set is null").select("*", *[F.lit(None).cast(of.schema[c].dataType).alias(c) for c in ("class", "n_links", "n_texts")])
+    return some.join(hot, "set").unionByName(some.join(hot.select("set"), "set", "left_anti").join(rest, "set")).unionByName(empty)
