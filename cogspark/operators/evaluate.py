@@ -130,6 +130,26 @@ def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], stat
     return point.select("*", ends.select("lo").scalar().alias("lo"), ends.select("hi").scalar().alias("hi"), ends.select("valid").scalar().alias("valid"))
 
 
+#: The distribution function of a Poisson variable of mean 1 at 0 to 6.
+POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
+
+
+def bootstrap(df: DataFrame, id: str, sums: dict[str, Column], statistic: Column, reps: int = 200, seed: int = 42) -> DataFrame:
+    """(estimate, lo, hi, n, valid) of a statistic of sums over rows drawn again.
+
+    Each row's weight in a replicate is Poisson, by a hash of (seed, replicate, id): rows are not numbered or shuffled,
+    only the replicates' sums are.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", F.col("__id"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    w = sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    rows = df.select(F.col(id).cast("string").alias("__id"), *[v.alias(k) for k, v in sums.items()])
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", w)
+    each = each.groupBy("rep").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums]).select(statistic.alias("s"))
+    ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
+    point = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]).select("n", statistic.alias("estimate"))
+    return point.select("*", *[ends.select(c).scalar().alias(c) for c in ("lo", "hi", "valid")])
+
+
 def t_interval(df: DataFrame, value: str, by) -> DataFrame:
     """(by…, mean, lo, hi, n) over seeds with Student's 97.5 % point; nulls left out; one value is a point."""
     q = F.array(*map(F.lit, T_975))

@@ -76,9 +76,12 @@ def e_cluster_bootstrap(predictions):
     return _R(E.cluster_bootstrap(predictions, "cluster", {"h": (F.col("truth") == F.col("pred")).cast("double"), "m": F.lit(1.0)}, F.col("h") / F.col("m")), "estimate", "lo", "hi")
 
 
-@query("e_bootstrap", "predictions", sql=f"with {_DRAW.replace('cluster', 'id').replace('range(200)', 'range(50)')}, c as (select id, conf from predictions), s as (select rep, sum(w * conf) / sum(w) s from w join k on k.k = w.k join c on c.id = k.id group by 1) select (select count(*) from c) n, round((select avg(conf) from c), 6) estimate, round(quantile_cont(s, 0.025), 6) lo, round(quantile_cont(s, 0.975), 6) hi from s")
+_W = " + ".join(f"(u >= {t})::int" for t in E.POISSON)
+
+
+@query("e_bootstrap", "predictions", sql=f"with u as (select rep, conf, (('0x' || substr(md5('42:' || rep || ':' || id), 1, 8))::bigint) / 4294967296e0 u from predictions cross join range(50) r(rep)), s as (select sum(conf * ({_W})) / sum({_W}) s from u group by rep) select (select count(*) from predictions) n, round((select avg(conf) from predictions), 6) estimate, round(quantile_cont(s, 0.025), 6) lo, round(quantile_cont(s, 0.975), 6) hi from s")
 def e_bootstrap(predictions):
-    return _R(E.cluster_bootstrap(predictions, "id", {"h": F.col("conf"), "m": F.lit(1.0)}, F.col("h") / F.col("m"), reps=50).select("n", "estimate", "lo", "hi"), "estimate", "lo", "hi")
+    return _R(E.bootstrap(predictions, "id", {"h": F.col("conf"), "m": F.lit(1.0)}, F.col("h") / F.col("m"), reps=50).select("n", "estimate", "lo", "hi"), "estimate", "lo", "hi")
 
 
 @query("e_t_interval", "predictions", sql="with s as (select domain, avg(conf) m, stddev_samp(conf) sd, count(*) n from predictions group by 1) select domain, round(m, 6) mean, round(m - 1.959964e0 * sd / sqrt(n), 6) lo, round(m + 1.959964e0 * sd / sqrt(n), 6) hi, n from s")
