@@ -32,8 +32,8 @@ N, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
 #: Text bytes that a task looks at together; texts and n-grams in a chunk of a component; columns of a matrix.
 BLOCK, CHUNK, CHUNK_GRAMS, COLUMNS = 2 << 20, 384, 1 << 20, 2048
-#: Copies from which on a set is joined apart.
-HOT_COPIES = 500
+#: Rows from which on a set or a component is joined apart: those are few, and a hot one's rows stay where they are.
+HOT = 500
 
 
 def text_tie(text: Column) -> Column:
@@ -220,8 +220,11 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("leader")).filter("n > 1").select("key", "leader")
     roots = written(components(keyed.join(shared, "key").select(F.col("set").alias("a"), F.col("leader").alias("b"))), "candidates")
     size = roots.join(classes, roots["node"] == classes["set"]).select("set", "rep", "copies", "grams", "root")
-    per = size.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("grams") / CHUNK_GRAMS)).cast("long").alias("chunks"))
-    member = written(size.join(per, "root").withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "set"), "chunks")), "members")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("grams") / CHUNK_GRAMS)).cast("long")
+    # only components of several chunks, of which there are few, have to be looked up
+    large = written(size.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "large")
+    size = size.join(broadcast_if_small(large), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    member = written(size.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "set"), "chunks")), "members")
     total = member.agg(F.sum(F.col("grams") * F.col("chunks") * 8)).first()[0] or 0
     texts = member.hint("shuffle_hash").join(plain, member["rep.id"].eqNullSafe(plain["id"]) & (member["rep.tie"] == plain["tie"])).select("set", "root", "copies", "chunks", "chunk", "text")
     sets = texts.mapInArrow(_sets(n), "set binary, root binary, copies long, chunks long, chunk long, sets binary")
@@ -233,8 +236,8 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
     links = found.filter("other is null").groupBy("set").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     tied = written(components(found.filter("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b"))), "tied")
     joined = classes.select("set", "rep", "copies").join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("class"))
-    of = joined.join(least, "root").join(links, "set", "left").select("set", "copies", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    least = written(joined.groupBy("root").agg(F.min("rep").alias("class"), F.count(F.lit(1)).alias("n")), "least")
+    of = _join_apart(joined, least, "root", "n").join(links, "set", "left").select("set", "copies", "class", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     out = _with_classes(signed.select("id", "tie", "set"), written(of, "of"))
     if firsts:
         first = F.col("set").isNull() | F.col("id").eqNullSafe(F.col("class.id")) & (F.col("tie") == F.col("class.tie"))
@@ -244,9 +247,12 @@ def ngram_join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
 
 
 def _with_classes(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """Each row with what is known of its set. Sets of many copies, of which there are few, are joined apart, so that a
-    hot one's rows stay where they are; rows without a set have nothing to join."""
-    hot, rest = of.filter(F.col("copies") >= HOT_COPIES).drop("copies"), of.filter(F.col("copies") < HOT_COPIES).drop("copies")
-    hot, some = broadcast_if_small(hot), rows.filter("set is not null")
-    empty = rows.filter("set is null").select("*", *[F.lit(None).cast(of.schema[c].dataType).alias(c) for c in ("class", "n_links", "n_texts")])
-    return some.join(hot, "set").unionByName(some.join(hot.select("set"), "set", "left_anti").join(rest, "set")).unionByName(empty)
+    """Each row with what is known of its set; rows without a set have nothing to join."""
+    some = _join_apart(rows.filter("set is not null"), of, "set", "copies")
+    return some.unionByName(rows.filter("set is null").select("*", *[F.lit(None).cast(of.schema[c].dataType).alias(c) for c in ("class", "n_links", "n_texts")]))
+
+
+def _join_apart(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with side's columns by key. Keys of which side says that they have HOT rows or more are joined apart."""
+    hot, rest = broadcast_if_small(side.filter(F.col(n) >= HOT).drop(n)), side.filter(F.col(n) < HOT).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
