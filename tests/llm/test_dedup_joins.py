@@ -86,7 +86,7 @@ def test_join_matches_brute_force(spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.ngram_join(df).collect())) == want
     assert any(w[2] >= 5 for w in want)
     monkeypatch.setattr(ngram_join, "CHUNK", 2)  # a component over several chunks
-    monkeypatch.setattr(ngram_join, "HOT_COPIES", 2)  # copies joined apart
+    monkeypatch.setattr(ngram_join, "HOT", 2)  # copies joined apart
     assert Counter(map(tuple, ngram_join.ngram_join(df).collect())) == want
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
     firsts = ngram_join.ngram_join(df, firsts=True).collect()
