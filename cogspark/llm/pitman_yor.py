@@ -1,21 +1,23 @@
 """Language model scoring by a hierarchical Pitman-Yor process over words.
 
-The model has three levels of Chinese restaurants. A leaf restaurant is a context: a class of the word before,
-told by a hash of its last bytes; it has a parent that other contexts share, told by a hash of fewer of those bytes;
-all parents share the root, whose base is uniform over the vocabulary and one slot for unknown words. A word's
-customers sit at a leaf's tables; each table is a customer of the parent, each of the parent's tables one of the
-root. Discounts come from the numbers of words seen once and twice on each level.
-
-Gibbs sampling is blocked by word: given how many customers and tables the restaurants have in all (a few hundred
-numbers, summed by Spark after each sweep), the words are independent, and a sweep seats all customers of each word
-anew, one after another (those beyond the 64th of a cell in steps of at most an eighth of the seated). The first
-sweep's totals come from the least seating; the sweeps after the first are kept, and the predictive probabilities
-are averaged over them. Draws are seeded by the sweep and the range of words, so reruns on a cluster of one size agree.
-
-What is counted grows with the corpus and is never cut: blocks of documents send, for each range of word hashes, the
-words they hold, with counts for each context; a range merges these, samples, and answers each block with log
-probabilities of its own (word, context) cells. Only these packed cells are shuffled. A document is scored from its
-block's stored cell numbers. 64-bit hashes stand for words.
+The model has three levels of Chinese restaurants. A leaf restaurant is a context, the two words before; its parent is
+the word before, which all contexts that end in it share; all parents share the root, whose base is uniform over the
+vocabulary and one slot for unknown words. A word's customers sit at a leaf's tables; each table is a customer of the
+parent, each of the parent's tables one of the root. Discounts come from the numbers of words seen once and twice on
+each level. There are as many restaurants as the corpus has contexts.
+
+What is counted grows with the corpus and is never cut: blocks of documents send, for each range of hashes of the word
+before, their (context, word) cells with counts. A range merges these and holds all restaurants of its words before,
+leaves and parents, with all their customers; the root lies in slices by word. A Gibbs sweep seats the customers of a
+range anew given the root's counts of its words, one after another (those beyond the 64th of a cell in steps of at most
+an eighth of the seated) and each cell given the other cells' tables of the pass before; it sends the parents' tables by
+word to the root's slices, which merge and seat them and answer each range. Tables are kept from sweep to sweep. The
+first seating is the least one; the sweeps after the first are kept, and each one's predictive probabilities, which use
+that sweep's own tables and totals on every level, are averaged. Draws are seeded by the sweep and the range, so reruns
+on a cluster of one size agree.
+
+A range answers each block with log probabilities of its own cells; only packed cells are shuffled. A document is scored
+from its block's stored cell numbers. 64-bit hashes stand for words.
 
 Defined cases: a null or empty text has one token, its end; without training documents all probabilities are the
 base's; repeated rows are scored alike and count as often as they are there; a null id is trained on; an empty table
@@ -34,17 +36,19 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, blocks, bucketed, fold, mix, parts_for, release, text_bytes, tidy, words, written
 
-#: Restaurants: parents, and leaves for each parent. The word's last bytes that tell the parent and the leaf.
-PARENTS, LEAVES, SHORT, LONG = 16, 16, 2, 4
+#: Leaves for each parent, and parents, where a caller of sample_words names no parents.
+PARENTS, LEAVES = 16, 16
 SWEEPS, STRENGTH, ONE_BY_ONE = 3, (1.0, 1.0, 1.0), 64
-#: Text bytes of a block and of what is tokenised at once; text bytes whose words share a range of hashes.
+#: Text bytes of a block and of what is tokenised at once; text bytes whose cells share a range of hashes.
 BLOCK, PIECE, RANGE = 6 << 20, 1 << 20, 16 << 20
 END = np.uint64(0x656E64)
-START_CLASS = 0
+#: Stands for what is before a text; no word and no end has this hash.
+START = np.uint64(0)
+_LOW = np.int64(0xFFFFFFFF)
 
 
 def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token (the end is the last one of each text), class of what is before it, tokens of each text."""
+    """Hash of each token (the end is the last one of each text), hash of the word before it, tokens of each text."""
     body, offsets = text_bytes(texts)
     n = len(offsets) - 1
     body, start, end, of = words(body, offsets)
@@ -53,26 +57,27 @@ def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, n
     at = np.arange(len(start)) + of  # an end after each text before
     word = np.full(len(start) + n, END, np.uint64)
     word[at] = spans.of(start, end) | np.uint64(1 << 63)  # the end has no such hash
-    parent = spans.of(np.maximum(start, end - SHORT), end) % np.uint64(PARENTS)
-    leaf = spans.of(np.maximum(start, end - LONG), end) % np.uint64(LEAVES)
-    own = np.zeros(len(word), np.uint8)
-    own[at] = (parent * np.uint64(LEAVES) + leaf).astype(np.uint8)
-    before = np.zeros(len(word), np.uint8)
-    before[1:] = own[:-1]
+    before = np.zeros(len(word), np.uint64)
+    before[1:] = word[:-1]
     first = np.r_[0, np.cumsum(count)[:-1]].astype(np.int64)
-    before[first[first < len(word)]] = START_CLASS
+    before[first[first < len(word)]] = START
     return word, before, count
 
 
 def _count_block(table: pa.Table) -> tuple:
-    """Words, cells and counts of a block, and for each token the number of its cell."""
+    """Words; word before, word before that, word and count of each cell of a block; for each token the number of its cell."""
     parts = [tokens(t.column("text")) for t in blocks(iter(table.to_batches()), "text", PIECE)]
     word, before, count = (np.concatenate(x) for x in zip(*parts))
     held = np.repeat(np.array(table.column("held_out").to_pylist(), bool), count)
-    names, of = np.unique(word, return_inverse=True)
-    cells, cell = np.unique(of.astype(np.int64) << 8 | before, return_inverse=True)
+    names, of = np.unique(np.r_[START, word], return_inverse=True)  # the start is the first of them
+    of = of[1:].astype(np.int64)
+    one = np.where(before == START, 0, np.r_[0, of[:-1]])
+    two = np.where(before == START, 0, np.r_[0, one[:-1]])
+    pairs, pair = np.unique(one << 32 | two, return_inverse=True)
+    cells, cell = np.unique(pair.astype(np.int64) << 32 | of, return_inverse=True)
     seen = np.bincount(cell[~held], minlength=len(cells)).astype(np.uint32)
-    return names, (cells >> 8).astype(np.int64), (cells & 255).astype(np.uint8), seen, cell.astype(np.uint32), count.astype(np.int64)
+    pair = pairs[cells >> 32]
+    return names, pair >> 32, pair & _LOW, cells & _LOW, seen, cell, count.astype(np.int64)
 
 
 def _arrays(*x: np.ndarray) -> bytes:
@@ -89,32 +94,32 @@ def _unpack(data: bytes, size: int, *kinds) -> list[np.ndarray]:
     return out
 
 
+def range_of(names: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that holds the restaurants of each word before."""
+    return ((names >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+
+
 def _count(ranges: int):
-    """Blocks to their rows: range -1 has the documents and their cells, the others the words of a range."""
+    """Blocks to their rows: range -1 has the documents and their cells, the others the cells of a range."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, table in enumerate(blocks(batches, "text", BLOCK)):
-            names, of, context, seen, cell, count = _count_block(table)
-            # words in hash order: a range is a slice of them
-            where = ((names >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            by = np.argsort(rank[of], kind="stable")  # cells in the order of the ranges
+            names, one, two, of, seen, cell, count = _count_block(table)
+            where = range_of(names, ranges)[one]
+            by = np.argsort(where, kind="stable")  # cells in the order of the ranges
             new = np.empty(len(by), np.uint32)
             new[by] = np.arange(len(by), dtype=np.uint32)
             ids = np.array([0 if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
             null = np.array([x is None for x in table.column("doc_id").to_pylist()], np.uint8)
             held = np.array(table.column("held_out").to_pylist(), np.uint8)
             rows = [(part << 31 | k, -1, (ids, null, held, count, new[cell]))]
-            sorted_of, w_rank = rank[of][by], where[order]
-            edge_w = np.searchsorted(w_rank, np.arange(ranges + 1))
-            edge_c = np.searchsorted(sorted_of, edge_w)
-            for r in np.flatnonzero(edge_w[1:] > edge_w[:-1]):
-                lo, hi, a, b = edge_w[r], edge_w[r + 1], edge_c[r], edge_c[r + 1]
-                rows.append((part << 31 | k, int(r), (names[order[lo:hi]], (sorted_of[a:b] - lo).astype(np.uint32), context[by[a:b]], seen[by[a:b]])))
+            edge = np.searchsorted(where[by], np.arange(ranges + 1))
+            for r in np.flatnonzero(edge[1:] > edge[:-1]):
+                own = by[edge[r] : edge[r + 1]]
+                used, at = np.unique(np.r_[one[own], two[own], of[own]], return_inverse=True)
+                rows.append((part << 31 | k, int(r), (names[used], *at.astype(np.uint32).reshape(3, -1), seen[own])))
             out = []
             for block, r, x in rows:
                 out.append((block, r, sum(8 + a.nbytes for a in x), _arrays(*x)))
@@ -134,23 +139,42 @@ def _rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["block", "range", "size", "payload"])
 
 
-def _merge(pdf):
-    """A range: one row with its words' cells, and which of them each block asks for."""
-    import pandas as pd
+def _merge(slices: int):
+    """A range: one row with its cells, words in the order of the root's slices, and which cells each block asks for."""
+
+    def run(pdf):
+        import pandas as pd
+
+        asked = [_unpack(p, s, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
+        names, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        start = np.r_[0, np.cumsum([len(a[0]) for a in asked])]
+        one, two, of = (np.concatenate([inverse[s : s + len(a[0])][a[i]] for s, a in zip(start, asked)]).astype(np.int64) for i in (1, 2, 3))
+        pairs, pair = np.unique(one << 32 | two, return_inverse=True)
+        key = pair.astype(np.int64) << 32 | of
+        del one, two, of, pair, inverse
+        cells, at = np.unique(key, return_inverse=True)
+        seen = np.bincount(at, np.concatenate([a[4] for a in asked]).astype(float), minlength=len(cells)).astype(np.uint32)
+        sizes = np.array([len(a[1]) for a in asked], np.int64)
+        held, of = np.unique(cells & _LOW, return_inverse=True)
+        order = np.argsort(slice_of(names[held], slices), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        above = np.unique(pairs >> 32, return_inverse=True)[1]
+        x = (names[held[order]], rank[of], (cells >> 32).astype(np.uint32), seen, above.astype(np.uint32), pdf["block"].to_numpy(np.int64), sizes, at.astype(np.uint32))
+        out = pd.DataFrame({"block": [0], "range": pdf["range"].iloc[:1].to_numpy(), "size": [sum(8 + a.nbytes for a in x)], "payload": [_arrays(*x)]})
+        del asked, key, cells, at, x
+        release()
+        return out
+
+    return run
 
-    asked = [_unpack(p, s, np.uint64, np.uint32, np.uint8, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
-    names, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    start = np.r_[0, np.cumsum([len(a[0]) for a in asked])]
-    key = np.concatenate([inverse[s : s + len(a[0])][a[1]] << 8 | a[2] for s, a in zip(start, asked)])
-    cells, at = np.unique(key, return_inverse=True)
-    seen = np.bincount(at, np.concatenate([a[3] for a in asked]).astype(float), minlength=len(cells)).astype(np.uint32)
-    sizes = np.array([len(a[1]) for a in asked], np.int64)
-    x = (names, (cells >> 8).astype(np.uint32), (cells & 255).astype(np.uint8), seen, pdf["block"].to_numpy(np.int64), sizes, at.astype(np.uint32))
-    release()
-    return pd.DataFrame({"block": [0], "range": pdf["range"].iloc[:1].to_numpy(), "size": [sum(8 + a.nbytes for a in x)], "payload": [_arrays(*x)]})
 
+def slice_of(names: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of the root that holds each word."""
+    return ((names >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
 
-_MERGED = (np.uint64, np.uint32, np.uint8, np.uint32, np.int64, np.int64, np.uint32)
+
+_MERGED = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32)
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, tables_else: np.ndarray, discount: float, strength: float) -> np.ndarray:
@@ -188,35 +212,45 @@ class Totals:
         return np.where(customers > 0, np.maximum(customers - self.discount[level] * tables, 0.0) / (STRENGTH[level] + np.maximum(c, 1)), 0.0)
 
 
-def _levels(of: np.ndarray, context: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _levels(of: np.ndarray, context: np.ndarray, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parents' cells: word and parent of each, and the parent's cell of each leaf's cell."""
-    key, up = np.unique(of.astype(np.int64) * PARENTS + context // LEAVES, return_inverse=True)
-    return key // PARENTS, key % PARENTS, up
+    parent = context // LEAVES if above is None else above[context]
+    n = int(parent.max()) + 1 if len(parent) else 1
+    key, up = np.unique(of.astype(np.int64) * n + parent, return_inverse=True)
+    return key // n, key % n, up
+
+
+def totals_of(state: tuple, context, root: tuple[int, int], discount, n_words: int) -> Totals:
+    """The totals of all restaurants that a state holds whole, with the root's customers and tables."""
+    c0, t0, c1, t1, _, _, _, parent, _ = state
+    return Totals([np.bincount(context, c0), np.bincount(parent, c1), np.array([root[0]])], [np.bincount(context, t0), np.bincount(parent, t1), np.array([root[1]])], discount, n_words)
 
 
-def sample_words(names, of, context, seen, totals: Totals | None, sweep: int) -> tuple:
-    """One sweep over the words of a range: (tables of the leaves' cells, of the parents', of the root, parents' cells)."""
+def sample_words(names, of, context, seen, totals: Totals | None, sweep: int, above=None, last: tuple | None = None) -> tuple:
+    """One sweep over cells: (customers and tables of the leaves' cells, of the parents', of the root, parents' cells).
+
+    above: the parent of each context; last: tables of the leaves' cells and of the parents', and the root's customers
+    and tables of each word, as they are. totals: the root's totals, the discounts and the number of words. Sweep 0 is
+    the least seating, for which neither is read. The root's tables are not seated here.
+    """
     n = len(names)
-    word, parent, up = _levels(of, context, n)
+    word, parent, up = _levels(of, context, above)
     c0 = seen.astype(np.int64)
-    t0 = (c0 > 0).astype(np.int64)
+    t0 = (c0 > 0).astype(np.int64) if last is None else last[0].astype(np.int64)
     rng = np.random.default_rng([sweep, int(names[0] & np.uint64(0xFFFFFFFF)) if n else 0, n])
     c1 = np.bincount(up, t0, minlength=len(word)).astype(np.int64)
-    t1 = (c1 > 0).astype(np.int64)
-    c2 = np.bincount(word, t1, minlength=n).astype(np.int64)
-    t2 = (c2 > 0).astype(np.int64)
+    t1 = (c1 > 0).astype(np.int64) if last is None else last[1].astype(np.int64)
+    c2 = np.bincount(word, t1, minlength=n).astype(np.int64) if last is None else last[2].astype(np.int64)
+    t2 = (c2 > 0).astype(np.int64) if last is None else last[3].astype(np.int64)
     if sweep == 0:
         return c0, t0, c1, t1, c2, t2, word, parent, up
-    base = 1.0 / (totals.n_words + 1)
-    mass1, mass2 = totals.mass(1), totals.mass(2)
+    root = totals.own(2, c2, t2, np.zeros(n, int)) + totals.mass(2)[0] / (totals.n_words + 1)
     for _ in range(2):
-        root = totals.own(2, c2, t2, np.zeros(n, int)) + mass2[0] * base
-        mid = totals.own(1, c1, t1, parent) + mass1[parent] * root[word]
-        t0 = seat(rng, c0, mid[up], np.maximum(totals.tables[0][context] - t0, 0), totals.discount[0], STRENGTH[0])
+        now = totals_of((c0, t0, c1, t1, c2, t2, word, parent, up), context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
+        mid = now.own(1, c1, t1, parent) + now.mass(1)[parent] * root[word]
+        t0 = seat(rng, c0, mid[up], now.tables[0][context] - t0, now.discount[0], STRENGTH[0])
         c1 = np.bincount(up, t0, minlength=len(word)).astype(np.int64)
-        t1 = seat(rng, c1, root[word], np.maximum(totals.tables[1][parent] - t1, 0), totals.discount[1], STRENGTH[1])
-        c2 = np.bincount(word, t1, minlength=n).astype(np.int64)
-        t2 = seat(rng, c2, np.full(n, base), np.maximum(totals.tables[2][0] - t2, 0), totals.discount[2], STRENGTH[2])
+        t1 = seat(rng, c1, root[word], now.tables[1][parent] - t1, now.discount[1], STRENGTH[1])
     return c0, t0, c1, t1, c2, t2, word, parent, up
 
 
@@ -228,37 +262,88 @@ def predictive(state: tuple, context, totals: Totals) -> np.ndarray:
     return totals.own(0, c0, t0, context) + totals.mass(0)[context] * mid[up]
 
 
-def _sweep(totals: Totals | None, sweep: int):
-    """Sums over the words of a range: level, restaurant, customers, tables; level 3 has cells with one and two customers."""
+_SENT = "sweep long, range long, slice long, size long, payload binary"
+_STATE, _STATS = -1, -2
+
+
+def _sent(sweep: int, rows: list) -> list:
+    """(range, slice, arrays) as rows of _SENT."""
+    return [(sweep, r, v, sum(8 + a.nbytes for a in x), _arrays(*x)) for r, v, x in rows]
+
+
+def _last(got: list, sweep: int) -> tuple:
+    """What a sweep left for a range: tables of the leaves' cells and of the parents'; the root's customers, tables and counts of each word."""
+    got = [g for g in got if g["sweep"] == sweep]
+    state = next(_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in got if g["slice"] == _STATE)
+    root = [_unpack(g["payload"], g["size"], np.uint32, np.uint32, np.uint32) for g in sorted(got, key=lambda g: g["slice"]) if g["slice"] >= 0]
+    return (*state, *(np.concatenate([x[i] for x in root]) for i in range(3)))
+
+
+def _sweep(slices: int, sweep: int, totals: Totals | None):
+    """Seats a range's customers: its state, what it asks of each slice of the root, cells with one and two customers and all customers."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, data in zip(batch.column("size").to_pylist(), batch.column("payload").to_pylist()):
-                names, of, context, seen, *_ = _unpack(data, size, *_MERGED)
-                c0, t0, c1, t1, c2, t2, word, parent, up = sample_words(names, of, context, seen, totals, sweep)
-                rows = []
-                for level, at, c, t, m in ((0, context, c0, t0, PARENTS * LEAVES), (1, parent, c1, t1, PARENTS), (2, np.zeros(len(c2), int), c2, t2, 1)):
-                    rows += [(level, i, int(x), int(y)) for i, (x, y) in enumerate(zip(np.bincount(at, c, minlength=m), np.bincount(at, t, minlength=m)))]
-                    rows.append((3, level, int((c == 1).sum()), int((c == 2).sum())))
-                rows.append((4, 0, int((c2 > 0).sum()), 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["level", "at", "customers", "tables"])
+            for row in batch.to_pylist():
+                names, of, context, seen, above, *_ = _unpack(row["payload"], row["size"], *_MERGED)
+                last = _last(row["got"], sweep - 1) if sweep else None
+                c0, t0, c1, t1, _, _, word, _, _ = sample_words(names, of, context, seen, totals, sweep, above, last)
+                up = np.bincount(word, t1, minlength=len(names)).astype(np.uint32)
+                count = np.bincount(of, seen.astype(float), minlength=len(names)).astype(np.uint32)
+                stats = np.array([(c0 == 1).sum(), (c0 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), c0.sum()], np.int64)
+                out = [(row["range"], _STATE, (t0.astype(np.uint32), t1.astype(np.uint32))), (row["range"], _STATS, (stats,))]
+                edge = np.searchsorted(slice_of(names, slices), np.arange(slices + 1))
+                out += [(row["range"], int(v), (names[a:b], up[a:b], count[a:b])) for v, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+                yield from _packed(_sent(sweep, out))
 
     return run
 
 
-def _totals(ranges: DataFrame, totals: Totals | None, sweep: int) -> Totals:
-    got = ranges.mapInArrow(_sweep(totals, sweep), "level long, at long, customers long, tables long").groupBy("level", "at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
-    c, t, d = [np.zeros(PARENTS * LEAVES), np.zeros(PARENTS), np.zeros(1)], [np.zeros(PARENTS * LEAVES), np.zeros(PARENTS), np.zeros(1)], [0.5] * 3
-    n_words = 0
-    for r in got:
-        if r["level"] < 3:
-            c[r["level"]][r["at"]], t[r["level"]][r["at"]] = r["customers"], r["tables"]
-        elif r["level"] == 3:
-            d[r["at"]] = min(0.95, max(0.05, r["customers"] / max(1, r["customers"] + 2 * r["tables"])))
-        else:
-            n_words = r["customers"]
-    return Totals(c, t, tuple(d) if totals is None else totals.discount, n_words)
+def _packed(rows: list) -> Iterator[pa.RecordBatch]:
+    kinds = [(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _SENT.split(", ")]
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows[i : i + 64]), kinds)], [c for c, _ in kinds])
+
+
+def _root(sweep: int, totals: Totals | None):
+    """A slice of the root: seats what the ranges send, answers each range, and sums customers, tables and words."""
+
+    def run(pdf):
+        import pandas as pd
+
+        asked = [_unpack(p, s, np.uint64, np.uint32, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
+        names, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        c, count = (np.bincount(at, np.concatenate([a[i] for a in asked]).astype(float), minlength=len(names)).astype(np.int64) for i in (1, 2))
+        t = (c > 0).astype(np.int64)
+        if sweep:
+            rng = np.random.default_rng([sweep, int(names[0] & np.uint64(0xFFFFFFFF)), len(names)])
+            t = seat(rng, c, np.full(len(c), 1 / (totals.n_words + 1)), np.maximum(totals.tables[2][0] - t, 0), totals.discount[2], STRENGTH[2])
+        v, out, lo = int(pdf["slice"].iloc[0]), [], 0
+        for r, a in zip(pdf["range"].tolist(), asked):
+            own = at[lo : lo + len(a[0])]
+            out.append((r, v, tuple(x[own].astype(np.uint32) for x in (c, t, count))))
+            lo += len(own)
+        out.append((-1, _STATS, (np.array([(c == 1).sum(), (c == 2).sum(), c.sum(), t.sum(), (c > 0).sum()], np.int64),)))
+        release()
+        return pd.DataFrame(_sent(sweep, out), columns=[c.split()[0] for c in _SENT.split(", ")])
+
+    return run
+
+
+def _stats(sent: DataFrame) -> np.ndarray:
+    """A handful of numbers of each range or slice, summed."""
+    return sum((_unpack(r["payload"], r["size"], np.int64)[0] for r in sent.filter(F.col("slice") == _STATS).toLocalIterator()), np.zeros(5, np.int64))
+
+
+def _with(merged: DataFrame, sent: list[DataFrame], files: int) -> DataFrame:
+    """The ranges, each with what sweeps left for it."""
+    rows = sent[0]
+    for s in sent[1:]:
+        rows = rows.unionByName(s)
+    # dealt as the bucketed table is, so that grouping and joining share one shuffle
+    got = rows.repartition(files, "range").groupBy("range").agg(F.collect_list(F.struct("sweep", "slice", "size", "payload")).alias("got"))
+    return merged.select("range", "size", "payload").join(got.hint("shuffle_hash"), "range", "left")
 
 
 def _answer(kept: list[tuple[int, Totals]]):
@@ -267,14 +352,19 @@ def _answer(kept: list[tuple[int, Totals]]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, size, data in zip(*(batch.column(c).to_pylist() for c in ("range", "size", "payload"))):
-                names, of, context, seen, block, sizes, at = _unpack(data, size, *_MERGED)
-                p = sum(predictive(sample_words(names, of, context, seen, totals, sweep), context, totals) for sweep, totals in kept) / len(kept)
-                log, count = np.log10(p).astype(np.float32), np.bincount(of, seen.astype(float), minlength=len(names))[of].astype(np.uint32)
+            for row in batch.to_pylist():
+                names, of, context, seen, above, block, sizes, at = _unpack(row["payload"], row["size"], *_MERGED)
+                p = 0
+                for sweep, totals in kept:
+                    *last, count = _last(row["got"], sweep)
+                    state = sample_words(names, of, context, seen, None, 0, above, last)
+                    own = totals_of(state, context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
+                    p = p + predictive(state, context, own) / len(kept)
+                log, count = np.log10(p).astype(np.float32), count[of]
                 rows, lo = [], 0
                 for b, n in zip(block.tolist(), sizes.tolist()):
                     x = (log[at[lo : lo + n]], count[at[lo : lo + n]])
-                    rows.append((b, r, sum(8 + a.nbytes for a in x), _arrays(*x)))
+                    rows.append((b, row["range"], sum(8 + a.nbytes for a in x), _arrays(*x)))
                     lo += n
                 for i in range(0, len(rows), 64):
                     yield _rows(rows[i : i + 64])
@@ -313,18 +403,24 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
     ranges = parts_for(spark, size, RANGE)
     files = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = bucketed(rows.mapInArrow(_count(ranges), _ASKED), "cells", "block", files)
-    merged = written(counted.filter("range >= 0").groupBy("range").applyInPandas(_merge, _ASKED), "ranges")
-    totals = _totals(merged, None, 0)
-    n_tokens, n_words = int(totals.customers[0].sum()), int(totals.n_words)
-    kept = []
-    for sweep in range(1, sweeps + 1):
-        if n_tokens:
-            kept.append((sweep, totals))
-            if sweep < sweeps:
-                totals = _totals(merged, totals, sweep)
-    kept = kept[1:] or kept or [(0, totals)]
-    # dealt as the bucketed table is, so that grouping and joining share one shuffle
-    answers = merged.mapInArrow(_answer(kept), _ASKED).repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("range", "size", "payload")).alias("answers"))
+    slices = max(1, ranges // 4)
+    merged = bucketed(counted.filter("range >= 0").groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
+    totals, kept, sent, discount = None, [], [], (0.5, 0.5, 0.5)
+    n_tokens = n_words = 0
+    for sweep in range(sweeps + 1):
+        state = written((_with(merged, sent, files) if sweep else merged).mapInArrow(_sweep(slices, sweep, totals), _SENT), "state")
+        root = written(state.filter("slice >= 0").groupBy("slice").applyInPandas(_root(sweep, totals), _SENT), "root")
+        below, top = _stats(state), _stats(root)
+        if not sweep:
+            n_tokens, n_words = int(below[4]), int(top[4])
+            discount = tuple(min(0.95, max(0.05, float(a) / max(1.0, float(a + 2 * b)))) for a, b in (below[:2], below[2:4], top[:2]))
+        totals = Totals([None, None, np.array([top[2]])], [None, None, np.array([top[3]])], discount, n_words)
+        sent = [state.filter(F.col("slice") == _STATE), root.filter("range >= 0")]
+        kept.append((sweep, totals, sent))
+        if not n_tokens:
+            break
+    kept = kept[2:] or kept[-1:]
+    answers = _with(merged, [x for k in kept for x in k[2]], files).mapInArrow(_answer([k[:2] for k in kept]), _ASKED).repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("range", "size", "payload")).alias("answers"))
     own = counted.filter("range = -1").select("block", "size", "payload")
     return own.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(_score(n_tokens, n_words), _SCORED)
 

@@ -177,3 +177,35 @@ def test_seating():
 def test_words_of_odd_texts():
     word, before, count = pitman_yor.tokens(pa.array(["Ab  ab\n", None, "", "\t", "é"]))
     assert count.tolist() == [3, 1, 1, 1, 2] and word[0] == word[1] and word[2] == word[3] == pitman_yor.END and before[0] == before[3] == 0
+
+
+def test_contexts_are_the_two_words_before(spark):
+    """Words before that end alike are told apart, and so are the words before those."""
+    train = [i for i in range(600) if not held(i, 5, 1)]
+    asked = [i for i in range(600) if held(i, 5, 1)][:4]
+    kinds = ["1same last one", "2same last two", "a first1same three", "a first2same four"]
+    rows = [(i, kinds[k % 4]) for k, i in enumerate(train)]
+    rows += list(zip(asked, ["1same last one", "1same last two", "a first1same three", "a first1same four"]))
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.language_model(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[asked[0]] > got[asked[1]] + 1 and got[asked[2]] > got[asked[3]] + 1
+
+
+def test_probabilities_sum_to_one_after_a_sweep():
+    """With contexts of their own parents, by the sweep's own tables and totals."""
+    rng = np.random.default_rng(8)
+    words_, above = 40, rng.integers(0, 9, 50)
+    above = np.unique(above, return_inverse=True)[1]
+    of, context = (x.ravel() for x in np.meshgrid(np.arange(words_), np.arange(50), indexing="ij"))
+    seen = rng.poisson(1.5, len(of)).astype(np.uint32)
+    names = np.arange(words_, dtype=np.uint64)
+    state = pitman_yor.sample_words(names, of, context, seen, None, 0, above)
+    for sweep in (1, 2):
+        root = (int(state[4].sum()), int(state[5].sum()))
+        totals = pitman_yor.totals_of(state, context, root, (0.5, 0.6, 0.7), int((state[4] > 0).sum()))
+        state = pitman_yor.sample_words(names, of, context, seen, totals, sweep, above, (state[1], state[3], state[4], state[5]))
+        c2 = np.bincount(state[6], state[3], minlength=words_).astype(int)
+        state = (*state[:4], c2, np.minimum(c2, 2), *state[6:])
+    own = pitman_yor.totals_of(state, context, (c2.sum(), np.minimum(c2, 2).sum()), (0.5, 0.6, 0.7), words_)
+    p = pitman_yor.predictive(state, context, own).reshape(words_, 50).sum(0)
+    assert all(c2 > 0) and np.allclose(p + own.mass(2)[0] / (words_ + 1) * own.mass(1)[above] * own.mass(0), 1, atol=1e-9)
+    assert (state[1] <= seen).all() and (state[1][seen > 0] >= 1).all()
