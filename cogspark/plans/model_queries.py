@@ -12,11 +12,12 @@ from ..operators.shared import written
 from .registry import query
 
 _R = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
-_X = [f"x{i}" for i in range(6)]
+#: All components of an embedding; m6_novelty_space reads as many as its SQL.
+_X = [f"x{i}" for i in range(64)]
 
 
 def _wide(embeddings):
-    return embeddings.select("vec_id", F.concat(F.lit("c"), "label").alias("label"), *[F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(6)], (F.col("vec_id") % 4).alias("fold"))
+    return embeddings.select("vec_id", F.concat(F.lit("c"), "label").alias("label"), *[F.get("embedding", i).cast("double").alias(x) for i, x in enumerate(_X)], (F.col("vec_id") % 4).alias("fold"))
 
 
 @query("m1_majority", "corpus", sql="select max_by(label, (n, label)) label from (select label, count(*) n from corpus group by 1)")
@@ -40,7 +41,7 @@ def m4_trees_out_of_fold(embeddings):
 
 @query("m6_novelty_space", "embeddings", sql="with u as (" + " union all ".join(f"select 'x{i}' feature, embedding[{i + 1}]::double x from embeddings" for i in range(6)) + ") select feature, round(median(x), 6) median, round(avg(x), 6) mean, round(stddev_pop(x), 6) sd from u group by 1 having stddev_pop(x) > 0")
 def m6_novelty_space(embeddings):
-    return _R(M.fit_novelty(_wide(embeddings), _X, "vec_id")[0], "median", "mean", "sd")
+    return _R(M.fit_novelty(_wide(embeddings), _X[:6], "vec_id")[0], "median", "mean", "sd")
 
 
 @query("j_knn", "embeddings", sql="with p as (select a.vec_id id, b.vec_id ref_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) ** 2))), 9) d from embeddings a join embeddings b on a.vec_id <> b.vec_id) select id vec_id, ref_id, round(d, 6) dist, row_number() over (partition by id order by d, ref_id)::int \"rank\" from p qualify row_number() over (partition by id order by d, ref_id) <= 5")

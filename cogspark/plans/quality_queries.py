@@ -79,8 +79,9 @@ def q7_health(lineitem):
 @query("q10_outliers", "embeddings")
 def q10_outliers(embeddings):
     """No SQL: random trees. The tests plant an outlier."""
-    rows = embeddings.select("vec_id", *[F.get("embedding", i).alias(f"x{i}") for i in range(8)])
-    return Q.outlier_trees(rows, "vec_id", [f"x{i}" for i in range(8)]).withColumn("score", F.round("score", 6))
+    features = [f"x{i}" for i in range(64)]
+    rows = embeddings.select("vec_id", *[F.get("embedding", i).alias(x) for i, x in enumerate(features)])
+    return Q.outlier_trees(rows, "vec_id", features).withColumn("score", F.round("score", 6))
 
 
 @query("q11_events", "events", sql="with d as (select distinct user_id id, user_id % 5 c, event_type t from events), n as (select c, count(distinct id) n from d group by 1), e as (select c, t, count(*) k from d group by 1, 2) select 'Q11' rule_id, case when k / n >= 0.5 then 'FAIL' else 'PASS' end status, c || ':' || t \"key\", round(k / n, 6) \"value\" from e join n using (c)")

@@ -217,3 +217,26 @@ def test_sources(spark, tmp_path):
         sources.read_matrix(spark, str(tmp_path / "card"), ["a"])
     same = sources.table_fingerprint(df.repartition(3))
     assert one(same) == one(sources.table_fingerprint(df)) != one(sources.table_fingerprint(df.limit(1)))
+
+
+def test_embedding_queries_use_all_components(spark, monkeypatch):
+    """What only late components tell: the labels, the spread and an outlier."""
+    from cogspark.plans import model_queries, quality_queries
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        label = rng.randint(0, 1)
+        late = [9.0 if i == 77 else label + rng.random() * 0.1 for _ in range(56)]
+        rows.append((i, label, [rng.random() for _ in range(8)] + late))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    own = model_queries.m4_trees_out_of_fold(df).join(df.select("vec_id", F.concat(F.lit("c"), "label").alias("label")), ["vec_id", "label"])
+    assert own.agg(F.avg("p")).first()[0] > 0.6
+    far = model_queries.q9_projection(df).withColumn("r", F.col("pc1") ** 2 + F.col("pc2") ** 2)
+    assert far.orderBy(F.desc("r")).first()["vec_id"] == 77
+    assert quality_queries.q10_outliers(df).orderBy(F.desc("score")).first()[0] in (77, "77")
+    asked = []
+    monkeypatch.setattr(M, "adversarial_auc", lambda rows, features, *a: asked.append(features) or rows.select(F.lit(1.0).alias("auroc")))
+    model_queries.q8_shift(df)
+    assert asked == [[f"x{i}" for i in range(64)]]
