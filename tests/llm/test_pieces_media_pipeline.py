@@ -3,6 +3,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,18 +44,24 @@ def test_pieces_match_full_viterbi():
         t = t[:4000]
         marked = pieces.MARK + t.replace(" ", pieces.MARK)
         want = brute_viterbi(v, marked)
-        assert pieces.encode_text(v, t, {}) == want
-        assert [i for x in pieces.viterbi(v, marked) for i in x] == want
+        assert pieces.encode_text(v, t) == want
+        assert pieces.encode_text(v, t, window=3 * v.longest) == want
         assert pieces.decode_ids(v, want) == t.replace("▁", " ")
-    assert pieces.encode_text(v, "", {}) == [] and pieces.decode_ids(v, [-5, 10**6]) == ""
+    together, at = pieces.encode_texts(v, [None, *texts, ""])
+    assert [together[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [[], *(pieces.encode_text(v, t) for t in texts), []]
+    assert pieces.encode_text(v, "") == [] and pieces.decode_ids(v, [-5, 10**6]) == ""
 
 
 @needs_model
 def test_streaming_commits_early():
     v = pieces.Vocabulary(open(pieces.MODEL, "rb").read())
-    stream = pieces.viterbi(v, (pieces.MARK + "window") * 5000)
-    first = next(stream)  # long before the end of the text
-    assert first and sum(len(x) for x in stream) > 4999
+    points = np.array([ord(x) for x in (pieces.MARK + "window") * 5000])
+    stream = pieces.viterbi(v, v.numbers(points), window=100)
+    end, ids = next(stream)  # long before the end of the text
+    assert 0 < len(ids) <= 100 and end[-1] <= 100 and len(ids) + sum(len(x) for _, x in stream) > 4999
+    # paths over an even and an odd number of letters never meet: the window is widened up to the end
+    ends = [e for e, _ in pieces.viterbi(v, v.numbers(np.full(1000, ord("a"))), window=20)]
+    assert len(ends) == 1 and ends[0][-1] == 1000
 
 
 @needs_model
