@@ -94,7 +94,7 @@ select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/')
     "op2_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score from (select distinct vec_id, v from v where vec_id % 100 = 0) q join v c on q.vec_id <> c.vec_id)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int "rank", vec_id, score from s
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""",
     "op10_ngram_jaccard": r"""

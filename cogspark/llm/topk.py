@@ -1,21 +1,21 @@
 """Exact top-k search by inner product over integer vectors: columnar branch-and-bound.
 
-Queries come in blocks of a bounded number, each broadcast to a pass over all rows. A task holds its rows in
-vertical layout (a row for each dimension) and adds up the products dimension block by block. After each block a
-query keeps only the candidates whose sum so far, plus the most that the remaining dimensions can add (the product
-of the remaining lengths, by Cauchy-Schwarz), reaches the query's k-th best full score so far. Each task hands on k
-rows a query; a window picks the best of those.
+Spark deals the work in tiles: blocks of queries by groups of rows, both of bounded expected size, meet in a shuffle;
+nothing goes through the driver. A task holds a tile's queries, streams its rows through a vertical layout (a row for
+each dimension) and adds up the products dimension block by block. After each block a query keeps only the candidates
+whose sum so far, plus the most that the remaining dimensions can add (the product of the remaining lengths, by
+Cauchy-Schwarz), reaches the query's k-th best full score so far. Each tile hands on k rows a query; a window picks the
+best of those. Groups are salted by the partition a row comes from, so that repeated rows are spread.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
-ending in zeros; ties go to the smaller id; rows with the query's own id are no candidates; repeated rows with
-equal id and vector count once; rows without an id take no part; scores beyond a long are cut to its range; an empty
+ending in zeros; ties go to the smaller id; rows with the query's own id are no candidates; of repeated rows each is a
+candidate, but all are one query; rows without an id take no part; scores beyond a long are cut to its range; an empty
 table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 SCHEMA = "query_id long, vec_id long, score long"
-#: Queries in a block, candidates that are searched at once, dimensions in a block.
-QUERY_BLOCK, ROWS, DIMS = 2048, 16384, 16
+#: Queries and rows of a tile (about, as a hash deals them), candidates that are searched at once, dimensions in a block.
+QUERY_BLOCK, GROUP, ROWS, DIMS = 2048, 1 << 18, 16384, 16
 #: Whole numbers that doubles add up exactly.
 _EXACT = float(1 << 53)
 
@@ -122,48 +122,70 @@ def _search_large(q, q_ids, c, c_ids, k, best) -> None:
         best[i] = (np.array([x[0] for x in every], object), np.array([x[1] for x in every], np.int64))
 
 
-def _pass(queries: tuple[np.ndarray, np.ndarray], k: int, scale: float):
+def _tiles(k: int, scale: float):
+    """Rows (tile, is_row, id, vector), each tile's queries before its rows, to the best k of each query and tile."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, q_ids = queries
-        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
-        held: list = []
+        now, queries, held = None, [], []
+        best: list = []
+
+        def stack(parts):
+            d = max((x.shape[1] for x, _ in parts), default=0)
+            return np.concatenate([np.zeros((0, d)), *(_wide(x, d) for x, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(y for _, y in parts)])
 
         def flush():
+            q, q_ids = queries[0] if len(queries) == 1 else stack(queries)
+            queries[:] = [(q, q_ids)]
+            if len(best) < len(q_ids):
+                best.extend((np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(q_ids) - len(best)))
             if held:
-                d = max(x.shape[1] for x, _ in held)
-                search_block(q, q_ids, np.concatenate([_wide(x, d) for x, _ in held]), np.concatenate([y for _, y in held]), k, best)
+                search_block(q, q_ids, *stack(held), k, best)
                 held.clear()
 
+        def close():
+            flush()
+            q_ids = queries[0][1]
+            for lo in range(0, len(q_ids), 4096):
+                some = [(int(q_ids[i]), int(y), int(s)) for i in range(lo, min(lo + 4096, len(q_ids))) for s, y in zip(*best[i])]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], ["query_id", "vec_id", "score"])
+            queries.clear()
+            best.clear()
+
         for batch in batches:
-            x, ok = _batch_ints(batch.column(1), scale)
-            held.append((x[ok], batch.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)))
-            if sum(len(y) for _, y in held) >= ROWS:
-                flush()
-        flush()
-        for lo in range(0, len(q_ids), 4096):
-            some = [(int(q_ids[i]), int(y), int(s)) for i in range(lo, min(lo + 4096, len(q_ids))) for s, y in zip(*best[i])]
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], ["query_id", "vec_id", "score"])
+            tile, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((tile[1:] != tile[:-1]) | (is_row[1:] != is_row[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(tile)]):
+                if hi == lo:
+                    continue
+                if tile[lo] != now and now is not None:
+                    yield from close()
+                now = tile[lo]
+                x, ok = _batch_ints(batch.column(3).slice(lo, hi - lo), scale)
+                (held if is_row[lo] else queries).append((x[ok], batch.column(2).to_numpy()[lo:hi][ok]))
+                if sum(len(y) for _, y in held) >= ROWS:
+                    flush()
+        if now is not None:
+            yield from close()
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0, block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows with the highest inner products for each row that is_query marks."""
-    rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
-    rows = rows.filter(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    queries = vectors.filter(is_query).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null").distinct()
-    n_blocks = max(1, -(-queries.count() * 3 // (2 * block)))  # two thirds full on average, as a hash deals them
-    found = []
-    for b in range(n_blocks):
-        some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow()
-        q, ok = _batch_ints(some.column("vector").combine_chunks(), scale) if some.num_rows else (np.zeros((0, 0)), np.zeros(0, bool))
-        q_ids = some.column("id").to_numpy()[ok].astype(np.int64)
-        for lo in range(0, len(q_ids), block):
-            found.append(rows.mapInArrow(_pass((q[ok][lo : lo + block], q_ids[lo : lo + block]), k, scale), SCHEMA))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = reduce(DataFrame.unionByName, found).distinct()
+    spark = vectors.sparkSession
+    whole = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    narrow = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null").filter(whole)
+    rows, queries = narrow(vectors), narrow(vectors.filter(is_query)).distinct()
+    n_rows, n_queries = rows.count(), queries.count()
+    blocks = max(1, -(-n_queries // block))
+    groups = max(1, -(-n_rows // group), -(-2 * spark.sparkContext.defaultParallelism // blocks) if n_rows > ROWS else 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    of_block, of_group = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), F.lit(groups))
+    asked = queries.select("id", "vector", of_block.alias("b"), each(groups).alias("g")).select((F.col("g") * blocks + F.col("b")).alias("tile"), F.lit(False).alias("is_row"), "id", "vector")
+    given = rows.select("id", "vector", of_group.alias("g"), each(blocks).alias("b")).select((F.col("g") * blocks + F.col("b")).alias("tile"), F.lit(True).alias("is_row"), "id", "vector")
+    tiles = asked.unionByName(given).repartition(blocks * groups, "tile").sortWithinPartitions("tile", "is_row")
+    found = tiles.mapInArrow(_tiles(k, scale), SCHEMA)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return every.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
+    return found.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)

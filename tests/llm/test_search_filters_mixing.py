@@ -48,14 +48,11 @@ def test_urls_empty(spark):
 
 
 def brute_top(vectors, queries, k):
-    seen = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            seen[(i, tuple(v))] = [math.floor(1024 * float(np.float32(x))) for x in v]
+    rows = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
-    for (i, _), q in seen.items():
+    for i, q in set(rows):
         if i in queries:
-            s = sorted(((sum(a * b for a, b in zip(q, c)), j) for (j, _), c in seen.items() if j != i), key=lambda x: (-x[0], x[1]))[:k]
+            s = sorted(((sum(a * b for a, b in zip(q, c)), j) for j, c in rows if j != i), key=lambda x: (-x[0], x[1]))[:k]
             out |= {(i, r + 1, j, v) for r, (v, j) in enumerate(s)}
     return out
 
@@ -74,6 +71,17 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_counts_repeated_rows(spark):
+    rng = random.Random(6)
+    rows = [(1, [9.0, 9.0])] * 30 + [(i, [rng.random(), rng.random()]) for i in range(2, 60)] + [(100, [1.0, 1.0])] * 3
+    for parts, block, group in ((1, 2048, 1 << 18), (6, 1, 7)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+        got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 100 == 0, k=40, block=block, group=group).collect()]
+        q = [1024, 1024]
+        every = sorted((-sum(a * math.floor(1024 * b) for a, b in zip(q, np.array(v, np.float32).tolist())), i) for i, v in rows if i != 100)
+        assert sorted(got) == [(r + 1, i, -s) for r, (s, i) in enumerate(every[:40])]
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: [5, 2, 1][i % 3] for i, s in enumerate(order)}
@@ -118,7 +126,7 @@ def test_mix(spark):
     full = mixing.mixed_rows(df)
     assert full.columns == df.columns and full.count() == sum(r["copies"] for r in rows)
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    nothing = mixing.mix_sources(frame(spark, [(1, None, "en", None, 0, 0.0, "", 0, 0, 0)])).collect()
+    nothing = mixing.mix_sources(frame(spark, [(1, None, "en", None, 0, 0.0, "", 0, 0, 0, 0, "", 0, 0.0, "")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)]
 
 
