@@ -1,14 +1,17 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the words of a text (A-Z lower-cased, ASCII punctuation taken for white space), pairs of neighbours and
-pairs with one word between them, hashed to 2^BITS coordinates and counted once a text. Labelled rows are dealt by a
-hash over parts of a bounded number of rows; each part is trained on its own, row by row, with a learning rate for
-each coordinate and L1 regularisation; the weights, averaged over the parts by their rows, are few enough to go with
-the tasks that score (at most 2^BITS, in practice hundreds). All labelled rows are used.
-
-Defined cases: a null or empty text has the score of no features; without labelled rows of both kinds every score is
-the share of label 1 (0 without any); of several labels of one document the highest counts, null labels none;
-repeated rows are scored alike; an empty table gives an empty result; other columns are not looked at.
+pairs with one word between them, hashed to 2^BITS coordinates and counted once a text. Labelled rows are dealt over
+parts of a bounded number of rows; each part is trained on its own, row by row, with a learning rate for each
+coordinate and L1 regularisation. All labelled rows are used, and their evidence is pooled: a coordinate that some part
+has learned gets the mean of the weights of the parts that saw it; for one whose gradients stay under the L1 threshold
+in every part, the sums of all parts' gradients are put to the threshold once, so that rare words tell too. The weights
+are few enough to go with the tasks that score (at most 2^BITS, in practice hundreds).
+
+Defined cases: a null or empty text has the score of no features; only labels of documents that may be learned from are
+looked at; without labelled rows of both kinds every score is the share of label 1 (0 without any); of several labels of
+one document the highest counts, null labels none; repeated rows are dealt over the parts and scored alike; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,8 +46,13 @@ def features(texts: pa.Array | pa.ChunkedArray, bits: int = BITS) -> tuple[np.nd
     return np.maximum(at, 1), np.concatenate([x for _, x in found])
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> np.ndarray:
-    """Weights after going through the rows (coordinates of each, each once) in their order."""
+def weights(z, n, alpha=ALPHA, beta=BETA, l1=L1, l2=L2):
+    """The proximal step: weights of sums of gradients z and of squared gradients n."""
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
+
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> tuple[np.ndarray, np.ndarray]:
+    """z and n after going through the rows (coordinates of each, each once) in their order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     rows = [np.r_[BIAS, x] for x in rows]
     for _ in range(epochs):
@@ -55,21 +63,23 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
             new = np.sqrt(n[x] + g * g)
             z[x] = zx + g - (new - root) / alpha * w
             n[x] += g * g
-    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+    return z, n
 
 
 def _train(bits: int, epochs: int):
+    """Parts to (at, w, seen, z, n) of each coordinate that a part saw: w is its weight by the part's rows, seen those rows."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels, part = [], [], None
-        made = []
 
         def close():
-            w = ftrl(rows, np.array(labels, float), bits, epochs)
-            at = np.flatnonzero(w)
-            made.append(pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[w[at] * len(rows), float(len(rows))])], ["at", "weight"]))
+            z, n = ftrl(rows, np.array(labels, float), bits, epochs)
+            at, size = np.flatnonzero(n), float(len(rows))
+            made = [pa.array(x) for x in (at, weights(z[at], n[at]) * size, np.full(len(at), size), z[at], n[at])]
             rows.clear()
             labels.clear()
+            return pa.RecordBatch.from_arrays(made, ["at", "w", "seen", "z", "n"])
 
         for table in blocks(batches, "text", BLOCK):
             at, of = features(table.column("text"), bits)
@@ -78,36 +88,34 @@ def _train(bits: int, epochs: int):
             cut = np.searchsorted(of, np.arange(table.num_rows + 1))
             for i, (label, p) in enumerate(zip(table.column("label").to_pylist(), table.column("part").to_pylist())):
                 if part is not None and p != part:
-                    close()
+                    yield close()
                 part = p
                 rows.append(np.unique(at[cut[i] : cut[i + 1]]).astype(np.int32))
                 labels.append(label)
         if rows:
-            close()
-        yield from made
+            yield close()
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS, epochs: int = EPOCHS, part_rows: int = PART_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) learned from the labelled rows that `learn` (of id) marks."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("label"))
-    rows = docs.filter(learn).select(F.col(id).alias("__id"), F.col(text).alias("text"))
-    counts = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    parts = max(1, -(-counts[0] // PART_ROWS))
-    order = F.xxhash64(F.lit(8), "__id", "text")
-    rows = rows.join(broadcast_if_small(marks), "__id").select("text", "label", F.pmod(F.xxhash64(F.lit(88), "__id"), F.lit(parts)).alias("part"), order.alias("order"))
-    # parts are of bounded size, ordered by a hash, so that reruns agree
-    made = rows.repartition(parts, "part").sortWithinPartitions("part", "order").select("text", "label", "part").mapInArrow(_train(bits, epochs), "at long, weight double")
-    got = made.groupBy("at").agg(F.sum("weight").alias("weight")).toArrow()
-    at, weight = got.column("at").to_numpy(), got.column("weight").to_numpy()
-    total = weight[at == -1].sum()
-    at, weight = at[at >= 0], weight[at >= 0]
-    order = np.argsort(at)
-    if not total or not counts[1] or counts[1] == counts[0]:
-        share = counts[1] / counts[0] if counts[0] else 0.0
+    marks = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).filter(learn).groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("label"))
+    rows = docs.filter(learn).select(F.col(id).alias("__id"), F.col(text).alias("text")).join(broadcast_if_small(marks), "__id")
+    found, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not ones or ones == found:
+        share = ones / found if found else 0.0
         return np.array([BIAS]), np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
-    return at[order], weight[order] / total
+    parts = max(1, -(-found // part_rows))
+    order = F.xxhash64(F.lit(8), "__id", "text")
+    # salted by the partition a row comes from, so that repeated rows are spread
+    part = F.pmod(F.xxhash64(F.lit(88), "__id", "text") + F.spark_partition_id(), F.lit(parts)).cast("int")
+    dealt = rows.select("text", "label", part.alias("part"), order.alias("order")).repartitionById(parts, "part")
+    made = dealt.sortWithinPartitions("part", "order").select("text", "label", "part").mapInArrow(_train(bits, epochs), "at long, w double, seen double, z double, n double")
+    pooled = made.groupBy("at").agg((F.sum("w") / F.sum("seen")).alias("w"), F.sum("z").alias("z"), F.sum("n").alias("n"))
+    step = -(F.col("z") - F.signum("z") * L1) / ((F.lit(BETA) + F.sqrt("n")) / ALPHA + L2)
+    got = pooled.select("at", F.when(F.col("w") != 0, F.col("w")).when(F.abs("z") > L1, step).alias("w")).filter("w is not null").orderBy("at").toArrow()
+    return got.column("at").to_numpy(), got.column("w").to_numpy()
 
 
 def scores(texts: pa.Array | pa.ChunkedArray, at: np.ndarray, weight: np.ndarray, bits: int = BITS) -> np.ndarray:
