@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a broadcast side may have, after a count; wider or longer sides are shuffled instead.
 BROADCAST_ROWS = 500_000
+#: Rows from which on a key is joined apart: those are few, and a hot one's rows stay where they are.
+HOT = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_apart(rows: DataFrame, side: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
+    """rows with side's columns by key. Keys of which side says that they have `hot` rows or more are joined apart."""
+    large, rest = broadcast_if_small(side.filter(F.col(n) >= hot).drop(n)), side.filter(F.col(n) < hot).drop(n)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that is no column of df."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def parts_for(spark: SparkSession, n_bytes: float, per_part: float) -> int:
     """Partitions of about per_part bytes each, at least two a core."""
     return int(max(2 * spark.sparkContext.defaultParallelism, np.ceil(n_bytes / per_part)))

@@ -4,8 +4,9 @@ A text's features are the relative frequencies of its byte 3-grams and 2-grams (
 punctuation taken for white space), hashed to 2^BITS coordinates; each is divided by the square root of its root mean
 square over the training sample, so that frequent n-grams do not drown the others. One linear support vector machine
 for each pair of families votes for the family; one for each pair of languages of that family votes for the language.
-The machines are trained by dual coordinate descent on a sample of at most about SAMPLE texts a language, taken by a
-hash among all that may be learned from, whole texts being used; a model is a table of 2^BITS by the number of pairs.
+The machines are trained by dual coordinate descent on a sample of at most SAMPLE different texts a language, taken by a
+hash of id and text among all that may be learned from, whole texts being used; a model is a table of 2^BITS by the
+number of pairs.
 
 Languages outside FAMILIES are families of their own.
 
@@ -23,9 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, mix, text_bytes, tidy
+from .common import blocks, fold, free_name, mix, text_bytes, tidy
 
 #: Families of common languages by their codes.
 FAMILIES = {
@@ -171,13 +173,17 @@ class Model:
         return names.tolist(), score
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE, bits: int = BITS, id: str = "doc_id") -> Model:
     """docs: (id, text, lang). The sample is bounded by per_language times the languages, of which there are few."""
-    from_ = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    from_ = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r["lang"]: r["n"] for r in from_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(per_language / n))) for k, n in counts.items()]) if counts else F.lit(0.0)
-    draw = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)
-    got = from_.filter(draw < share).mapInArrow(_sample_rows(bits), "lang string, at binary, value binary").toArrow()
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(1.5 * per_language / n))) for k, n in counts.items()]) if counts else F.lit(0.0)
+    draw = F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    # copies of a text are drawn apart and then stand for one; of those drawn the first by hash, up to the bound
+    drawn = from_.filter(draw < share).groupBy("lang", F.xxhash64(F.lit(4), "text").alias("h")).agg(F.first("text").alias("text"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    drawn = drawn.withColumn("n", first).filter(F.col("n") <= per_language).select("text", "lang")
+    got = drawn.mapInArrow(_sample_rows(bits), "lang string, at binary, value binary").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got.column("lang")[i].as_py(), got.column("at")[i].as_py(), got.column("value")[i].as_py()))
     got = got.take(pa.array(order, pa.int64()))
     model = Model(bits)
@@ -188,13 +194,14 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds language and score; other columns stay."""
-    names = [c for c in docs.columns if c not in (lang, score, "__letters")]
+    names = [c for c in docs.columns if c not in (lang, score)]
     schema = docs.select(names).schema.add(lang, "string").add(score, "double")
+    flag = free_name(docs, "letters")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, text, BLOCK):
-            ok = np.array(table.column("__letters").to_pylist(), bool)
+            ok = np.array(table.column(flag).to_pylist(), bool)
             if model.groups:
                 found, sure = model.predict(table.column(text))
             else:
@@ -202,7 +209,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
             found, sure = [x if y else UND for x, y in zip(found, ok)], np.where(ok, np.clip(sure, 0, 1), 0.0)
             yield from pa.Table.from_arrays([*(table.column(c) for c in names), pa.chunked_array([pa.array(found, pa.string())]), pa.chunked_array([sure])], [*names, lang, score]).combine_chunks().to_batches()
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(flag)
     return docs.select(*names, letters).mapInArrow(run, schema)
 
 

@@ -165,6 +165,6 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
 def mixed_rows(docs: DataFrame, id: str = "doc_id", **settings) -> DataFrame:
     """The rows themselves, each as often as the mix takes it; the texts are not shuffled."""
     mix = Mix(docs, id, **settings)
-    rows = docs.withColumns({"__size": n_words(F.col("text")), "__tie": _tie(F.col("text"), mix.seed)})
-    out = mix.decide(rows, id, "__size", "__tie").filter("__copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).drop("__copy")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), "source", n_words(F.col("text")).alias("size"), _tie(F.col("text"), mix.seed).alias("tie"))
+    out = mix.decide(rows).filter("__copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return out.select("row.*")

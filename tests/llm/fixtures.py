@@ -2,7 +2,7 @@
 
 import random
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, set string, block long, id long, tie long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, set string, block long, id long, tie long, __id long, __letters string, __size int, toxic double, row string"
 
 
 def documents(seed=1, n=60):
@@ -23,7 +23,7 @@ def documents(seed=1, n=60):
     rows += [(200, rows[3][1]), (201, rows[3][1]), (3, rows[3][1])]  # copies and a repeated row
     rows += [(300, None), (301, ""), (302, "   \n\t "), (303, "one"), (304, "one"), (None, "two three"), (305, "É" * 3 + " ünïcode 日本 text"), (306, "x" * 5000), (307, ("long " * 4000).strip()), (306, "again another text")]
     langs = ["en", "fr", None]
-    return [(i, t, langs[(i or 0) % 3], None if i == 5 else f"s{(i or 0) % 4}", len(t or ""), 0.5, "x", 1, 2, 3) for i, t in rows]
+    return [(i, t, langs[(i or 0) % 3], None if i == 5 else f"s{(i or 0) % 4}", len(t or ""), 0.5, "x", 1, 2, 3, 4, "l", 5, 0.25, "r") for i, t in rows]
 
 
 def frame(spark, rows=None):

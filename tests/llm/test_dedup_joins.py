@@ -100,6 +100,64 @@ def test_prefix_depth_keeps_recall():
     assert 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES < ngram_join.RECALL
 
 
+def test_shared_values():
+    a = np.zeros((3, 2), np.uint64)
+    a[1] = (0, 1 << 48)
+    a[2] = (1, 0)
+    assert ngram_join.shared_values(a[:, 0], a[:, 1]).tolist() == [0, 4, 3]
+
+
+def test_forest_ties_are_the_runs_of_each_prefix(spark):
+    """For each depth the ties' components are the groups of equal prefixes, over batches and ranges."""
+    rng = random.Random(11)
+    keys = [[(t << 59) | rng.choice([0, 1 << 48, 1 << 32]) | rng.choice([0, 1, 2]) if i % 2 == 0 else rng.choice([0, 1 << 48, 1 << 32, 1]) for t in range(3) for i in range(2)] for _ in range(150)]
+    classes = spark.createDataFrame([(bytes([k]) * 16, x) for k, x in enumerate(keys)], "set binary, keys array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    ties = ngram_join.forest_ties(classes, 2, 3, 8).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    values = lambda hi, lo, d: [(x % 2**64 >> (48 - 16 * i)) & 0xFFFF for x in (hi, lo) for i in range(4)][:d]
+    for d in range(2, 9):
+        for t in range(3):
+            groups = defaultdict(set)
+            for k, x in enumerate(keys):
+                groups[tuple(values(x[2 * t], x[2 * t + 1], d))].add(k)
+            of = {k: k for k in range(150)}
+            find = lambda x: x if of[x] == x else find(of[x])
+            for r in ties:
+                if (r["hi"] >> 59) % 32 == t and r["level"] >= d:
+                    x, y = find(r["a"][0]), find(r["b"][0])
+                    of[max(x, y)] = min(x, y)
+            got = defaultdict(set)
+            for k in range(150):
+                got[find(k)].add(k)
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_shortening_follows_what_was_found(spark):
+    rows = lambda per: spark.createDataFrame([(t << 59, bytes([k]), 8) for k in range(100) for t in range(per)], "hi long, a binary, own int")
+    assert ngram_join.shortened(rows(12), 5, 8, 0.99) == 8  # every text met in many trees
+    assert ngram_join.shortened(rows(1), 5, 8, 0.99) == 5  # every text met in one: many are missing
+    assert ngram_join.shortened(rows(12).limit(0), 5, 8, 0.99) == 5
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Planted pairs of a similarity from 0.8 to 0.85: nearly all of them are found, at any depth that is chosen."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, pairs = [], 0
+    for p in range(300):
+        w = [word() for _ in range(100)]
+        v = list(w)
+        for k in rng.sample(range(8), 2):  # 2 words changed far apart: 10 of 96 n-grams each differ
+            v[6 + 11 * k] = word()
+        a, b = ({tuple(x[i : i + 5]) for i in range(96)} for x in (w, v))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+        rows += [(2 * p, " ".join(w)), (2 * p + 1, " ".join(v))]
+        pairs += 1
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_texts = 1").count() / 2
+    assert got >= 0.99 * pairs
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5)]

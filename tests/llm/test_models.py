@@ -106,10 +106,68 @@ def test_ftrl_matches_the_plain_rule():
             w, sigma = weight(i), (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
-    got = toxicity.ftrl(rows, labels, 6, 1, alpha, beta, l1, l2)
+    got = toxicity.weights(*toxicity.ftrl(rows, labels, 6, 1, alpha, beta, l1, l2), alpha, beta, l1, l2)
     assert np.allclose(got, [weight(i) for i in range(64)])
 
 
+def test_toxicity_ignores_held_out_labels(spark):
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 5}") for i in range(200)], "doc_id long, text string")
+    lab = lambda flip: spark.createDataFrame([(i, (int(i % 7 == 0) ^ (flip and held(i, 5, 0)))) for i in range(200)], "doc_id long, toxic int")
+    scores = lambda labels: sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(df, labels).collect())
+    want = scores(lab(False))
+    assert scores(lab(True)) == want
+    only = spark.createDataFrame([(i, 1) for i in range(200) if held(i, 5, 0)], "doc_id long, toxic int")
+    assert {s for _, s in scores(only)} == {s for _, s in scores(only.limit(0))}
+
+
+def plain_features(text, bits=20):
+    """Coordinates as sets, by text spans instead of arrays."""
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [int(toxicity.SpanHash(np.frombuffer(x.encode(), np.uint8)).of(np.array([0]), np.array([len(x.encode())]))[0]) for x in w]
+    out = {x >> (64 - bits) for x in h}
+    for gap in (1, 2):
+        for a, b in zip(h, h[gap:]):
+            out.add(int(toxicity.mix(np.array([(a * (2 * gap + 1) + b) % 2**64], np.uint64))[0]) >> (64 - bits))
+    return {max(1, x) for x in out}
+
+
+def test_toxicity_end_to_end_matches_the_plain_rule(spark):
+    """Parts, pooling and scores against dictionaries; the order and the parts are taken from Spark's own hashes."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh ij kl mn op vile".split()) for _ in range(rng.randint(0, 12))) + ("!é" if i % 3 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    label = {i: int("vile" in t) for i, t in rows}
+    lab = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    at, weight = toxicity.fit(df, lab, F.col("doc_id") >= 100, part_rows=100)
+    keyed = df.filter("doc_id >= 100").select("doc_id", "text", F.pmod(F.xxhash64(F.lit(88), "doc_id", "text"), F.lit(3)).alias("p"), F.xxhash64(F.lit(8), "doc_id", "text").alias("o")).collect()
+    z_all, n_all, w_all, seen = Counter(), Counter(), Counter(), Counter()
+    for p in range(3):
+        part = sorted((r for r in keyed if r["p"] == p), key=lambda r: r["o"])
+        z, n = Counter(), Counter()
+        step = lambda z, n: 0.0 if abs(z) <= toxicity.L1 else -(z - math.copysign(toxicity.L1, z)) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+        for _ in range(toxicity.EPOCHS):
+            for r in part:
+                x = {0} | plain_features(r["text"])
+                g = 1 / (1 + math.exp(-sum(step(z[i], n[i]) for i in x))) - label[r["doc_id"]]
+                for i in x:
+                    w = step(z[i], n[i])
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w
+                    n[i] += g * g
+        for i in n:
+            z_all[i] += z[i]
+            n_all[i] += n[i]
+            w_all[i] += step(z[i], n[i]) * len(part)
+            seen[i] += len(part)
+    want = {i: w_all[i] / seen[i] or step(z_all[i], n_all[i]) for i in n_all}
+    want = {i: w for i, w in want.items() if w}
+    assert sorted(want) == at.tolist() and np.allclose([want[i] for i in at.tolist()], weight)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, (at, weight)).collect()}
+    for i, t in rows:
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(want.get(x, 0) for x in {0} | plain_features(t))))) < 1e-9
+
+
 def brute_counts(docs):
     tokens = [[re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", d[1] or "")] + [None] for d in docs]
     c = Counter()
