@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cogspark.llm import mixing, ngram_join, pieces, suffix_dedup, toxicity
-from cogspark.llm.common import broadcast_if_small, fold, written
+from cogspark.llm.common import broadcast_if_small, fold, free_name, written
 
 #: SQL cannot express the learned scores and the sampling hashes; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores 0.5 or more go; it learns from the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model, out="__toxic").filter(F.col("__toxic") < 0.5).drop("__toxic")
+    out = free_name(docs, "toxic")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words are in no group and stay; the texts of one id are told apart.
     """
     found = written(ngram_join.ngram_join(docs, firsts=True).filter("grouped"), "groups")
-    keys = lambda df: broadcast_if_small(df.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"}))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (ngram_join.text_tie(F.col("text")) == F.col("__tie"))
+    id, tie = free_name(docs, "id"), free_name(docs, "tie")
+    keys = lambda df: broadcast_if_small(df.withColumnsRenamed({"doc_id": id, "tie": tie}))
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & (ngram_join.text_tie(F.col("text")) == F.col(tie))
     stay = docs.join(keys(found.filter("not first").select("doc_id", "tie").distinct()), same, "left_anti")
     again = found.filter("first").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "tie")
     if again.isEmpty():
@@ -41,17 +43,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What repeated 200-byte strings cover goes out of the texts; n_chars is counted anew."""
+    """What repeated 200-byte strings cover goes out of the texts; n_chars is counted anew.
+
+    A null text stays null, a text that is covered whole becomes empty; no row goes.
+    """
     return suffix_dedup.remove_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Texts that are null or without words are not taken; a null source is a source of its own.
+    """
     return mixing.mixed_rows(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, ids) of each row."""
+    """(doc_id, source, ids) of each row; the ids of a null text are null, those of an empty one none."""
     return pieces.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids")
 
 
