@@ -87,3 +87,11 @@ BINS, T_LOW, T_HIGH = 10, 0.5, 5.0
 READER_PRECISION, READER_ACCEPTED, READER_NEVER = 0.90, 10, 1.01
 AUDIT_CONFIDENCE = 0.6
 EXAM_TIME_LIMIT_S = 1500
+EXAM_DSA_PRIOR = 0.15
+TRIAL_START, TRIAL_PASS, TRIAL_FAIL, TRIAL_SKIP, TRIAL_FLOOR, UNRESOLVED_P = 1400, 40, 30, 20, 1100, 0.70
+NOVEL_P_OTHER = 0.5
+#: what the interpreter reads from memory that was never written, and how far arithmetic takes it
+GARBAGE, GARBAGE_BAND = -858993460, 1_000_000
+#: weights of several kinds of evidence for one answer
+FOUND_FACTOR, NOT_FOUND_FACTOR, FOUND_OUTSIDE, CUE_FACTOR, CUE_STRENGTH = 3.0, 0.20, 2.0, 0.5, 0.7
+HEDGE_PENALTY, HEDGE_MOST, HEDGE_FLOOR, FUSE_MARGIN, AMBIGUOUS_P, CORRECT_P = 0.08, 0.15, 0.40, 0.15, 0.48, 0.95

@@ -176,18 +176,38 @@ def score_quiz(answers: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(like.filter("label = 'CORRECT'").select("item_id", "answer", F.col("p").alias("if_not")), ["item_id", "answer"]).select("learner_id", "item_id", "class", "if_active", "if_not", "ask_reason")
 
 
-def fuse_multimodal(candidates: DataFrame, cues: DataFrame, by=("key",)) -> DataFrame:
-    """candidates (key…, label, p, agrees), cues (key…, label, strength, hedged) to fused shares and `ambiguous`.
+def fuse_multimodal(candidates: DataFrame, answers: DataFrame, cues: DataFrame, by=("key",)) -> DataFrame:
+    """(key…, label, p, rank, status, top_p, shown_p, twin_set): an answer's shares of its candidate labels.
 
-    A deterministic finding triples or fifths a label; each cue multiplies by 1 + strength / 2, less at most .15 for hedging.
+    candidates: (key…, label, prior), prior null where there is none; answers: (key…, found, hedges, is_correct,
+    needs_probe), found being the label of a deterministic finding or null; cues: (key…, label, strength).
+
+    A finding triples its label and takes the others down to a fifth; one outside the candidates enters with 2. Each cue
+    multiplies its label by 1 + strength / 2. Hedging lowers top_p, the top share, for the whole answer, not below .40.
+    Two labels closer than .15, or a probe that is needed, make the answer ambiguous: shown_p is .48 then, and the
+    candidate sets of two look-alikes name their twin set. A correct answer is CORRECT with .95, whatever else is there.
     """
-    w = F.product(1 + 0.5 * F.col("strength")) * (1 - F.least(F.lit(0.15), 0.05 * F.sum(F.col("hedged").cast("int"))))
-    rows = candidates.withColumnRenamed("p", "__p").join(cues.groupBy(*by, "label").agg(w.alias("w")), [*by, "label"], "left")
-    sure = F.when(F.col("agrees"), 3.0).when(~F.col("agrees"), 0.2).otherwise(1.0)
-    rows = normalise(rows, by, F.col("__p") * sure * F.coalesce("w", F.lit(1.0)))
-    two = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("p"), "label")))
-    margin = F.max(F.when(F.col("rank") == 1, F.col("p"))).over(W.partitionBy(*by)) - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("p"))).over(W.partitionBy(*by)), F.lit(0.0))
-    return two.select(*by, "label", "p", (margin < 0.15).alias("ambiguous"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    open_ = answers.filter(~flag("is_correct"))
+    listed = candidates.select(*by, "label", "prior").join(open_.select(*by, "found"), list(by))
+    sets = listed.groupBy(*by).agg(F.array_sort(F.collect_set("label")).alias("__set"))  # labels are few
+    sure = F.when(F.col("found").isNull(), 1.0).when(F.col("found") == F.col("label"), C.FOUND_FACTOR).otherwise(C.NOT_FOUND_FACTOR)
+    known = F.exists(F.col("__set"), lambda x: x == F.col("found"))
+    # a finding that is no candidate comes in beside them, and leaves their weights alone
+    own = listed.join(sets, list(by)).select(*by, "label", (F.coalesce("prior", F.lit(1.0)) * F.when(known, sure).otherwise(1.0)).alias("w"))
+    beside = open_.filter("found is not null").join(sets, list(by), "left").filter(~F.coalesce(known, F.lit(False))).select(*by, F.col("found").alias("label"), F.lit(C.FOUND_OUTSIDE).alias("w"))
+    cue = cues.groupBy(*by, "label").agg(F.product(1 + C.CUE_FACTOR * F.coalesce(F.col("strength"), F.lit(C.CUE_STRENGTH))).alias("__cue"))
+    rows = normalise(own.unionByName(beside).join(cue, [*by, "label"], "left"), by, F.col("w") * F.coalesce("__cue", F.lit(1.0)))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round("p", 12)), "label"))).join(open_.select(*by, "hedges", "needs_probe"), list(by)).join(sets, list(by), "left")
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("p"))).over(W.partitionBy(*by))
+    ambiguous = flag("needs_probe") | F.coalesce(F.round(at(1) - at(2), 12) < C.FUSE_MARGIN, F.lit(False))
+    rows = rows.withColumn("status", F.when(ambiguous, "ambiguous").otherwise("confident")).withColumn("top_p", F.greatest(F.lit(C.HEDGE_FLOOR), at(1) - F.least(F.lit(C.HEDGE_MOST), F.coalesce("hedges", F.lit(0)) * C.HEDGE_PENALTY)))
+    shown = F.when(F.col("status") == "ambiguous", F.when(F.col("rank") <= 2, C.AMBIGUOUS_P)).otherwise(F.when(F.col("rank") == 1, F.round("p", 2)))
+    pair = F.array_join("__set", "|")
+    twin = F.when(F.col("status") == "ambiguous", F.when(pair == "M01|M08", "T1").when(pair == "M06|M07", "T3"))
+    out = rows.select(*by, "label", "p", "rank", "status", "top_p", shown.alias("shown_p"), twin.alias("twin_set"))
+    right = answers.filter(flag("is_correct")).select(*by, F.lit("CORRECT").alias("label"), F.lit(C.CORRECT_P).alias("p"), F.lit(1).alias("rank"), F.lit("correct").alias("status"), F.lit(C.CORRECT_P).alias("top_p"), F.lit(C.CORRECT_P).alias("shown_p"), F.lit(None).cast("string").alias("twin_set"))
+    return out.unionByName(right)
 
 
 def rank_contributions(contributions: DataFrame, k: int = 3, by=("key", "label")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import class_eig, let, pass_probability, tie_key, twin_of
+from ..functions.columns import class_eig, let, pass_probability, tie_key
 
 
 def elo_trajectory(log: DataFrame, start: float = C.ELO_START, by=("exam_id", "sector")) -> DataFrame:
@@ -68,23 +68,34 @@ def opening(scored: DataFrame, pool: DataFrame) -> DataFrame:
     return recommend_exam_item(easy.join(sector, ["exam_id", "sector"]))
 
 
+def starting_p(rows: DataFrame) -> DataFrame:
+    """Adds p0, what an exam starts from: the given P, else the D-classes' exam prior while UNSEEN, else the population's.
+
+    rows: (class, p_active, state), p_active null where nothing is known.
+    """
+    unseen = F.col("class").isin(C.DSA_CLASSES) & (F.coalesce("state", F.lit("UNSEEN")) == "UNSEEN")
+    return rows.withColumn("p0", F.coalesce(F.col("p_active"), F.when(unseen, C.EXAM_DSA_PRIOR).otherwise(C.POPULATION_PRIOR)))
+
+
 def findings(state: DataFrame) -> DataFrame:
-    """(exam_id, class, status, twin): NOT_TESTED, RELAPSED, HELD, NEW, UNCERTAIN or none; classes left uncertain take a found twin.
+    """(exam_id, class, status, twin): NOT_TESTED, RELAPSED, HELD, NEW or UNCERTAIN; classes without a finding are left out.
 
-    state: (exam_id, class, tested, before, after, p).
+    state: (exam_id, class, tested, ambiguous, state0, state, p0, p). ambiguous is the twin set that the answers left
+    open, or null. An uncertain class without one gets the first twin set with another uncertain member.
     """
+    was_new = (F.col("state0") == "UNSEEN") | (F.col("p0") <= C.BAND_LOW)
     status = (
-        F.when(~F.col("tested"), "NOT_TESTED")
-        .when(F.col("before").isin("STABLE", "MASTERED"), F.when(F.col("after") == "RELAPSED", "RELAPSED").otherwise("HELD"))
-        .when((F.col("p") >= C.BAND_HIGH) & (F.col("before") == "UNSEEN"), "NEW")
-        .when((F.col("p") >= C.BAND_LOW) & (F.col("p") < C.BAND_HIGH), "UNCERTAIN")
-        .otherwise("none")
+        F.when(~F.col("tested") & F.col("ambiguous").isNull(), "NOT_TESTED")
+        .when(F.col("state") == "RELAPSED", "RELAPSED")
+        .when(F.col("state") == "MASTERED", "HELD")
+        .when(was_new & (F.col("p") >= C.ACTIVE_P), "NEW")
+        .when(F.col("ambiguous").isNotNull() | F.col("p").between(C.BAND_LOW, C.BAND_HIGH), "UNCERTAIN")
     )
-    rows = state.withColumn("status", status)
-    found = rows.filter("status in ('NEW', 'RELAPSED')").select("exam_id", F.col("class").alias("other"))
-    pairs = rows.filter("status = 'UNCERTAIN'").join(found, "exam_id").withColumn("twin", twin_of(F.col("class"), F.col("other"))).filter("twin is not null")
-    twins = pairs.groupBy("exam_id", "class").agg(F.min("other").alias("twin"))
-    return rows.join(twins, ["exam_id", "class"], "left").select("exam_id", "class", "status", "twin")
+    rows = state.withColumn("status", status).filter("status is not null")
+    open_ = F.collect_set(F.when(F.col("status") == "UNCERTAIN", F.col("class"))).over(W.partitionBy("exam_id"))  # 17 at most
+    rows = rows.withColumn("open", open_)
+    partner = F.coalesce(*[F.when(((F.col("class") == x) & F.array_contains("open", y)) | ((F.col("class") == y) & F.array_contains("open", x)), k) for k, (x, y) in C.TWIN_SETS.items()])
+    return rows.select("exam_id", "class", "status", F.coalesce("ambiguous", F.when(F.col("status") == "UNCERTAIN", partner)).alias("twin"))
 
 
 def recommendations(found: DataFrame, problems: DataFrame, used: DataFrame, n: int = C.RECOMMENDATIONS) -> DataFrame:
@@ -116,11 +127,45 @@ def exam_report(rollup: DataFrame, found: DataFrame) -> DataFrame:
     return s.join(f, "exam_id", "left")
 
 
+def trial_sectors(log: DataFrame) -> DataFrame:
+    """(exam_id, sector, items, passed, rating_before, rating_after) of the sectors that were attempted.
+
+    log: (exam_id, seq, sector, item_id, outcome pass, fail or skip). From 1400: +40 for a pass, -30 for a failure, -20
+    for a skip; a loss does not go below 1100.
+    """
+    past = log.groupBy("exam_id", "sector").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "outcome"))).alias("h"), F.count_if(F.col("outcome") == "pass").alias("passed"))
+    step = lambda s, e: F.when(e["outcome"] == "pass", s + C.TRIAL_PASS).otherwise(F.greatest(F.lit(C.TRIAL_FLOOR), s - F.when(e["outcome"] == "skip", C.TRIAL_SKIP).otherwise(C.TRIAL_FAIL)))
+    return past.select("exam_id", "sector", F.transform("h", lambda e: e["item_id"]).alias("items"), "passed", F.lit(C.TRIAL_START).alias("rating_before"), F.aggregate("h", F.lit(C.TRIAL_START), step).alias("rating_after"))
+
+
+def trial_findings(log: DataFrame) -> DataFrame:
+    """(exam_id, class, status, p_active, item_id, sector): the first finding of each class.
+
+    log as in trial_sectors, and top, top_p (the diagnosis) and asked (the class that the item's question tests, M01 if
+    null). A skipped item leaves that class UNRESOLVED; a diagnosed class is ACTIVE even if the code passed; a failure
+    that nothing explains counts for the class asked about.
+    """
+    asked = F.coalesce("asked", F.lit("M01"))
+    plain = F.col("top").isin("CORRECT", "OTHER")
+    skipped = F.col("outcome") == "skip"
+    found = F.when(skipped, asked).when(plain & (F.col("outcome") == "fail"), asked).when(~plain, F.col("top"))
+    rows = log.withColumn("class", found).filter("class is not null")
+    one = F.struct(F.when(skipped, "UNRESOLVED").otherwise("ACTIVE").alias("status"), F.when(skipped, C.UNRESOLVED_P).otherwise(F.col("top_p")).alias("p_active"), "item_id", "sector")
+    return rows.groupBy("exam_id", "class").agg(F.min_by(one, "seq").alias("f")).select("exam_id", "class", "f.*")
+
+
 def trial_debrief(log: DataFrame) -> DataFrame:
-    """(exam_id, rating, score_pct, weak): +40 for a pass, -30 for a failure, -20 for a skip, from 1300, not below 1100."""
-    past = log.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("seq", "outcome"))).alias("h"), F.avg((F.col("outcome") == "pass").cast("double")).alias("share"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("outcome") != "pass", F.col("sector")))), ",").alias("weak"))
-    step = lambda s, e: F.greatest(F.lit(1100), s + F.when(e["outcome"] == "pass", 40).when(e["outcome"] == "fail", -30).otherwise(-20))
-    return past.select("exam_id", F.aggregate("h", F.lit(C.ELO_START), step).alias("rating"), F.round(100 * F.col("share"), 4).alias("score_pct"), "weak")
+    """(exam_id, items_total, items_passed, score_pct, sectors, findings, review): one nested row for each exam.
+
+    review: the sectors that nothing was passed in or that a finding comes from.
+    """
+    total = log.groupBy("exam_id").agg(F.count(F.lit(1)).alias("items_total"), F.count_if(F.col("outcome") == "pass").alias("items_passed"))
+    sectors, found = trial_sectors(log), trial_findings(log)
+    s = sectors.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("sector", "items", "passed", "rating_before", "rating_after"))).alias("sectors"))
+    f = found.groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("class", "status", "p_active", "item_id", "sector"))).alias("findings"))
+    out = total.join(s, "exam_id").join(f, "exam_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(f.schema["findings"].dataType)))
+    weak = F.filter("sectors", lambda x: (x["passed"] == 0) | F.exists("findings", lambda y: y["sector"] == x["sector"]))
+    return out.select("exam_id", "items_total", "items_passed", F.bround(100 * F.col("items_passed") / F.col("items_total")).cast("int").alias("score_pct"), "sectors", "findings", F.transform(weak, lambda x: x["sector"]).alias("review"))
 
 
 def attach_remediation(found: DataFrame, guide: DataFrame, default: str = "REVIEW") -> DataFrame:

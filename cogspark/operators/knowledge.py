@@ -18,7 +18,7 @@ KEY = ("learner_id", "class")
 
 
 def route_events(events: DataFrame) -> DataFrame:
-    """Adds if_active and if_not to each event, and `affects`: whether it changes P at all.
+    """Adds if_active and if_not to each event, `affects`, whether it changes P at all, and the resolved kind.
 
     kind, correct, hint are read; where present also planted, top1, tests_pass, posterior, exposure, matched, unsure,
     p_text and in_belief (a predicted output that the class's belief names counts as a trap).
@@ -49,7 +49,7 @@ def route_events(events: DataFrame) -> DataFrame:
             .when(kind.isin(*C.KIND_ROW), own)
         )
 
-    out = events.withColumns({"if_active": pick(exposure, exposure * C.LATENT_FACTOR, C.TEXT_IF_ACTIVE, fix_active, active), "if_not": pick(fail, fail, C.TEXT_IF_NOT, fix_not, not_)})
+    out = events.withColumns({"resolved": kind, "if_active": pick(exposure, exposure * C.LATENT_FACTOR, C.TEXT_IF_ACTIVE, fix_active, active), "if_not": pick(fail, fail, C.TEXT_IF_NOT, fix_not, not_)})
     return out.withColumn("affects", F.col("if_active").isNotNull() | F.col("kind").isin("intervention_done", "forgetting"))
 
 
@@ -152,7 +152,7 @@ def mastery_fold(events: DataFrame, prior: float = C.POPULATION_PRIOR, by=KEY) -
     rows = route_events(events)
     if "exposure" not in rows.columns:
         rows = rows.withColumn("exposure", F.lit(None).cast("double"))
-    past = _history(rows, by, "kind", "levels", "correct", "exposure", "family", "item_id", "if_active", "if_not")
+    past = _history(rows, by, "kind", "resolved", "levels", "correct", "exposure", "family", "item_id", "if_active", "if_not")
     no = F.lit(False)
     start = F.struct(F.lit(float(prior)).alias("p"), F.lit("UNSEEN").alias("state"), F.lit(0).cast("long").alias("seen"), no.alias("trap"), no.alias("transfer"), F.lit(None).cast("string").alias("family"), F.array().cast("array<string>").alias("asked"))
     put = lambda s, **new: F.struct(*[(new[n] if n in new else s[n]).alias(n) for n in ("p", "state", "seen", "trap", "transfer", "family", "asked")])
@@ -176,7 +176,7 @@ def mastery_fold(events: DataFrame, prior: float = C.POPULATION_PRIOR, by=KEY) -
             p = let(F.when(rusty, forget(s["p"], e["levels"])).otherwise(s["p"]), lambda p: F.when(e["if_active"].isNotNull(), likelihood_ratio(p, e["if_active"], e["if_not"])).otherwise(p))
             family = F.when(attempt & s["family"].isNull() & s["state"].isin("UNSEEN", "ACTIVE"), e["family"]).otherwise(s["family"])
             counts = e["family"].isNull() | is_transfer_family(F.col("class"), s["family"], e["family"])
-            trap = s["trap"] | ((kind == "trap") & e["correct"])
+            trap = s["trap"] | (e["resolved"].isin("trap", "predict_output_trap") & e["correct"])
             transfer = s["transfer"] | ((kind == "transfer_code") & e["correct"] & counts)
             asked = F.when(asks & ~F.array_contains(s["asked"], F.coalesce(e["item_id"], F.lit(""))), F.concat(s["asked"], F.array(e["item_id"]))).otherwise(s["asked"])
             return put(s, p=p, seen=s["seen"] + 1, trap=trap, transfer=transfer, family=family, asked=asked)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from .evaluate import auroc
 from .quality import stumps
 
@@ -146,8 +147,12 @@ def novelty_distance(neighbours: DataFrame, id: str) -> DataFrame:
 
 
 def assess_novelty(df: DataFrame, tau_d: float, tau_p: float) -> DataFrame:
-    """Adds abstain: far from all reference rows, or too unsure with two top labels that are no look-alikes."""
-    return df.withColumn("abstain", (F.col("knn_dist") > tau_d) | ((F.col("p1") < tau_p) & F.col("twin_set").isNull()))
+    """Adds abstain: far from all reference rows, OTHER likely, or too unsure with two top labels that are no look-alikes.
+
+    df: (knn_dist, p1, p_other, twin_set).
+    """
+    unsure = (F.col("p1") < tau_p) & F.col("twin_set").isNull()
+    return df.withColumn("abstain", (F.col("knn_dist") > tau_d) | (F.col("p_other") >= C.NOVEL_P_OTHER) | unsure)
 
 
 def nearest_description(rows: DataFrame, anchors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
+
 RUN = ("attempt_id", "test")
 EVENTS = ["step_cap", "uninit_read", "oob_eq_n", "oob_negative", "int_division", "empty_body", "assign_in_condition", "missing_return", "depth_cap", "discarded_result", "string_compare", "array_compare", "overflow"]
 
@@ -36,11 +38,15 @@ def iteration_deltas(per_test: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def branch_features(branches: DataFrame, reference: DataFrame) -> DataFrame:
-    """(attempt_id, always, never): branches (attempt_id, line, t, f) that only go one way where the reference's line goes both ways."""
+    """(attempt_id, always, never, always_line, never_line): lines taken twice or more and only one way, where any reference line goes both ways.
+
+    branches: (attempt_id, line, t, f); attempts without recorded branches have no row.
+    """
     sums = branches.groupBy("attempt_id", "line").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
-    both = reference.groupBy("line").agg(F.sum("t").alias("rt"), F.sum("f").alias("rf")).filter("rt > 0 and rf > 0")
-    rows = sums.join(F.broadcast(both), "line")
-    return rows.groupBy("attempt_id").agg(F.max(((F.col("f") == 0) & (F.col("t") > 0)).cast("int")).alias("always"), F.max(((F.col("t") == 0) & (F.col("f") > 0)).cast("int")).alias("never"))
+    varies = reference.groupBy("line").agg(F.sum("t").alias("rt"), F.sum("f").alias("rf")).agg(F.coalesce(F.bool_or((F.col("rt") > 0) & (F.col("rf") > 0)), F.lit(False)).alias("varies")).scalar()
+    one = lambda a, b: varies & (F.col(a) >= 2) & (F.col(b) == 0)
+    found = sums.groupBy("attempt_id").agg(F.min(F.when(one("t", "f"), F.col("line"))).alias("always_line"), F.min(F.when(one("f", "t"), F.col("line"))).alias("never_line"))
+    return found.select("attempt_id", F.col("always_line").isNotNull().cast("int").alias("always"), F.col("never_line").isNotNull().cast("int").alias("never"), "always_line", "never_line")
 
 
 def counters(per_test: DataFrame, maps: str) -> DataFrame:
@@ -48,15 +54,42 @@ def counters(per_test: DataFrame, maps: str) -> DataFrame:
     return per_test.select("attempt_id", F.explode(maps).alias("key", "v")).groupBy("attempt_id", "key").agg(F.sum("v").alias("total"))
 
 
+def is_garbage(x: Column) -> Column:
+    """A value that was never written, or one computed from it by small steps."""
+    return F.coalesce(F.abs(x - C.GARBAGE) <= C.GARBAGE_BAND, F.lit(False))
+
+
 def relation_features(outputs: DataFrame) -> DataFrame:
     """Shares of an attempt's failed tests whose output stands in a known relation to the expected one.
 
-    outputs: (attempt_id, test, got DOUBLE, want DOUBLE): off by one, zero, floor, negated, doubled, missing.
+    outputs: (attempt_id, test, got DOUBLE, want DOUBLE) and, where present, args ARRAY<DOUBLE> (whole numbers, if no
+    sequence is passed), items, array and want_array ARRAY<DOUBLE> (a sequence that went in, came out, was expected).
+    floored: got is the wanted fraction cut towards zero; top_frame: got is what the outermost call alone would give (an
+    argument, the last digit of the only one, or the sequence's last item); unchanged: the array came back as it was,
+    though another was wanted; shifted: its items moved by one and the end was not brought round.
     """
+    has = set(outputs.columns)
+    col = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
     got, want = F.col("got"), F.col("want")
-    near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9, F.lit(False)).cast("double")
-    bad = outputs.filter(got.isNull() | (F.abs(got - want) > 1e-9))
-    return bad.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("failed"), F.avg(near(F.abs(got - want), F.lit(1.0))).alias("off_by_one"), F.avg(near(got, F.lit(0.0))).alias("zero"), F.avg(near(got, F.floor(want))).alias("floored"), F.avg(near(got, -want)).alias("negated"), F.avg(near(got, 2 * want)).alias("doubled"), F.avg(got.isNull().cast("double")).alias("missing"))
+    args, items, array, want_array = (col(c, "array<double>") for c in ("args", "items", "array", "want_array"))
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9, F.lit(False))
+    same = lambda a, b: F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 1e-9), lambda x: x), F.lit(False))
+    whole = F.when(want >= 0, F.floor(want)).otherwise(F.ceil(want))
+    digit = F.when((F.size(args) == 1) & (args[0] >= 10), args[0] % 10)
+    own = F.coalesce(F.exists(args, lambda x: near(got, x)), F.lit(False)) | near(got, digit) | near(got, F.element_at(items, F.size(items)))
+    moved = same(array, F.concat(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, F.size(items), 1))) | same(array, F.concat(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, 1)))
+    share = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("double"))
+    failed = F.when(want.isNull(), ~same(array, want_array)).otherwise(got.isNull() | (F.abs(got - want) > 1e-9))
+    return outputs.filter(failed).groupBy("attempt_id").agg(
+        F.count(F.lit(1)).alias("failed"),
+        share(near(F.abs(got - want), F.lit(1.0))).alias("off_by_one"),
+        share((got == 0) & (want != 0)).alias("zero"),
+        share(near(got, whole) & ~near(want, whole)).alias("floored"),
+        share(is_garbage(got) | F.exists(array, is_garbage)).alias("garbage"),
+        share(own).alias("top_frame"),
+        share(want_array.isNotNull() & same(array, items) & ~same(want_array, items)).alias("unchanged"),
+        share(want_array.isNotNull() & (F.size(items) >= 2) & moved).alias("shifted"),
+    )
 
 
 def reference_relations(outputs: DataFrame, reference_outputs: DataFrame) -> DataFrame:

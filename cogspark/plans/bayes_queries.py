@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import bayes as B
-from .registry import query
+from .registry import logical, query
 
 _L = "l(label, ord) as (select unnest([" + ", ".join(f"'{x}'" for x in C.LABELS) + f"]), unnest(range(0, {len(C.LABELS)})))"
 #: likelihoods as SQL
@@ -160,19 +160,28 @@ def b_score_quiz(choices, beliefs, answers):
     return B.score_quiz(answers.withColumnRenamed("key", "learner_id"), _items(choices, beliefs)).withColumns({c: F.round(c, 6) for c in ("if_active", "if_not")})
 
 
+# an order is an answer: its shipments' dates and flags name the candidates, the cues and the finding
+logical("mm_lines", "lineitem", sql="select l_orderkey key, case l_partkey % 4 when 0 then 'M01' when 1 then 'M08' when 2 then 'M06' else 'M07' end label, l_discount strength, l_tax > 0.04e0 hedged, l_linenumber ln, l_suppkey from {lineitem}")
+logical("mm_answers", "mm_lines", sql="select key, case min(l_suppkey) % 4 when 0 then 'M01' when 1 then 'M06' when 2 then 'D05' end found, count(*) filter (where hedged) hedges, min(l_suppkey) % 7 = 0 is_correct, min(l_suppkey) % 5 = 0 needs_probe from {mm_lines} group by key")
+
+
 @query(
     "b_fuse_multimodal",
-    "lineitem",
-    sql="""with c as (select l_orderkey key, l_shipmode_ label, sum(l_quantity) p, case when min(l_linenumber) % 3 = 0 then true when min(l_linenumber) % 3 = 1 then false end agrees from (select *, l_returnflag || l_linestatus l_shipmode_ from lineitem) group by 1, 2),
-w as (select l_orderkey key, l_returnflag || l_linestatus label, product(1 + 0.5e0 * l_discount) * (1 - least(0.15e0, 0.05e0 * sum(case when l_tax > 0.04e0 then 1 else 0 end))) w from lineitem group by 1, 2),
-m as (select c.key, c.label, p * case when agrees then 3e0 when not agrees then 0.2e0 else 1e0 end * w m from c join w on w.key = c.key and w.label = c.label), q as (select key, label, m / sum(m) over (partition by key) p from m),
-r as (select *, row_number() over (partition by key order by p desc, label) rn from q) select key, label, round(p, 6) p, max(case when rn = 1 then p end) over (partition by key) - coalesce(max(case when rn = 2 then p end) over (partition by key), 0) < 0.15e0 ambiguous from r""",
+    "mm_lines",
+    "mm_answers",
+    sql="""with a as (select * from mm_answers where not is_correct), c as (select key, label, case when count(*) > 1 then count(*) / 4e0 else 1e0 end w from mm_lines where key in (select key from a) group by 1, 2),
+k as (select c.key, c.label, w * case when found is null then 1e0 when found = c.label then 3e0 when (c.key, found) in (select key, label from c) then 0.2e0 else 1e0 end w from c join a on a.key = c.key union all select key, found, 2e0 from a where found is not null and (key, found) not in (select key, label from c)),
+u as (select key, label, product(1 + 0.5e0 * strength) m from mm_lines group by 1, 2), q as (select k.key, k.label, w * coalesce(m, 1) / sum(w * coalesce(m, 1)) over (partition by k.key) p from k left join u on u.key = k.key and u.label = k.label),
+r as (select q.*, row_number() over (partition by q.key order by round(p, 12) desc, label)::int "rank" from q), t as (select r.*, hedges, max(case when "rank" = 1 then p end) over (partition by r.key) p1, max(case when "rank" = 2 then p end) over (partition by r.key) p2, needs_probe or coalesce(round(p1 - p2, 12) < 0.15e0, false) amb from r join a on a.key = r.key),
+st as (select key, string_agg(distinct label, '|' order by label) s from c group by 1)
+select t.key, label, round(p, 6) p, "rank", case when amb then 'ambiguous' else 'confident' end status, round(greatest(0.4e0, p1 - least(0.15e0, hedges * 0.08e0)), 6) top_p, case when amb then case when "rank" <= 2 then 0.48e0 end when "rank" = 1 then round(round(p, 12), 2) end shown_p, case when amb then case s when 'M01|M08' then 'T1' when 'M06|M07' then 'T3' end end twin_set from t left join st on st.key = t.key
+union all select key, 'CORRECT', 0.95e0, 1, 'correct', 0.95e0, 0.95e0, null from mm_answers where is_correct""",
 )
-def b_fuse_multimodal(lineitem):
-    rows = lineitem.withColumn("label", F.concat("l_returnflag", "l_linestatus")).withColumnRenamed("l_orderkey", "key")
-    low = F.min("l_linenumber") % 3
-    candidates = rows.groupBy("key", "label").agg(F.sum("l_quantity").alias("p"), F.when(low == 0, True).when(low == 1, False).alias("agrees"))
-    return B.fuse_multimodal(candidates, rows.select("key", "label", F.col("l_discount").alias("strength"), (F.col("l_tax") > 0.04).alias("hedged"))).withColumn("p", F.round("p", 6))
+def b_fuse_multimodal(mm_lines, mm_answers):
+    n = F.count(F.lit(1))
+    candidates = mm_lines.groupBy("key", "label").agg(F.when(n > 1, n / 4).alias("prior"))
+    out = B.fuse_multimodal(candidates, mm_answers, mm_lines.select("key", "label", "strength"))
+    return out.withColumns({"shown_p": F.round(F.round("shown_p", 12), 2), **{c: F.round(c, 6) for c in ("p", "top_p")}})
 
 
 @query("b_rank_contributions", "lineitem", sql="with p as (select l_orderkey key, l_returnflag label, l_linenumber::varchar feature, sum(l_discount - 0.03e0) v from lineitem group by 1, 2, 3), q as (select * from p where round(v, 9) > 0) select key, label, feature, round(v, 6) \"value\", round(v / sum(v) over (partition by key, label), 6) share, row_number() over (partition by key, label order by round(v, 9) desc, feature)::int \"rank\" from q qualify row_number() over (partition by key, label order by round(v, 9) desc, feature) <= 3")

@@ -8,7 +8,9 @@ from .registry import logical, query
 
 logical("exam_log", "attempts", sql="select learner_id exam_id, sector, row_number() over (partition by learner_id order by ts, attempt_id) seq, attempt_id item_id, difficulty, passed = total passed, learner_id % 4 = 0 bonus, case when passed = total then 'pass' when passed * 2 < total then 'skip' else 'fail' end outcome, problem_id from {attempts}")
 logical("sessions", "responses", sql="select learner_id exam_id, class, round(0.05e0 + avg(case when correct then 0.2e0 else 0.7e0 end), 6) p, count(*) % 2 = 0 covered, 1200e0 + (learner_id % 9) * 50e0 theta from {responses} group by learner_id, class")
-logical("states", "responses", sql="select learner_id exam_id, class, count(*) > 8 tested, case count(*) % 5 when 0 then 'STABLE' when 1 then 'MASTERED' when 2 then 'ACTIVE' else 'UNSEEN' end before, case when min(seq) % 3 = 0 then 'RELAPSED' else 'ACTIVE' end after, (count(*) * 13 % 100) / 100e0 p from {responses} group by learner_id, class")
+logical("states", "responses", sql="select learner_id exam_id, class, count(*) % 4 <> 1 tested, case when count(*) % 9 = 4 then 'T1' end ambiguous, case count(*) % 5 when 0 then 'STABLE' when 1 then 'MASTERED' when 2 then 'ACTIVE' else 'UNSEEN' end state0, case when min(seq) % 5 = 0 then 'RELAPSED' when min(seq) % 5 = 1 then 'MASTERED' else 'ACTIVE' end state, (count(*) * 7 % 100) / 100e0 p0, (count(*) * 13 % 100) / 100e0 p from {responses} group by learner_id, class")
+logical("trial_log", "attempts", sql="select learner_id exam_id, row_number() over (partition by learner_id order by ts, attempt_id) seq, sector, attempt_id item_id, case when passed = total then 'pass' when passed * 2 < total then 'skip' else 'fail' end outcome, case when difficulty = 3 then 'OTHER' else top end top, top_p, latent asked from {attempts}")
+
 
 _ELO = """recursive with o as (select *, row_number() over (partition by exam_id, sector order by seq) rn from exam_log), f as (select exam_id, sector, rn, seq, t + 40 * (passed::int - 1 / (1 + pow(10e0, (1000 + 200 * difficulty - t) / 400))) theta from (select *, 1300e0 + case when bonus then 100e0 else 0e0 end t from o where rn = 1)
   union all select o.exam_id, o.sector, o.rn, o.seq, theta + 40 * (passed::int - 1 / (1 + pow(10e0, (1000 + 200 * difficulty - theta) / 400))) from f join o on o.exam_id = f.exam_id and o.sector = f.sector and o.rn = f.rn + 1)"""
@@ -67,8 +69,10 @@ def x_eligible(exam_log):
     return X.eligible(c, s)
 
 
-_FIND = """s as (select *, case when not tested then 'NOT_TESTED' when before in ('STABLE', 'MASTERED') then case when after = 'RELAPSED' then 'RELAPSED' else 'HELD' end when p >= 0.7 and before = 'UNSEEN' then 'NEW' when p >= 0.3 and p < 0.7 then 'UNCERTAIN' else 'none' end status from states),
-t as (select a.exam_id, a.class, min(b.class) twin from s a join s b on a.exam_id = b.exam_id and a.status = 'UNCERTAIN' and b.status in ('NEW', 'RELAPSED') and (least(a.class, b.class), greatest(a.class, b.class)) in (('D01', 'M03')) group by 1, 2), fi as (select s.exam_id, s.class, status, twin from s left join t on t.exam_id = s.exam_id and t.class = s.class)"""
+_FIND = """s as (select *, case when not tested and ambiguous is null then 'NOT_TESTED' when state = 'RELAPSED' then 'RELAPSED' when state = 'MASTERED' then 'HELD' when (state0 = 'UNSEEN' or p0 <= 0.3e0) and p >= 0.5e0 then 'NEW' when ambiguous is not null or (p >= 0.3e0 and p <= 0.7e0) then 'UNCERTAIN' end status from states),
+tw(k, x, y) as (values ('T1', 'M01', 'M08'), ('T2', 'M02', 'M07'), ('T4', 'M03', 'M05'), ('T6', 'D02', 'M02'), ('T7', 'D05', 'D06'), ('T9', 'D01', 'M03')),
+t as (select a.exam_id, a.class, min(k) twin from s a join s b on a.exam_id = b.exam_id and a.status = 'UNCERTAIN' and b.status = 'UNCERTAIN' join tw on (x = a.class and y = b.class) or (x = b.class and y = a.class) group by 1, 2),
+fi as (select s.exam_id, s.class, status, coalesce(ambiguous, twin) twin from s left join t on t.exam_id = s.exam_id and t.class = s.class where status is not null)"""
 
 
 @query("x_findings", "states", sql=f"with {_FIND} select * from fi")
@@ -94,9 +98,33 @@ def x_exam_report(exam_log, states):
     return r.select("exam_id", F.size("sectors").alias("n_sectors"), F.aggregate("sectors", F.lit(0).cast("long"), lambda a, s: a + s["passed"]).alias("n_passed"), F.when(F.col("findings").isNotNull(), F.size("findings")).alias("n_findings"))
 
 
-@query("x_trial_debrief", "exam_log", sql="recursive with f as (select exam_id, 0::bigint seq, 1300 r from exam_log group by 1 union all select l.exam_id, l.seq, greatest(1100, r + case outcome when 'pass' then 40 when 'fail' then -30 else -20 end) from f join exam_log l on l.exam_id = f.exam_id and l.seq = f.seq + 1), g as (select exam_id, round(100 * avg((outcome = 'pass')::int), 4) score_pct, coalesce(string_agg(distinct sector, ',' order by sector) filter (outcome <> 'pass'), '') weak from exam_log group by 1) select g.exam_id, (select max_by(r, seq) from f where f.exam_id = g.exam_id)::int rating, score_pct, weak from g")
-def x_trial_debrief(exam_log):
-    return X.trial_debrief(exam_log)
+@query("x_starting_p", "states", sql="select exam_id, class, case when tested then p0 when class in ('D01', 'D05') and state0 = 'UNSEEN' then 0.15e0 else 0.1e0 end p0 from states")
+def x_starting_p(states):
+    return X.starting_p(states.select("exam_id", "class", F.when(F.col("tested"), F.col("p0")).alias("p_active"), F.col("state0").alias("state"))).select("exam_id", "class", "p0")
+
+
+_TRIAL = """f as (select exam_id, sector, 0::bigint rn, 1400 r from trial_log group by 1, 2 union all select o.exam_id, o.sector, o.rn, case outcome when 'pass' then r + 40 when 'fail' then greatest(1100, r - 30) else greatest(1100, r - 20) end from f join o on o.exam_id = f.exam_id and o.sector = f.sector and o.rn = f.rn + 1),
+ts as (select f.exam_id, f.sector, n items, passed, r rating_after from f join (select exam_id, sector, count(*) n, count(*) filter (outcome = 'pass') passed from o group by 1, 2) c on c.exam_id = f.exam_id and c.sector = f.sector and c.n = f.rn),
+tc as (select *, case when outcome = 'skip' then coalesce(asked, 'M01') when top in ('CORRECT', 'OTHER') then case when outcome = 'fail' then coalesce(asked, 'M01') end else top end class from trial_log),
+tf as (select exam_id, class, case when outcome = 'skip' then 'UNRESOLVED' else 'ACTIVE' end status, case when outcome = 'skip' then 0.7e0 else top_p end p_active, item_id, sector from tc where class is not null qualify row_number() over (partition by exam_id, class order by seq) = 1)"""
+_TRIAL = "recursive with o as (select *, row_number() over (partition by exam_id, sector order by seq) rn from trial_log), " + _TRIAL
+
+
+@query("x_trial_sectors", "trial_log", sql=_TRIAL + " select exam_id, sector, items, passed, 1400 rating_before, rating_after from ts")
+def x_trial_sectors(trial_log):
+    return X.trial_sectors(trial_log).withColumn("items", F.size("items").cast("long"))
+
+
+@query("x_trial_findings", "trial_log", sql=_TRIAL + " select * from tf")
+def x_trial_findings(trial_log):
+    return X.trial_findings(trial_log)
+
+
+@query("x_trial_debrief", "trial_log", sql=_TRIAL + """, e as (select exam_id, count(*) items_total, count(*) filter (outcome = 'pass') items_passed from trial_log group by 1), rv as (select exam_id, string_agg(sector, ',' order by sector) review from (select exam_id, sector from ts where passed = 0 union select exam_id, sector from tf) group by 1)
+select e.exam_id, items_total, items_passed, round_even(100 * items_passed / items_total::double, 0)::int score_pct, (select count(*) from ts where ts.exam_id = e.exam_id) n_sectors, (select count(*) from tf where tf.exam_id = e.exam_id) n_findings, coalesce(review, '') review from e left join rv on rv.exam_id = e.exam_id""")
+def x_trial_debrief(trial_log):
+    out = X.trial_debrief(trial_log)
+    return out.select("exam_id", "items_total", "items_passed", "score_pct", F.size("sectors").cast("long").alias("n_sectors"), F.size("findings").cast("long").alias("n_findings"), F.array_join("review", ",").alias("review"))
 
 
 @query("x_attach_remediation", "states", sql=f"with {_FIND}, h as (select distinct exam_id, class from fi where status in ('NEW', 'RELAPSED')) select exam_id, class, case class when 'M01' then 'loops' when 'D05' then 'recursion' else 'REVIEW' end advice from h union all select distinct exam_id, null, 'MASTERY' from fi where exam_id not in (select exam_id from h)")

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..operators import knowledge as K
-from .registry import query
+from .registry import logical, query
 
 #: the ratios of an answer, as SQL
-_RATIOS = """g as (select *, case kind when 'trap' then 0.15e0 when 'transfer_code' then 0.30e0 when 'belief_mcq' then 0.2e0 when 'ghost' then 0.25e0 when 'same_family_code' then 0.45e0 end g0,
-  case kind when 'trap' then 0.10e0 when 'transfer_code' then 0.15e0 when 'belief_mcq' then 0.10e0 when 'ghost' then 0.15e0 when 'same_family_code' then 0.10e0 end s from responses),
+_RATIOS = """g as (select *, case kind when 'trap' then 0.15e0 when 'predict_output' then 0.2e0 when 'transfer_code' then 0.30e0 when 'belief_mcq' then 0.2e0 when 'ghost' then 0.25e0 when 'same_family_code' then 0.45e0 end g0,
+  case kind when 'trap' then 0.10e0 when 'predict_output' then 0.10e0 when 'transfer_code' then 0.15e0 when 'belief_mcq' then 0.10e0 when 'ghost' then 0.15e0 when 'same_family_code' then 0.10e0 end s from responses),
 h as (select *, case when hint and g0 is not null then least(0.9e0, g0 + 0.2e0) else g0 end gg from g),
 r as (select *, case when correct then gg else 1 - gg end a, case when correct then 1 - s else s end n from h)"""
 _FOLD = f"""recursive with {_RATIOS},
@@ -59,7 +59,7 @@ f as (select distinct learner_id, class, 0::bigint rn, 0.1e0::double p, 'UNSEEN'
     from (select *, case when kind = 'ghost' and state in ('STABLE', 'MASTERED') then 1 - (1 - p) * pow(0.95e0, levels) else p end q
       from (select learner_id, class, rn, kind, correct, a, n, levels, counts, seen, case when begun = 'TREATING' then p * 0.65e0 else p end p, case when begun = 'TREATING' then 'PROBATION' else begun end state, trap and begun <> 'TREATING' trap, transfer and begun <> 'TREATING' transfer
         from (select o.learner_id, o.class, o.rn, o.kind, o.correct, o.a, o.n, o.levels, f.p, f.seen, f.trap, f.transfer, list_contains(tf.fs, o.family) counts,
-            case when f.state in ('ACTIVE', 'RELAPSED') and o.kind in ('trap', 'transfer_code', 'same_family_code', 'intervention_done') then 'TREATING' else f.state end begun
+            case when f.state in ('ACTIVE', 'RELAPSED') and o.kind in ('trap', 'transfer_code', 'same_family_code', 'predict_output', 'intervention_done') then 'TREATING' else f.state end begun
           from f join o on o.learner_id = f.learner_id and o.class = f.class and o.rn = f.rn + 1 join tf on tf.c = o.class)))))"""
 
 
@@ -71,6 +71,15 @@ def k_mastery_fold(responses):
 _END = "e as (select learner_id, class, p p_active, state, seen times_seen, trap trap_passed, transfer transfer_passed from f qualify row_number() over (partition by learner_id, class order by rn desc) = 1)"
 
 
+# predicted outputs: those that the class's belief names are traps, the others plain questions
+logical("belief_responses", "responses", sql="select learner_id, class, seq, ts, case when kind in ('trap', 'ghost') then 'predict_output' else kind end kind, correct, hint, levels, family, item_id, kind = 'trap' in_belief from {responses}")
+
+
+@query("k8_belief_traps", "belief_responses", sql=_MASTERY.replace("from responses)", "from (select * replace (case when kind = 'predict_output' and in_belief then 'trap' else kind end as kind) from belief_responses))") + " select learner_id, class, round(p, 6) p_active, state, seen times_seen, trap trap_passed, transfer transfer_passed from f qualify row_number() over (partition by learner_id, class order by rn desc) = 1")
+def k8_belief_traps(belief_responses):
+    return K.mastery_fold(belief_responses).select("learner_id", "class", F.round("p_active", 6).alias("p_active"), "state", "times_seen", "trap_passed", "transfer_passed")
+
+
 @query("k_reassess_conditions", "responses", sql=_MASTERY + f", {_END} select learner_id, class, 'p_active' id, p_active < 0.15e0 met, printf('%.2f', p_active) detail from e union all select learner_id, class, 'trap', trap_passed, '' from e union all select learner_id, class, 'transfer', transfer_passed, '' from e")
 def k_reassess_conditions(responses):
     return K.reassess_conditions(K.mastery_fold(responses))

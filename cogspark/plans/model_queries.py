@@ -56,9 +56,9 @@ def m7_novelty_distance(embeddings):
     return _R(M.novelty_distance(M.knn_join(v, v, "vec_id"), "vec_id"), "knn_dist")
 
 
-@query("m8_assess_novelty", "predictions", sql="select id, conf > 0.9 or (conf < 0.5 and id % 3 <> 0) abstain from predictions")
+@query("m8_assess_novelty", "predictions", sql="select id, conf > 0.9 or id % 7 >= 5 or (conf < 0.5 and id % 3 <> 0) abstain from predictions")
 def m8_assess_novelty(predictions):
-    rows = predictions.select("id", F.col("conf").alias("knn_dist"), F.col("conf").alias("p1"), F.when(F.col("id") % 3 == 0, "T1").alias("twin_set"))
+    rows = predictions.select("id", F.col("conf").alias("knn_dist"), F.col("conf").alias("p1"), (F.col("id") % 7 / 10.0).alias("p_other"), F.when(F.col("id") % 3 == 0, "T1").alias("twin_set"))
     return M.assess_novelty(rows, 0.9, 0.5).select("id", "abstain")
 
 

@@ -120,7 +120,7 @@ def r_trace_features(per_test, test_events):
     return _R(R.trace_features(per_test, test_events, ref, ["step_cap", "oob_eq_n"]), "pass_fraction", "mean_delta", "early_share")
 
 
-@query("r_branch_features", "per_test", sql="with s as (select attempt_id, line, sum(passed::int) t, sum((not passed)::int) f from per_test group by 1, 2), b as (select line, sum(passed::int) t, sum((not passed)::int) f from per_test group by 1 having sum(passed::int) > 0 and sum((not passed)::int) > 0) select attempt_id, max((s.f = 0 and s.t > 0)::int) always, max((s.t = 0 and s.f > 0)::int) never from s join b using (line) group by 1")
+@query("r_branch_features", "per_test", sql="with s as (select attempt_id, line, sum(passed::int) t, sum((not passed)::int) f from per_test group by 1, 2), v as (select count(*) > 0 v from (select line from per_test group by 1 having sum(passed::int) > 0 and sum((not passed)::int) > 0)) select attempt_id, max((v and f = 0 and t >= 2)::int) always, max((v and t = 0 and f >= 2)::int) never, min(line) filter (v and f = 0 and t >= 2) always_line, min(line) filter (v and t = 0 and f >= 2) never_line from s, v group by 1")
 def r_branch_features(per_test):
     rows = per_test.select("attempt_id", "line", F.col("passed").cast("int").alias("t"), (~F.col("passed")).cast("int").alias("f"))
     return R.branch_features(rows, rows)
@@ -131,9 +131,17 @@ def a6_counters(per_test):
     return R.counters(per_test.withColumn("m", F.create_map(F.concat(F.lit("line"), "line"), F.col("iterations").cast("long"))), "m")
 
 
-@query("r_relation_features", "per_test", sql="with b as (select * from per_test where abs(got - want) > 1e-9) select attempt_id, count(*) failed, round(avg((abs(abs(got - want) - 1) <= 1e-9)::int), 6) off_by_one, round(avg((abs(got) <= 1e-9)::int), 6) zero, round(avg((abs(got - floor(want)) <= 1e-9)::int), 6) floored, round(avg((abs(got + want) <= 1e-9)::int), 6) negated, round(avg((abs(got - 2 * want) <= 1e-9)::int), 6) doubled, 0::double missing from b group by 1")
-def r_relation_features(per_test):
-    return _R(R.relation_features(per_test), "off_by_one", "zero", "floored", "negated", "doubled", "missing")
+# numbers below zero, fractions, and values near one that was never written; arrays of three items are made from `mid` and `form`
+logical("outputs", "lines", sql="select l_orderkey attempt_id, rn test, case l_suppkey % 5 when 0 then w when 1 then w + 1 when 2 then 0e0 when 3 then -858993460e0 + rn else cast(l_linenumber as double) end got, w + case when l_partkey % 2 = 0 then 0.5e0 * sign(w) else 0e0 end want, cast(l_linenumber as double) arg, cast(l_suppkey % 3 as double) mid, l_partkey % 3 form from (select *, round(l_extendedprice / 10000, 0) - 4 w from {lines})")
+
+
+@query("r_relation_features", "outputs", sql="""with b as (select *, [1, mid, 3] items, case form when 0 then [1, mid, 3] when 1 then [mid, 3, 3] else [3, 2, 1] end ar, [3, mid, 1] wa from outputs where abs(got - want) > 1e-9)
+select attempt_id, count(*) failed, round(avg((abs(abs(got - want) - 1) <= 1e-9)::int), 6) off_by_one, round(avg((got = 0 and want <> 0)::int), 6) zero, round(avg((abs(got - trunc(want)) <= 1e-9 and want <> trunc(want))::int), 6) floored, round(avg((abs(got + 858993460) <= 1000000)::int), 6) garbage, round(avg((got = arg or got = 3)::int), 6) top_frame, round(avg((ar = items and wa <> items)::int), 6) unchanged, round(avg((ar = [items[2], items[3], items[3]] or ar = [items[2], items[3], items[2]])::int), 6) shifted from b group by 1""")
+def r_relation_features(outputs):
+    a = lambda *x: F.array(*[F.lit(float(y)) if isinstance(y, int) else F.col(y) for y in x])
+    array = F.when(F.col("form") == 0, a(1, "mid", 3)).when(F.col("form") == 1, a("mid", 3, 3)).otherwise(a(3, 2, 1))
+    rows = outputs.select("attempt_id", "test", "got", "want", a("arg").alias("args"), a(1, "mid", 3).alias("items"), array.alias("array"), a(3, "mid", 1).alias("want_array"))
+    return _R(R.relation_features(rows), "off_by_one", "zero", "floored", "garbage", "top_frame", "unchanged", "shifted")
 
 
 @query("r_reference_relations", "per_test", sql="with b as (select * from per_test where abs(got - want) > 1e-9), o as (select distinct test, 't' || (l_suppkey % 3) tr, want out from per_test), n as (select attempt_id, count(*) n from b group by 1), h as (select attempt_id, tr, count(distinct b.test) k from b join o on o.test = b.test and abs(b.got - o.out) <= 1e-9 group by 1, 2) select attempt_id, tr transform, round(k / n, 6) share from h join n using (attempt_id)")

@@ -12,17 +12,23 @@ from cogspark.functions import constants as C
 from cogspark.operators import bayes as B
 from cogspark.operators import curate as D
 from cogspark.operators import evaluate as E
+from cogspark.operators import exam as X
 from cogspark.operators import graph as G
 from cogspark.operators import knowledge as K
 from cogspark.operators import models as M
 from cogspark.operators import quality as Q
 from cogspark.operators import text as T
+from cogspark.operators import traces as R
 
 
 def one(df):
     return df.collect()[0]
 
 
+def close(a, b):
+    return a == pytest.approx(b, abs=1e-9)
+
+
 def test_likelihood_ratio_keeps_p_without_evidence(spark):
     r = one(spark.range(1).select(L.likelihood_ratio(F.lit(0.3), F.lit(0.0), F.lit(0.0)).alias("a"), L.likelihood_ratio(F.lit(0.5), F.lit(0.6), F.lit(0.2)).alias("b")))
     assert r["a"] == 0.3 and r["b"] == pytest.approx(0.75)
@@ -240,3 +246,69 @@ def test_embedding_queries_use_all_components(spark, monkeypatch):
     monkeypatch.setattr(M, "adversarial_auc", lambda rows, features, *a: asked.append(features) or rows.select(F.lit(1.0).alias("auroc")))
     model_queries.q8_shift(df)
     assert asked == [[f"x{i}" for i in range(64)]]
+
+
+def test_findings_follow_the_report_rules(spark):
+    cols = "exam_id int, class string, tested boolean, ambiguous string, state0 string, state string, p0 double, p double"
+    rows = [
+        (1, "M01", False, None, "UNSEEN", "UNSEEN", 0.1, 0.1),  # not tested
+        (1, "M02", True, None, "ACTIVE", "RELAPSED", 0.9, 0.2),  # relapsed whatever was before
+        (1, "M03", True, None, "ACTIVE", "MASTERED", 0.9, 0.05),
+        (1, "M04", True, None, "UNSEEN", "ACTIVE", 0.9, 0.5),  # new: unseen before
+        (1, "M05", True, None, "ACTIVE", "ACTIVE", 0.3, 0.9),  # new: unlikely before
+        (1, "M06", True, None, "ACTIVE", "ACTIVE", 0.9, 0.7),  # both edges of the band are uncertain
+        (1, "M07", True, None, "ACTIVE", "ACTIVE", 0.9, 0.3),
+        (1, "M08", True, None, "ACTIVE", "ACTIVE", 0.9, 0.95),  # nothing to report
+        (1, "D05", False, "T7", "UNSEEN", "UNSEEN", 0.1, 0.1),  # left open by the answers
+        (2, "M07", True, None, "ACTIVE", "ACTIVE", 0.9, 0.5),  # its twins are certain here
+    ]
+    got = {(r["exam_id"], r["class"]): (r["status"], r["twin"]) for r in X.findings(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {(1, "M01"): ("NOT_TESTED", None), (1, "M02"): ("RELAPSED", None), (1, "M03"): ("HELD", None), (1, "M04"): ("NEW", None), (1, "M05"): ("NEW", None), (1, "M06"): ("UNCERTAIN", "T3"), (1, "M07"): ("UNCERTAIN", "T3"), (1, "D05"): ("UNCERTAIN", "T7"), (2, "M07"): ("UNCERTAIN", None)}
+    start = X.starting_p(spark.createDataFrame([("D01", None, "UNSEEN"), ("D01", None, "ACTIVE"), ("M01", None, "UNSEEN"), ("D02", 0.4, "UNSEEN"), ("D03", None, None)], "class string, p_active double, state string")).collect()
+    assert [r["p0"] for r in start] == [0.15, 0.1, 0.1, 0.4, 0.15]
+
+
+def test_trial_debrief_rates_each_sector(spark):
+    cols = "exam_id int, seq int, sector string, item_id string, outcome string, top string, top_p double, asked string"
+    rows = [(1, i, "arrays", f"A{i}", "fail", "OTHER", 0.5, None) for i in range(11)]  # 1400 - 11 * 30 stops at 1100
+    rows += [(1, 20, "arrays", "A20", "pass", "CORRECT", 0.9, None), (1, 21, "sorting", "S1", "pass", "D03", 0.75, "D03"), (1, 22, "strings", "T1", "skip", None, None, "D08"), (1, 23, "searching", "B1", "pass", "CORRECT", 0.95, "D01")]
+    log = spark.createDataFrame(rows, cols)
+    assert {r["sector"]: (r["passed"], r["rating_before"], r["rating_after"]) for r in X.trial_sectors(log).collect()} == {"arrays": (1, 1400, 1140), "sorting": (1, 1400, 1440), "strings": (0, 1400, 1380), "searching": (1, 1400, 1440)}
+    assert {(r["class"], r["status"], r["p_active"], r["item_id"]) for r in X.trial_findings(log).collect()} == {("M01", "ACTIVE", 0.5, "A0"), ("D03", "ACTIVE", 0.75, "S1"), ("D08", "UNRESOLVED", 0.7, "T1")}
+    r = one(X.trial_debrief(log))
+    assert (r["items_total"], r["items_passed"], r["score_pct"], r["review"]) == (15, 3, 20, ["arrays", "sorting", "strings"])
+
+
+def test_fusion_of_evidence(spark):
+    c = spark.createDataFrame([(1, "M01", None), (1, "M08", None), (2, "M06", 0.5), (2, "M07", 0.5), (3, "M01", None), (4, "M01", None)], "key int, label string, prior double")
+    a = spark.createDataFrame([(1, "M01", 3, False, False), (2, None, 0, False, False), (3, "D05", 1, False, False), (4, None, 0, True, False)], "key int, found string, hedges int, is_correct boolean, needs_probe boolean")
+    cues = spark.createDataFrame([(1, "M08", 0.8), (1, "D01", 1.0)], "key int, label string, strength double")
+    got = {(r["key"], r["label"]): r for r in B.fuse_multimodal(c, a, cues).collect()}
+    p = 3 / (3 + 0.2 * 1.4)
+    assert close(got[1, "M01"]["p"], p) and close(got[1, "M01"]["top_p"], p - 0.15) and got[1, "M01"]["status"] == "confident" and got[1, "M08"]["shown_p"] is None
+    assert got[2, "M06"]["status"] == "ambiguous" and got[2, "M07"]["shown_p"] == 0.48 and got[2, "M06"]["twin_set"] == "T3" and close(got[2, "M06"]["top_p"], 0.5)
+    assert close(got[3, "D05"]["p"], 2 / 3) and close(got[3, "M01"]["p"], 1 / 3)
+    assert got[4, "CORRECT"]["p"] == 0.95 and (4, "M01") not in got
+
+
+def test_predicted_output_that_a_belief_names_is_a_trap(spark):
+    cols = "learner_id int, class string, seq int, ts int, kind string, correct boolean, hint boolean, levels int, family string, item_id string, in_belief boolean"
+    rows = [(k, "M01", i, i, kind, kind != "signature_failure", False, 0, "count_loop", f"I{i}", k == 1) for k in (1, 2) for i, kind in enumerate(["signature_failure"] * 3 + ["intervention_start", "predict_output"])]
+    got = {r["learner_id"]: r["trap_passed"] for r in K.mastery_fold(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_novelty_and_trace_rules(spark):
+    rows = spark.createDataFrame([(1, 0.1, 0.9, 0.5, None), (2, 0.1, 0.9, 0.49, None), (3, 0.1, 0.2, 0.1, "T1"), (4, 0.1, 0.2, 0.1, None), (5, 2.0, 0.9, 0.0, "T1")], "id int, knn_dist double, p1 double, p_other double, twin_set string")
+    assert [r["abstain"] for r in M.assess_novelty(rows, 1.0, 0.5).orderBy("id").collect()] == [True, False, False, True, True]
+    b = spark.createDataFrame([(1, 5, 2, 0), (2, 5, 1, 0), (3, 6, 0, 3), (4, 6, 2, 2)], "attempt_id int, line int, t int, f int")
+    ref = spark.createDataFrame([(9, 1, 1), (5, 3, 0)], "line int, t int, f int")
+    got = {r["attempt_id"]: tuple(r)[1:] for r in R.branch_features(b, ref).collect()}
+    assert got == {1: (1, 0, 5, None), 2: (0, 0, None, None), 3: (0, 1, None, 6), 4: (0, 0, None, None)}
+    assert {tuple(r)[1:3] for r in R.branch_features(b, ref.filter("line = 5")).collect()} == {(0, 0)}
+    out = spark.createDataFrame([(1, 1, -2.0, -2.5, [7.0]), (1, 2, -3.0, -2.5, [7.0]), (1, 3, -858993400.0, 4.0, [7.0]), (1, 4, 3.0, 9.0, [23.0])], "attempt_id int, test int, got double, want double, args array<double>")
+    r = one(R.relation_features(out))
+    assert (r["failed"], r["floored"], r["garbage"], r["top_frame"], r["unchanged"]) == (4, 0.25, 0.25, 0.25, 0.0)
+    arrays = spark.createDataFrame([(1, 1, None, None, [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]), (1, 2, None, None, [1.0, 2.0, 3.0], [2.0, 3.0, 3.0], [2.0, 3.0, 1.0]), (1, 3, None, None, [1.0], [1.0], [1.0])], "attempt_id int, test int, got double, want double, items array<double>, array array<double>, want_array array<double>")
+    r = one(R.relation_features(arrays))
+    assert (r["failed"], r["unchanged"], r["shifted"]) == (2, 0.5, 0.5)
