@@ -86,6 +86,8 @@ CONSTANT_SHARE, KS_D, KS_P, KS_N, EVENT_SHARE, SHIFT_AUC = 0.99, 0.25, 0.01, 20,
 BINS, T_LOW, T_HIGH = 10, 0.5, 5.0
 READER_PRECISION, READER_ACCEPTED, READER_NEVER = 0.90, 10, 1.01
 AUDIT_CONFIDENCE = 0.6
+#: draws with a defined statistic below which there is no interval
+MIN_DRAWS = 100
 EXAM_TIME_LIMIT_S = 1500
 EXAM_DSA_PRIOR = 0.15
 TRIAL_START, TRIAL_PASS, TRIAL_FAIL, TRIAL_SKIP, TRIAL_FLOOR, UNRESOLVED_P = 1400, 40, 30, 20, 1100, 0.70

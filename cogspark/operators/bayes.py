@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import class_eig, tie_key, twin_of
+from ..functions.columns import class_eig, let, tie_key, twin_of
+from .shared import broadcast_if_small
 
 
 def label_order() -> Column:
@@ -59,13 +60,34 @@ def posterior_prior(p0: DataFrame, learner: DataFrame, by=("key",)) -> DataFrame
     return normalise(rows, by, weight).select(*by, "label", "p", "no_mass")
 
 
+def by_label(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
+    """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels. One row a key."""
+    at = label_order()
+    sums = [F.sum(F.when(F.col("__at") == i + 1, F.col("__v"))).alias(f"__{i}") for i in range(len(C.LABELS))]
+    wide = rows.select(*by, at.alias("__at"), value.alias("__v")).groupBy(*by).agg(*sums)
+    return wide.select(*by, F.array(*[F.coalesce(f"__{i}", F.lit(0.0)) for i in range(len(C.LABELS))]).alias("values"))
+
+
+def _of_option(table: DataFrame) -> DataFrame:
+    """The likelihood table with one row an option: (item_id, option, q ARRAY) in the order of labels. Items are few."""
+    return by_label(table, F.col("p"), ("item_id", "option")).withColumnRenamed("values", "q")
+
+
 def posterior_update(prior: DataFrame, answers: DataFrame, table: DataFrame, by=("key",)) -> DataFrame:
-    """prior (key…, label, p), answers (key…, item_id, answer) to the posterior. The order of answers does not matter."""
-    ratio = answers.join(table.withColumnRenamed("option", "answer"), ["item_id", "answer"]).groupBy(*by, "label").agg(F.sum(F.log("p")).alias("l"))
-    rows = prior.withColumnRenamed("p", "__p").join(ratio, [*by, "label"], "left")
+    """prior (key…, label, p), answers (key…, item_id, answer) to the posterior. The order of answers does not matter.
+
+    Sums of logarithms are taken label by label in one row a key, before and after the one shuffle by key.
+    """
+    logs = broadcast_if_small(_of_option(table).select("item_id", F.col("option").alias("answer"), F.transform("q", lambda x: F.log(x)).alias("l")))
+    told = answers.join(logs, ["item_id", "answer"]).groupBy(*by).agg(*[F.sum(F.get("l", F.lit(i))).alias(f"__{i}") for i in range(len(C.LABELS))])
+    told = told.select(*by, F.array(*[F.col(f"__{i}") for i in range(len(C.LABELS))]).alias("l"))
+    rows = by_label(prior, F.greatest("p", F.lit(0.0)), by).join(told, [*by], "left")
     # the largest logarithm of a key is taken away first
-    rows = rows.withColumn("l", F.coalesce("l", F.lit(0.0))).withColumn("l", F.col("l") - F.max("l").over(W.partitionBy(*by)))
-    return normalise(rows, by, F.greatest("__p", F.lit(0.0)) * F.exp("l")).select(*by, "label", "p", "no_mass")
+    top = F.array_max("l")
+    w = F.when(F.col("l").isNull(), F.col("values")).otherwise(F.zip_with("values", "l", lambda p, l: p * F.exp(l - top)))
+    rows = rows.select(*by, w.alias("w")).withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    out = F.transform("w", lambda x, i: F.struct(F.get(F.lit(C.LABELS), i).alias("label"), F.when(F.col("t") > 0, x / F.col("t")).otherwise(0.0).alias("p")))
+    return rows.select(*by, (F.col("t") <= 0).alias("no_mass"), F.inline(out)).select(*by, "label", "p", "no_mass")
 
 
 def apply_text(posterior: DataFrame, by=("key",)) -> DataFrame:
@@ -85,13 +107,17 @@ def entropy(p: Column) -> Column:
 
 
 def item_eig(posterior: DataFrame, asks: DataFrame, table: DataFrame, by=("key",)) -> DataFrame:
-    """Bits that each item is expected to give. asks: (key…, item_id) candidates."""
-    joint = asks.join(posterior, [*by]).join(table.withColumnRenamed("p", "q"), ["item_id", "label"]).withColumn("j", F.col("p") * F.col("q"))
-    # H(label) - sum over answers of p(a) H(label | a), with p(a) H(label | a) = -sum j log2 j + p(a) log2 p(a)
-    answer = joint.groupBy(*by, "item_id", "option").agg(F.sum("j").alias("pa"), F.sum(entropy(F.col("j"))).alias("h"))
-    after = answer.groupBy(*by, "item_id").agg(F.sum(F.col("h") + F.when(F.col("pa") > 0, F.col("pa") * F.log2("pa")).otherwise(0.0)).alias("after"))
-    base = posterior.groupBy(*by).agg(F.sum(entropy(F.col("p"))).alias("base"))
-    return after.join(base, [*by]).select(*by, "item_id", (F.col("base") - F.col("after")).alias("eig_bits"))
+    """Bits that each item is expected to give. asks: (key…, item_id) candidates.
+
+    A key's posterior is one row, an item's likelihoods are another; the bits are sums within their pair.
+    """
+    items = broadcast_if_small(_of_option(table).groupBy("item_id").agg(F.collect_list("q").alias("qs")))
+    pairs = asks.join(by_label(posterior, F.col("p"), by), [*by]).join(items, "item_id")
+    log = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    # H(label) - sum over answers of p(a) H(label | a), with p(a) H(label | a) = p(a) log2 p(a) - sum j log2 j
+    after = total(F.transform("qs", lambda q: let(F.zip_with("values", q, lambda p, x: p * x), lambda j: log(total(j)) - total(F.transform(j, log)))))
+    return pairs.select(*by, "item_id", (-total(F.transform("values", log)) - after).alias("eig_bits"))
 
 
 def select_probe(posterior: DataFrame, asked: DataFrame, probes: DataFrame, by=("key",)) -> DataFrame:

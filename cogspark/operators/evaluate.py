@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import softmax
+from .shared import running
 
 
 def confusion(pred: DataFrame, by=()) -> DataFrame:
@@ -20,6 +21,16 @@ def confusion(pred: DataFrame, by=()) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by, "truth")))
 
 
+def row_stochastic(pred: DataFrame, labels: list[str]) -> DataFrame:
+    """(truth, pred, p): the share of each prediction for each truth over all labels; a label without rows stands for itself."""
+    grid = pred.sparkSession.createDataFrame([(x,) for x in labels], "truth string")
+    grid = grid.crossJoin(grid.withColumnRenamed("truth", "pred"))  # a vocabulary by itself
+    n = confusion(pred).select("truth", "pred", "share")
+    rows = grid.join(n, ["truth", "pred"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    none = F.sum("share").over(W.partitionBy("truth")) == 0
+    return rows.select("truth", "pred", F.when(none, (F.col("truth") == F.col("pred")).cast("double")).otherwise(F.col("share")).alias("p"))
+
+
 def soft_truth(pred: DataFrame) -> DataFrame:
     """truths MAP label to mass: a prediction that names one with mass counts as that one, else as the heaviest (ties by name)."""
     heavy = F.element_at(F.array_sort(F.transform(F.map_entries("truths"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), 1)["k"]
@@ -99,8 +110,8 @@ def auroc(df: DataFrame, score: str, y: str, by=()) -> DataFrame:
     """(by…, auroc, n): from rank sums over distinct scores, ties at half; null with one class; non-finite scores go."""
     ok = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
     cells = df.filter(ok).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    w = W.partitionBy(*by).orderBy("s") if by else W.partitionBy(F.lit(0)).orderBy("s")
-    cells = cells.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    upto = cells.withColumn("upto", F.sum("neg").over(W.partitionBy(*by).orderBy("s"))) if by else running(cells, "s", upto="neg")
+    cells = upto.withColumn("below", F.col("upto") - F.col("neg"))
     out = cells.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("p") + F.col("q")).alias("n"))
 
@@ -110,24 +121,48 @@ def draws(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
 
     The clusters are numbered in their order; there are as many picks as clusters, and reps times as many rows.
     """
-    numbered = clusters.select(cluster).distinct().withColumn("k", F.row_number().over(W.orderBy(cluster)) - 1)
+    names = clusters.select(cluster).distinct().withColumn("__one", F.lit(1).cast("long"))
+    numbered = running(names, cluster, __k="__one").select(cluster, (F.col("__k") - 1).alias("k"))
     n = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
     picks = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "k", n.alias("n"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    return picks.select("rep", pick.cast("int").alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")).join(numbered, "k").select("rep", cluster, "w")
+    return picks.select("rep", pick.alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")).join(numbered, "k").select("rep", cluster, "w")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, reps: int = 200, seed: int = 42) -> DataFrame:
     """(estimate, lo, hi, n, n_clusters, valid) of a statistic of sums, whole clusters drawn again.
 
-    sums: named aggregates of the rows; statistic: an expression of their names. Undefined draws are left out.
+    sums: named aggregates of the rows; statistic: an expression of their names. Undefined draws are left out; with
+    fewer than MIN_DRAWS others there is no interval.
     """
     cells = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(k) for k, v in sums.items()])
     point = cells.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("n_clusters"), *[F.sum(k).alias(k) for k in sums]).select("n", "n_clusters", statistic.alias("estimate"))
     rows = draws(cells, cluster, reps, seed).join(cells, cluster)
     each = rows.groupBy("rep").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums]).select(statistic.alias("s"))
     ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
-    return point.select("*", ends.select("lo").scalar().alias("lo"), ends.select("hi").scalar().alias("hi"), ends.select("valid").scalar().alias("valid"))
+    return _interval(point, ends)
+
+
+def _interval(point: DataFrame, ends: DataFrame) -> DataFrame:
+    """point with lo, hi and valid of the draws; null ends where too few draws are defined."""
+    enough = lambda c: ends.select(F.when(F.col("valid") >= C.MIN_DRAWS, F.col(c))).scalar().alias(c)
+    return point.select("*", enough("lo"), enough("hi"), ends.select("valid").scalar().alias("valid"))
+
+
+def auroc_interval(df: DataFrame, cluster: str, score: str, y: str, reps: int = 200, seed: int = 42) -> DataFrame:
+    """(estimate, lo, hi, n, n_clusters, valid) of the AUROC, whole clusters drawn again.
+
+    The rows are counted by cluster, score and class once; a draw weights those counts and ranks the distinct scores.
+    """
+    ok = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
+    cells = df.filter(ok).groupBy(cluster, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
+    rows = draws(cells, cluster, reps, seed).join(cells, cluster).groupBy("rep", "s").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+    below = F.sum("neg").over(W.partitionBy("rep").orderBy("s")) - F.col("neg")
+    each = rows.withColumn("below", below).groupBy("rep").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    each = each.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("s"))
+    ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
+    point = auroc(df, score, y).select(F.col("auroc").alias("estimate"), "n", F.lit(None).cast("long").alias("n_clusters")).withColumn("n_clusters", df.agg(F.countDistinct(cluster)).scalar())
+    return _interval(point, ends)
 
 
 #: The distribution function of a Poisson variable of mean 1 at 0 to 6.
@@ -147,7 +182,7 @@ def bootstrap(df: DataFrame, id: str, sums: dict[str, Column], statistic: Column
     each = each.groupBy("rep").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums]).select(statistic.alias("s"))
     ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
     point = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]).select("n", statistic.alias("estimate"))
-    return point.select("*", *[ends.select(c).scalar().alias(c) for c in ("lo", "hi", "valid")])
+    return _interval(point, ends)
 
 
 def t_interval(df: DataFrame, value: str, by) -> DataFrame:
@@ -168,8 +203,7 @@ def risk_coverage(df: DataFrame, distance: str, wrong: str, coverages=tuple(i /
     Rows are counted by distinct distance first, so that what is ordered has a row for each distance.
     """
     cells = df.groupBy(F.col(distance).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("w"))
-    run = W.partitionBy(F.lit(0)).orderBy("d")
-    cells = cells.withColumns({"upto": F.sum("n").over(run), "bad": F.sum("w").over(run), "total": F.sum("n").over(W.partitionBy(F.lit(0)))})
+    cells = running(cells, "d", upto="n", bad="w").withColumn("total", cells.agg(F.sum("n")).scalar())
     at = cells.select("*", F.explode(F.array(*map(F.lit, coverages))).alias("coverage")).withColumn("k", F.greatest(F.lit(1), F.round(F.col("coverage") * F.col("total"))))
     # the border group counts by the share of it that is taken
     inside = at.filter((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
@@ -177,6 +211,25 @@ def risk_coverage(df: DataFrame, distance: str, wrong: str, coverages=tuple(i /
     return inside.select("coverage", F.col("k").cast("long").alias("rows"), risk.alias("risk"))
 
 
+def abstain_report(df: DataFrame, abstain: str, foreign: str, wrong: str) -> DataFrame:
+    """One row: how often rows are abstained from, the share of those that were foreign or wrong, and of foreign rows that are caught."""
+    out, bad = F.col(abstain), F.col(foreign) | F.col(wrong)
+    mean = lambda hit, of: F.avg(F.when(of, hit.cast("double")))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(out.cast("double")).alias("abstained"), mean(bad, out).alias("abstain_precision"), mean(out, F.col(foreign)).alias("foreign_caught"), mean(F.col(wrong), ~out & ~F.col(foreign)).alias("risk_kept"))
+
+
+def threshold_on_grid(df: DataFrame, conf: str, hit: str, precision: float = C.READER_PRECISION, grid=tuple(round(0.05 + i / 100, 2) for i in range(91))) -> DataFrame:
+    """One row: the least value of the grid from which on precision holds, else the grid's last."""
+    cells = df.groupBy(F.least(F.floor(F.round((F.col(conf) - grid[0]) / F.lit(round(grid[1] - grid[0], 6)), 9)), F.lit(len(grid) - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("h"))
+    top = W.partitionBy(F.lit(0)).orderBy(F.desc("k"))  # a row for each value of the grid
+    cells = cells.withColumns({"n": F.sum("n").over(top), "h": F.sum("h").over(top)}).filter("k >= 0 and k is not null")
+    # the first value that takes in the same rows as the least cell that holds
+    held = cells.filter(F.col("h") / F.col("n") >= precision)
+    before = F.coalesce(F.max("k").over(W.partitionBy(F.lit(0)).orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)) + 1
+    first = cells.withColumn("from", before).join(held.select("k"), "k", "left_semi").agg(F.min("from").alias("k"))
+    return first.select(F.coalesce(F.get(F.array(*map(F.lit, grid)), F.col("k").cast("int")), F.lit(grid[-1])).alias("tau"))
+
+
 def threshold_at_precision(df: DataFrame, conf: str, hit: str, precision: float = C.READER_PRECISION, accepted: int = C.READER_ACCEPTED, digits: int = 2) -> DataFrame:
     """One row: the least rounded confidence from which on precision holds with enough rows, else the value for never."""
     cells = df.groupBy(F.round(conf, digits).alias("tau")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("h"))
@@ -202,6 +255,17 @@ def twin_accuracy(df: DataFrame, pairs: dict = C.TWIN_SETS) -> DataFrame:
     return rows.groupBy("twin_set").agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
 
 
+def twin_summary(sets: DataFrame) -> DataFrame:
+    """One row of twin_accuracy's sets: (n, mean_of_sets, micro)."""
+    return sets.agg(F.sum("n").alias("n"), F.avg("accuracy").alias("mean_of_sets"), (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n")).alias("micro"))
+
+
+def answer_rate(pred: DataFrame, by=()) -> DataFrame:
+    """(by…, n, answer_rate, right_when_answers): a null prediction is no answer."""
+    spoke = F.col("pred").isNotNull()
+    return pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(spoke.cast("double")).alias("answer_rate"), F.avg(F.when(spoke, (F.col("pred") == F.col("truth")).cast("double"))).alias("right_when_answers"))
+
+
 def topk_accuracy(df: DataFrame, ks=(1, 3)) -> DataFrame:
     """df: (id, truth, label, p) to (k, accuracy, n): share of rows whose truth is among the k most probable labels."""
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("p"), "label"))
@@ -222,6 +286,18 @@ def rejection_report(pred: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).select("status", "n", "share", "mean_conf")
 
 
+def rejection_errors(pred: DataFrame, k: int = 5) -> DataFrame:
+    """The k classes that out-of-domain rows are most often matched to: (pred, n, rank); ties by name."""
+    n = pred.filter("status = 'matched'").groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "pred").limit(k).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "pred")))
+
+
+def top_confusions(pred: DataFrame, k: int = 10) -> DataFrame:
+    """(truth, pred, n, rank) of the k most frequent mistakes; ties by name."""
+    n = pred.filter("truth <> pred").groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "truth", "pred").limit(k).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "truth", "pred")))
+
+
 def failure_audit(pred: DataFrame, by: list[str], conf: float = C.AUDIT_CONFIDENCE) -> DataFrame:
     """Sure mistakes clustered: (by…, truth, pred, n, first_id)."""
     return pred.filter((F.col("truth") != F.col("pred")) & (F.col("conf") >= conf)).groupBy(*by, "truth", "pred").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
@@ -234,6 +310,11 @@ def robustness(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.groupBy("rewrite").agg(F.count(F.lit(1)).alias("n"), mean(F.col("a") == F.col("b")).alias("unchanged"), mean(F.col("b") == F.col("truth")).alias("acc_before"), mean(F.col("a") == F.col("truth")).alias("acc_after"))
 
 
+def false_alarms(after: DataFrame) -> DataFrame:
+    """(rewrite, n, false_alarm): of rewrites that keep a right program's behaviour, the share that is called something else than CORRECT."""
+    return after.filter(F.col("keeps") & (F.col("truth") == "CORRECT")).groupBy("rewrite").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") != "CORRECT").cast("double")).alias("false_alarm"))
+
+
 def metric_table(rows: DataFrame, names: list[str]) -> DataFrame:
     """(name, split, value) to a row for each name with a column for each split of `names`; means over folds."""
     return rows.groupBy("name").pivot("split", names).agg(F.avg("value"))

@@ -1,10 +1,15 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and broadcasts behind a check of their size."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: What a side that travels to all executors may have: rows, and bytes of its rows as text.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +23,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, to = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """A broadcast hint, if the rows and bytes that are counted are few; without it Spark shuffles the join."""
+    n, width = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (width or 0) <= size else df
+
+
+def running(cells: DataFrame, order: str, **sums: str) -> DataFrame:
+    """Adds running sums over all rows in one order, name=column; rows that are equal in order count in full for each.
+
+    The order is cut into ranges; their totals, of which there are as many as partitions, are added up first, and each
+    range then goes on from what lies before it. No task sees more than its range.
+    """
+    cut = written(cells.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "running")
+    total = cut.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    total = total.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = W.partitionBy("__part").orderBy(order)
+    out = cut.join(F.broadcast(total), F.col("__part") == F.col("__p"))  # a row for each partition
+    return out.withColumns({n: F.col(f"__{n}") + F.sum(c).over(inside) for n, c in sums.items()}).select(*cells.columns, *sums)

@@ -22,10 +22,14 @@ def _items(choices, beliefs):
 
 
 def _p0(orders):
+    """A prior for each order, made and normalised in one row, then one row a label."""
     key = F.col("o_orderkey")
-    rows = B.labels(orders.select(key)).withColumn("w", ((key * 31 + F.col("ord") * 17) % 97 + 1.37))
-    rows = rows.withColumn("masked", (key + F.col("ord")) % 11 == 0).withColumn("active", F.when(F.col("ord") % 3 == 0, ((key * 7 + F.col("ord")) % 50) / 50.0))
-    return B.normalise(rows.withColumn("key", key), ("key",), F.col("w")).select("key", "label", "p", "masked", "active")
+    n = F.lit(len(C.LABELS) - 1)
+    w = orders.select(key.alias("key"), F.transform(F.sequence(F.lit(0), n), lambda i: (key * 31 + i * 17) % 97 + 1.37).alias("w"))
+    w = w.withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    each = w.select("key", "t", F.posexplode("w").alias("ord", "w"))
+    label = F.get(F.lit(C.LABELS), F.col("ord"))
+    return each.select("key", label.alias("label"), (F.col("w") / F.col("t")).alias("p"), ((F.col("key") + F.col("ord")) % 11 == 0).alias("masked"), F.when(F.col("ord") % 3 == 0, ((F.col("key") * 7 + F.col("ord")) % 50) / 50.0).alias("active"))
 
 
 def _posterior(orders, choices, beliefs, answers):

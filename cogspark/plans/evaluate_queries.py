@@ -79,9 +79,9 @@ def e_cluster_bootstrap(predictions):
 _W = " + ".join(f"(u >= {t})::int" for t in E.POISSON)
 
 
-@query("e_bootstrap", "predictions", sql=f"with u as (select rep, conf, (('0x' || substr(md5('42:' || rep || ':' || id), 1, 8))::bigint) / 4294967296e0 u from predictions cross join range(50) r(rep)), s as (select sum(conf * ({_W})) / sum({_W}) s from u group by rep) select (select count(*) from predictions) n, round((select avg(conf) from predictions), 6) estimate, round(quantile_cont(s, 0.025), 6) lo, round(quantile_cont(s, 0.975), 6) hi from s")
+@query("e_bootstrap", "predictions", sql=f"with u as (select rep, conf, (('0x' || substr(md5('42:' || rep || ':' || id), 1, 8))::bigint) / 4294967296e0 u from predictions cross join range(120) r(rep)), s as (select sum(conf * ({_W})) / sum({_W}) s from u group by rep) select (select count(*) from predictions) n, round((select avg(conf) from predictions), 6) estimate, round(quantile_cont(s, 0.025), 6) lo, round(quantile_cont(s, 0.975), 6) hi from s")
 def e_bootstrap(predictions):
-    return _R(E.bootstrap(predictions, "id", {"h": F.col("conf"), "m": F.lit(1.0)}, F.col("h") / F.col("m"), reps=50).select("n", "estimate", "lo", "hi"), "estimate", "lo", "hi")
+    return _R(E.bootstrap(predictions, "id", {"h": F.col("conf"), "m": F.lit(1.0)}, F.col("h") / F.col("m"), reps=120).select("n", "estimate", "lo", "hi"), "estimate", "lo", "hi")
 
 
 @query("e_t_interval", "predictions", sql="with s as (select domain, avg(conf) m, stddev_samp(conf) sd, count(*) n from predictions group by 1) select domain, round(m, 6) mean, round(m - 1.959964e0 * sd / sqrt(n), 6) lo, round(m + 1.959964e0 * sd / sqrt(n), 6) hi, n from s")
@@ -194,3 +194,58 @@ def w_learning_curve(attempts):
     n = F.row_number().over(W.partitionBy("sector", "learner_id").orderBy("ts", "attempt_id"))
     rows = attempts.select(F.col("sector").alias("policy"), F.col("learner_id").alias("learner"), n.alias("item"), (F.col("passed") / F.col("total")).alias("f1")).filter("item <= 6")
     return _R(E.learning_curve(rows, 6), "f1")
+
+
+@query("e_row_stochastic", "predictions", sql="with l(x) as (select 'c' || r from range(12) t(r)), n as (select truth, pred, count(*) n, sum(count(*)) over (partition by truth) t from predictions group by 1, 2) select a.x truth, b.x pred, round(case when a.x in (select truth from n) then coalesce(n / t, 0) else (a.x = b.x)::int end, 6) p from l a cross join l b left join n on n.truth = a.x and n.pred = b.x")
+def e_row_stochastic(predictions):
+    return _R(E.row_stochastic(predictions, [f"c{i}" for i in range(12)]), "p")
+
+
+@query("e_auroc_interval", "predictions", sql=f"""with {_DRAW}, c as (select cluster, conf s, count(*) filter (y = 3) p, count(*) filter (y <> 3) q from predictions group by 1, 2), g as (select rep, s, sum(w * p) p, sum(w * q) q from w join k on k.k = w.k join c on c.cluster = k.cluster group by 1, 2), r as (select *, sum(q) over (partition by rep order by s) - q below from g), a as (select rep, case when sum(p) > 0 and sum(q) > 0 then sum(p * (below + q / 2)) / (sum(p) * sum(q)) end a from r group by 1),
+g0 as (select s, sum(p) p, sum(q) q from c group by 1), r0 as (select *, sum(q) over (order by s) - q below from g0) select round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6) estimate, (sum(p) + sum(q))::bigint n, (select count(*) from k) n_clusters, (select case when count(a) >= 100 then round(quantile_cont(a, 0.025), 6) end from a) lo, (select case when count(a) >= 100 then round(quantile_cont(a, 0.975), 6) end from a) hi, (select count(a) from a) valid from r0""")
+def e_auroc_interval(predictions):
+    return _R(E.auroc_interval(predictions.withColumn("hit", (F.col("y") == 3).cast("int")), "cluster", "conf", "hit"), "estimate", "lo", "hi")
+
+
+@query("e_auroc_overall", "predictions", sql="with c as (select conf s, count(*) filter (y = 3) p, count(*) filter (y <> 3) q from predictions group by 1), r as (select *, sum(q) over (order by s) - q below from c) select round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6) auroc, (sum(p) + sum(q))::bigint n from r")
+def e_auroc_overall(predictions):
+    return _R(E.auroc(predictions.withColumn("hit", (F.col("y") == 3).cast("int")), "conf", "hit"), "auroc")
+
+
+@query("e_abstain_report", "predictions", sql="with r as (select conf < 0.5 a, y >= 8 f, truth <> pred w from predictions) select count(*) n, round(avg(a::int), 6) abstained, round(avg((f or w)::int) filter (a), 6) abstain_precision, round(avg(a::int) filter (f), 6) foreign_caught, round(avg(w::int) filter (not a and not f), 6) risk_kept from r")
+def e_abstain_report(predictions):
+    rows = predictions.select((F.col("conf") < 0.5).alias("a"), (F.col("y") >= 8).alias("f"), (F.col("truth") != F.col("pred")).alias("w"))
+    return _R(E.abstain_report(rows, "a", "f", "w"), "abstained", "abstain_precision", "foreign_caught", "risk_kept")
+
+
+@query("e_threshold_on_grid", "predictions", sql="with g as (select round(0.05 + i / 100, 2)::double tau from range(91) t(i)), r as (select tau, count(*) n, sum((y <> 3 or conf > 0.9)::int) h from g join predictions on round(conf, 9) >= round(tau, 9) group by 1) select coalesce((select min(tau) from r where h / n >= 0.9), 0.95::double) tau")
+def e_threshold_on_grid(predictions):
+    return E.threshold_on_grid(predictions.withColumn("hit", ((F.col("y") != 3) | (F.col("conf") > 0.9)).cast("int")), "conf", "hit")
+
+
+@query("e_twin_summary", "predictions", sql="with r as (select *, case when truth in ('c1', 'c2') then 'T1' when truth in ('c3', 'c4') then 'T2' end t from predictions), s as (select t, count(*) n, avg(case when truth in ('c1', 'c3') then (conf >= 0.5)::int else (conf < 0.5)::int end) a from r where t is not null group by 1) select sum(n)::bigint n, round(avg(a), 6) mean_of_sets, round(sum(n * a) / sum(n), 6) micro from s")
+def e_twin_summary(predictions):
+    probs = F.map_from_arrays(F.array(*[F.lit(f"c{i}") for i in range(1, 5)]), F.array(F.col("conf"), 1 - F.col("conf"), F.col("conf"), 1 - F.col("conf")))
+    return _R(E.twin_summary(E.twin_accuracy(predictions.withColumn("probs", probs), {"T1": ("c1", "c2"), "T2": ("c3", "c4")})), "mean_of_sets", "micro")
+
+
+@query("e_answer_rate", "predictions", sql="select domain, count(*) n, round(avg((conf >= 0.5)::int), 6) answer_rate, round(avg((truth = pred)::int) filter (conf >= 0.5), 6) right_when_answers from predictions group by 1")
+def e_answer_rate(predictions):
+    return _R(E.answer_rate(predictions.withColumn("pred", F.when(F.col("conf") >= 0.5, F.col("pred"))), ("domain",)), "answer_rate", "right_when_answers")
+
+
+@query("e_rejection_errors", "predictions", sql="select pred, count(*) n, row_number() over (order by count(*) desc, pred)::int \"rank\" from predictions where conf >= 0.5 and pred <> 'c0' group by 1 order by n desc, pred limit 5")
+def e_rejection_errors(predictions):
+    return E.rejection_errors(predictions.withColumn("status", F.when(F.col("conf") < 0.5, "unsure").when(F.col("pred") == "c0", "correct_reasoning").otherwise("matched")))
+
+
+@query("e_top_confusions", "predictions", sql="select truth, pred, count(*) n, row_number() over (order by count(*) desc, truth, pred)::int \"rank\" from predictions where truth <> pred group by 1, 2 order by n desc, truth, pred limit 10")
+def e_top_confusions(predictions):
+    return E.top_confusions(predictions)
+
+
+@query("e_false_alarms", "predictions", sql="select 'r' || (id % 3) rewrite, count(*) n, round(avg((case when id % 5 = 0 then 'c1' else pred end <> truth)::int), 6) false_alarm from predictions where id % 4 <> 1 and truth = 'c0' group by 1")
+def e_false_alarms(predictions):
+    right = lambda c: F.when(c == "c0", "CORRECT").otherwise(c)
+    after = predictions.select(F.concat(F.lit("r"), F.col("id") % 3).alias("rewrite"), right(F.col("truth")).alias("truth"), right(F.when(F.col("id") % 5 == 0, "c1").otherwise(F.col("pred"))).alias("pred"), (F.col("id") % 4 != 1).alias("keeps"))
+    return _R(E.false_alarms(after), "false_alarm")
