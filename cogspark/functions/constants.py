@@ -97,3 +97,12 @@ GARBAGE, GARBAGE_BAND = -858993460, 1_000_000
 #: weights of several kinds of evidence for one answer
 FOUND_FACTOR, NOT_FOUND_FACTOR, FOUND_OUTSIDE, CUE_FACTOR, CUE_STRENGTH = 3.0, 0.20, 2.0, 0.5, 0.7
 HEDGE_PENALTY, HEDGE_MOST, HEDGE_FLOOR, FUSE_MARGIN, AMBIGUOUS_P, CORRECT_P = 0.08, 0.15, 0.40, 0.15, 0.48, 0.95
+
+#: what a learner's client may see of each kind of entity: no answers, beliefs or exposures
+PUBLIC_FIELDS = {
+    "exam_coding": ["item_id", "kind", "sector", "difficulty", "markers", "sample_tests", "options", "prompt", "signature", "starter"],
+    "exam_trace": ["item_id", "kind", "sector", "difficulty", "markers", "sample_tests", "options", "code", "question"],
+    "quiz": ["item_id", "type", "concept", "code", "question", "options", "difficulty"],
+    "code": ["item_id", "type", "problem_id", "starter", "holes", "code", "allow_no_bug"],
+    "probe": ["probe_id", "prompt", "code", "options"],
+}

@@ -90,6 +90,19 @@ def posterior_update(prior: DataFrame, answers: DataFrame, table: DataFrame, by=
     return rows.select(*by, (F.col("t") <= 0).alias("no_mass"), F.inline(out)).select(*by, "label", "p", "no_mass")
 
 
+def option_posterior(answers: DataFrame, knowledge: DataFrame, items: DataFrame, by=("learner_id", "item_id")) -> DataFrame:
+    """What one choice alone tells: all labels alike, then the learner's knowledge as a prior, then the answer: (by…, label, p).
+
+    answers: (by…, answer), an answer that is no option counting as "other"; knowledge: (learner_id, class, p_active).
+    """
+    table = likelihood_table(items)
+    p0 = labels(answers.select(*by)).select(*by, "label", F.lit(1 / len(C.LABELS)).alias("p"), F.lit(False).alias("masked"))
+    known = answers.select(*by).join(knowledge.select("learner_id", F.col("class").alias("label"), F.col("p_active").alias("active")), "learner_id")
+    prior = posterior_prior(p0, known, by).select(*by, "label", "p")
+    told = map_answer(answers.select(*by, "answer", *(["item_id"] if "item_id" not in by else [])), table)
+    return posterior_update(prior, told, table, by).select(*by, "label", "p")
+
+
 def apply_text(posterior: DataFrame, by=("key",)) -> DataFrame:
     """posterior (key…, label, p, p_text, unsure): p times (epsilon + p_text)^beta, unless the reader is unsure."""
     weight = F.when(F.col("unsure"), F.col("p")).otherwise(F.col("p") * F.pow(F.greatest(F.coalesce("p_text", F.lit(0.0)), F.lit(0.0)) + C.TEXT_EPSILON, F.lit(C.TEXT_BETA)))
@@ -176,12 +189,15 @@ def belief_exposure(items: DataFrame) -> DataFrame:
     return b.join(likelihood_table(items), ["item_id", "label", "option"]).select("item_id", F.col("label").alias("class"), F.col("p").alias("exposure"))
 
 
-def next_item(knowledge: DataFrame, exposures: DataFrame, asked: DataFrame, default: float = C.POPULATION_PRIOR, salt: str = "", by=("learner_id",)) -> DataFrame:
+def next_item(knowledge: DataFrame, exposures: DataFrame, asked: DataFrame, default: float = C.POPULATION_PRIOR, salt: str = "", by=("learner_id",), type: str | None = None, concept: str | None = None) -> DataFrame:
     """Each learner's item with the most expected bits, ties by hash. exposures: (item_id, class, exposure).
 
-    Learners meet items only through classes that the items expose; a class without a value has the default.
+    Learners meet items only through classes that the items expose; a class without a value has the default. type and
+    concept keep the items of exposures' columns of those names.
     """
     cells = exposures.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE)
+    for column, wanted in (("type", type), ("concept", concept)):
+        cells = cells.filter(F.col(column) == wanted) if wanted is not None else cells
     learners = knowledge.select(*by).distinct().select(*by, F.explode(F.lit(C.MISCONCEPTIONS)).alias("class"))
     p = learners.join(knowledge.select(*by, "class", "p_active"), [*by, "class"], "left").withColumn("p", F.coalesce("p_active", F.lit(default)))
     gains = p.join(cells, "class").groupBy(*by, "item_id").agg(F.sum(class_eig(F.col("p"), F.col("exposure"))).alias("eig_bits"))

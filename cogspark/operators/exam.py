@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import class_eig, let, pass_probability, tie_key
+from .bayes import belief_exposure, item_eig, labels, likelihood_table, normalise
+from .shared import broadcast_if_small
 
 
 def elo_trajectory(log: DataFrame, start: float = C.ELO_START, by=("exam_id", "sector")) -> DataFrame:
@@ -23,13 +25,35 @@ def elo_trajectory(log: DataFrame, start: float = C.ELO_START, by=("exam_id", "s
 
 
 def exam_updates(answers: DataFrame, exposure: DataFrame) -> DataFrame:
-    """Knowledge events of exam answers: (learner_id, class, ts, seq, kind, correct, exposure) for classes exposed enough, and the diagnosed one.
+    """Knowledge events of an exam's coding items: (learner_id, class, ts, seq, kind, correct, exposure, exam).
 
-    A failed item of a diagnosed class is a signature failure; a passed latent one a latent pass; else an exam_code answer.
+    answers: (learner_id, item_id, ts, seq, passed, diagnosed, latent); exposure: (item_id, class, exposure). Targets are
+    the classes exposed enough, the one diagnosed in a failure and the latent one of a pass. A failed item of the
+    diagnosed class is a signature failure, a passed one of the latent class a latent pass, all others exam_code
+    answers. A failure with enough exposure counts as a failed ghost for a settled class (see mastery_fold).
     """
-    hit = answers.join(exposure.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE), "item_id")
-    kind = F.when(~F.col("passed") & (F.col("class") == F.col("diagnosed")), "signature_failure").when(F.col("passed") & (F.col("class") == F.col("latent")), "latent_pass").otherwise("exam_code")
-    return hit.select("learner_id", "class", "ts", "seq", F.coalesce(kind, F.lit("exam_code")).alias("kind"), F.col("passed").alias("correct"), "exposure")
+    own = F.when(F.col("passed"), F.col("latent")).otherwise(F.col("diagnosed"))
+    told = answers.withColumn("told", F.when(own.isin(C.MISCONCEPTIONS), own))
+    hit = told.join(exposure.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE), "item_id")
+    low = exposure.filter(F.col("exposure") < C.EXAM_MIN_EXPOSURE).withColumnRenamed("class", "told")
+    enough = exposure.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE).select("item_id", F.col("class").alias("told"))
+    extra = told.filter("told is not null").join(enough, ["item_id", "told"], "left_anti").join(low, ["item_id", "told"], "left").withColumn("class", F.col("told"))
+    rows = hit.unionByName(extra.select(*hit.columns))
+    named = F.col("class").eqNullSafe(F.col("told"))
+    kind = F.when(named & ~F.col("passed"), "signature_failure").when(named, "latent_pass").otherwise("exam_code")
+    return rows.select("learner_id", "class", "ts", "seq", kind.alias("kind"), F.col("passed").alias("correct"), "exposure", F.lit(True).alias("exam"))
+
+
+def exam_trace_updates(answers: DataFrame, items: DataFrame) -> DataFrame:
+    """Knowledge events of an exam's choice items: (learner_id, class, ts, seq, kind, correct, exposure, exam, p_answer).
+
+    answers: (learner_id, item_id, ts, seq, answer); items: (item_id, options, correct, belief). Each class exposed
+    enough gets an exam_trace answer; p_answer is how likely a believer was to give it.
+    """
+    table = likelihood_table(items).select("item_id", F.col("label").alias("class"), F.col("option").alias("answer"), F.col("p").alias("p_answer"))
+    cells = belief_exposure(items).filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE).join(items.select("item_id", F.col("correct").alias("right")), "item_id")
+    rows = answers.join(broadcast_if_small(cells), "item_id").join(broadcast_if_small(table), ["item_id", "class", "answer"], "left")
+    return rows.select("learner_id", "class", "ts", "seq", F.lit("exam_trace").alias("kind"), (F.col("answer") == F.col("right")).alias("correct"), "exposure", F.lit(True).alias("exam"), F.coalesce("p_answer", F.lit(0.0)).alias("p_answer"))
 
 
 def score_candidates(sessions: DataFrame, pool: DataFrame) -> DataFrame:
@@ -44,13 +68,26 @@ def score_candidates(sessions: DataFrame, pool: DataFrame) -> DataFrame:
     return g.select("exam_id", "item_id", score.alias("score"), "eig")
 
 
-def eligible(candidates: DataFrame, session: DataFrame, per_sector: int = C.RECOMMENDATIONS) -> DataFrame:
-    """Unused items within the quota of their kind, the cap of their sector, and not of the last sector.
+def eligible(candidates: DataFrame, session: DataFrame, per_sector: int = C.RECOMMENDATIONS, consecutive: bool = False, coverage: bool = True) -> DataFrame:
+    """Unused items of the plan's sectors, within the quota of their kind and the cap of coding items of their sector.
 
-    session: (exam_id, used ARRAY, left MAP kind to number, by_sector MAP, last_sector).
+    Unless `consecutive`, not of the last sector; with `coverage`, only if the slots left after the item still reach all
+    sectors that would be uncovered (where the plan has a slot for each sector at all).
+    candidates: (exam_id, item_id, kind, sector); session: (exam_id, used ARRAY, left MAP kind to number, by_sector MAP of
+    coding items, last_sector, and where present sectors ARRAY, covered ARRAY, slots, the plan's items).
     """
+    has = set(session.columns)
     rows = candidates.join(session, "exam_id")
-    ok = ~F.array_contains("used", F.col("item_id")) & (F.coalesce(F.element_at("left", F.col("kind")), F.lit(0)) > 0) & (F.coalesce(F.element_at("by_sector", F.col("sector")), F.lit(0)) < per_sector) & ~F.col("sector").eqNullSafe(F.col("last_sector"))
+    ok = ~F.array_contains("used", F.col("item_id")) & (F.coalesce(F.element_at("left", F.col("kind")), F.lit(0)) > 0)
+    ok = ok & ((F.col("kind") != "coding") | (F.coalesce(F.element_at("by_sector", F.col("sector")), F.lit(0)) < per_sector))
+    if not consecutive:
+        ok = ok & ~F.col("sector").eqNullSafe(F.col("last_sector"))
+    if "sectors" in has:
+        ok = ok & F.array_contains("sectors", F.col("sector"))
+        if coverage:
+            after = F.aggregate(F.map_values("left"), F.lit(0).cast("long"), lambda a, x: a + x) - 1
+            uncovered = F.size(F.array_except("sectors", F.array_append("covered", F.col("sector"))))
+            ok = ok & ((F.col("slots") < F.size("sectors")) | (uncovered <= after))
     return rows.filter(ok).select(*candidates.columns)
 
 
@@ -114,6 +151,36 @@ def deferred_probes(eig: DataFrame, k: int = C.DEFERRED_PROBES) -> DataFrame:
     return eig.filter(F.col("eig_bits") >= C.EIG_MIN_BITS).withColumn("rank", rank).filter(F.col("rank") <= k).select("exam_id", "item_id", "eig_bits", "rank")
 
 
+def knowledge_simplex(knowledge: DataFrame, by=("exam_id",)) -> DataFrame:
+    """(by…, label, p): P of each class, floored, as shares; CORRECT and OTHER at the floor. knowledge: (by…, class, p)."""
+    each = labels(knowledge.select(*by).distinct())
+    rows = each.join(knowledge.select(*by, F.col("class").alias("label"), F.col("p").alias("__k")), [*by, "label"], "left")
+    raw = F.when(F.col("label").isin(C.MISCONCEPTIONS), F.greatest(F.coalesce("__k", F.lit(C.POPULATION_PRIOR)), F.lit(C.PRIOR_FLOOR))).otherwise(C.PRIOR_FLOOR)
+    return normalise(rows, by, raw).select(*by, "label", "p")
+
+
+def probes_for_uncertain(found: DataFrame, knowledge: DataFrame, probes: DataFrame, k: int = C.DEFERRED_PROBES) -> DataFrame:
+    """(exam_id, item_id, eig_bits, rank, for_class): up to k probes about an exam's UNCERTAIN findings, on the simplex of its knowledge.
+
+    for_class: of the uncertain classes that the probe tells about the one with the highest P (ties by class).
+    """
+    open_ = found.filter("status = 'UNCERTAIN'").select("exam_id", "class")
+    beliefs = broadcast_if_small(probes.select("item_id", F.explode(F.map_keys("belief")).alias("class")).distinct())
+    about = open_.join(beliefs, "class").join(knowledge.select("exam_id", "class", "p"), ["exam_id", "class"], "left")
+    best = F.min_by("class", F.struct(-F.coalesce("p", F.lit(0.0)), "class"))
+    asks = about.groupBy("exam_id", "item_id").agg(best.alias("for_class"))
+    simplex = knowledge_simplex(knowledge.join(open_.select("exam_id").distinct(), "exam_id", "left_semi"))
+    bits = item_eig(simplex, asks.select("exam_id", "item_id"), likelihood_table(probes), ("exam_id",))
+    return deferred_probes(bits, k).join(asks, ["exam_id", "item_id"])
+
+
+def adaptivity_log(administered: DataFrame) -> DataFrame:
+    """(exam_id, log): an exam's items in order, each with sector, bits, reason and outcome. administered: (exam_id, seq, item_id, sector, eig_bits, reason, outcome)."""
+    e = F.struct("seq", "item_id", "sector", F.round("eig_bits", 6).alias("eig_bits"), "reason", "outcome")
+    log = F.transform(F.array_sort(F.collect_list(e)), lambda x, i: F.struct((i + 1).alias("order"), x["item_id"].alias("item_id"), x["sector"].alias("sector"), x["eig_bits"].alias("eig_bits"), x["reason"].alias("reason"), x["outcome"].alias("outcome")))
+    return administered.groupBy("exam_id").agg(log.alias("log"))
+
+
 def sector_rollup(log: DataFrame) -> DataFrame:
     """(exam_id, sector, items, passed, first, last): items in order, and the ratings before and after."""
     t = log.groupBy("exam_id", "sector").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id"))).alias("l"), F.sum(F.col("passed").cast("long")).alias("passed"), F.min_by("theta", "seq").alias("first"), F.max_by("theta", "seq").alias("last"))
@@ -171,7 +238,7 @@ def trial_debrief(log: DataFrame) -> DataFrame:
 def attach_remediation(found: DataFrame, guide: DataFrame, default: str = "REVIEW") -> DataFrame:
     """(exam_id, class, advice): the first finding of each class with its guide row, or the default; MASTERY for exams without."""
     hit = found.filter("status in ('NEW', 'RELAPSED')")
-    rows = hit.select("exam_id", "class").distinct().join(F.broadcast(guide), "class", "left").select("exam_id", "class", F.coalesce("advice", F.lit(default)).alias("advice"))
+    rows = hit.select("exam_id", "class").distinct().join(broadcast_if_small(guide), "class", "left").select("exam_id", "class", F.coalesce("advice", F.lit(default)).alias("advice"))
     none = found.select("exam_id").distinct().join(hit.select("exam_id").distinct(), "exam_id", "left_anti")
     return rows.unionByName(none.select("exam_id", F.lit(None).cast("string").alias("class"), F.lit("MASTERY").alias("advice")))
 

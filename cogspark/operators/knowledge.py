@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import forget, is_transfer_family, item_ratios, let, likelihood_ratio
+from .bayes import apply_text
 
 KEY = ("learner_id", "class")
 
@@ -146,13 +147,16 @@ PROBATION_KINDS = ("trap", "transfer_code", "same_family_code", "predict_output"
 def mastery_fold(events: DataFrame, prior: float = C.POPULATION_PRIOR, by=KEY) -> DataFrame:
     """(by…, p_active, state, times_seen, trap_passed, transfer_passed, found_family, n_asked) after each key's history.
 
+    events may have exam: a failure in an exam with enough exposure is a failed ghost for a settled class.
     Order within an event: an unrecorded intervention begins, one that is open ends (P falls, the checklist is
     emptied), a ghost after STABLE or MASTERED forgets, the answer moves P, the checklist, then the state.
     """
     rows = route_events(events)
     if "exposure" not in rows.columns:
         rows = rows.withColumn("exposure", F.lit(None).cast("double"))
-    past = _history(rows, by, "kind", "resolved", "levels", "correct", "exposure", "family", "item_id", "if_active", "if_not")
+    if "exam" not in rows.columns:
+        rows = rows.withColumn("exam", F.lit(False))
+    past = _history(rows, by, "kind", "resolved", "exam", "levels", "correct", "exposure", "family", "item_id", "if_active", "if_not")
     no = F.lit(False)
     start = F.struct(F.lit(float(prior)).alias("p"), F.lit("UNSEEN").alias("state"), F.lit(0).cast("long").alias("seen"), no.alias("trap"), no.alias("transfer"), F.lit(None).cast("string").alias("family"), F.array().cast("array<string>").alias("asked"))
     put = lambda s, **new: F.struct(*[(new[n] if n in new else s[n]).alias(n) for n in ("p", "state", "seen", "trap", "transfer", "family", "asked")])
@@ -182,8 +186,10 @@ def mastery_fold(events: DataFrame, prior: float = C.POPULATION_PRIOR, by=KEY) -
             return put(s, p=p, seen=s["seen"] + 1, trap=trap, transfer=transfer, family=family, asked=asked)
 
         def judged(s):
-            ghost, exam = kind == "ghost", kind.isin("exam_code", "exam_trace")
-            state = F.when(attempt, _next_state(s["state"], s["p"])).otherwise(_next_state(s["state"], s["p"], trap=s["trap"], transfer=s["transfer"], ghost_passed=ghost & e["correct"], ghost_failed=ghost & ~e["correct"], exam_passed=exam & e["correct"], exposure=e["exposure"]))
+            ghost, exam = kind == "ghost", kind.isin("exam_code", "exam_trace") | F.coalesce(e["exam"], F.lit(False))
+            exposed = F.coalesce(e["exposure"], F.lit(0.0)) >= C.EXAM_MIN_EXPOSURE
+            failed = (ghost | (exam & exposed)) & ~F.coalesce(e["correct"], F.lit(False))
+            state = F.when(attempt & ~exam, _next_state(s["state"], s["p"])).otherwise(_next_state(s["state"], s["p"], trap=s["trap"], transfer=s["transfer"], ghost_passed=ghost & e["correct"], ghost_failed=failed, exam_passed=exam & e["correct"], exposure=e["exposure"]))
             return put(s, state=state)
 
         plain = done | (kind == "intervention_start")
@@ -249,6 +255,18 @@ def reason_updates(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("n", first).filter("n = 1").filter(~F.col("unsure") & F.col("matched") & (F.col("p_text") >= C.TEXT_MATCH_P)).drop("n").withColumn("kind", F.lit("why"))
 
 
+def settle_options(posterior: DataFrame, sentences: DataFrame, by=("learner_id", "item_id")) -> DataFrame:
+    """The option posterior of each answer times its first sentence that is not unsure: (by…, label, p, settled).
+
+    posterior: (by…, label, p); sentences: (by…, ts, seq, unsure, p_text MAP label to p). Later sentences change nothing.
+    """
+    first = F.row_number().over(W.partitionBy(*by).orderBy("ts", "seq"))
+    sure = sentences.filter(~F.coalesce("unsure", F.lit(False))).withColumn("n", first).filter("n = 1").select(*by, F.col("p_text").alias("__t"))
+    rows = posterior.join(sure, list(by), "left").withColumn("settled", F.col("__t").isNotNull())
+    rows = rows.withColumns({"p_text": F.element_at("__t", F.col("label")), "unsure": ~F.col("settled")}).drop("__t")
+    return apply_text(rows, by).select(*by, "label", "p", "settled")
+
+
 def asof_prior(attempts: DataFrame, trajectory: DataFrame) -> DataFrame:
     """(attempt_id, class, p): each class's P just before an attempt; classes without history give no row.
 

@@ -92,3 +92,14 @@ def register_functions(spark) -> None:
 
     spark.udf.register("belief_product", belief_product)
     spark.udtf.register("likelihood_rows", LikelihoodRows)
+
+
+def public_view(rows: DataFrame, kind: str) -> DataFrame:
+    """The columns of an entity that a learner's client may see; all others, answer keys among them, are left out.
+
+    allow_no_bug of code items is shown for debug_line items alone.
+    """
+    out = rows.select(*[c for c in C.PUBLIC_FIELDS[kind] if c in rows.columns])
+    if "allow_no_bug" in out.columns and "type" in out.columns:
+        out = out.withColumn("allow_no_bug", F.when(F.col("type") == "debug_line", F.coalesce("allow_no_bug", F.lit(True))))
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .shared import broadcast_if_small
 
 RUN = ("attempt_id", "test")
 EVENTS = ["step_cap", "uninit_read", "oob_eq_n", "oob_negative", "int_division", "empty_body", "assign_in_condition", "missing_return", "depth_cap", "discarded_result", "string_compare", "array_compare", "overflow"]
@@ -119,21 +120,77 @@ def islands(steps: DataFrame, value: str, by=RUN) -> DataFrame:
 
 
 def call_stack(frames: DataFrame, by=RUN) -> DataFrame:
-    """Adds parent: the latest earlier frame one level up. frames: (by…, i, depth, arg).
+    """Adds parent, same_arg and growing_arg: the latest earlier frame one level up. frames: (by…, i, depth, arg).
 
-    A bounded, ordered fold over each run: the open frame of each depth is remembered.
+    Each frame is put beside those of the level above; there the last one before it is its parent.
     """
-    past = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "depth", "arg"))).alias("h"))
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<i:bigint,arg:bigint>>"))
-    start = F.struct(none.alias("open"), F.array().cast("array<struct<i:bigint,depth:int,arg:bigint,parent:bigint,same_arg:boolean,growing_arg:boolean>>").alias("out"))
+    as_child = frames.select(*by, (F.col("depth") - 1).alias("level"), "i", "depth", "arg", F.lit(True).alias("child"))
+    as_parent = frames.select(*by, F.col("depth").alias("level"), "i", "depth", "arg", F.lit(False).alias("child"))
+    before = W.partitionBy(*by, "level").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    up = F.last(F.when(~F.col("child"), F.struct(F.col("i").cast("long").alias("i"), F.col("arg").cast("long").alias("arg"))), ignorenulls=True).over(before)
+    rows = as_child.unionByName(as_parent).withColumn("up", up).filter("child")
+    arg = F.col("arg").cast("long")
+    return rows.select(*by, F.col("i").cast("long").alias("i"), F.col("depth").cast("int").alias("depth"), arg.alias("arg"), F.col("up.i").alias("parent"), F.coalesce(F.col("up.arg") == arg, F.lit(False)).alias("same_arg"), F.coalesce(arg > F.col("up.arg"), F.lit(False)).alias("growing_arg"))
 
-    def step(s, e):
-        up = F.element_at(s["open"], e["depth"] - 1)
-        row = F.struct(e["i"].cast("long").alias("i"), e["depth"].cast("int").alias("depth"), e["arg"].cast("long").alias("arg"), up["i"].alias("parent"), F.coalesce(up["arg"] == e["arg"], F.lit(False)).alias("same_arg"), F.coalesce(e["arg"] > up["arg"], F.lit(False)).alias("growing_arg"))
-        own = F.create_map(e["depth"].cast("int"), F.struct(e["i"].cast("long").alias("i"), e["arg"].cast("long").alias("arg")))
-        return F.struct(F.map_concat(F.map_filter(s["open"], lambda k, v: k != e["depth"]), own).alias("open"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    return past.select(*by, F.inline(F.aggregate("h", start, step, lambda s: s["out"])))
+def call_table(frames: DataFrame, most: int = 12, by=RUN) -> DataFrame:
+    """(by…, rows, more): the first `most` calls with their flags, and "...+N" for what is left out.
+
+    frames: (by…, i, depth, arg, returned, used): whether the call came to its end, and whether its value was taken.
+    no_base: a call that went no deeper and never returned; dropped_value: a value that returned and was not taken.
+    """
+    stack = call_stack(frames, by)
+    deeper = stack.filter("parent is not null").select(*by, F.col("parent").alias("i")).distinct().withColumn("deeper", F.lit(True))
+    rows = stack.join(frames.select(*by, F.col("i").cast("long").alias("i"), "returned", "used"), [*by, "i"]).join(deeper, [*by, "i"], "left")
+    row = F.struct("i", "depth", "arg", "same_arg", "growing_arg", (F.col("deeper").isNull() & ~F.col("returned")).alias("no_base"), (F.col("returned") & ~F.col("used")).alias("dropped_value"))
+    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("i")))
+    g = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("n") <= most, row))).alias("rows"), F.count(F.lit(1)).alias("n"))
+    return g.select(*by, "rows", F.when(F.col("n") > most, F.concat(F.lit("...+"), (F.col("n") - most).cast("string"))).alias("more"))
+
+
+def recursion_features(frames: DataFrame, reference_depth: DataFrame, by=RUN) -> DataFrame:
+    """(by…, depth_ratio, arg_constant, arg_growing, base_return): frames (by…, i, depth, arg, returned); reference_depth (test, depth).
+
+    arg_growing needs two calls or more, all with a larger argument than the call above; base_return: a call that went no
+    deeper came to its end.
+    """
+    stack = call_stack(frames, by).join(frames.select(*by, F.col("i").cast("long").alias("i"), "returned"), [*by, "i"])
+    deeper = stack.filter("parent is not null").select(*by, F.col("parent").alias("i")).distinct().withColumn("deeper", F.lit(True))
+    rows = stack.join(deeper, [*by, "i"], "left")
+    inner = F.col("parent").isNotNull()
+    g = rows.groupBy(*by).agg(F.max("depth").alias("d"), F.bool_or(inner & F.col("same_arg")).alias("arg_constant"), F.count_if(inner).alias("k"), F.coalesce(F.bool_and(F.when(inner, F.col("growing_arg"))), F.lit(False)).alias("all"), F.bool_or(F.col("deeper").isNull() & F.col("returned")).alias("base_return"))
+    ref = broadcast_if_small(reference_depth.select("test", F.greatest("depth", F.lit(1)).alias("__r")))
+    return g.join(ref, "test").select(*by, (F.col("d") / F.col("__r")).alias("depth_ratio"), "arg_constant", ((F.col("k") >= 2) & F.col("all")).alias("arg_growing"), "base_return")
+
+
+def body_once(steps: DataFrame, reference: DataFrame, by=RUN) -> DataFrame:
+    """(by…, body_once): a run whose lines outside loop headers ran once at most, where the reference's main loop ran twice or more.
+
+    steps: (by…, line, is_header), of the test that is shown; reference: (test, iterations).
+    """
+    lines = steps.filter(~F.col("is_header")).groupBy(*by, "line").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("n"))
+    return lines.join(broadcast_if_small(reference.select("test", "iterations")), "test").select(*by, ((F.col("n") <= 1) & (F.col("iterations") >= 2)).alias("body_once"))
+
+
+def output_features(outputs: DataFrame) -> DataFrame:
+    """(attempt_id, returned_garbage, printed_nonempty, printed_eq_return, wanted): what came back and what was printed.
+
+    outputs: (attempt_id, test, returned DOUBLE, printed STRING, wanted DOUBLE). printed_eq_return: the share of tests with
+    a wanted value where that was printed instead, 0 without such tests.
+    """
+    text = F.trim(F.coalesce("printed", F.lit("")))
+    hit = F.coalesce(F.abs(text.try_cast("double") - F.col("wanted")) <= 1e-9, F.lit(False))
+    return outputs.groupBy("attempt_id").agg(F.bool_or(is_garbage(F.col("returned"))).alias("returned_garbage"), F.bool_or(F.coalesce("printed", F.lit("")) != "").alias("printed_nonempty"), F.coalesce(F.avg(F.when(F.col("wanted").isNotNull(), hit.cast("double"))), F.lit(0.0)).alias("printed_eq_return"), F.count("wanted").alias("wanted"))
+
+
+def outer_passes(loops: DataFrame, reference: DataFrame) -> DataFrame:
+    """(attempt_id, ratio): passes of the outer loop over all tests by the reference's; a single loop is one pass for each test it ran in.
+
+    loops: (attempt_id, test, outer, main), iterations or null where there is no such loop; reference: (outer) for each test.
+    """
+    total = reference.agg(F.sum("outer")).scalar()
+    own = F.sum(F.when(F.col("outer").isNotNull(), F.col("outer")).when(F.col("main") >= 1, 1).otherwise(0))
+    return loops.groupBy("attempt_id").agg(own.alias("n")).select("attempt_id", F.when(total > 0, F.col("n") / total).alias("ratio"))
 
 
 def memory_strip(writes: DataFrame, by=RUN) -> DataFrame:

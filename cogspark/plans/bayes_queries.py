@@ -192,3 +192,28 @@ def b_fuse_multimodal(mm_lines, mm_answers):
 def b_rank_contributions(lineitem):
     rows = lineitem.groupBy(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("string").alias("feature")).agg(F.round(F.sum(F.col("l_discount") - 0.03), 9).alias("value"))
     return B.rank_contributions(rows).withColumns({c: F.round(c, 6) for c in ("value", "share")})
+
+
+_OPT = f"""{_TABLE}, kn as (select learner_id, class, round(0.05e0 + avg(case when correct then 0.2e0 else 0.7e0 end), 6) p from responses group by 1, 2), an as (select o.learner_id, o.item_id, case when list_contains(c.options, o.answer) then o.answer else 'other' end answer from option_answers o join choices c on c.item_id = o.item_id),
+pr as (select an.learner_id, an.item_id, an.answer, l.label, case when l.label in ('CORRECT', 'OTHER') then 1e0 else pow(greatest(coalesce(kn.p, 0.1e0), 0.02e0), 0.3e0) end w from an cross join l left join kn on kn.learner_id = an.learner_id and kn.class = l.label),
+op as (select pr.learner_id, pr.item_id, pr.label, w * coalesce(t.p, 1) / sum(w * coalesce(t.p, 1)) over (partition by pr.learner_id, pr.item_id) p from pr left join t on t.item_id = pr.item_id and t.label = pr.label and t."option" = pr.answer)"""
+logical("option_answers", "responses", sql="select learner_id, concat('I', cast(1 + seq % 50 as varchar(9))) item_id, min(split_part('a,b,c,d,e', ',', cast(1 + seq % 5 as int))) answer from {responses} group by learner_id, concat('I', cast(1 + seq % 50 as varchar(9)))")
+
+
+def _option(choices, beliefs, responses, answers):
+    known = responses.groupBy("learner_id", "class").agg(F.round(0.05 + F.avg(F.when(F.col("correct"), 0.2).otherwise(0.7)), 6).alias("p_active"))
+    return B.option_posterior(answers, known, _items(choices, beliefs))
+
+
+@query("b_option_posterior", "choices", "beliefs", "responses", "option_answers", sql=f"with {_OPT} select learner_id, item_id, label, round(p, 6) p from op")
+def b_option_posterior(choices, beliefs, responses, answers):
+    return _option(choices, beliefs, responses, answers).withColumn("p", F.round("p", 6))
+
+
+@query("k16_settle_options", "choices", "beliefs", "responses", "option_answers", sql=f"""with {_OPT}, se as (select learner_id, 'I' || (1 + seq % 50) item_id, arg_min(class, (ts, seq)) class from responses where seq % 3 <> 0 group by 1, 2),
+m as (select op.*, se.class is not null settled, case when se.class is null then p else p * pow(case when se.class = op.label then 0.8e0 else 0 end + 0.02e0, 0.5e0) end m from op left join se on se.learner_id = op.learner_id and se.item_id = op.item_id) select learner_id, item_id, label, round(m / sum(m) over (partition by learner_id, item_id), 6) p, settled from m""")
+def k16_settle_options(choices, beliefs, responses, answers):
+    from ..operators.knowledge import settle_options
+
+    s = responses.select("learner_id", F.concat(F.lit("I"), (1 + F.col("seq") % 50).cast("string")).alias("item_id"), "ts", "seq", (F.col("seq") % 3 == 0).alias("unsure"), F.create_map("class", F.lit(0.8)).alias("p_text"))
+    return settle_options(_option(choices, beliefs, responses, answers), s).withColumn("p", F.round("p", 6))

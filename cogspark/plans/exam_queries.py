@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import exam as X
 from ..operators import graph as G
+from .bayes_queries import _TABLE, _items
 from .registry import logical, query
 
 logical("exam_log", "attempts", sql="select learner_id exam_id, sector, row_number() over (partition by learner_id order by ts, attempt_id) seq, attempt_id item_id, difficulty, passed = total passed, learner_id % 4 = 0 bonus, case when passed = total then 'pass' when passed * 2 < total then 'skip' else 'fail' end outcome, problem_id from {attempts}")
@@ -26,10 +27,21 @@ def x_sector_rollup(exam_log):
     return X.sector_rollup(exam_log.join(X.elo_trajectory(exam_log), ["exam_id", "sector", "seq"])).withColumns({c: F.round(c, 6) for c in ("first", "last")})
 
 
-@query("x_exam_updates", "attempts", "exposures", sql="select learner_id, class, ts, attempt_id seq, case when passed < total and class = top then 'signature_failure' when passed = total and class = latent then 'latent_pass' else 'exam_code' end kind, passed = total correct, e.exposure from attempts a join exposures e on e.item_id = 1 + a.attempt_id % 1000 and e.exposure >= 0.2e0")
-def x_exam_updates(attempts, exposures):
-    a = attempts.select("learner_id", "ts", F.col("attempt_id").alias("seq"), (1 + F.col("attempt_id") % 1000).alias("item_id"), (F.col("passed") == F.col("total")).alias("passed"), F.col("top").alias("diagnosed"), "latent")
-    return X.exam_updates(a, exposures.select("item_id", "class", "exposure"))
+logical("exam_answers", "attempts", sql="select learner_id, ts, attempt_id seq, cast(1 + attempt_id % 1000 as bigint) item_id, passed = total passed, top diagnosed, latent, case when passed = total then latent when top <> 'CORRECT' then top end told from {attempts}")
+
+
+@query("x_exam_updates", "exam_answers", "exposures", sql="""with h as (select a.*, class, e.exposure from exam_answers a join exposures e on e.item_id = a.item_id and e.exposure >= 0.2e0 union all
+  select a.*, a.told, e.exposure from exam_answers a left join exposures e on e.item_id = a.item_id and e.class = a.told where told is not null and (e.exposure is null or e.exposure < 0.2e0))
+select learner_id, class, ts, seq, case when class is not distinct from told then case when passed then 'latent_pass' else 'signature_failure' end else 'exam_code' end kind, passed correct, exposure, true exam from h""")
+def x_exam_updates(answers, exposures):
+    return X.exam_updates(answers.drop("told"), exposures.select("item_id", "class", "exposure"))
+
+
+@query("x_exam_trace_updates", "choices", "beliefs", "answers", sql=f"""with {_TABLE}, ex as (select t.item_id, t.label class, t.p exposure from t join beliefs b on b.item_id = t.item_id and b.label = t.label and b.believed = t."option" join choices c on c.item_id = t.item_id where b.believed <> c.correct and t.p >= 0.2e0)
+select a.key learner_id, ex.class, a.key ts, 0 seq, 'exam_trace' kind, a.answer = c.correct correct, round(ex.exposure, 6) exposure, true exam, round(coalesce(t.p, 0), 6) p_answer from answers a join choices c on c.item_id = a.item_id join ex on ex.item_id = a.item_id left join t on t.item_id = a.item_id and t.label = ex.class and t."option" = a.answer""")
+def x_exam_trace_updates(choices, beliefs, answers):
+    rows = answers.select(F.col("key").alias("learner_id"), "item_id", F.col("key").alias("ts"), F.lit(0).alias("seq"), "answer")
+    return X.exam_trace_updates(rows, _items(choices, beliefs)).withColumns({c: F.round(c, 6) for c in ("exposure", "p_answer")})
 
 
 _H = "(case when {0} <= 0 or {0} >= 1 then 0 else -({0} * log2({0}) + (1 - {0}) * log2(1 - {0})) end)"
@@ -71,8 +83,20 @@ def x_eligible(exam_log):
 
 _FIND = """s as (select *, case when not tested and ambiguous is null then 'NOT_TESTED' when state = 'RELAPSED' then 'RELAPSED' when state = 'MASTERED' then 'HELD' when (state0 = 'UNSEEN' or p0 <= 0.3e0) and p >= 0.5e0 then 'NEW' when ambiguous is not null or (p >= 0.3e0 and p <= 0.7e0) then 'UNCERTAIN' end status from states),
 tw(k, x, y) as (values ('T1', 'M01', 'M08'), ('T2', 'M02', 'M07'), ('T4', 'M03', 'M05'), ('T6', 'D02', 'M02'), ('T7', 'D05', 'D06'), ('T9', 'D01', 'M03')),
-t as (select a.exam_id, a.class, min(k) twin from s a join s b on a.exam_id = b.exam_id and a.status = 'UNCERTAIN' and b.status = 'UNCERTAIN' join tw on (x = a.class and y = b.class) or (x = b.class and y = a.class) group by 1, 2),
-fi as (select s.exam_id, s.class, status, coalesce(ambiguous, twin) twin from s left join t on t.exam_id = s.exam_id and t.class = s.class where status is not null)"""
+tn as (select a.exam_id, a.class, min(k) twin from s a join s b on a.exam_id = b.exam_id and a.status = 'UNCERTAIN' and b.status = 'UNCERTAIN' join tw on (x = a.class and y = b.class) or (x = b.class and y = a.class) group by 1, 2),
+fi as (select s.exam_id, s.class, status, coalesce(ambiguous, twin) twin from s left join tn on tn.exam_id = s.exam_id and tn.class = s.class where status is not null)"""
+
+
+@query("x_eligible_coverage", "exam_log", sql="""with s as (select exam_id, max_by(sector, seq) ls, list(item_id) used, list(distinct sector) cov from exam_log where seq <= 3 group by 1), p as (select exam_id, list(distinct sector) secs from exam_log group by 1), c as (select exam_id, item_id, sector, case when item_id % 2 = 0 then 'coding' else 'trace' end kind from exam_log),
+b as (select exam_id, sector, count(*) n from exam_log where seq <= 3 group by 1, 2) select c.exam_id, c.item_id, c.sector, c.kind from c join s on s.exam_id = c.exam_id join p on p.exam_id = c.exam_id left join b on b.exam_id = c.exam_id and b.sector = c.sector
+where not list_contains(used, c.item_id) and (c.kind <> 'coding' or coalesce(n, 0) < 2) and c.sector <> ls and len(list_filter(secs, lambda x: not list_contains(cov, x) and x <> c.sector)) <= 1""")
+def x_eligible_coverage(exam_log):
+    c = exam_log.select("exam_id", "item_id", "sector", F.when(F.col("item_id") % 2 == 0, "coding").otherwise("trace").alias("kind"))
+    past = exam_log.filter("seq <= 3")
+    n = past.groupBy("exam_id", "sector").agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy("exam_id").agg(F.map_from_entries(F.collect_list(F.struct("sector", "n"))).alias("by_sector"))
+    s = past.groupBy("exam_id").agg(F.max_by("sector", "seq").alias("last_sector"), F.collect_list("item_id").alias("used"), F.collect_set("sector").alias("covered")).join(n, "exam_id")
+    plan = exam_log.groupBy("exam_id").agg(F.collect_set("sector").alias("sectors"))
+    return X.eligible(c, s.join(plan, "exam_id").withColumns({"left": F.create_map(F.lit("coding"), F.lit(1), F.lit("trace"), F.lit(1)), "slots": F.lit(5)}))
 
 
 @query("x_findings", "states", sql=f"with {_FIND} select * from fi")
@@ -91,6 +115,29 @@ def x_deferred_probes(sessions, exposures):
     return X.deferred_probes(_scored(sessions, exposures).withColumnRenamed("eig", "eig_bits")).withColumn("eig_bits", F.round("eig_bits", 6))
 
 
+_SIMPLEX = f"""{_TABLE}, lb as (select distinct label, ord from t), kn as (select exam_id, label, greatest(case when label in ('CORRECT', 'OTHER') then 0.02e0 else coalesce(p, 0.1e0) end, 0.02e0) r from (select distinct exam_id from states) cross join lb left join (select exam_id e2, class, p from states) s on e2 = exam_id and class = label),
+sx as (select exam_id, label, r / sum(r) over (partition by exam_id) p from kn)"""
+
+
+@query("x_knowledge_simplex", "states", "choices", "beliefs", sql=f"with {_SIMPLEX} select exam_id, label, round(p, 6) p from sx")
+def x_knowledge_simplex(states, choices, beliefs):
+    return X.knowledge_simplex(states.select("exam_id", "class", "p")).withColumn("p", F.round("p", 6))
+
+
+@query("x_probes_for_uncertain", "states", "choices", "beliefs", sql=f"""with {_FIND}, {_SIMPLEX}, op as (select fi.exam_id, fi.class, s.p from fi join s on s.exam_id = fi.exam_id and s.class = fi.class where fi.status = 'UNCERTAIN'), ab as (select op.exam_id, item_id, min_by(class, (-p, class)) for_class from op join beliefs on label = class group by 1, 2),
+j as (select ab.exam_id, ab.item_id, t."option", sx.p * t.p j from ab join sx on sx.exam_id = ab.exam_id join t on t.item_id = ab.item_id and t.label = sx.label), pa as (select exam_id, item_id, "option", sum(j) pa, sum(case when j > 0 then j * log2(j) else 0 end) h from j group by 1, 2, 3), h0 as (select exam_id, -sum(p * log2(p)) h0 from sx group by 1),
+e as (select pa.exam_id, item_id, any_value(h0) - sum(pa * log2(pa) - h) e from pa join h0 on h0.exam_id = pa.exam_id group by 1, 2) select e.exam_id, e.item_id, round(e, 6) eig_bits, row_number() over (partition by e.exam_id order by round(e, 9) desc, e.item_id)::int "rank", for_class from e join ab on ab.exam_id = e.exam_id and ab.item_id = e.item_id where e >= 0.1e0 qualify row_number() over (partition by e.exam_id order by round(e, 9) desc, e.item_id) <= 3""")
+def x_probes_for_uncertain(states, choices, beliefs):
+    return X.probes_for_uncertain(X.findings(states), states.select("exam_id", "class", "p"), _items(choices, beliefs)).withColumn("eig_bits", F.round("eig_bits", 6))
+
+
+@query("x_adaptivity_log", "exam_log", sql="select exam_id, string_agg(item_id || ':' || sector || ':' || outcome, ',' order by seq) log, count(*) n from exam_log group by 1")
+def x_adaptivity_log(exam_log):
+    rows = exam_log.select("exam_id", "seq", "item_id", "sector", (F.col("difficulty") / 10).alias("eig_bits"), F.lit("r").alias("reason"), "outcome")
+    out = X.adaptivity_log(rows)
+    return out.select("exam_id", F.array_join(F.transform("log", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["sector"], x["outcome"])), ",").alias("log"), F.element_at("log", -1)["order"].cast("long").alias("n"))
+
+
 @query("x_exam_report", "exam_log", "states", sql=f"with {_FIND}, r as (select exam_id, count(distinct sector)::int n_sectors, sum(passed::int)::bigint n_passed from exam_log group by 1), g as (select exam_id, count(*)::int n_findings from fi group by 1) select r.exam_id, n_sectors, n_passed, n_findings from r left join g on g.exam_id = r.exam_id")
 def x_exam_report(exam_log, states):
     log = exam_log.join(X.elo_trajectory(exam_log), ["exam_id", "sector", "seq"])

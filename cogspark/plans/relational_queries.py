@@ -76,3 +76,9 @@ def udtf_likelihood_rows(choices, beliefs):
     Z.register_functions(spark)
     rows = choices.join(beliefs, "item_id")
     return spark.sql("select item_id, label, option, round(p, 6) p from {rows} r, lateral likelihood_rows(r.options, r.correct, r.believed)", rows=rows)
+
+
+@query("p4_public_view", "choices", "beliefs", sql="select item_id, 'quiz' type, 'loops' concept, array_to_string(options, ',') options, (1 + k % 3)::int difficulty from choices where item_id in (select item_id from beliefs)")
+def p4_public_view(choices, beliefs):
+    items = choices.join(beliefs.select("item_id").distinct(), "item_id").select("item_id", F.lit("quiz").alias("type"), F.lit("loops").alias("concept"), "options", "correct", (1 + F.col("k") % 3).cast("int").alias("difficulty"), F.lit(1.0).alias("exposure"))
+    return Z.public_view(items, "quiz").withColumn("options", F.array_join("options", ","))

@@ -211,3 +211,44 @@ def r_main_loop(steps):
 def r_task_features(part):
     k = F.col("p_partkey") % 4
     return R.task_features(part.select(F.col("p_partkey").cast("string").alias("problem_id"), F.when(k == 0, "int f(int a[], int n)").when(k == 1, "void g(void)").when(k == 2, "double h(char *s)").otherwise("int k()").alias("signature")))
+
+
+_FR = """f as (select a.attempt_id, a.i, a.depth, a.arg, value > 0 returned, cell > 1 used, max_by(b.i, b.i) parent, max_by(b.arg, b.i) pa from (select * from steps) a left join steps b on b.attempt_id = a.attempt_id and b.i < a.i and b.depth = a.depth - 1 group by all),
+g as (select f.*, (attempt_id, i) in (select (attempt_id, parent) from f where parent is not null) deeper from f)"""
+_FR = _FR.replace("value > 0", "a.value > 0").replace("cell > 1", "a.cell > 1")
+
+
+def _frames(steps):
+    return steps.withColumns({"returned": F.col("value") > 0, "used": F.col("cell") > 1})
+
+
+@query("r_call_table", "steps", sql=f"with {_FR}, n as (select *, row_number() over (partition by attempt_id order by i) rn, count(*) over (partition by attempt_id) n from g) select attempt_id, string_agg(case when rn <= 3 then i || '/' || depth || '/' || (coalesce(pa = arg, false))::int || (coalesce(arg > pa, false))::int || (not deeper and not returned)::int || (returned and not used)::int end, ' ' order by i) rows, case when any_value(n) > 3 then '...+' || (any_value(n) - 3) end more from n group by 1")
+def r_call_table(steps):
+    bit = lambda c: c.cast("int").cast("string")
+    out = R.call_table(_frames(steps), 3)
+    show = lambda x: F.concat(x["i"].cast("string"), F.lit("/"), x["depth"].cast("string"), F.lit("/"), bit(x["same_arg"]), bit(x["growing_arg"]), bit(x["no_base"]), bit(x["dropped_value"]))
+    return out.select("attempt_id", F.array_join(F.transform("rows", show), " ").alias("rows"), "more")
+
+
+@query("r_recursion_features", "steps", sql=f"with {_FR} select attempt_id, round(max(depth) / 2e0, 6) depth_ratio, coalesce(bool_or(pa = arg) filter (parent is not null), false) arg_constant, count(parent) >= 2 and coalesce(bool_and(arg > pa) filter (parent is not null), false) arg_growing, bool_or(not deeper and returned) base_return from g group by 1")
+def r_recursion_features(steps):
+    ref = steps.select("test").distinct().withColumn("depth", F.lit(2))
+    return _R(R.recursion_features(_frames(steps), ref).drop("test"), "depth_ratio")
+
+
+@query("r_body_once", "steps", sql="with l as (select attempt_id, line, count(*) n from steps where line <> 0 group by 1, 2) select attempt_id, max(n) <= 1 body_once from l group by 1")
+def r_body_once(steps):
+    ref = steps.select("test").distinct().withColumn("iterations", F.lit(2))
+    return R.body_once(steps.withColumn("is_header", F.col("line") == 0), ref).drop("test")
+
+
+@query("r_output_features", "outputs", sql="select attempt_id, bool_or(abs(got + 858993460) <= 1000000) returned_garbage, bool_or(form <> 1) printed_nonempty, round(coalesce(avg((case form when 1 then false when 2 then abs(arg - want) <= 1e-9 else false end)::int) filter (mid <> 0), 0), 6) printed_eq_return, count(*) filter (mid <> 0) wanted from outputs group by 1")
+def r_output_features(outputs):
+    text = F.when(F.col("form") == 2, F.concat(F.lit(" "), F.col("arg").cast("string"), F.lit("\n"))).when(F.col("form") == 0, "word")
+    return _R(R.output_features(outputs.select("attempt_id", "test", F.col("got").alias("returned"), text.alias("printed"), F.when(F.col("mid") != 0, F.col("want")).alias("wanted"))), "printed_eq_return")
+
+
+@query("r_outer_passes", "per_test", sql="select attempt_id, round(sum(case when line = 0 then iterations when iterations >= 1 then 1 else 0 end) / (select sum(r) from (select min(iterations) + 1 r from per_test group by test)), 6) ratio from per_test group by 1")
+def r_outer_passes(per_test):
+    ref = per_test.groupBy("test").agg((F.min("iterations") + 1).alias("outer"))
+    return _R(R.outer_passes(per_test.select("attempt_id", "test", F.when(F.col("line") == 0, F.col("iterations")).alias("outer"), F.col("iterations").alias("main")), ref), "ratio")
