@@ -185,7 +185,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
     of_block, of_group = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), F.lit(groups))
     asked = queries.select("id", "vector", of_block.alias("b"), each(groups).alias("g")).select((F.col("g") * blocks + F.col("b")).alias("tile"), F.lit(False).alias("is_row"), "id", "vector")
     given = rows.select("id", "vector", of_group.alias("g"), each(blocks).alias("b")).select((F.col("g") * blocks + F.col("b")).alias("tile"), F.lit(True).alias("is_row"), "id", "vector")
-    tiles = asked.unionByName(given).repartition(blocks * groups, "tile").sortWithinPartitions("tile", "is_row")
+    tiles = asked.unionByName(given).repartitionById(blocks * groups, F.col("tile").cast("int")).sortWithinPartitions("tile", "is_row")
     found = tiles.mapInArrow(_tiles(k, scale), SCHEMA)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
