@@ -7,14 +7,14 @@ parent, each of the parent's tables one of the root. Discounts come from the num
 each level. There are as many restaurants as the corpus has contexts.
 
 What is counted grows with the corpus and is never cut: blocks of documents send, for each range of hashes of the word
-before, their (context, word) cells with counts. A range merges these and holds all restaurants of its words before,
+before, their (context, word) cells with counts; they are read a second time for the cell numbers of their tokens. A range merges these and holds all restaurants of its words before,
 leaves and parents, with all their customers; the root lies in slices by word. A Gibbs sweep seats the customers of a
 range anew given the root's counts of its words, one after another (those beyond the 64th of a cell in steps of at most
 an eighth of the seated) and each cell given the other cells' tables of the pass before; it sends the parents' tables by
 word to the root's slices, which merge and seat them and answer each range. Tables are kept from sweep to sweep. The
 first seating is the least one; the sweeps after the first are kept, and each one's predictive probabilities, which use
-that sweep's own tables and totals on every level, are averaged. Draws are seeded by the sweep and the range, so reruns
-on a cluster of one size agree.
+that sweep's own tables and totals on every level, are averaged. Draws are seeded by the sweep and the range, and ranges
+follow from the corpus alone, so reruns agree on any cluster.
 
 A range answers each block with log probabilities of its own cells; only packed cells are shuffled. A document is scored
 from its block's stored cell numbers. 64-bit hashes stand for words.
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, blocks, bucketed, fold, mix, parts_for, release, text_bytes, tidy, words, written
+from .common import SpanHash, blocks, bucketed, fold, mix, release, text_bytes, tidy, words, written
 
 #: Leaves for each parent, and parents, where a caller of sample_words names no parents.
 PARENTS, LEAVES = 16, 16
@@ -80,17 +80,27 @@ def _count_block(table: pa.Table) -> tuple:
     return names, pair >> 32, pair & _LOW, cells & _LOW, seen, cell, count.astype(np.int64)
 
 
+def _size(x) -> int:
+    return sum(9 + a.nbytes for a in x)
+
+
 def _arrays(*x: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; each with its length before it."""
-    return pa.compress(b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in x), codec="zstd", asbytes=True)
+    """Arrays as compressed bytes: each with its length, steps in place of rising numbers, all first bytes first, then the second ones."""
+    parts = []
+    for a in x:
+        rising = a.dtype.kind in "iu" and len(a) > 1 and float((a[1:] >= a[:-1]).mean()) > 0.9
+        steps = np.diff(a, prepend=a.dtype.type(0)) if rising else np.ascontiguousarray(a)
+        parts.append(len(a).to_bytes(8, "little") + bytes([rising]) + steps.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return pa.compress(b"".join(parts), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, size: int, *kinds) -> list[np.ndarray]:
     raw, at, out = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True), 0, []
     for kind in kinds:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 8))
-        at += 8 + n * np.dtype(kind).itemsize
+        n, wide = int.from_bytes(raw[at : at + 8], "little"), np.dtype(kind).itemsize
+        a = np.frombuffer(raw, np.uint8, n * wide, at + 9).reshape(wide, n).T.reshape(-1).view(kind)
+        out.append(np.cumsum(a, dtype=kind) if raw[at + 8] else a)
+        at += 9 + n * wide
     return out
 
 
@@ -99,8 +109,8 @@ def range_of(names: np.ndarray, ranges: int) -> np.ndarray:
     return ((names >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _count(ranges: int):
-    """Blocks to their rows: range -1 has the documents and their cells, the others the cells of a range."""
+def _count(ranges: int, messages: bool):
+    """Blocks to the cells of each range (messages), or to one row with the documents and their cells, in the same order."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +124,15 @@ def _count(ranges: int):
             ids = np.array([0 if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
             null = np.array([x is None for x in table.column("doc_id").to_pylist()], np.uint8)
             held = np.array(table.column("held_out").to_pylist(), np.uint8)
-            rows = [(part << 31 | k, -1, (ids, null, held, count, new[cell]))]
+            rows = [] if messages else [(part << 31 | k, -1, (ids, null, held, count, new[cell]))]
             edge = np.searchsorted(where[by], np.arange(ranges + 1))
-            for r in np.flatnonzero(edge[1:] > edge[:-1]):
+            for r in np.flatnonzero(edge[1:] > edge[:-1]) if messages else ():
                 own = by[edge[r] : edge[r + 1]]
                 used, at = np.unique(np.r_[one[own], two[own], of[own]], return_inverse=True)
                 rows.append((part << 31 | k, int(r), (names[used], *at.astype(np.uint32).reshape(3, -1), seen[own])))
             out = []
             for block, r, x in rows:
-                out.append((block, r, sum(8 + a.nbytes for a in x), _arrays(*x)))
+                out.append((block, r, _size(x), _arrays(*x)))
                 if len(out) == 32 or r == -1:
                     yield _rows(out)
                     out = []
@@ -161,7 +171,7 @@ def _merge(slices: int):
         rank[order] = np.arange(len(order), dtype=np.uint32)
         above = np.unique(pairs >> 32, return_inverse=True)[1]
         x = (names[held[order]], rank[of], (cells >> 32).astype(np.uint32), seen, above.astype(np.uint32), pdf["block"].to_numpy(np.int64), sizes, at.astype(np.uint32))
-        out = pd.DataFrame({"block": [0], "range": pdf["range"].iloc[:1].to_numpy(), "size": [sum(8 + a.nbytes for a in x)], "payload": [_arrays(*x)]})
+        out = pd.DataFrame({"block": [0], "range": pdf["range"].iloc[:1].to_numpy(), "size": [_size(x)], "payload": [_arrays(*x)]})
         del asked, key, cells, at, x
         release()
         return out
@@ -268,7 +278,7 @@ _STATE, _STATS = -1, -2
 
 def _sent(sweep: int, rows: list) -> list:
     """(range, slice, arrays) as rows of _SENT."""
-    return [(sweep, r, v, sum(8 + a.nbytes for a in x), _arrays(*x)) for r, v, x in rows]
+    return [(sweep, r, v, _size(x), _arrays(*x)) for r, v, x in rows]
 
 
 def _last(got: list, sweep: int) -> tuple:
@@ -364,7 +374,7 @@ def _answer(kept: list[tuple[int, Totals]]):
                 rows, lo = [], 0
                 for b, n in zip(block.tolist(), sizes.tolist()):
                     x = (log[at[lo : lo + n]], count[at[lo : lo + n]])
-                    rows.append((b, row["range"], sum(8 + a.nbytes for a in x), _arrays(*x)))
+                    rows.append((b, row["range"], _size(x), _arrays(*x)))
                     lo += n
                 for i in range(0, len(rows), 64):
                     yield _rows(rows[i : i + 64])
@@ -400,11 +410,12 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", F.coalesce(is_held, F.lit(False)).alias("held_out"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = parts_for(spark, size, RANGE)
+    ranges = int(max(1, np.ceil(size / RANGE)))  # by the data alone, so that draws do not depend on the cluster
     files = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = bucketed(rows.mapInArrow(_count(ranges), _ASKED), "cells", "block", files)
+    # texts are read for the messages and again for the documents' own cells: cheaper than to store the messages
+    counted = bucketed(rows.mapInArrow(_count(ranges, False), _ASKED), "cells", "block", files)
     slices = max(1, ranges // 4)
-    merged = bucketed(counted.filter("range >= 0").groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
+    merged = bucketed(rows.mapInArrow(_count(ranges, True), _ASKED).groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
     totals, kept, sent, discount = None, [], [], (0.5, 0.5, 0.5)
     n_tokens = n_words = 0
     for sweep in range(sweeps + 1):
@@ -421,7 +432,7 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
             break
     kept = kept[2:] or kept[-1:]
     answers = _with(merged, [x for k in kept for x in k[2]], files).mapInArrow(_answer([k[:2] for k in kept]), _ASKED).repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("range", "size", "payload")).alias("answers"))
-    own = counted.filter("range = -1").select("block", "size", "payload")
+    own = counted.select("block", "size", "payload")
     return own.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(_score(n_tokens, n_words), _SCORED)
 
 

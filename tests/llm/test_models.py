@@ -195,6 +195,49 @@ def test_language_model(spark, monkeypatch):
     assert (alone["n_known"], alone["train_tokens"]) == (0, 0) and math.isfinite(alone["score"])
 
 
+def brute_scores(docs):
+    """log10 of the model's probability of each text with the least seating: one table a cell on every level."""
+    tokens = [[re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", d[1] or "")] + [None] for d in docs]
+    contexts = [[(("start" if i < 2 else (t[i - 2],)), ("start" if i < 1 else (t[i - 1],))) for i in range(len(t))] for t in tokens]
+    c = [Counter(), Counter(), Counter()]
+    for d, t, x in zip(docs, tokens, contexts):
+        if not held(d[0], 5, 1):
+            c[0].update(zip(x, t))
+    c[1].update((x[1], w) for x, w in c[0])
+    c[2].update((None, w) for _, w in c[1])
+    rooms = [Counter(), Counter(), Counter()]  # customers and tables of each restaurant
+    tables = [Counter(), Counter(), Counter()]
+    for level in range(3):
+        for (x, _), n in c[level].items():
+            rooms[level][x] += n
+            tables[level][x] += 1
+    many = lambda level, k: sum(n == k for n in c[level].values())
+    d = [min(0.95, max(0.05, many(k, 1) / max(1, many(k, 1) + 2 * many(k, 2)))) for k in range(3)]
+    p = lambda level, x, w, below: (max(c[level][x, w] - d[level] * (c[level][x, w] > 0), 0) + (1 + d[level] * tables[level][x]) * below) / (1 + rooms[level][x])
+    word = lambda x, w: p(0, x, w, p(1, x[1], w, p(2, None, w, 1 / (len(c[2]) + 1))))
+    return [sum(math.log10(word(x, w)) for x, w in zip(xs, t)) for xs, t in zip(contexts, tokens)]
+
+
+def test_scores_match_brute_force(spark):
+    df, docs = frame(spark), documents()
+    got = pitman_yor.score_corpus(df, pitman_yor.fold("doc_id", 5) == 1, sweeps=0).collect()
+    want = sorted(zip([(-1 if d[0] is None else d[0]) for d in docs], brute_scores(docs)))
+    for (i, s), (j, w) in zip(sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["score"]) for r in got), want):
+        assert i == j and abs(s - w) < 1e-4 * max(1, abs(w))
+
+
+def test_scores_do_not_depend_on_the_cluster(spark, monkeypatch):
+    """Other partitions, blocks and shuffles: the same draws."""
+    monkeypatch.setattr(pitman_yor, "RANGE", 8000)  # several ranges and slices of the root
+    df = frame(spark)
+    one = sorted((str(r["doc_id"]), r["score"]) for r in pitman_yor.language_model(df.coalesce(1)).collect())
+    monkeypatch.setattr(pitman_yor, "BLOCK", 5000)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    two = sorted((str(r["doc_id"]), r["score"]) for r in pitman_yor.language_model(df.repartition(5)).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [i for i, _ in one] == [i for i, _ in two] and max(abs(a - b) for (_, a), (_, b) in zip(one, two)) < 1e-3
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
