@@ -9,6 +9,8 @@ from .. import streaming as ST
 from ..functions import columns as L
 from ..operators import models as M
 from ..operators.shared import written
+from .bayes_queries import _TABLE, _items
+from .knowledge_queries import _FOLD, _MASTERY
 from .registry import query
 
 _R = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -177,10 +179,55 @@ def st4_sessions(events):
     return _drain(ST.sessions(_as_stream(rows)), "complete").select("learner_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("st2_stream_posterior", "answers", "choices", "beliefs")
+@query("st2_stream_posterior", "answers", "choices", "beliefs", sql=f"with {_TABLE} select a.key, t.label, round(sum(ln(t.p)), 6) l from answers a join t on t.item_id = a.item_id and t.\"option\" = a.answer group by 1, 2")
 def st2_stream_posterior(answers, choices, beliefs):
-    """No SQL of its own: the tests hold it against the batch posterior."""
     from ..operators.bayes import likelihood_table
-    from .bayes_queries import _items
 
     return _R(_drain(ST.stream_posterior(_as_stream(answers), written(likelihood_table(_items(choices, beliefs)), "table")), "complete"), "l")
+
+
+@query("st1_stream_states", "responses", sql=_MASTERY + " select learner_id, class, round(p, 6) p_active, state, seen times_seen, trap trap_passed, transfer transfer_passed from f qualify row_number() over (partition by learner_id, class order by rn desc) = 1")
+def st1_stream_states(responses):
+    """The last row of each key's log."""
+    log = _drain(ST.stream_states(_as_stream(responses)), "append")
+    last = log.groupBy("learner_id", "class").agg(F.max_by(F.struct("p_after", "state_after", "times_seen", "trap_passed", "transfer_passed"), F.struct("ts", "seq")).alias("x"))
+    return last.select("learner_id", "class", F.round("x.p_after", 6).alias("p_active"), F.col("x.state_after").alias("state"), "x.times_seen", "x.trap_passed", "x.transfer_passed")
+
+
+@query("st5_late_refold", "responses", sql=_FOLD.replace("recursive with", "recursive with bt as (select *, seq % 3 b from responses), mx as (select b, max(max(ts)) over (order by b rows between unbounded preceding and 1 preceding) m from bt group by b), lk as (select distinct learner_id, class from bt join mx on mx.b = bt.b and bt.ts < m - interval 20 day),", 1) + " select f.learner_id, f.class, round(p, 6) p_active, seen::bigint times_seen from f join lk on lk.learner_id = f.learner_id and lk.class = f.class qualify row_number() over (partition by f.learner_id, f.class order by rn desc) = 1")
+def st5_late_refold(responses):
+    """Three batches that overlap in time; keys with rows later than the watermark are folded anew from the whole table."""
+    from ..operators.knowledge import knowledge_fold
+    from ..operators.shared import shared_path
+
+    spark, at = responses.sparkSession, [shared_path(responses.sparkSession, n) for n in ("in", "out", "side", "checkpoint")]
+    for b in range(3):
+        responses.filter(F.col("seq") % 3 == b).coalesce(1).write.mode("append").parquet(at[0])
+    stream = spark.readStream.schema(responses.schema).option("maxFilesPerTrigger", 1).parquet(at[0])
+    ST.split_late(stream, at[1], at[2], at[3], "20 days").awaitTermination()
+    out, side = (spark.read.schema(responses.schema).parquet(x) for x in at[1:3])
+    return ST.refold(out, side, knowledge_fold).select("learner_id", "class", F.round("p_active", 6).alias("p_active"), "times_seen")
+
+
+@query("st6_enriched", "responses", "choices", sql="select learner_id, seq, r.item_id, k from responses r left join choices c on c.item_id = r.item_id")
+def st6_enriched(responses, choices):
+    return _drain(ST.enrich(_as_stream(responses.select("learner_id", "seq", "item_id")), choices.select("item_id", "k")), "append")
+
+
+@query("st6_diagnosed", "attempts", sql="select attempt_id, learner_id, top, ts + interval 1 minute * (attempt_id % 20) diagnosed_at from attempts where attempt_id % 20 <= 10")
+def st6_diagnosed(attempts):
+    a = attempts.select("attempt_id", "learner_id", "ts")
+    d = attempts.select("attempt_id", "top", (F.col("ts") + F.make_dt_interval(mins=(F.col("attempt_id") % 20).cast("int"))).alias("ts"))
+    out = _drain(ST.diagnosed(_as_stream(a), _as_stream(d)), "append")
+    return out.select("attempt_id", "learner_id", "top", F.col("diagnosed_at").cast("timestamp_ntz").alias("diagnosed_at"))
+
+
+@query("st7_monitor", "corpus", sql="with l(label) as (values ('M01'), ('M08'), ('D01'), ('OTHER'), ('CORRECT'), ('M02')) select 'Q1' rule_id, case when coalesce(n, 0) < 80 then 'FAIL' else 'PASS' end status, label \"key\", coalesce(n, 0)::double \"value\", 0 batch from l left join (select label, count(*) n from corpus group by 1) using (label)")
+def st7_monitor(corpus):
+    from ..operators.quality import check_counts
+    from ..operators.shared import shared_path
+
+    spark, (to, at) = corpus.sparkSession, (shared_path(corpus.sparkSession, n) for n in ("rules", "checkpoint"))
+    rows = _as_stream(corpus.select("id", "label"))
+    ST.monitor(rows, lambda b: check_counts(b, ["M01", "M08", "D01", "OTHER", "CORRECT", "M02"]), to, at).awaitTermination()
+    return spark.read.parquet(to)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as C
-from ..operators.knowledge import route_events
+from ..operators.knowledge import PROBATION_KINDS, route_events
 
 
 def timed(events: DataFrame, watermark: str, ts: str = "ts") -> DataFrame:
@@ -51,6 +51,76 @@ def stream_knowledge(events: DataFrame, watermark: str = "1 hour", prior: float
     return narrow.groupBy("learner_id", "class").applyInPandasWithState(step, "learner_id long, class string, ts timestamp, seq long, p_before double, p_after double", "p double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _reassess(cls: str, s: dict, e) -> dict:
+    """The state of a learner's class after one event, in the order of mastery_fold."""
+    s, kind = dict(s), e.kind
+    attempt, done, start = kind in ("signature_failure", "latent_pass"), kind == "intervention_done", kind == "intervention_start"
+    correct, exposure = bool(e.correct), 0.0 if pd.isna(e.exposure) else float(e.exposure)
+    if (kind in PROBATION_KINDS or done or start) and s["state"] in ("ACTIVE", "RELAPSED"):
+        s["state"] = "TREATING"
+    if not attempt and not start and s["state"] == "TREATING":
+        s.update(p=s["p"] * (1 - C.LEARN_RATE), state="PROBATION", trap=False, transfer=False, asked=[])
+    if done or start:
+        return s
+    if kind == "ghost" and s["state"] in ("STABLE", "MASTERED"):
+        s["p"] = 1 - (1 - s["p"]) * (1 - C.FORGET_RATE) ** max(0, int(e.levels))
+    if not pd.isna(e.if_active):
+        total = s["p"] * e.if_active + (1 - s["p"]) * e.if_not
+        s["p"] = s["p"] if total == 0 else s["p"] * e.if_active / total
+    family = None if pd.isna(e.family) else e.family
+    s["seen"] += 1
+    s["trap"] = s["trap"] or (e.resolved in ("trap", "predict_output_trap") and correct)
+    counts = family is None or (family in C.TRANSFER_FAMILIES.get(cls, ()) and family != s["family"])
+    s["transfer"] = s["transfer"] or (kind == "transfer_code" and correct and counts)
+    if attempt and s["family"] is None and s["state"] in ("UNSEEN", "ACTIVE"):
+        s["family"] = family
+    if not attempt and e.item_id not in s["asked"]:
+        s["asked"] = [*s["asked"], e.item_id]
+    exam = kind in ("exam_code", "exam_trace")
+    ghost_failed = not correct and (kind == "ghost" or (exam and exposure >= C.EXAM_MIN_EXPOSURE))
+    mastered = s["p"] < C.MASTERED_P and correct and (kind == "ghost" or (exam and exposure >= C.EXAM_MASTERY_EXPOSURE))
+    state, p = s["state"], s["p"]
+    if state in ("STABLE", "MASTERED") and (p >= C.ACTIVE_P or (ghost_failed and not attempt)):
+        s["state"] = "RELAPSED"
+    elif state == "UNSEEN" and p >= C.ACTIVE_P:
+        s["state"] = "ACTIVE"
+    elif state == "PROBATION":
+        s["state"] = "TREATING" if p > C.ACTIVE_P else "STABLE" if p < C.STABLE_P and s["trap"] and s["transfer"] and not attempt else "PROBATION"
+    elif state == "STABLE" and mastered and not attempt:
+        s["state"] = "MASTERED"
+    return s
+
+
+_ENTRY = "p double, state string, seen long, trap boolean, transfer boolean, family string, asked array<string>"
+_LOG = "learner_id long, class string, ts timestamp, seq long, p_before double, p_after double, state_before string, state_after string, times_seen long, trap_passed boolean, transfer_passed boolean"
+
+
+def stream_states(events: DataFrame, watermark: str = "1 hour", prior: float = C.POPULATION_PRIOR) -> DataFrame:
+    """The update log of knowledge with the mastery states: P, state and checklist before and after each event.
+
+    Kept for each learner and class: P, state, times seen, trap and transfer passed, the family it was found in, items
+    asked. Repeated seq within the watermark count once; order and late events as in stream_knowledge.
+    """
+    rows = route_events(timed(events, watermark)).dropDuplicatesWithinWatermark(["learner_id", "seq"])
+    for name, kind in (("levels", "int"), ("exposure", "double"), ("family", "string"), ("item_id", "string")):
+        rows = rows.withColumn(name, F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind))
+    names = [c.split()[0] for c in _ENTRY.split(", ")]
+
+    def step(key, batches, state: GroupState):
+        s = dict(zip(names, state.get)) if state.exists else {"p": prior, "state": "UNSEEN", "seen": 0, "trap": False, "transfer": False, "family": None, "asked": []}
+        s["asked"] = list(s["asked"])
+        out = []
+        for e in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
+            new = _reassess(key[1], s, e)
+            out.append((key[0], key[1], e.ts, e.seq, s["p"], new["p"], s["state"], new["state"], new["seen"], new["trap"], new["transfer"]))
+            s = new
+        state.update(tuple(s[n] for n in names))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _LOG.split(", ")])
+
+    narrow = rows.select("learner_id", "class", "ts", "seq", "kind", "resolved", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("correct", F.lit(False)).alias("correct"), "exposure", "family", "item_id", "if_active", "if_not")
+    return narrow.groupBy("learner_id", "class").applyInPandasWithState(step, _LOG, _ENTRY, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_posterior(answers: DataFrame, table: DataFrame) -> DataFrame:
     """(key, label, l): running sums of log likelihoods; the order of answers does not matter. For update or complete mode."""
     return answers.join(table.withColumnRenamed("option", "answer"), ["item_id", "answer"]).groupBy("key", "label").agg(F.sum(F.log("p")).alias("l"))
@@ -74,6 +144,28 @@ def late_rows(batch: DataFrame, seen_to: Column) -> DataFrame:
     return batch.filter(F.col("ts") < seen_to)
 
 
+def split_late(stream: DataFrame, out: str, side: str, checkpoint: str, watermark: str = "1 hour", ts: str = "ts"):
+    """Appends each micro-batch to a table, and rows that are later than the watermark of the batches before to a side table."""
+    seen: list = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if not seen and number:  # after a restart: what was written tells how far time had come
+            seen.append(spark.read.schema(batch.schema).parquet(out).agg(F.max(ts)).first()[0])
+        if seen and seen[-1] is not None:
+            late_rows(batch, F.lit(seen[-1]) - F.expr(f"interval {watermark}")).write.mode("append").parquet(side)
+        batch.write.mode("append").parquet(out)
+        newest = batch.agg(F.max(ts)).first()[0]
+        seen[:] = [max(x for x in (*seen, newest) if x is not None)] if newest is not None or seen else []
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refold(history: DataFrame, late: DataFrame, fold: Callable[[DataFrame], DataFrame], by=("learner_id", "class")) -> DataFrame:
+    """The batch fold of the keys that late rows belong to, over their whole history."""
+    return fold(history.join(late.select(*by).distinct(), list(by), "left_semi"))
+
+
 def enrich(stream: DataFrame, items: DataFrame, on: str = "item_id") -> DataFrame:
     """A stream with a static table's columns."""
     return stream.join(items, on, "left")
