@@ -83,6 +83,7 @@ AT_RISK_MIN = 0.35
 # quality rules and evaluation
 LABEL_FLOOR, DROP_LIMIT, STUMP_LIMIT, BLEED_LIMIT, CORRELATION_LIMIT, EXPOSURE_GAP = 80, 0.40, 0.60, 0.30, 0.95, 0.30
 CONSTANT_SHARE, KS_D, KS_P, KS_N, EVENT_SHARE, SHIFT_AUC = 0.99, 0.25, 0.01, 20, 0.50, 0.85
+SILHOUETTE_LIMIT = 0.20
 BINS, T_LOW, T_HIGH = 10, 0.5, 5.0
 READER_PRECISION, READER_ACCEPTED, READER_NEVER = 0.90, 10, 1.01
 AUDIT_CONFIDENCE = 0.6

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, components_of, fingerprint
+from .shared import broadcast_if_small
 
 
 def training_rows(rows: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def capped_round_robin(rows: DataFrame, label: str, bucket_cols: list[str], high
     rows = rows.withColumn("turn", turn)
     # every bucket has as many rows up to its cap as turns up to it: countable before any global order
     held = rows.groupBy(label).agg(F.sum((F.col("turn") <= cap).cast("int")).alias("held"))
-    rows = rows.join(F.broadcast(held), label)
+    rows = rows.join(broadcast_if_small(held), label)
     limit = F.when(F.col("held") < aim, F.lit(loose) if loose else F.col("turn")).otherwise(F.lit(cap))
     rows = rows.filter(F.col("turn") <= limit)
     rank = F.row_number().over(W.partitionBy(label).orderBy("turn", *bucket_cols, order))
@@ -78,7 +79,7 @@ def capped_round_robin(rows: DataFrame, label: str, bucket_cols: list[str], high
 def backfill(rows: DataFrame, picked: DataFrame, label: str = "label", floor: int = 80, order: str = "id") -> DataFrame:
     """Rows not picked that bring labels up to the floor, in order."""
     have = picked.groupBy(label).agg(F.count(F.lit(1)).alias("have"))
-    rest = rows.join(picked.select(order), order, "left_anti").join(F.broadcast(have), label, "left")
+    rest = rows.join(picked.select(order), order, "left_anti").join(broadcast_if_small(have), label, "left")
     rank = F.row_number().over(W.partitionBy(label).orderBy(order))
     return rest.withColumn("rank", rank).filter(F.col("rank") <= floor - F.coalesce("have", F.lit(0))).drop("have", "rank")
 
@@ -156,7 +157,7 @@ def operator_holdout(rows: DataFrame, least: int = 8) -> DataFrame:
 def holdout_split(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds part: test for a label's held operator, drop for other rows with it, train for the rest."""
     held = plan.select(F.col("label").alias("__l"), F.col("held").alias("__h"))
-    rows = rows.join(F.broadcast(held), F.col("label") == F.col("__l"), "left")
+    rows = rows.join(broadcast_if_small(held), F.col("label") == F.col("__l"), "left")
     has = F.array_contains(components_of(F.col("op_id")), F.col("__h"))
     return rows.withColumn("part", F.when(F.coalesce(has, F.lit(False)), F.when(F.col("op_id") == F.col("__h"), "test").otherwise("drop")).otherwise("train")).drop("__l", "__h")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import class_eig
+from .shared import broadcast_if_small
 
 
 def records(attempts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def star_states(hazard: DataFrame, record: DataFrame, stars: DataFrame) -> DataF
     live = F.col("state").isin(C.LIVE_STATES)
     high = (F.col("p_active") >= C.ACTIVE_P) & (e >= C.AT_RISK_MIN)
     own = hazard.groupBy("learner_id", "star_id").agg(F.product(1 - e).alias("solid"), F.bool_or(live).alias("live"), F.bool_or(high).alias("high"))
-    seen = record.join(F.broadcast(stars), "record").groupBy("learner_id", "star_id").agg(F.bool_or("cleared").alias("cleared"), F.lit(True).alias("tried"))
+    seen = record.join(broadcast_if_small(stars), "record").groupBy("learner_id", "star_id").agg(F.bool_or("cleared").alias("cleared"), F.lit(True).alias("tried"))
     rows = own.join(seen, ["learner_id", "star_id"], "left").withColumn("cleared", F.coalesce("cleared", F.lit(False)))
     state = F.when(F.col("cleared"), F.when(F.col("live"), "shaky").otherwise("known")).when(F.coalesce("tried", F.lit(False)), "attempted").otherwise("unexplored")
     return rows.select("learner_id", "star_id", state.alias("state"), "cleared", F.when(F.col("cleared"), F.round("solid", 4)).alias("brightness"), F.when(~F.col("cleared"), F.round(1 - F.col("solid"), 4)).alias("risk"), (F.col("high") & ~F.col("cleared")).alias("at_risk"))
@@ -48,14 +49,14 @@ def star_states(hazard: DataFrame, record: DataFrame, stars: DataFrame) -> DataF
 def suggested_next(hazard: DataFrame, states: DataFrame, order: DataFrame) -> DataFrame:
     """Each learner's uncleared star with the most expected bits, the earliest on a tie. order: (star_id, ord)."""
     rows = hazard.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE).join(states.filter("not cleared").select("learner_id", "star_id"), ["learner_id", "star_id"])
-    gains = rows.groupBy("learner_id", "star_id").agg(F.round(F.sum(class_eig(F.col("p_active"), F.col("exposure"))), 9).alias("bits")).join(F.broadcast(order), "star_id")
+    gains = rows.groupBy("learner_id", "star_id").agg(F.round(F.sum(class_eig(F.col("p_active"), F.col("exposure"))), 9).alias("bits")).join(broadcast_if_small(order), "star_id")
     return gains.groupBy("learner_id").agg(F.max_by(F.struct("star_id", "bits"), F.struct("bits", -F.col("ord"))).alias("b")).select("learner_id", "b.star_id", "b.bits")
 
 
 def topic_rollup(states: DataFrame, topics: DataFrame) -> DataFrame:
     """(learner_id, topic, total, cleared, shaky, at_risk). topics: (star_id, topic)."""
     n = lambda c: F.count_if(c)
-    return states.join(F.broadcast(topics), "star_id").groupBy("learner_id", "topic").agg(F.count(F.lit(1)).alias("total"), n(F.col("cleared")).alias("cleared"), n(F.col("state") == "shaky").alias("shaky"), n(F.col("at_risk")).alias("at_risk"))
+    return states.join(broadcast_if_small(topics), "star_id").groupBy("learner_id", "topic").agg(F.count(F.lit(1)).alias("total"), n(F.col("cleared")).alias("cleared"), n(F.col("state") == "shaky").alias("shaky"), n(F.col("at_risk")).alias("at_risk"))
 
 
 def chart_summary(states: DataFrame) -> DataFrame:

@@ -72,10 +72,28 @@ def adversarial_auc(rows: DataFrame, features: list[str], side: str, fold: str,
     return auroc(p.join(rows.select(id, side), id), "p", side)
 
 
-def stump_auc(rows: DataFrame, features: list[str], id: str, y: str) -> DataFrame:
-    """M9: (feature, threshold, auc) of the best depth-1 split of a binary label."""
-    cut = stumps(rows.withColumn("label", F.col(y).cast("string")), id, features).select("feature", "threshold", F.col("macro_recall").alias("auc"))
-    return cut
+def stump_auc(rows: DataFrame, features: list[str], id: str, y: str, fold: str | None = None) -> DataFrame:
+    """M9: (feature, threshold, auc) of the best depth-1 split of a binary label; with fold, (feature, auc) out of fold.
+
+    Out of fold each row is judged by the split that the other folds' rows chose: its score is the share of label 1 on
+    its side of that split.
+    """
+    as_label = lambda df: df.withColumn("label", F.col(y).cast("string"))
+    if fold is None:
+        return stumps(as_label(rows), id, features).select("feature", "threshold", F.col("macro_recall").alias("auc"))
+    cells = rows.select(id, y, fold, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])))
+
+    def fit(train):
+        cut = stumps(as_label(train), id, features).select("feature", "threshold")
+        side = cells.join(train.select(fold).distinct(), fold, "left_semi").join(F.broadcast(cut), "feature")  # a row a feature
+        return side.groupBy("feature", (F.col("x") <= F.col("threshold")).alias("low")).agg(F.first("threshold").alias("threshold"), F.avg(y).alias("p"))
+
+    def predict(model, test):
+        both = model.groupBy("feature").agg(F.first("threshold").alias("threshold"), F.max(F.when(F.col("low"), F.col("p"))).alias("below"), F.max(F.when(~F.col("low"), F.col("p"))).alias("above"))
+        own = cells.join(test.select(fold).distinct(), fold, "left_semi").join(F.broadcast(both), "feature")
+        return own.select("feature", y, F.when(F.col("x") <= F.col("threshold"), F.col("below")).otherwise(F.col("above")).alias("p"))
+
+    return auroc(oof(rows, fold, fit, predict), "p", y, ("feature",)).select("feature", F.col("auroc").alias("auc"))
 
 
 def fit_novelty(train: DataFrame, features: list[str], id: str, rows: int = 4000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -96,51 +114,112 @@ def standardise(rows: DataFrame, stats: DataFrame, features: list[str], id: str)
     return z.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("vector"))
 
 
-def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vector", k: int = 5, exclude_self: bool = True, block: int = 4096) -> DataFrame:
-    """(id, ref_id, dist, rank): the k nearest reference rows by Euclidean distance, exact, ties to the smaller id.
-
-    The reference is cut into blocks of a bounded number of rows by a hash; a pass over the queries goes through one
-    block by matrix products and keeps k rows a query, which are then ranked.
-    """
+def _nearest(k: int, exclude_self: bool, chunk: int = 4096):
+    """Rows (tile, is_row, id, vector), a tile's queries before its rows, to the k nearest rows of each query and tile."""
     import numpy as np
     import pyarrow as pa
 
-    n = max(1, -(-reference.count() * 3 // (2 * block)))
-    found = None
-    for b in range(n):
-        part = reference.filter(F.pmod(F.xxhash64(F.col(id)), F.lit(n)) == b).select(F.col(id).cast("long"), vector).toPandas().sort_values(id)
-        if not len(part):
-            continue
-        ids, ref = part[id].to_numpy(np.int64), np.stack([np.asarray(v, float) for v in part[vector]])
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, ref=ref) -> Iterator[pa.RecordBatch]:
-            norm = (ref**2).sum(1)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
-                    own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    x = np.array(part.column(1).to_pylist(), float).reshape(len(own), -1)
-                    d = (x**2).sum(1)[:, None] + norm - 2 * x @ ref.T
-                    if exclude_self:
-                        d[own[:, None] == ids[None, :]] = np.inf
-                    m = min(k + 8, len(ids))  # a few more, as close ones are measured again
-                    at = np.argpartition(d, m - 1, 1)[:, :m]
-                    near = np.sqrt(((ref[at] - x[:, None, :]) ** 2).sum(2))
-                    near[ids[at] == own[:, None]] = np.inf if exclude_self else near[ids[at] == own[:, None]]
-                    order = np.lexsort((ids[at], np.round(near, 9)), axis=1)[:, :k]
-                    rows, cols = np.repeat(np.arange(len(own)), order.shape[1]), order.ravel()
-                    dist = near[rows, cols]
-                    ok = np.isfinite(dist)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[rows][ok]), pa.array(ids[at[rows, cols]][ok]), pa.array(dist[ok])], ["id", "ref_id", "dist"])
-
-        got = query.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(run, "id long, ref_id long, dist double")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return query.sparkSession.createDataFrame([], f"{id} long, ref_id long, dist double, rank int")
+    def vectors(column) -> np.ndarray:
+        return np.array(column.to_pylist(), float).reshape(len(column), -1)
+
+    def merge(q, ids, best, ref_ids, ref):
+        d = (q**2).sum(1)[:, None] + (ref**2).sum(1) - 2 * q @ ref.T
+        own = ids[:, None] == ref_ids[None, :]
+        if exclude_self:
+            d[own] = np.inf
+        m = min(k + 8, len(ref_ids))  # a few more, as close ones are measured again
+        at = np.argpartition(d, m - 1, 1)[:, :m]
+        near = np.stack([np.sqrt(((ref[a] - x) ** 2).sum(1)) for a, x in zip(at, q)])
+        if exclude_self:
+            near[np.take_along_axis(own, at, 1)] = np.inf
+        near, found = np.concatenate([best[0], near], 1), np.concatenate([best[1], ref_ids[at]], 1)
+        order = np.lexsort((found, np.round(near, 9)), axis=1)[:, :k]
+        return np.take_along_axis(near, order, 1), np.take_along_axis(found, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, ids, held = None, [], [], []
+        best = None
+
+        def flush():
+            nonlocal best, asked, ids
+            if not held or not asked:
+                held.clear()
+                return
+            asked, ids = [np.concatenate(asked)], [np.concatenate(ids)]
+            best = best or (np.full((len(ids[0]), 0), np.inf), np.zeros((len(ids[0]), 0), np.int64))
+            best = merge(asked[0], ids[0], best, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            held.clear()
+
+        def close():
+            flush()
+            if best is not None:
+                ok = np.isfinite(best[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0], best[0].shape[1])[ok.ravel()]), pa.array(best[1][ok]), pa.array(best[0][ok])], ["id", "ref_id", "dist"])
+
+        for batch in batches:
+            tile, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((tile[1:] != tile[:-1]) | (is_row[1:] != is_row[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(tile)]):
+                if hi == lo:
+                    continue
+                if tile[lo] != now and now is not None:
+                    yield from close()
+                    asked, ids, best = [], [], None
+                now = tile[lo]
+                for start in range(lo, hi, chunk):
+                    part = batch.slice(start, min(chunk, hi - start))
+                    names, x = part.column(2).to_numpy(), vectors(part.column(3))
+                    if is_row[lo]:
+                        held.append((names, x))
+                        if sum(len(y) for y, _ in held) >= chunk:
+                            flush()
+                    else:
+                        asked.append(x)
+                        ids.append(names)
+        if now is not None:
+            yield from close()
+
+    return run
+
+
+def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vector", k: int = 5, exclude_self: bool = True, block: int = 1024, group: int = 1 << 17) -> DataFrame:
+    """(id, ref_id, dist, rank): the k nearest reference rows by Euclidean distance, exact, ties to the smaller id.
+
+    Blocks of queries and groups of reference rows, both of bounded expected size, meet in a shuffle, a pair of them a
+    task; a task holds its queries and streams the group's rows through matrix products. k rows a query and group are
+    then ranked. Nothing goes through the driver.
+    """
+    narrow = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null and vector is not null")
+    asked, given = narrow(query), narrow(reference)
+    blocks, groups = max(1, -(-asked.count() // block)), max(1, -(-given.count() // group))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # groups are salted by the partition a row comes from, so that repeated rows are spread
+    tile = (F.col("g") * blocks + F.col("b")).alias("tile")
+    of = lambda n: F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), F.lit(n)).cast("int")
+    a = asked.select("id", "vector", of(blocks).alias("b"), each(groups).alias("g")).select(tile, F.lit(False).alias("is_row"), "id", "vector")
+    b = given.select("id", "vector", of(groups).alias("g"), each(blocks).alias("b")).select(tile, F.lit(True).alias("is_row"), "id", "vector")
+    tiles = a.unionByName(b).repartitionById(blocks * groups, "tile").sortWithinPartitions("tile", "is_row")
+    found = tiles.mapInArrow(_nearest(k, exclude_self), "id long, ref_id long, dist double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("dist", 9), "ref_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("id", id)
 
 
+def oof_distance(rows: DataFrame, fold: str, features: list[str], id: str, k: int = 5) -> DataFrame:
+    """M7 out of fold: (id, knn_dist) of each row to the training rows of the fold that did not see it, standardised by those.
+
+    Folds are a handful; null features take the training rows' median.
+    """
+    def fit(train):
+        stats, _ = fit_novelty(train, features, id, rows=1)
+        return stats, standardise(train, stats, features, id)
+
+    def predict(model, test):
+        stats, reference = model
+        return novelty_distance(knn_join(standardise(test, stats, features, id), reference, id, k=k, exclude_self=False), id)
+
+    return oof(rows, fold, fit, predict)
+
+
 def novelty_distance(neighbours: DataFrame, id: str) -> DataFrame:
     """(id, knn_dist): mean distance to the neighbours."""
     return neighbours.groupBy(id).agg(F.avg("dist").alias("knn_dist"))
@@ -184,3 +263,17 @@ def silhouette(points: DataFrame, label: str) -> float:
     v = VectorAssembler(inputCols=["pc1", "pc2"], outputCol="features").transform(points)
     v = StringIndexer(inputCol=label, outputCol="prediction").fit(v).transform(v)
     return ClusteringEvaluator().evaluate(v)
+
+
+def check_projection(rows: DataFrame, features: list[str], id: str, label: str, limit: float = C.SILHOUETTE_LIMIT) -> DataFrame:
+    """Q9: (rule_id, status, key, value): the silhouette of the labels on two components, which fails from the limit on, and how often a row's nearest neighbour has its label.
+
+    rows: one for each hash.
+    """
+    flat = silhouette(projection(rows, features, id, label), label)
+    stats, _ = fit_novelty(rows, features, id, rows=1)
+    z = standardise(rows, stats, features, id)
+    near = knn_join(z, z, id, k=1).join(rows.select(id, F.col(label).alias("__a")), id).join(rows.select(F.col(id).alias("ref_id"), F.col(label).alias("__b")), "ref_id")
+    share = near.agg(F.avg((F.col("__a") == F.col("__b")).cast("double")).alias("value"))
+    first = rows.sparkSession.createDataFrame([("Q9", "FAIL" if flat >= limit else "PASS", "silhouette", float(flat))], "rule_id string, status string, key string, value double")
+    return first.unionByName(share.select(F.lit("Q9").alias("rule_id"), F.lit("PASS").alias("status"), F.lit("one_nn").alias("key"), "value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import flat, jaccard, token_set
+from .shared import broadcast_if_small
 
 
 def sentence_filter(df: DataFrame, banned: list[str], descriptions: DataFrame | None = None, limit: float = 0.8) -> DataFrame:
@@ -17,7 +18,7 @@ def sentence_filter(df: DataFrame, banned: list[str], descriptions: DataFrame |
     for b in banned:
         bad = bad | F.contains(F.lower("text"), F.lit(b))
     if descriptions is not None:
-        df = df.join(F.broadcast(descriptions.select("label", "description")), "label", "left")
+        df = df.join(broadcast_if_small(descriptions.select("label", "description")), "label", "left")
         copy = F.coalesce(jaccard(token_set(F.col("text")), token_set(F.col("description"))) >= limit, F.lit(False))
     else:
         copy = F.lit(False)

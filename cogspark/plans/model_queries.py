@@ -41,9 +41,9 @@ def m4_trees_out_of_fold(embeddings):
     return _R(M.oof(rows, "fold", lambda t: M.fit_trees(t, _X, "label", trees=5, depth=4), lambda m, t: M.score(m, t, _X, "vec_id", 1.5)), "p")
 
 
-@query("m6_novelty_space", "embeddings", sql="with u as (" + " union all ".join(f"select 'x{i}' feature, embedding[{i + 1}]::double x from embeddings" for i in range(6)) + ") select feature, round(median(x), 6) median, round(avg(x), 6) mean, round(stddev_pop(x), 6) sd from u group by 1 having stddev_pop(x) > 0")
+@query("m6_novelty_space", "embeddings", sql="with u as (" + " union all ".join(f"select 'x{i}' feature, embedding[{i + 1}]::double x from embeddings" for i in range(64)) + ") select feature, round(median(x), 6) median, round(avg(x), 6) mean, round(stddev_pop(x), 6) sd from u group by 1 having stddev_pop(x) > 0")
 def m6_novelty_space(embeddings):
-    return _R(M.fit_novelty(_wide(embeddings), _X[:6], "vec_id")[0], "median", "mean", "sd")
+    return _R(M.fit_novelty(_wide(embeddings), _X, "vec_id")[0], "median", "mean", "sd")
 
 
 @query("j_knn", "embeddings", sql="with p as (select a.vec_id id, b.vec_id ref_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) ** 2))), 9) d from embeddings a join embeddings b on a.vec_id <> b.vec_id) select id vec_id, ref_id, round(d, 6) dist, row_number() over (partition by id order by d, ref_id)::int \"rank\" from p qualify row_number() over (partition by id order by d, ref_id) <= 5")
@@ -70,9 +70,9 @@ def m9_stump_auc(lineitem):
     return _R(M.stump_auc(rows, ["l_quantity", "l_tax"], "id", "y").select("feature", "auc"), "auc")
 
 
-@query("e24_nearest_description", "embeddings", sql="with v as (select vec_id id, 'c' || label label, list_transform(embedding[1:8], lambda x: x::double) v from embeddings), a as (select label, arg_min(v, id) a from v group by 1), c as (select v.id, a.label, list_cosine_similarity(v, a) c from v cross join a) select id, label, round(c, 6) cosine from c qualify row_number() over (partition by id order by round(c, 12) desc, label) = 1")
+@query("e24_nearest_description", "embeddings", sql="with v as (select vec_id id, 'c' || label label, list_transform(embedding, lambda x: x::double) v from embeddings), a as (select label, arg_min(v, id) a from v group by 1), c as (select v.id, a.label, list_cosine_similarity(v, a) c from v cross join a) select id, label, round(c, 6) cosine from c qualify row_number() over (partition by id order by round(c, 12) desc, label) = 1")
 def e24_nearest_description(embeddings):
-    v = embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), "label").alias("label"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("vector"))
+    v = embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), "label").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     anchors = v.groupBy("label").agg(F.min_by("vector", "id").alias("vector"))
     return _R(M.nearest_description(v, anchors).filter("rank = 1").select("id", "label", "cosine"), "cosine")
 
@@ -84,6 +84,26 @@ def q8_shift(embeddings):
     return _R(M.adversarial_auc(rows, _X, "side", "fold", "vec_id"), "auroc")
 
 
+@query("m7_oof_distance", "embeddings", sql="""with u as (select vec_id, vec_id % 4 fold, i, embedding[i]::double x from embeddings cross join range(1, 65) r(i)), st as (select f.fold, i, avg(x) m, stddev_pop(x) sd from u join (select distinct fold from u) f on u.fold <> f.fold group by 1, 2),
+q as (select u.vec_id, u.fold, list((x - m) / sd order by u.i) z from u join st on st.fold = u.fold and st.i = u.i group by 1, 2), r as (select u.vec_id, st.fold, list((x - m) / sd order by u.i) z from u join st on st.i = u.i and u.fold <> st.fold group by 1, 2),
+p as (select q.vec_id, list_distance(q.z, r.z) d from q join r on r.fold = q.fold qualify row_number() over (partition by q.vec_id order by list_distance(q.z, r.z), r.vec_id) <= 5) select vec_id, round(avg(d), 6) knn_dist from p group by 1""")
+def m7_oof_distance(embeddings):
+    return _R(M.oof_distance(_wide(embeddings), "fold", _X, "vec_id"), "knn_dist")
+
+
+@query("m9_stump_auc_oof", "lineitem")
+def m9_stump_auc_oof(lineitem):
+    """No SQL: a split for each fold. The tests hold it against plain loops."""
+    rows = lineitem.withColumns({"id": F.lit(0), "fold": F.col("l_orderkey") % 3, "y": (F.col("l_returnflag") == "R").cast("int")})
+    return _R(M.stump_auc(rows, ["l_quantity", "l_tax"], "id", "y", "fold"), "auc")
+
+
+@query("q9_separation", "embeddings")
+def q9_separation(embeddings):
+    """No SQL: principal components. The tests hold both figures against plain loops."""
+    return _R(M.check_projection(_wide(embeddings), _X, "vec_id", "label"), "value")
+
+
 @query("q9_projection", "embeddings")
 def q9_projection(embeddings):
     """No SQL: principal components, whose signs are free."""

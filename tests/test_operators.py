@@ -312,3 +312,43 @@ def test_novelty_and_trace_rules(spark):
     arrays = spark.createDataFrame([(1, 1, None, None, [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]), (1, 2, None, None, [1.0, 2.0, 3.0], [2.0, 3.0, 3.0], [2.0, 3.0, 1.0]), (1, 3, None, None, [1.0], [1.0], [1.0])], "attempt_id int, test int, got double, want double, items array<double>, array array<double>, want_array array<double>")
     r = one(R.relation_features(arrays))
     assert (r["failed"], r["unchanged"], r["shifted"]) == (2, 0.5, 0.5)
+
+
+def test_knn_over_tiles(spark):
+    """Repeated rows count each, ties go to the smaller id, whatever the tiles."""
+    rng = random.Random(3)
+    rows = [(i, [rng.random(), rng.random(), rng.random()]) for i in range(40)] + [(100, [0.5, 0.5, 0.5])] * 3 + [(101, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    dist = lambda a, b: round(math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b))), 9)
+    q = df.filter("id < 10")
+    for block, group, parts in ((1024, 1 << 17, 1), (2, 7, 5)):
+        got = sorted((r["id"], r["rank"], r["ref_id"], round(r["dist"], 9)) for r in M.knn_join(q, df.repartition(parts), "id", k=6, block=block, group=group).collect())
+        want = []
+        for i, v in rows[:10]:
+            near = sorted((dist(v, w), j) for j, w in rows if j != i)[:6]
+            want += [(i, k + 1, j, d) for k, (d, j) in enumerate(near)]
+        assert got == sorted(want)
+
+
+def test_stump_out_of_fold(spark):
+    rng = random.Random(4)
+    rows = [(0, i % 3, float(rng.randint(0, 9)), float(rng.random())) for i in range(300)]
+    rows = [(a, f, x, z, int(x + rng.random() * 6 > 8)) for a, f, x, z in rows]
+    got = {r["feature"]: r["auc"] for r in M.stump_auc(spark.createDataFrame(rows, "id int, fold int, x double, z double, y int"), ["x", "z"], "id", "y", "fold").collect()}
+    for k, name in ((2, "x"), (3, "z")):
+        scored = []
+        for fold in range(3):
+            train = [r for r in rows if r[1] != fold]
+            n = [sum(r[4] == c for r in train) for c in (0, 1)]
+            best = max(sorted({r[k] for r in train})[:-1], key=lambda t: max(m := sum(r[4] == 1 and r[k] <= t for r in train) / n[1] + sum(r[4] == 0 and r[k] > t for r in train) / n[0], 2 - m))
+            p = [(lambda s: sum(s) / len(s))([r[4] for r in train if (r[k] <= best) == low]) for low in (False, True)]
+            scored += [(p[r[k] <= best], r[4]) for r in rows if r[1] == fold]
+        pos, neg = ([s for s, y in scored if y == c] for c in (1, 0))
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+        assert abs(got[name] - want) < 0.03  # a tie between splits may go the other way
+
+
+def test_projection_rule(spark):
+    rows = spark.createDataFrame([(i, float(i % 2) * 10 + (i * 7 % 11) / 50, (i * 5 % 13) / 50, f"c{i % 2}") for i in range(60)], "id long, a double, b double, label string")
+    got = {r["key"]: (r["status"], r["value"]) for r in M.check_projection(rows, ["a", "b"], "id", "label").collect()}
+    assert got["one_nn"] == ("PASS", 1.0) and got["silhouette"][0] == "FAIL" and got["silhouette"][1] > 0.2
