@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating stars, round by round, in the shared folder.
 
-Nodes with many edges, as a star's centre, are joined apart, so that their edges stay where they are.
+The edges of a node are dealt over several tasks, so that a star's centre is no task's alone.
 """
 
 from __future__ import annotations
@@ -8,25 +8,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, join_apart, written
+from .common import HOT, written
+
+#: Tasks that a node's edges are dealt over.
+SALTS = 16
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """edges with the least neighbour of a; with fewer than HOT edges (n) no node can have that many."""
-    return join_apart(edges, least, "a", "n", HOT) if n >= HOT else edges.join(least.drop("n"), "a")
+    """edges with the least neighbour of a. A node's edges are dealt over SALTS tasks, unless all n of them are few."""
+    if n < HOT:
+        return edges.join(least, "a")
+    side = least.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(side, ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return _with_least(both, least, n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of those."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
     return _with_least(down, least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -40,7 +46,5 @@ def components(edges: DataFrame) -> DataFrame:
         before = at
         if not at[0]:
             break
-        large = _large_star(now, at[0])
-        large = written(large, "edges") if at[0] >= HOT else large  # it is read again to look for hot nodes
-        now = written(tidy(_small_star(large, at[0])), "edges")
+        now = written(tidy(_small_star(_large_star(now, at[0]), at[0])), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
