@@ -27,8 +27,8 @@ from .common import SpanHash, blocks, broadcast_if_small, fold, mix, text_bytes,
 
 BITS, BLOCK = 20, 1 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 4.0, 0.1, 2
-#: Rows in a part of the training set.
-PART_ROWS = 16_000
+#: Rows in a part of the training set, and coordinates that are handed on at once.
+PART_ROWS, SENT = 16_000, 1 << 16
 BIAS = 0  # coordinate
 
 
@@ -54,9 +54,9 @@ def weights(z, n, alpha=ALPHA, beta=BETA, l1=L1, l2=L2):
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> tuple[np.ndarray, np.ndarray]:
     """z and n after going through the rows (coordinates of each, each once) in their order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    rows = [np.r_[BIAS, x] for x in rows]
     for _ in range(epochs):
         for x, y in zip(rows, labels):
+            x = np.r_[BIAS, x]
             zx, root = z[x], np.sqrt(n[x])
             w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + root) / alpha + l2))
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
@@ -75,11 +75,13 @@ def _train(bits: int, epochs: int):
 
         def close():
             z, n = ftrl(rows, np.array(labels, float), bits, epochs)
-            at, size = np.flatnonzero(n), float(len(rows))
-            made = [pa.array(x) for x in (at, weights(z[at], n[at]) * size, np.full(len(at), size), z[at], n[at])]
+            every, size = np.flatnonzero(n), float(len(rows))
             rows.clear()
             labels.clear()
-            return pa.RecordBatch.from_arrays(made, ["at", "w", "seen", "z", "n"])
+            for lo in range(0, len(every), SENT):
+                at = every[lo : lo + SENT]
+                made = [pa.array(x) for x in (at, weights(z[at], n[at]) * size, np.full(len(at), size), z[at], n[at])]
+                yield pa.RecordBatch.from_arrays(made, ["at", "w", "seen", "z", "n"])
 
         for table in blocks(batches, "text", BLOCK):
             at, of = features(table.column("text"), bits)
@@ -88,12 +90,12 @@ def _train(bits: int, epochs: int):
             cut = np.searchsorted(of, np.arange(table.num_rows + 1))
             for i, (label, p) in enumerate(zip(table.column("label").to_pylist(), table.column("part").to_pylist())):
                 if part is not None and p != part:
-                    yield close()
+                    yield from close()
                 part = p
                 rows.append(np.unique(at[cut[i] : cut[i + 1]]).astype(np.int32))
                 labels.append(label)
         if rows:
-            yield close()
+            yield from close()
 
     return run
 
