@@ -37,7 +37,7 @@ from .common import SpanHash, blocks, bucketed, parts_for, release, text_bytes,
 LENGTH, GRAM = 200, 64
 #: Text bytes in a block and in a segment of it, and text bytes whose suffixes share a
 #: range (more as the whole grows, so that a block's part of a range does not get tiny); segments fit a core's cache.
-BLOCK, SEGMENT, RANGE, RANGE_MOST = 3 << 20, (1 << 18) - 4096, 16 << 20, 128 << 20
+BLOCK, SEGMENT, RANGE, RANGE_MOST = 2 << 20, (1 << 18) - 4096, 16 << 20, 128 << 20
 #: Quantiles of the leading tokens that the splitters come from, and tokens sampled from each block.
 QUANTILES, SAMPLED = 4096, 512
 UNIQUE, SAME, MIXED = 0, 1, 2
