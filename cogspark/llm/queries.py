@@ -9,13 +9,18 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Families of hosts that serve junk, as the first words of a host's label.
+JUNK_HOSTS = ["spam", "casino", "free-bets", "ads-track", "cheap-pills", "adult"]
+_JUNK = r"(^|\.)(" + "|".join(JUNK_HOSTS) + ")"
+
+
 def op1_url_filter(spark, sf_dir):
-    """Listed are the keys of hosts with a label that begins with "spam"."""
+    """Listed are the keys of hosts with a label that begins as one of JUNK_HOSTS."""
     from .url_filters import filter_urls, url_parts
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_parts(F.col("url"))
-    listed = pages.filter(host.rlike(r"(^|\.)spam")).select(F.concat(host, path).alias("key")).distinct()
+    listed = pages.filter(host.rlike(_JUNK)).select(F.concat(host, path).alias("key")).distinct()
     return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -90,7 +95,7 @@ r as (select *, case when (host = 'example.com' or host like '%.example.com') an
   when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
   when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end rule from v)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-  when regexp_matches(host, '(^|\.)spam') then 'block' else 'allow' end verdict from r""",
+  when regexp_matches(host, '""" + _JUNK + """') then 'block' else 'allow' end verdict from r""",
     "op2_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
