@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import class_eig, let, tie_key, twin_of
-from .shared import broadcast_if_small
+from .shared import broadcast_if_small, written
 
 
 def label_order() -> Column:
@@ -192,18 +192,26 @@ def belief_exposure(items: DataFrame) -> DataFrame:
 def next_item(knowledge: DataFrame, exposures: DataFrame, asked: DataFrame, default: float = C.POPULATION_PRIOR, salt: str = "", by=("learner_id",), type: str | None = None, concept: str | None = None) -> DataFrame:
     """Each learner's item with the most expected bits, ties by hash. exposures: (item_id, class, exposure).
 
-    Learners meet items only through classes that the items expose; a class without a value has the default. type and
-    concept keep the items of exposures' columns of those names.
+    A class without a value has the default. type and concept keep the items of exposures' columns of those names.
     """
     cells = exposures.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE)
     for column, wanted in (("type", type), ("concept", concept)):
         cells = cells.filter(F.col(column) == wanted) if wanted is not None else cells
-    learners = knowledge.select(*by).distinct().select(*by, F.explode(F.lit(C.MISCONCEPTIONS)).alias("class"))
-    p = learners.join(knowledge.select(*by, "class", "p_active"), [*by, "class"], "left").withColumn("p", F.coalesce("p_active", F.lit(default)))
-    gains = p.join(cells, "class").groupBy(*by, "item_id").agg(F.sum(class_eig(F.col("p"), F.col("exposure"))).alias("eig_bits"))
-    gains = gains.join(asked, [*by, "item_id"], "left_anti")
-    best = F.max_by(F.struct("item_id", "eig_bits"), F.struct(F.round("eig_bits", 9), F.translate(tie_key(*[F.col(c).cast("string") for c in by], F.lit(salt), F.col("item_id").cast("string")), "0123456789abcdef", "fedcba9876543210")))
-    return gains.groupBy(*by).agg(best.alias("b")).select(*by, "b.item_id", "b.eig_bits")
+    # items that expose alike are worth the same: learners meet the few different exposures, not the items
+    of = written(cells.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("class", "exposure"))).alias("cells")).withColumn("kind", F.xxhash64("cells")), "exposed")
+    kinds = of.groupBy("kind").agg(F.first("cells").alias("cells"), F.count(F.lit(1)).alias("n_items"))
+    p = by_label(knowledge.select(*by, F.col("class").alias("label"), "p_active"), F.col("p_active") - F.lit(default), by)
+    at = lambda x: F.get("values", (F.array_position(F.lit(C.LABELS), x["class"]) - 1).cast("int")) + default
+    bits = F.aggregate("cells", F.lit(0.0), lambda a, x: a + class_eig(at(x), x["exposure"]))
+    every = kinds.agg(F.collect_list(F.struct("kind", "n_items", "cells"))).scalar()  # as many as different exposures
+    gains = p.select("*", F.inline(every)).select(*by, "kind", "n_items", bits.alias("eig_bits"))
+    done = asked.join(of.select("item_id", "kind"), "item_id").select(*by, "kind", "item_id").distinct()
+    used = done.groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("n_used"))
+    left = gains.join(used, [*by, "kind"], "left").filter(F.col("n_items") > F.coalesce("n_used", F.lit(0)))
+    best = left.withColumn("__top", F.max(F.round("eig_bits", 9)).over(W.partitionBy(*by))).filter(F.round("eig_bits", 9) == F.col("__top")).select(*by, "kind", "eig_bits")
+    tied = best.join(of.select("item_id", "kind"), "kind").join(done.select(*by, "item_id"), [*by, "item_id"], "left_anti")
+    key = F.translate(tie_key(*[F.col(c).cast("string") for c in by], F.lit(salt), F.col("item_id").cast("string")), "0123456789abcdef", "fedcba9876543210")
+    return tied.groupBy(*by).agg(F.max_by(F.struct("item_id", "eig_bits"), key).alias("b")).select(*by, "b.item_id", "b.eig_bits")
 
 
 def score_quiz(answers: DataFrame, items: DataFrame) -> DataFrame:

@@ -143,13 +143,13 @@ _EIGS = f"{_H.format('p')} - (pf * {_H.format('a')} + (1 - pf) * {_H.format('b')
 h as (select *, case when hint then least(0.9e0, g0 + 0.2e0) else g0 end gg from g), k as (select learner_id, class, 1 / (1 + exp(-(ln(0.1e0 / 0.9e0) + sum(ln(case when correct then gg else 1 - gg end / case when correct then 1 - s else s end))))) p from h group by 1, 2),
 c as (select distinct learner_id from k), e as (select * from exposures where exposure >= 0.2e0), q as (select c.learner_id, e.item_id, coalesce(k.p, 0.1e0) p, e.exposure x from c cross join e left join k on k.learner_id = c.learner_id and k.class = e.class),
 v as (select *, p * x + (1 - p) * 0.03e0 pf, p * x / (p * x + (1 - p) * 0.03e0) a, p * (1 - x) / (p * (1 - x) + (1 - p) * 0.97e0) b from q),
-s as (select learner_id, item_id, sum({_EIGS}) e from v group by 1, 2) select learner_id, round(max(e), 5) eig_bits from s group by 1""",
+s as (select learner_id, item_id, sum({_EIGS}) e from v group by 1, 2), f as (select *, substr(sha256(learner_id || '::' || item_id), 1, 16) tk from s where item_id % 10 <> learner_id % 10) select learner_id, item_id, round(e, 5) eig_bits from f qualify row_number() over (partition by learner_id order by round(e, 9) desc, tk) = 1""",
 )
 def b_next_item(responses, exposures):
     from ..operators.knowledge import knowledge_ratios
 
-    asked = responses.select("learner_id", F.lit(-1).cast("long").alias("item_id")).distinct()
-    return B.next_item(knowledge_ratios(responses), exposures, asked).select("learner_id", F.round("eig_bits", 5).alias("eig_bits"))
+    asked = responses.select("learner_id").distinct().join(exposures.select("item_id").distinct().withColumn("d", F.col("item_id") % 10), F.col("d") == F.col("learner_id") % 10).select("learner_id", "item_id")
+    return B.next_item(knowledge_ratios(responses), exposures, asked).select("learner_id", "item_id", F.round("eig_bits", 5).alias("eig_bits"))
 
 
 @query(
