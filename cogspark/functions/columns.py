@@ -58,8 +58,18 @@ def components_of(op_id: Column) -> Column:
 
 
 def base_voice(voice: Column) -> Column:
-    """The voice without its language."""
-    return F.regexp_replace(voice, r"_[a-z]{2}$", "")
+    """The voice without the mark of those that were told the answer."""
+    return F.regexp_replace(voice, r"_told$", "")
+
+
+def language_of(voice: Column) -> Column:
+    """Hinglish for the voices written in it, English for all others."""
+    return F.when((voice == "hinglish") | voice.startswith("persona_friend"), "Hinglish").otherwise("English")
+
+
+def clean(text: Column, most: int = C.MAX_CHARS) -> Column:
+    """What a reader is given: cut to its length, outer blanks removed; null is empty."""
+    return F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, most), r"^\s+|\s+$", "")
 
 
 def aug_limit(op_id: Column, n_sites: Column, listed=()) -> Column:

@@ -86,6 +86,8 @@ CONSTANT_SHARE, KS_D, KS_P, KS_N, EVENT_SHARE, SHIFT_AUC = 0.99, 0.25, 0.01, 20,
 SILHOUETTE_LIMIT = 0.20
 BINS, T_LOW, T_HIGH = 10, 0.5, 5.0
 READER_PRECISION, READER_ACCEPTED, READER_NEVER = 0.90, 10, 1.01
+MAX_CHARS, MAX_WRITES, MAX_READS = 2000, 24, 30
+LABEL_TOTAL = 4000
 AUDIT_CONFIDENCE = 0.6
 #: draws with a defined statistic below which there is no interval
 MIN_DRAWS = 100

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.columns import bucket, components_of, fingerprint
 from .shared import broadcast_if_small
 
@@ -84,6 +85,12 @@ def backfill(rows: DataFrame, picked: DataFrame, label: str = "label", floor: in
     return rest.withColumn("rank", rank).filter(F.col("rank") <= floor - F.coalesce("have", F.lit(0))).drop("have", "rank")
 
 
+def fill_total(rows: DataFrame, picked: DataFrame, total: int = C.LABEL_TOTAL, order: str = "id") -> DataFrame:
+    """Rows not picked that bring all picked ones up to the total, in order: a fixed number, whatever the data."""
+    need = max(0, total - picked.limit(total).count())
+    return rows.join(picked.select(order), order, "left_anti").orderBy(order).limit(need)
+
+
 def balance_share(rows: DataFrame, special: Column, share: float = 0.3, order: str = "id") -> DataFrame:
     """Drops the tail of the plain rows so that the special ones are at least `share` of what stays."""
     n = rows.filter(special).count()
@@ -94,13 +101,21 @@ def balance_share(rows: DataFrame, special: Column, share: float = 0.3, order: s
 
 
 def judge(candidates: DataFrame) -> DataFrame:
-    """The decision on each candidate from its test results and the predicates that fired.
+    """The decision on each candidate from its run and the predicates that fired.
 
-    (tests_failed, tests_total, fired ARRAY, label): all passed is luck; another class's predicate alone is
-    other_class; no predicate of its own is predicate; else keep.
+    (tests_failed, tests_total, fired ARRAY, label), and where present status, mode (correct, other or bug) and odd_ok: a
+    run that did not parse is parse; a correct program is kept only if all pass; all passed is luck otherwise; a program
+    of no class in which another class's predicate fires is other_class; an unreachable base without an odd input is
+    odd_n; no predicate of its own is predicate; else keep.
     """
+    has = set(candidates.columns)
+    status = F.coalesce("status", F.lit("ok")) if "status" in has else F.lit("ok")
+    mode = F.coalesce("mode", F.lit("bug")) if "mode" in has else F.lit("bug")
+    odd = F.coalesce("odd_ok", F.lit(True)) if "odd_ok" in has else F.lit(True)
     own, other = F.array_contains("fired", F.col("label")), F.size(F.array_except("fired", F.array("label"))) > 0
-    out = F.when(F.col("tests_total") == 0, "fail_tests").when(F.col("tests_failed") == 0, "luck").when(other & ~own, "other_class").when(~own, "predicate").otherwise("keep")
+    whole = F.when((F.col("tests_failed") == 0) & (status == "ok"), "keep").otherwise("fail_tests")
+    out = F.when(status.isin("parse_error", "unsupported"), "parse").when(mode == "correct", whole).when(F.col("tests_total") == 0, "fail_tests").when(F.col("tests_failed") == 0, "luck")
+    out = out.when(mode == "other", F.when(F.size("fired") > 0, "other_class").otherwise("keep")).when(other & ~own, "other_class").when(~odd, "odd_n").when(~own, "predicate").otherwise("keep")
     return candidates.withColumn("decision", out)
 
 
@@ -142,9 +157,10 @@ def grouped_folds(rows: DataFrame, group: str, stratum: str, k: int = 5) -> Data
     return n.withColumn("fold", F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int"))
 
 
-def leak_free(train: DataFrame, test: DataFrame, key: str = "hash") -> DataFrame:
-    """Training rows that share no key with the test rows."""
-    return train.join(test.select(key).distinct(), key, "left_anti")
+def leak_free(train: DataFrame, test: DataFrame, key: str = "hash", held: str | None = None) -> DataFrame:
+    """Training rows that share no key with the test rows, and do not use the held operator; empty keys are no leak."""
+    rows = train.join(test.filter(F.col(key) != "").select(key).distinct(), key, "left_anti")
+    return rows if held is None else rows.filter(~F.coalesce(F.array_contains(components_of(F.col("op_id")), held), F.lit(False)))
 
 
 def operator_holdout(rows: DataFrame, least: int = 8) -> DataFrame:
@@ -188,6 +204,18 @@ def adjudicate(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumn("old_label", F.when(F.col("new_label").isNotNull(), F.col("label"))).withColumn("label", F.coalesce("new_label", "label")).drop("new_label")
 
 
+def rater_agreement(rows: DataFrame) -> DataFrame:
+    """One row before any override: (n, agree, share). rows: (label, soft_label MAP, rater2); any label of a soft pair counts as M01."""
+    second = F.when(F.coalesce(F.map_contains_key("soft_label", F.coalesce("rater2", F.lit(""))), F.lit(False)), "M01").otherwise(F.coalesce("rater2", F.lit("none")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == second).alias("agree")).withColumn("share", F.col("agree") / F.col("n"))
+
+
+def effective_n(rows: DataFrame, approx: bool = False) -> DataFrame:
+    """One row: rows, different hashes and (problem, operator) cells; with approx from sketches, in one pass of bounded state."""
+    count = F.approx_count_distinct if approx else F.countDistinct
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), count("hash").alias("n_hashes"), (count(F.struct("problem_id", "op_id")) if approx else F.countDistinct("problem_id", "op_id")).alias("n_cells"))
+
+
 def assign_ids(rows: DataFrame, order: list[str], source: str = "source") -> DataFrame:
     """SOURCE-000001 and on, by order within each source."""
     n = F.row_number().over(W.partitionBy(source).orderBy(*order))

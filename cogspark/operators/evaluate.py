@@ -280,6 +280,21 @@ def slice_report(pred: DataFrame, slices: list[str]) -> DataFrame:
     return pred.select(F.inline(each), (F.col("truth") == F.col("pred")).cast("double").alias("hit")).groupBy("slice", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("accuracy"))
 
 
+def slice_intervals(pred: DataFrame, slices: list[str], cluster: str, reps: int = 200, seed: int = 42) -> DataFrame:
+    """(slice, value, n, accuracy, lo, hi, valid): slice_report with intervals, whole clusters drawn again in each slice.
+
+    A draw weights the clusters' counts, of which there is a row for each slice value and cluster.
+    """
+    each = F.array(*[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices])
+    hit = (F.col("truth") == F.col("pred")).cast("double")
+    cells = pred.select(F.inline(each), F.col(cluster).alias("__c"), hit.alias("hit")).groupBy("slice", "value", "__c").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    rows = draws(cells, "__c", reps, seed).join(cells, "__c").groupBy("slice", "value", "rep").agg((F.sum(F.col("h") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("s"))
+    ends = rows.groupBy("slice", "value").agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
+    point = cells.groupBy("slice", "value").agg(F.sum("n").alias("n"), (F.sum("h") / F.sum("n")).alias("accuracy"))
+    enough = lambda c: F.when(F.col("valid") >= C.MIN_DRAWS, F.col(c)).alias(c)
+    return point.join(ends, ["slice", "value"], "left").select("slice", "value", "n", "accuracy", enough("lo"), enough("hi"), F.coalesce("valid", F.lit(0)).cast("long").alias("valid"))
+
+
 def rejection_report(pred: DataFrame) -> DataFrame:
     """(status, n, share, mean_conf) over out-of-domain rows; status unsure, matched or correct_reasoning."""
     n = pred.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf"))

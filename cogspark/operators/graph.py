@@ -28,6 +28,12 @@ def hazards(learners: DataFrame, exposure: DataFrame, knowledge: DataFrame, defa
     return rows.select("learner_id", "star_id", "class", "exposure", F.round(F.coalesce("p_active", F.lit(default)), 4).alias("p_active"), F.coalesce("state", F.lit("UNSEEN")).alias("state"))
 
 
+def hazard_lists(hazard: DataFrame) -> DataFrame:
+    """(learner_id, star_id, hazards): each star's classes as one array, the largest exposure times P first, ties by class."""
+    e = F.struct((-F.round(F.col("exposure") * F.col("p_active"), 12)).alias("k"), "class", "exposure", "p_active", "state")
+    return hazard.groupBy("learner_id", "star_id").agg(F.transform(F.array_sort(F.collect_list(e)), lambda x: x.dropFields("k")).alias("hazards"))
+
+
 def _spread(learners: DataFrame, exposure: DataFrame) -> DataFrame:
     """Each learner with each row of a vocabulary, which is put into one array."""
     every = exposure.agg(F.collect_list(F.struct("star_id", "class", "exposure")).alias("x"))
@@ -65,6 +71,15 @@ def chart_summary(states: DataFrame) -> DataFrame:
     return states.groupBy("learner_id").agg(*map(n, ("known", "shaky", "attempted", "unexplored")), F.count_if("at_risk").alias("at_risk"))
 
 
+def check_families(skills: DataFrame, problems: DataFrame) -> DataFrame:
+    """Violations (rule, id) of one skill for each family: skills (id, family), problems (family)."""
+    have, used = problems.select("family").distinct(), skills.filter("family is not null")
+    none = have.join(used, "family", "left_anti").select(F.lit("no_skill").alias("rule"), F.col("family").alias("id"))
+    two = used.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("two_skills").alias("rule"), F.col("family").alias("id"))
+    lost = used.join(have, "family", "left_anti").select(F.lit("unknown_family").alias("rule"), F.col("id"))
+    return none.unionByName(two).unionByName(lost)
+
+
 def check_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Violations (rule, id): repeated ids, ends that do not exist, and nodes on or behind a cycle.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import flat, jaccard, token_set
+from ..functions.columns import let, flat, jaccard, token_set
 from .shared import broadcast_if_small
 
 
@@ -69,11 +69,27 @@ def drop_counts(df: DataFrame, by: str = "label") -> DataFrame:
     return df.groupBy(by).agg(F.count_if(F.col("drop_reason").isNull()).alias("kept"), *[F.count_if(F.col("drop_reason") == r).alias(r) for r in ("short", "long", "banned", "copy")])
 
 
-def tfidf(df: DataFrame, id: str = "id", text: str = "text", min_docs: int = 2) -> DataFrame:
-    """(id, term, weight) of words and word pairs: (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), each text at unit length."""
-    t = df.select(F.col(id).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)")).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    tf = t.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _word_terms(text: Column) -> Column:
+    """Words and pairs of neighbours."""
+    w = F.regexp_extract_all(text, F.lit(r"([a-z0-9']+)"))
+    return let(w, lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
+
+
+def _char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
+    """Runs of 3 to 5 characters inside words that have a blank on either side; words shorter than a run are one term."""
+    grams = lambda w: F.flatten(F.transform(F.sequence(F.lit(least), F.least(F.lit(most), F.greatest(F.lit(least), F.length(w)))), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.length(w) - n, F.lit(0))), lambda i: F.substring(w, i + 1, n))))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: grams(F.concat(F.lit(" "), w, F.lit(" ")))))
+
+
+def tfidf(df: DataFrame, id: str = "id", text: str = "text", min_docs: int = 2, analyzer: str = "word") -> DataFrame:
+    """(id, term, weight): (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), each text at unit length.
+
+    analyzer: word for words and word pairs, char_wb for runs of 3 to 5 characters inside words.
+    """
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    terms = _word_terms(lower) if analyzer == "word" else _char_terms(lower)
+    tf = df.select(F.col(id).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     d = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_docs)
     w = tf.join(d, "term").withColumn("weight", (1 + F.log("tf")) * (1 + F.log((1 + n.scalar()) / (1 + F.col("df")))))
@@ -100,8 +116,13 @@ def fit_text_classifier(df: DataFrame, label: str = "label", features: int = 1 <
 
 
 def reader_status(df: DataFrame, tau: float = 0.6) -> DataFrame:
-    """Adds status to (id, label, p) rows' best label: unsure under tau, correct_reasoning, or matched. Masked labels do not count."""
+    """Adds status to (id, label, p) rows' best label: unsure under tau, correct_reasoning, or matched.
+
+    Masked labels do not count, unless they are kept (a quiz item's own classes): masked and keep, where present.
+    """
     masked = F.coalesce("masked", F.lit(False)) if "masked" in df.columns else F.lit(False)
+    if "keep" in df.columns:
+        masked = masked & ~F.coalesce("keep", F.lit(False))
     best = df.filter(~masked).groupBy("id").agg(F.max_by(F.struct("label", "p"), F.struct(F.round("p", 12), F.translate("label", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ZYXWVUTSRQPONMLKJIHGFEDCBA9876543210"))).alias("b"))
     return best.select("id", "b.label", "b.p", F.when(F.col("b.p") < tau, "unsure").when(F.col("b.label") == "CORRECT_REASON", "correct_reasoning").otherwise("matched").alias("status"))
 

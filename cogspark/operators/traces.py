@@ -199,6 +199,39 @@ def memory_strip(writes: DataFrame, by=RUN) -> DataFrame:
     return writes.withColumn("old", F.lag("value").over(w)).withColumn("changed", ~F.col("value").eqNullSafe(F.col("old")))
 
 
+def window_strip(passes: DataFrame, most: int = 12, by=RUN) -> DataFrame:
+    """(by…, rows, more): passes of the main loop with their window, how mid compares with the target, and `frozen`.
+
+    passes: (by…, pass, low, mid, high, mid_value, target); frozen: low and high as in the pass before.
+    """
+    w = W.partitionBy(*by).orderBy("pass")
+    same = F.coalesce((F.lag("low").over(w) == F.col("low")) & (F.lag("high").over(w) == F.col("high")), F.lit(False))
+    cmp = F.when(F.col("mid_value") == F.col("target"), "==").when(F.col("mid_value") < F.col("target"), "<").when(F.col("mid_value") > F.col("target"), ">")
+    rows = passes.filter("mid is not null").withColumns({"n": F.row_number().over(w), "cmp": cmp}).withColumn("flag", F.when(same, "frozen"))
+    row = F.struct("pass", "low", "mid", "high", "cmp", "mid_value", "flag")
+    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("n") <= most, row))).alias("rows"), F.count(F.lit(1)).alias("n"))
+    return g.select(*by, "rows", F.when(F.col("n") > most, F.concat(F.lit("...+"), (F.col("n") - most).cast("string"))).alias("more"))
+
+
+def memory_flags(writes: DataFrame, initial: DataFrame, by=RUN) -> DataFrame:
+    """Adds flag to writes (by…, i, cell, value): the last write over a value that the array has lost, the last of a value it has too often.
+
+    initial: (by…, cell, value), the array before. lost comes before duplicate.
+    """
+    first = initial.select(*by, "cell", F.lit(-1).cast("long").alias("i"), "value")
+    every = writes.select(*by, "cell", F.col("i").cast("long").alias("i"), "value").unionByName(first)
+    old = memory_strip(every, by)
+    end = every.groupBy(*by, "cell").agg(F.max_by("value", "i").alias("value")).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("after"))
+    begin = initial.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("before"))
+    both = begin.join(end, [*by, "value"], "full_outer").fillna(0, ["before", "after"])
+    lost, twice = both.filter("after < before").select(*by, F.col("value").alias("old"), F.lit(True).alias("is_lost")), both.filter("after > before").select(*by, "value", F.lit(True).alias("is_twice"))
+    rows = old.filter("i >= 0").join(lost, [*by, "old"], "left").join(twice, [*by, "value"], "left")
+    last = lambda key, on: F.max(F.when(on, F.col("i"))).over(W.partitionBy(*by, key))
+    rows = rows.withColumn("flag", F.when(F.col("is_lost") & (F.col("i") == last("old", F.col("is_lost"))), "lost"))
+    free = F.col("is_twice") & F.col("flag").isNull()
+    return rows.withColumn("flag", F.coalesce("flag", F.when(free & (F.col("i") == last("value", free)), "duplicate"))).select(*by, "i", "cell", "old", "value", "flag")
+
+
 def final_memory(writes: DataFrame, by=RUN) -> DataFrame:
     """(by…, cell, value): the last value written to each cell."""
     return writes.groupBy(*by, "cell").agg(F.max_by("value", "i").alias("value"))

@@ -198,3 +198,36 @@ def f_token_jaccard(documents, benchmark):
     b = benchmark.select("item_id", token_set(F.col("text")).alias("y"))
     d = documents.select("doc_id", (F.col("doc_id") % 40).alias("item_id"), token_set(F.col("text")).alias("x"))
     return d.join(b, "item_id").select("doc_id", "item_id", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query("d6_fill_total", "corpus", sql="select id, label from corpus where id % 3 <> 0 order by id limit greatest(0, 400 - (select count(*) from corpus where id % 3 = 0))")
+def d6_fill_total(corpus):
+    return D.fill_total(corpus, corpus.filter("id % 3 = 0"), 400).select("id", "label")
+
+
+@query("d8_judge_modes", "attempts", sql="""with a as (select *, case attempt_id % 9 when 0 then 'parse_error' when 1 then 'timeout' else 'ok' end s, case attempt_id % 4 when 0 then 'correct' when 1 then 'other' else 'bug' end m, attempt_id % 5 = 0 odd, list_filter([top, latent], lambda x: x is not null and x <> 'CORRECT') f from attempts)
+select attempt_id, case when s = 'parse_error' then 'parse' when m = 'correct' then case when passed = total and s = 'ok' then 'keep' else 'fail_tests' end when passed = total then 'luck' when m = 'other' then case when len(f) > 0 then 'other_class' else 'keep' end
+  when len(list_filter(f, lambda x: x <> 'M01')) > 0 and not list_contains(f, 'M01') then 'other_class' when odd then 'odd_n' when not list_contains(f, 'M01') then 'predicate' else 'keep' end decision from a""")
+def d8_judge_modes(attempts):
+    k = F.col("attempt_id")
+    fired = F.filter(F.array("top", "latent"), lambda x: x.isNotNull() & (x != "CORRECT"))
+    rows = attempts.select("attempt_id", (F.col("total") - F.col("passed")).alias("tests_failed"), F.col("total").alias("tests_total"), fired.alias("fired"), F.lit("M01").alias("label"), F.when(k % 9 == 0, "parse_error").when(k % 9 == 1, "timeout").otherwise("ok").alias("status"), F.when(k % 4 == 0, "correct").when(k % 4 == 1, "other").otherwise("bug").alias("mode"), (k % 5 != 0).alias("odd_ok"))
+    return D.judge(rows).select("attempt_id", "decision")
+
+
+@query("d18_rater_agreement", "corpus", sql="with r as (select label, case when id % 4 = 0 then null when id % 4 = 1 then label else 'M08' end r2, id % 6 < 2 soft from corpus) select count(*) n, count(*) filter (label = case when soft and r2 in ('M01', 'M08') then 'M01' else coalesce(r2, 'none') end) agree, round(count(*) filter (label = case when soft and r2 in ('M01', 'M08') then 'M01' else coalesce(r2, 'none') end) / count(*), 6) share from r")
+def d18_rater_agreement(corpus):
+    soft = F.when(F.col("id") % 6 < 2, F.map_from_arrays(F.array(F.lit("M01"), F.lit("M08")), F.array(F.lit(0.5), F.lit(0.5))))
+    rows = corpus.select("label", soft.alias("soft_label"), F.when(F.col("id") % 4 == 1, F.col("label")).when(F.col("id") % 4 > 1, "M08").alias("rater2"))
+    return D.rater_agreement(rows).withColumn("share", F.round("share", 6))
+
+
+@query("j3_leak_free_held", "corpus", sql=r"with h as (select *, case when id % 7 = 0 then '' else substr(md5(code), 1, 4) end k from corpus) select id from h where k not in (select k from h where id % 11 = 0 and k <> '') and not list_contains(string_split(op_id, '+'), 'op3') and id % 11 <> 0")
+def j3_leak_free_held(corpus):
+    rows = corpus.withColumn("hash", F.when(F.col("id") % 7 == 0, "").otherwise(F.substring(F.md5("code"), 1, 4)))
+    return D.leak_free(rows.filter("id % 11 <> 0"), rows.filter("id % 11 = 0"), held="op3").select("id")
+
+
+@query("a3_effective_n", "corpus", sql="select count(*) n_rows, count(distinct md5(code)) n_hashes, count(distinct (problem_id, op_id)) filter (problem_id is not null and op_id is not null) n_cells from corpus")
+def a3_effective_n(corpus):
+    return D.effective_n(corpus.withColumn("hash", F.md5("code")))

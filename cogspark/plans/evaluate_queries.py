@@ -249,3 +249,9 @@ def e_false_alarms(predictions):
     right = lambda c: F.when(c == "c0", "CORRECT").otherwise(c)
     after = predictions.select(F.concat(F.lit("r"), F.col("id") % 3).alias("rewrite"), right(F.col("truth")).alias("truth"), right(F.when(F.col("id") % 5 == 0, "c1").otherwise(F.col("pred"))).alias("pred"), (F.col("id") % 4 != 1).alias("keeps"))
     return _R(E.false_alarms(after), "false_alarm")
+
+
+@query("e16_slice_intervals", "predictions", sql=f"""with {_DRAW}, c as (select domain v, cluster, count(*) n, sum((truth = pred)::int)::double h from predictions group by 1, 2), s as (select v, rep, sum(w * h) / sum(w * n) s from w join k on k.k = w.k join c on c.cluster = k.cluster group by 1, 2)
+select 'domain' slice, c.v \"value\", sum(n)::bigint n, round(sum(h) / sum(n), 6) accuracy, (select round(quantile_cont(s, 0.025), 6) from s where s.v = c.v) lo, (select round(quantile_cont(s, 0.975), 6) from s where s.v = c.v) hi, (select count(*) from s where s.v = c.v) valid from c group by c.v""")
+def e16_slice_intervals(predictions):
+    return _R(E.slice_intervals(predictions, ["domain"], "cluster"), "accuracy", "lo", "hi")

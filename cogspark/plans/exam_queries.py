@@ -239,3 +239,16 @@ def g_check_graph(nation):
     k = F.col("n_nationkey")
     edges = nation.select(k.alias("src"), F.when(F.col("n_regionkey") == 2, k).otherwise((k + 5) % 30).alias("dst"))
     return G.check_graph(nation.select(k.alias("id")), edges)
+
+
+@query("g_hazard_lists", "attempts", "star_exposure", "star_knowledge", sql=f"with {_HZ} select learner_id, star_id, string_agg(class, ',' order by round(exposure * p, 12) desc, class) classes from hz group by 1, 2")
+def g_hazard_lists(attempts, exposure, knowledge):
+    out = G.hazard_lists(G.hazards(attempts, exposure, knowledge))
+    return out.select("learner_id", "star_id", F.array_join(F.transform("hazards", lambda x: x["class"]), ",").alias("classes"))
+
+
+@query("g_check_families", "nation", "part", sql="with s as (select n_nationkey id, case when n_nationkey % 4 <> 3 then 'f' || (n_nationkey % 12) end family from nation), p as (select distinct 'f' || (p_size % 15) family from part) select 'no_skill' rule, family id from p where family not in (select family from s where family is not null) union all select 'two_skills', family from s where family is not null group by 2 having count(*) > 1 union all select 'unknown_family', id::varchar from s where family is not null and family not in (select family from p)")
+def g_check_families(nation, part):
+    k = F.col("n_nationkey")
+    skills = nation.select(k.cast("string").alias("id"), F.when(k % 4 != 3, F.concat(F.lit("f"), k % 12)).alias("family"))
+    return G.check_families(skills, part.select(F.concat(F.lit("f"), F.col("p_size") % 15).alias("family")))

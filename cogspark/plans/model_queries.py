@@ -158,6 +158,29 @@ def s6_json_round_trip(lineitem):
     return S.read_jsonl(df.sparkSession, to, df.schema).groupBy("l_orderkey", "l_linenumber", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("f_same_answer", "attempts", sql="select attempt_id, passed::varchar = total::varchar or abs(passed - total) <= 1e-9 same, trim(' ' || top || ' ') = trim(coalesce(latent, 'none')) named from attempts")
+def f_same_answer(attempts):
+    text = lambda c: F.concat(F.lit(" "), F.col(c).cast("string"), F.lit(".0"))
+    return attempts.select("attempt_id", L.same_answer(text("passed"), F.col("total").cast("string")).alias("same"), L.same_answer(F.concat(F.lit(" "), "top", F.lit(" ")), F.coalesce("latent", F.lit("none"))).alias("named"))
+
+
+@query("f_voices", "attempts", sql="with v as (select attempt_id, case attempt_id % 4 when 0 then 'hinglish' when 1 then 'persona_friend_told' when 2 then 'persona_kid_told' else 'plain' end v from attempts) select attempt_id, regexp_replace(v, '_told$', '') base, case when v = 'hinglish' or v like 'persona\\_friend%' escape '\\' then 'Hinglish' else 'English' end \"language\" from v")
+def f_voices(attempts):
+    k = F.col("attempt_id") % 4
+    v = F.when(k == 0, "hinglish").when(k == 1, "persona_friend_told").when(k == 2, "persona_kid_told").otherwise("plain")
+    return attempts.select("attempt_id", L.base_voice(v).alias("base"), L.language_of(v).alias("language"))
+
+
+@query("f_clean", "documents", sql=r"select doc_id, md5(regexp_replace(substr(coalesce(text, ''), 1, 2000), '^\s+|\s+$', '', 'g')) m from documents")
+def f_clean(documents):
+    return documents.select("doc_id", F.md5(L.clean(F.col("text"))).alias("m"))
+
+
+@query("f_newest", "events", sql="select event_type, max(ts) newest from events group by 1")
+def f_newest(events):
+    return events.groupBy("event_type").agg(F.max("ts").alias("newest"))
+
+
 # streams: the events table as a stream, run to its end
 def _drain(df, mode: str):
     """The rows of a streaming DataFrame after all that is there has been read, through a table in the shared folder."""

@@ -252,3 +252,25 @@ def r_output_features(outputs):
 def r_outer_passes(per_test):
     ref = per_test.groupBy("test").agg((F.min("iterations") + 1).alias("outer"))
     return _R(R.outer_passes(per_test.select("attempt_id", "test", F.when(F.col("line") == 0, F.col("iterations")).alias("outer"), F.col("iterations").alias("main")), ref), "ratio")
+
+
+@query("t5_char_tfidf", "sentences", sql=r"""with w as (select id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) || ' ' w from sentences where id % 1000 < 3), g as (select id, substr(w, i::int, n::int) term from w, range(3, 6) a(n), range(1, 400) b(i) where n <= greatest(3, length(w)) and i <= greatest(length(w) - n, 0) + 1),
+tf as (select id, term, count(*) tf from g group by 1, 2), d as (select term, count(*) df from tf group by 1 having count(*) >= 2), x as (select tf.id, tf.term, (1 + ln(tf)) * (1 + ln((1 + (select count(*) from sentences where id % 1000 < 3)) / (1 + df))) w from tf join d on d.term = tf.term) select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 5) weight from x""".replace("where id % 1000 < 3", ""))
+def t5_char_tfidf(sentences):
+    return T.tfidf(sentences, analyzer="char_wb").withColumn("weight", F.round("weight", 5))
+
+
+@query("r13_window_strip", "steps", sql="with s as (select *, row_number() over (partition by attempt_id order by i) n, lag(line) over (partition by attempt_id order by i) l1, lag(depth) over (partition by attempt_id order by i) l2 from steps where arg <> 4) select attempt_id, string_agg(case when n <= 3 then i || ':' || line || '-' || depth || case when value = cell then '==' when value < cell then '<' else '>' end || case when l1 = line and l2 = depth then 'f' else '' end end, ' ' order by i) rows, case when count(*) > 3 then '...+' || (count(*) - 3) end more from s group by 1")
+def r13_window_strip(steps):
+    p = steps.select("attempt_id", "test", F.col("i").alias("pass"), F.col("line").alias("low"), F.when(F.col("arg") != 4, F.col("arg")).alias("mid"), F.col("depth").alias("high"), F.col("value").alias("mid_value"), F.col("cell").alias("target"))
+    show = lambda x: F.concat(x["pass"].cast("string"), F.lit(":"), x["low"].cast("string"), F.lit("-"), x["high"].cast("string"), x["cmp"], F.when(x["flag"].isNotNull(), "f").otherwise(""))
+    return R.window_strip(p, 3).select("attempt_id", F.array_join(F.transform("rows", show), " ").alias("rows"), "more")
+
+
+@query("r14_memory_flags", "steps", sql="""with ini as (select attempt_id, c cell, c % 3 v from (select distinct attempt_id from steps) cross join range(4) r(c)), ev as (select attempt_id, i, cell, value v from steps union all select attempt_id, -1, cell, v from ini), o as (select *, lag(v) over (partition by attempt_id, cell order by i) old from ev), fin as (select attempt_id, cell, max_by(v, i) v from ev group by 1, 2),
+b as (select attempt_id, v, count(*) n from ini group by 1, 2), e as (select attempt_id, v, count(*) n from fin group by 1, 2), c as (select coalesce(b.attempt_id, e.attempt_id) attempt_id, coalesce(b.v, e.v) v, coalesce(b.n, 0) n0, coalesce(e.n, 0) n1 from b full join e on b.attempt_id = e.attempt_id and b.v = e.v),
+l as (select o.*, case when c.n1 < c.n0 and i = max(case when c.n1 < c.n0 then i end) over (partition by o.attempt_id, old) then 'lost' end f1 from o left join c on c.attempt_id = o.attempt_id and c.v = o.old where i >= 0),
+d as (select l.*, coalesce(f1, case when c.n1 > c.n0 and i = max(case when c.n1 > c.n0 and f1 is null then i end) over (partition by l.attempt_id, l.v) then 'duplicate' end) flag from l left join c on c.attempt_id = l.attempt_id and c.v = l.v) select attempt_id, i, cell, old, v "value", flag from d""")
+def r14_memory_flags(steps):
+    ini = steps.select("attempt_id", "test").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cell")).withColumn("value", F.col("cell") % 3)
+    return R.memory_flags(steps.select("attempt_id", "test", "i", "cell", "value"), ini).drop("test")
