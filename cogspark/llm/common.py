@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if found.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"spark.checkpoint.dir is not set and {found} may be a folder of this machine alone", stacklevel=2)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found

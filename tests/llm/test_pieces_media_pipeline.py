@@ -92,6 +92,72 @@ def test_media_digest(spark):
     assert transport_stream.media_digest(df.limit(0)).count() == 0
 
 
+def plain_reader(media):
+    """A packet reader of its own, field by field from the standard: payload, time stamps, clocks, random-access units, programs."""
+    bits = lambda data, lo, n: int.from_bytes(data, "big") >> (8 * len(data) - lo - n) & ((1 << n) - 1)
+
+    def crc(data):
+        x = 0xFFFFFFFF
+        for b in data:
+            for k in range(7, -1, -1):
+                top = (x >> 31) ^ (b >> k & 1)
+                x = (x << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+        return x
+
+    assert len(media) % 188 == 0
+    counters, programs, streams, units, flags, clocks = {}, {}, {}, [], [], []
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert bits(p, 0, 8) == 0x47 and bits(p, 8, 1) == 0 and bits(p, 24, 2) == 0
+        begins, pid, field, has, count = bits(p, 9, 1), bits(p, 11, 13), bits(p, 26, 1), bits(p, 27, 1), bits(p, 28, 4)
+        assert has and count == counters.get(pid, count)
+        counters[pid] = (count + 1) % 16
+        start, random = 4, 0
+        if field:
+            size = p[4]
+            start = 5 + size
+            if size:
+                random = bits(p, 41, 1)
+                if bits(p, 43, 1):
+                    clocks.append(bits(p, 48, 33))
+        body = p[start:]
+        if pid == 0 or pid in programs.values():
+            table = body[1 + body[0] :]
+            size = bits(table, 12, 12)
+            table = table[: 3 + size]
+            assert crc(table) == 0
+            if pid == 0:
+                programs[bits(table, 64, 16)] = bits(table, 83, 13)
+            else:
+                skip = bits(table, 84, 12)
+                streams[bits(table, 96 + 8 * skip + 11, 13)] = table[12 + skip]
+        else:
+            assert pid in streams
+            if begins:
+                units.append(b"")
+                flags.append(random)
+            units[-1] += body
+    payload, stamps = b"", []
+    for u in units:
+        assert u[:3] == b"\x00\x00\x01" and bits(u, 48, 2) == 2 and bits(u, 56, 2) == 2
+        n = int.from_bytes(u[4:6], "big")
+        assert n in (0, len(u) - 6)
+        stamps.append(bits(u, 76, 3) << 30 | bits(u, 80, 15) << 15 | bits(u, 96, 15))
+        payload += u[9 + u[8] :]
+    return payload, stamps, clocks, flags, programs, streams
+
+
+def test_streams_are_read_alike_by_a_plain_reader():
+    ts = transport_stream
+    for raw in (b"", b"abc", bytes(range(256)) * 9, b"q" * 20000, b"z" * (576 * 16 * 9 + 1)):
+        p = ts.padded(raw)
+        payload, stamps, clocks, flags, programs, streams = plain_reader(ts.write_stream(p))
+        s = ts.read_stream(ts.write_stream(p))
+        assert payload == p == s.payload and stamps == clocks == s.stamps == [k * ts.TICKS for k in range(-(-len(p) // ts.UNIT))]
+        assert [k for k, f in enumerate(flags) if f] == s.random_access == list(range(0, len(stamps), ts.RANDOM_ACCESS))
+        assert programs == s.programs and streams == s.streams
+
+
 def test_media_columns(spark):
     df = frame(spark).select("doc_id", "text", F.lit(1).alias("media"))
     out = transport_stream.parse_media(transport_stream.store_media(df, "text"))

@@ -130,6 +130,25 @@ def test_mix(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)]
 
 
+def test_mix_takes_the_first_by_rank(spark):
+    """The set taken against sorting each source whole; the hashes are Spark's."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([1, 3, 9, 30, 120]))), f"s{i % 3}") for i in range(400)] + [(1000, None, "s0"), (1001, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(df)
+    ranked = mix._ranked(mix.narrow).collect()
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(df).collect()}
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in ranked if r["source"] == source]
+        want = {r["id"]: (r["__whole"] if r["size"] else 0) for r in own}
+        left, taken = sum(r["size"] * r["__p"] for r in own if r["__rank"] is not None), 0
+        for r in sorted((r for r in own if r["__rank"] is not None), key=lambda r: (r["__rank"], r["__order"])):
+            if taken + r["size"] / 2 <= left:  # the one on the border, if that comes nearer
+                want[r["id"]] += 1
+            taken += r["size"]
+        assert {i: got[i] for i in want} == want
+
+
 def test_mix_targets_random(spark):
     rng = random.Random(2)
     for n in (1, 4, 9):
