@@ -141,6 +141,58 @@ def s3_token_usage(conversations):
     return S.token_usage(conversations.select(F.col("role").alias("job"), usage.alias("usage")))
 
 
+@query("s3_cached_usage", "conversations", sql="select role job, count(*) calls, sum(length(text))::bigint prompt_tokens, sum(turn)::bigint completion_tokens, count(distinct conv_id // 1000)::int files from conversations group by 1")
+def s3_cached_usage(conversations):
+    """A file with an array of responses for each role and thousand conversations, read back as a cache."""
+    from ..operators.shared import shared_path
+
+    usage = F.struct(F.length("text").cast("long").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"))
+    block = F.floor(F.col("conv_id") / 1000).alias("block")
+    docs = conversations.groupBy("role", block).agg(F.to_json(F.collect_list(F.struct(F.col("role").alias("job"), usage.alias("usage")))).alias("value"))
+    to = shared_path(conversations.sparkSession, "cache")
+    docs.repartition("role", "block").write.partitionBy("role", "block").text(to)
+    cache = S.scan_response_cache(conversations.sparkSession, f"{to}/*/*/*.txt")
+    return S.token_usage(cache).join(cache.groupBy("job").agg(F.countDistinct("file").cast("int").alias("files")), "job")
+
+
+def _cards(predictions):
+    """Cards in three folders: E14 with a row for each domain, E15 in two folders, E10 with a row for each problem; E99 is expected and not there."""
+    from ..operators.shared import shared_path
+
+    spark, to = predictions.sparkSession, [shared_path(predictions.sparkSession, "cards") for _ in range(3)]
+    put = lambda df, k: df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("append").text(to[k])
+    mean = lambda c: F.round(F.avg(c), 6)
+    each = predictions.groupBy(F.col("domain").alias("policy")).agg(mean("conf").alias("profile_f1"), mean((F.col("truth") == F.col("pred")).cast("double")).alias("stable_recheck"))
+    put(each.agg(F.lit("E14").alias("id"), F.collect_list(F.struct("*")).alias("rows")), 0)
+    whole = lambda c: predictions.agg(mean(c).alias("m_recall_on_dsa_trained_main_only"), F.lit(0.5).alias("shortcut_auc")).select(F.lit("E15").alias("id"), F.struct("*").alias("metrics"))
+    put(whole(F.lit(0.0)), 0)
+    put(whole(F.col("conf")), 2)
+    by = predictions.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"))
+    put(by.agg(F.lit("E10").alias("id"), F.lit("simulated").alias("caveat"), F.collect_list(F.struct("*")).alias("rows")), 1)
+    put(predictions.limit(1).select(F.lit("no id").alias("id")), 1)
+    return S.collect_cards(spark, to, ["E10", "E14", "E15", "E99"])
+
+
+@query("s7_collect_cards", "predictions", sql="select unnest(['E10', 'E14', 'E15', 'E99']) id, unnest([false, false, false, true]) missing")
+def s7_collect_cards(predictions):
+    return _cards(predictions).select("id", "missing")
+
+
+@query("s8_cross_domain", "predictions", sql="select round(avg(conf), 6) recall_main_only, 0.5::double shortcut_auc from predictions")
+def s8_cross_domain(predictions):
+    return S.cross_domain(_cards(predictions))
+
+
+@query("s8_exam_sim", "predictions", sql="select domain policy, round(avg(conf), 6) profile_f1, round(avg((truth = pred)::int), 6) stable_recheck from predictions group by 1")
+def s8_exam_sim(predictions):
+    return S.exam_sim(_cards(predictions))
+
+
+@query("s8_resolution", "predictions", sql="select problem_id, count(*) n, 'simulated' caveat from predictions group by 1")
+def s8_resolution(predictions):
+    return S.resolution(_cards(predictions), "problem_id: string, n: bigint")
+
+
 @query("s5_event_log", "events", sql="select event_id, ts, value from events where event_type = 'purchase' and user_id = 7")
 def s5_event_log(events):
     rows = events.withColumnsRenamed({"user_id": "learner_id", "event_type": "type"})

@@ -24,6 +24,11 @@ def token_usage(cache: DataFrame) -> DataFrame:
     return cache.groupBy("job").agg(F.count(F.lit(1)).alias("calls"), n("prompt_tokens"), n("completion_tokens"))
 
 
+def scan_response_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(job, usage, file) of a folder of cached responses: a file holds an object or an array of objects."""
+    return read_bank(spark, path, "job string, usage struct<prompt_tokens: bigint, completion_tokens: bigint>")
+
+
 def read_matrix(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A Parquet feature table whose columns must be just these, in this order."""
     df = spark.read.parquet(path)
@@ -64,6 +69,41 @@ def merge_cards(cards: DataFrame, expected: list[str]) -> DataFrame:
     return best.join(want, "id", "full_outer").withColumn("missing", F.col("doc").isNull())
 
 
+#: Ids of cards.
+CARD_ID = r"^[A-Z][0-9]+[a-z]?$"
+
+
+def collect_cards(spark: SparkSession, folders: list[str], expected: list[str]) -> DataFrame:
+    """(id, doc, missing) of folders of JSON documents: the last folder that has an id wins, in it the last file by name.
+
+    Documents that are no objects or have no proper id are left out; expected ids without a card are filled in.
+    """
+    cards = None
+    for k, folder in enumerate(folders):
+        some = spark.read.option("wholetext", True).text(folder).select(F.col("value").alias("doc"), F.struct(F.lit(k).alias("folder"), F.input_file_name().alias("file")).alias("prio"))
+        cards = some if cards is None else cards.unionByName(some)
+    return merge_cards(cards.withColumn("id", F.get_json_object("doc", "$.id")).filter(F.col("id").rlike(CARD_ID)), expected)
+
+
+def cross_domain(cards: DataFrame) -> DataFrame:
+    """(recall_main_only, shortcut_auc) of card E15; null where the card does not have them."""
+    at = lambda k: F.get_json_object("doc", f"$.metrics.{k}").try_cast("double")
+    return cards.filter("id = 'E15' and not missing").select(at("m_recall_on_dsa_trained_main_only").alias("recall_main_only"), at("shortcut_auc").alias("shortcut_auc"))
+
+
+def exam_sim(cards: DataFrame) -> DataFrame:
+    """(policy, profile_f1, stable_recheck) of the rows of card E14; the last row of a policy counts."""
+    rows = F.from_json(F.get_json_object("doc", "$.rows"), "array<struct<policy: string, profile_f1: double, stable_recheck: double>>")
+    each = cards.filter("id = 'E14' and not missing").select(F.posexplode(rows).alias("k", "r")).filter("r.policy is not null")
+    return each.groupBy(F.col("r.policy").alias("policy")).agg(F.max_by("r.profile_f1", "k").alias("profile_f1"), F.max_by("r.stable_recheck", "k").alias("stable_recheck"))
+
+
+def resolution(cards: DataFrame, schema: str) -> DataFrame:
+    """The rows of card E10, and its caveat with each. schema: that of a row."""
+    rows = F.from_json(F.get_json_object("doc", "$.rows"), f"array<struct<{schema}>>")
+    return cards.filter("id = 'E10' and not missing").select(F.inline(rows), F.get_json_object("doc", "$.caveat").alias("caveat"))
+
+
 def baseline_pivot(cards: DataFrame) -> DataFrame:
     """(name, split, macro_f1) of cards with a metrics MAP<name, MAP<split, DOUBLE>>."""
     return cards.select(F.explode("metrics").alias("name", "m")).select("name", F.explode("m").alias("split", "macro_f1"))
