@@ -109,3 +109,24 @@ PUBLIC_FIELDS = {
     "code": ["item_id", "type", "problem_id", "starter", "holes", "code", "allow_no_bug"],
     "probe": ["probe_id", "prompt", "code", "options"],
 }
+
+# What tells each class by features alone, tried in this order. A bare name means that the feature is not 0.
+RULES = {
+    "D08": "a_str_literal_compare or a_array_name_compare or b_str_literal_compare or b_array_compare",
+    "D05": "a_has_recursion and (not a_base_case_present or (not a_base_case_static_reachable and not a_rec_arg_form_same and not a_rec_arg_form_plus1))",
+    "D06": "a_has_recursion and (a_rec_arg_form_same or a_rec_arg_form_plus1 or b_rec_arg_constant or b_rec_arg_growing)",
+    "D07": "a_rec_call_discarded or b_discarded_call_value",
+    "D03": "a_swap_no_temp or b_multiset_changed or r_eq_shift_without_wrap > 0",
+    "D02": "a_mid_assign_no_offset",
+    "D04": "a_outer_bound_const1 or r_eq_one_pass > 0 or (a_single_loop_with_swap and a_index_pair_plus1)",
+    "D01": "a_return_in_loop_else or a_assign_in_loop_else",
+    "M07": "a_empty_body_if or a_empty_body_for or a_empty_body_while or b_empty_body_exec",
+    "M06": "a_assign_in_cond or b_assign_in_cond_rt",
+    "M05": "a_decl_noinit_read_first or b_uninit_read",
+    "M02": "b_step_cap or (a_n_loops and (not a_update_present or not a_update_var_is_cond_var or a_update_in_branch))",
+    "M10": "a_printf_in_nonvoid and (a_nonvoid_missing_return or a_return_const_only or b_printed_eq_ref_return > 0)",
+    "M04": "a_int_div_into_float or a_cast_wraps_division or r_eq_floor_ref > 0",
+    "M03": "a_init_inside_loop or r_eq_ref_last_only >= 0.5",
+    "M08": "b_oob_read_idx_eq_n or a_index_n or a_index_const1 or a_array_loop_le_n or a_index_mirror_n_minus_i or (a_index_i_plus_1 and not a_index_pair_plus1) or (a_array_loop_start1 and not a_index_const0)",
+    "M01": "b_iter_delta_const_pm1 or a_bound_form_n_plus_1 or (a_main_cond_op_le and a_bound_form_n and a_init_form_0 and a_update_dir > 0)",
+}

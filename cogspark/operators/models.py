@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,19 @@ def majority(train: DataFrame, label: str = "label") -> DataFrame:
     return train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", label))[label].alias(label))
 
 
-def rule_engine(features: DataFrame, rules: list[tuple[str, Column]], passed: Column, fallback: str = "OTHER") -> DataFrame:
-    """Adds pred: CORRECT if all passed, else the first rule that holds, else the fallback. Rules read null and NaN as 0."""
-    out = F.when(passed, "CORRECT")
-    for label, cond in rules:
-        out = out.when(F.coalesce(cond, F.lit(False)), label)
-    return features.withColumn("pred", out.otherwise(fallback))
+def rule_engine(features: DataFrame, rules: dict[str, str] = C.RULES, passed: str = "b_pass_frac", fallback: str = "OTHER") -> DataFrame:
+    """Adds pred: the first rule that holds, else CORRECT if all tests passed or none is known, else the fallback.
+
+    Rules are SQL over features; a feature by itself means that it is not 0, null and NaN read as 0.
+    """
+    def condition(rule: str) -> Column:
+        return F.expr(re.sub(r"\b([abr]_\w+)\b(\s*(?:>=|<=|>|<|=)\s*[\d.]+)?", lambda m: f"(coalesce(nanvl(cast({m[1]} as double), 0), 0) {m[2] or '<> 0'})", rule))
+
+    out = None
+    for label, rule in rules.items():
+        out = F.when(condition(rule), label) if out is None else out.when(condition(rule), label)
+    all_passed = F.col(passed).isNull() | F.isnan(F.col(passed).cast("double")) | (F.col(passed) >= 1)
+    return features.withColumn("pred", out.otherwise(F.when(all_passed, "CORRECT").otherwise(fallback)))
 
 
 def zero(c: str) -> Column:

@@ -1,5 +1,6 @@
 """Models over embeddings and attempts; sources and streams over the given tables."""
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -7,14 +8,15 @@ from pyspark.sql import functions as F
 from .. import sources as S
 from .. import streaming as ST
 from ..functions import columns as L
+from ..functions import constants as C
 from ..operators import models as M
 from ..operators.shared import written
 from .bayes_queries import _TABLE, _items
 from .knowledge_queries import _FOLD, _MASTERY
-from .registry import query
+from .registry import logical, query
 
 _R = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
-#: All components of an embedding; m6_novelty_space reads as many as its SQL.
+#: All components of an embedding.
 _X = [f"x{i}" for i in range(64)]
 
 
@@ -27,11 +29,15 @@ def m1_majority(corpus):
     return M.majority(corpus)
 
 
-@query("m2_rule_engine", "per_test", sql="with f as (select attempt_id, avg(passed::int) pf, max((status = 'crash')::int) c, max((status = 'timeout')::int) t, sum(iterations) n from per_test group by 1) select attempt_id, case when pf = 1 then 'CORRECT' when t = 1 and n > 15 then 'M02' when c = 1 and n % 3 = 0 then 'M08' when n % 2 = 1 then 'M01' else 'OTHER' end pred from f")
-def m2_rule_engine(per_test):
-    f = per_test.groupBy("attempt_id").agg(F.avg(F.col("passed").cast("double")).alias("pf"), F.max((F.col("status") == "crash").cast("int")).alias("c"), F.max((F.col("status") == "timeout").cast("int")).alias("t"), F.sum("iterations").alias("n"))
-    rules = [("M02", (M.zero("t") == 1) & (M.zero("n") > 15)), ("M08", (M.zero("c") == 1) & (M.zero("n") % 3 == 0)), ("M01", M.zero("n") % 2 == 1)]
-    return M.rule_engine(f, rules, F.col("pf") == 1).select("attempt_id", "pred")
+#: The features that the rules read. Each is made from a line's keys: mostly 0, now and then null.
+_FEATURES = sorted({m for rule in C.RULES.values() for m in re.findall(r"[abr]_\w+", rule)})
+logical("rule_features", "lines", sql="select l_orderkey * 10 + rn id, cast(case when l_linenumber = 3 then null when l_returnflag = 'N' then 1 else 0.5e0 end as double) b_pass_frac, " + ", ".join(f"cast(case when (l_partkey + {k}) % 19 = 0 then null when (l_partkey * {2 * k + 3} + l_suppkey) % 97 < {2 if not f.startswith('a_base') and f != 'a_update_present' else 60} then 1 else 0 end as double) {f}" for k, f in enumerate(_FEATURES)) + " from {lines}")
+_RULE = "case " + " ".join("when " + re.sub(r"\b([abr]_\w+)\b(?!\s*[<>])", r"\1 <> 0", rule) + f" then '{label}'" for label, rule in C.RULES.items()) + " when b_pass_frac is null or b_pass_frac >= 1 then 'CORRECT' else 'OTHER' end"
+
+
+@query("m2_rule_engine", "rule_features", sql=f"with z as (select id, b_pass_frac, {', '.join(f'coalesce({f}, 0) {f}' for f in _FEATURES)} from rule_features) select id, {_RULE} pred from z")
+def m2_rule_engine(rule_features):
+    return M.rule_engine(rule_features).select("id", "pred")
 
 
 @query("m4_trees_out_of_fold", "embeddings")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -352,3 +353,12 @@ def test_projection_rule(spark):
     rows = spark.createDataFrame([(i, float(i % 2) * 10 + (i * 7 % 11) / 50, (i * 5 % 13) / 50, f"c{i % 2}") for i in range(60)], "id long, a double, b double, label string")
     got = {r["key"]: (r["status"], r["value"]) for r in M.check_projection(rows, ["a", "b"], "id", "label").collect()}
     assert got["one_nn"] == ("PASS", 1.0) and got["silhouette"][0] == "FAIL" and got["silhouette"][1] > 0.2
+
+
+def test_rules_come_before_the_tests_outcome(spark):
+    names = sorted({m for rule in C.RULES.values() for m in re.findall(r"[abr]_\w+", rule)})
+    row = lambda p, **f: (p, *[f.get(n, 0.0) for n in names])
+    rows = [row(1.0, a_swap_no_temp=1.0), row(1.0), row(None), row(0.5), row(0.5, a_has_recursion=1.0, a_base_case_present=1.0, a_rec_arg_form_same=1.0), row(0.5, a_has_recursion=1.0), row(0.5, r_eq_ref_last_only=0.49), row(0.5, r_eq_ref_last_only=0.5), row(0.5, a_index_n=float("nan")), row(0.5, a_update_dir=-1.0, a_main_cond_op_le=1.0, a_bound_form_n=1.0, a_init_form_0=1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, b_pass_frac double, " + ", ".join(f"{n} double" for n in names))
+    got = [r["pred"] for r in M.rule_engine(df).orderBy("id").collect()]
+    assert got == ["D03", "CORRECT", "CORRECT", "OTHER", "D06", "D05", "OTHER", "M03", "OTHER", "OTHER"]
