@@ -184,3 +184,21 @@ def words(body: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return body, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def whole(vector: str) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def quantised(vectors: DataFrame, scale: float, vector: str = "v") -> tuple[DataFrame, int]:
+    """vectors (whole ones, as doubles) with floor(scale * c) cut to a long's range, zeros up to the longest one's length d, and d."""
+    d = vectors.agg(F.max(F.size(vector))).first()[0] or 0
+    x = F.transform(vector, lambda c: F.floor(c * F.lit(float(scale))).cast("double") + F.lit(0.0))
+    x = F.when(F.size(vector) == d, x).otherwise(F.concat(x, F.array_repeat(F.lit(0.0), F.lit(d) - F.size(vector))))
+    return vectors.withColumn(vector, x), d
+
+
+def matrix(column: pa.Array, d: int) -> np.ndarray:
+    """(n, d) doubles of a list column of whole, equally long vectors."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)

@@ -78,13 +78,33 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    from .hard_negatives import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark, sf_dir):
+    from .whitening import whitening
+
+    return whitening(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    from .line_dedup import line_digest
+
+    return line_digest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": pipeline}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_exact_top_k": op2_exact_top_k, "op3_language_id": op3_language_id, "op4_language_model": op4_language_model, "op5_sentencepiece": op5_sentencepiece, "op6_suffix_dedup": op6_suffix_dedup, "op7_transport_stream": op7_transport_stream, "op8_toxicity": op8_toxicity, "op9_mix_sources": op9_mix_sources, "op10_ngram_jaccard": op10_ngram_jaccard, "op11_hard_negatives": op11_hard_negatives, "op12_whitening": op12_whitening, "op13_line_dedup": op13_line_dedup, "pipeline": pipeline}
 
 SQL = {
     "op1_url_filter": r"""
@@ -112,4 +132,18 @@ reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r
 c as (select a doc_id, min(b) class_id from reach group by 1),
 k as (select a doc_id, count(*) n_links, count(distinct case when ha <> hb then hb end) n_texts from l group by 1)
 select d.doc_id, coalesce(c.class_id, d.doc_id) class_id, coalesce(n_links, 0) n_links, coalesce(n_texts, 0) n_texts from documents d left join c using (doc_id) left join k using (doc_id)""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, a.lab = c.lab same, c.vec_id, list_dot_product(a.v, c.v)::bigint score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id negative_id, s.score negative_score, (row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id))::int "rank"
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, "rank", negative_id, positive_score, negative_score from n where "rank" <= 5""",
+    "op13_line_dedup": """
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "key" from l),
+g as (select "key", max(doc_id) last from k where length("key") >= 40 group by 1 having count(distinct doc_id) >= 5),
+f as (select doc_id, pos, line, coalesce(doc_id < last, false) gone from k left join g using ("key"))
+select doc_id, count(*) n_lines, sum(gone::int)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from f group by doc_id""",
 }
