@@ -5,7 +5,7 @@ largest first, and position. A window streams through each run of equal hashes:
 run spans enough documents what follows is dropped. What comes back is not text but a bitmap for each document, with
 only those words of 64 lines in which something goes; it is applied where the texts are.
 
-Hot keys: a sample of the documents names keys that may have more than an eighth of a range's rows (at most eight a
+Hot keys: a sample of the lines names keys that may have more than an eighth of a range's rows (at most eight a
 range, so they may travel); their runs are cut into ways by a hash of the row. Each way hands on its `least` largest
 documents, which are enough to tell both the largest of all and whether there are `least` of them. The sample only
 steers the balance: any key, named or not, is judged by all its rows.
@@ -28,7 +28,7 @@ from .common import parts_for, written
 #: White space that keys are stripped of: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One document of so many is looked at for hot keys; rows of one key in it from which it may be hot.
+#: One line of so many is looked at for hot keys; rows of one key among them from which it may be hot.
 SAMPLE, SAMPLED = 64, 32
 #: Bytes of one line's row while it is shuffled, and of a range.
 ROW_BYTES, RANGE_BYTES = 48, 16 << 20
@@ -55,32 +55,31 @@ def long_lines(keyed: DataFrame, least_chars: int) -> DataFrame:
     return key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "tie", "pos")
 
 
-def hot_keys(keyed: DataFrame, least_chars: int) -> tuple[DataFrame, int]:
-    """(h1, h2, ways) of the keys that a sample shows to be hot, at most eight for each range, and the number of ranges."""
-    sample = long_lines(keyed.sample(False, 1 / SAMPLE, 13), least_chars)
-    counts = written(sample.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), "line_sample")
+def hot_keys(lines: DataFrame) -> tuple[DataFrame, int]:
+    """(h1, h2, ways) of the keys that a sample of the lines shows to be hot, at most eight for each range, and the number of ranges."""
+    counts = written(lines.sample(False, 1 / SAMPLE, 13).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), "line_sample")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    ranges = parts_for(keyed.sparkSession, total * SAMPLE * ROW_BYTES, RANGE_BYTES)
+    ranges = parts_for(lines.sparkSession, total * SAMPLE * ROW_BYTES, RANGE_BYTES)
     hot = counts.filter(F.col("n") >= max(SAMPLED, total / (8 * ranges)))
     return hot.select("h1", "h2", F.ceil(F.col("n") * F.lit(4 * ranges / max(total, 1))).cast("int").alias("ways")), ranges
 
 
 def dropped_lines(keyed: DataFrame, least_chars: int, least: int) -> DataFrame:
-    """(doc, tie, pos) of the lines that go."""
-    hot, ranges = hot_keys(keyed, least_chars)
-    rows = long_lines(keyed, least_chars).join(F.broadcast(hot), ["h1", "h2"], "left")
+    """(doc, tie, pos) of the lines that go. Texts are split once; what is sampled, ranged and sorted are hashes and places."""
+    lines = written(long_lines(keyed, least_chars), "lines")
+    hot, ranges = hot_keys(lines)
     way = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "tie", "pos", F.spark_partition_id()), F.col("ways")) + 1).cast("int")
-    ordered = rows.select("h1", "h2", way.alias("way"), "doc", "tie", "pos").repartitionByRange(ranges, "h1", "h2", "way").sortWithinPartitions("h1", "h2", "way", F.desc("doc"), "pos")
+    rows = lines.join(F.broadcast(hot), ["h1", "h2"], "left").select("h1", "h2", way.alias("way"), "doc", "tie", "pos")
+    ordered = rows.repartitionByRange(ranges, "h1", "h2", "way").sortWithinPartitions("h1", "h2", "way", F.desc("doc"), "pos")
     run = W.partitionBy("h1", "h2", "way")
     ranked = ordered.withColumn("place", F.dense_rank().over(run.orderBy(F.desc("doc")))).withColumn("places", F.max("place").over(run))
-    go = ranked.filter("way = 0 and place > 1").filter(F.col("places") >= least).select("doc", "tie", "pos")
-    if hot.isEmpty():
-        return go
+    ranked = written(ranked.filter((F.col("way") > 0) | (F.col("place") > 1) & (F.col("places") >= least)).drop("places"), "line_runs")
+    go, apart = ranked.filter("way = 0"), ranked.filter("way > 0")
     # of each way the largest documents, of all ways the largest one: at most eight keys a range
-    firsts = ranked.filter("way > 0").filter(F.col("place") <= least).select("h1", "h2", "doc").distinct()
+    firsts = apart.filter(F.col("place") <= least).select("h1", "h2", "doc").distinct()
     firsts = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("first")).filter(F.col("n") >= least)
-    cut = ranked.filter("way > 0").join(F.broadcast(firsts), ["h1", "h2"]).filter("doc < first")
-    return go.unionByName(cut.select("doc", "tie", "pos"))
+    cut = apart.join(F.broadcast(firsts), ["h1", "h2"]).filter("doc < first")
+    return go.select("doc", "tie", "pos").unionByName(cut.select("doc", "tie", "pos"))
 
 
 def _bitmaps(dropped: DataFrame) -> DataFrame:

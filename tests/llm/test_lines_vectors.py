@@ -65,7 +65,7 @@ def test_line_digest(spark, monkeypatch, hot):
         monkeypatch.setattr(L, "parts_for", lambda *a: 40)
     rows = line_rows()
     keyed = L._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
-    assert (L.hot_keys(keyed, 40)[0].count() > 0) == hot
+    assert (L.hot_keys(L.long_lines(keyed, 40))[0].count() > 0) == hot
     df = frame(spark, [(i, t, "en", "s", 1, 0.5, "x", 1, 2, 3, 4, "l", 5, 0.25, "r") for i, t in rows]).withColumnsRenamed({"set": "pos", "block": "h1", "id": "doc", "__id": "words"}).repartition(7)
     want = [(i, n, k, hashlib.sha256(x.encode()).hexdigest()) for i, n, k, x in brute_lines(rows)]
     assert as_rows(L.line_digest(df)) == sorted(want, key=lambda r: tuple((x is not None, x) for x in r))
