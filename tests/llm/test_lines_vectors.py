@@ -59,7 +59,8 @@ def as_rows(df):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_line_digest(spark, monkeypatch, hot):
-    if hot:  # every line that a sample of all documents has eight times is cut into ways
+    monkeypatch.setattr(L, "SAMPLED", 1 << 40)
+    if hot:  # every line that a sample of all lines has eight times is cut into ways
         monkeypatch.setattr(L, "SAMPLE", 1)
         monkeypatch.setattr(L, "SAMPLED", 8)
         monkeypatch.setattr(L, "parts_for", lambda *a: 40)
