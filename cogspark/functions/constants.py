@@ -6,6 +6,16 @@ MISCONCEPTIONS = MAIN_CLASSES + DSA_CLASSES
 LABELS = MISCONCEPTIONS + ["CORRECT", "OTHER"]
 STATES = ["UNSEEN", "ACTIVE", "TREATING", "PROBATION", "STABLE", "MASTERED", "RELAPSED"]
 TWIN_SETS = {"T1": ("M01", "M08"), "T2": ("M02", "M07"), "T3": ("M06", "M07"), "T4": ("M03", "M05"), "T5": ("M09", "M10"), "T6": ("D02", "M02"), "T7": ("D05", "D06"), "T8": ("D07", "M10"), "T9": ("D01", "M03")}
+# fixed values: the features of which one has to be present for a class to be possible
+MASK_PRECONDITIONS = {
+    "D02": ["a_mid_like_var"],
+    "D03": ["a_has_array_write"],
+    "D04": ["a_has_array_write"],
+    "D05": ["a_has_recursion"],
+    "D06": ["a_has_recursion"],
+    "D07": ["a_has_recursion"],
+    "D08": ["a_str_literal_compare", "a_array_name_compare", "a_char_array_param"],
+}
 
 # answers and priors
 P_BELIEF, Q_CORRECT, SLIP, P_OTHER_CORRECT, PROB_FLOOR = 0.6, 0.5, 0.1, 0.4, 0.02

@@ -9,7 +9,9 @@ from .. import sources as S
 from .. import streaming as ST
 from ..functions import columns as L
 from ..functions import constants as C
+from ..operators import boosting as G
 from ..operators import models as M
+from ..operators import text as T
 from ..operators.shared import written
 from .bayes_queries import _TABLE, _items
 from .knowledge_queries import _FOLD, _MASTERY
@@ -47,6 +49,69 @@ def m4_trees_out_of_fold(embeddings):
     return _R(M.oof(rows, "fold", lambda t: M.fit_trees(t, _X, "label", trees=5, depth=4), lambda m, t: M.score(m, t, _X, "vec_id", 1.5)), "p")
 
 
+def _fitted(df, features, configs, rounds, label="label", id="id", fold=None):
+    binned = G.bin_rows(df, features, G.quantile_edges(df, features, 16), label, id, fold, F.pmod(F.xxhash64(id), F.lit(4)) == 0)
+    truths = df.select(F.col(id).alias("id"), F.create_map(F.col(label), F.lit(1.0)).alias("truths"))
+    return G.cross_validate(binned, configs, truths, rounds, 3)[1]
+
+
+@query("m4_boosted_grid", "embeddings")
+def m4_boosted_grid(embeddings):
+    """Scores of each configuration out of fold. No SQL: fitted trees. The tests hold the trees against a plain loop."""
+    scores = _fitted(_wide(embeddings), _X, G.grid((4, 7), (20,), (0.6,), depth=3, rate=0.3), 4, id="vec_id", fold=F.col("vec_id") % 2)
+    return _R(scores, "macro_f1_mean", "macro_f1_std", "log_loss_mean")
+
+
+@query("m3_boosted_text", "conversations")
+def m3_boosted_text(conversations):
+    """The role of a turn by boosted trees over its most frequent TF-IDF terms. No SQL: fitted trees."""
+    rows = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text").dropDuplicates(["id"])
+    wide, columns = G.text_columns(T.tfidf(rows), 64)
+    return _R(_fitted(wide.join(rows.select("id", "role"), "id"), columns, [G.Config(7, 5, 0.5, 3, 0.3)], 4, "role", fold=F.col("id") % 2), "macro_f1_mean", "macro_f1_std", "log_loss_mean")
+
+
+_CONFIG = """w as (select vec_id id, cast(vec_id % 4 as int) fold, concat('c', label) truth, list_transform(embedding[1:10], lambda x: x::double) v from embeddings),
+x as (select id, fold, truth, config, list_transform(v, lambda x: exp(x * config)) e from w, (values (1), (2), (3)) c(config)),
+p as (select id, fold, config, truth, list_transform(e, lambda x: x / list_sum(e)) p from x),
+r as (select *, 'c' || (list_position(p, list_max(p)) - 1) pred, -ln(greatest(p[substr(truth, 2)::int + 1], 1e-12)) loss from p),
+c as (select config, fold, truth, pred, count(*) n from r group by 1, 2, 3, 4),
+u as (select config, fold, truth cl, n s, 0 q, case when truth = pred then n else 0 end tp from c union all select config, fold, pred, 0, n, 0 from c),
+k as (select config, fold, cl, sum(s) s, sum(q) q, sum(tp) tp from u group by 1, 2, 3),
+m as (select config, fold, avg(2 * tp / (s + q)) filter (s > 0) f1 from k group by 1, 2), l as (select config, fold, avg(loss) loss, count(*) n from r group by 1, 2),
+a as (select config, avg(f1) macro_f1_mean, stddev_pop(f1) macro_f1_std, avg(loss) log_loss_mean, sum(n)::bigint n from m join l using (config, fold) group by 1)"""
+
+
+def _config_scores(embeddings):
+    """Scores of three configurations whose probabilities are the softmax of ten components, sharper from one to the next."""
+    e = embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("fold"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("config"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("v"))
+    e = e.select("id", "fold", "config", F.transform("v", lambda x: F.exp(x * F.col("config"))).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    p = e.select("config", "fold", "id", total.alias("t"), F.posexplode("e").alias("k", "x")).select("config", "fold", "id", F.concat(F.lit("c"), "k").alias("label"), (F.col("x") / F.col("t")).alias("p"))
+    truths = embeddings.select(F.col("vec_id").alias("id"), F.create_map(F.concat(F.lit("c"), "label"), F.lit(1.0)).alias("truths"))
+    return G.config_scores(p, truths)
+
+
+@query("m4_config_scores", "embeddings", sql=f"with {_CONFIG} select config, round(macro_f1_mean, 6) macro_f1_mean, round(macro_f1_std, 6) macro_f1_std, round(log_loss_mean, 6) log_loss_mean, n from a")
+def m4_config_scores(embeddings):
+    return _R(_config_scores(embeddings), "macro_f1_mean", "macro_f1_std", "log_loss_mean")
+
+
+@query("m4_select_config", "embeddings", sql=f"with {_CONFIG} select config, round(log_loss_mean, 6) log_loss_mean from a order by round(macro_f1_mean, 6) desc, a.log_loss_mean, config limit 1")
+def m4_select_config(embeddings):
+    return _R(G.select_config(_config_scores(embeddings)).select("config", "log_loss_mean"), "log_loss_mean")
+
+
+logical("masked", "lineitem", sql="select l_orderkey * 10 + l_linenumber id, " + ", ".join(f"max(case when (l_partkey + {k}) % 4 = 0 then null when (l_partkey + {k}) % 4 = 1 then 1e0 else 0e0 end) {f}" for k, f in enumerate(sorted({f for need in C.MASK_PRECONDITIONS.values() for f in need}))) + ", (max(l_partkey) % 7) / 10e0 x from {lineitem} group by l_orderkey * 10 + l_linenumber")
+_MASKED = " union all ".join(f"select id, '{c}' label, {v} p, " + (" and ".join(f"coalesce({f} = 0, false)" for f in C.MASK_PRECONDITIONS.get(c, [])) or "false") + " gone from masked" for c, v in (("D05", "x"), ("D08", "(1 - x) / 2"), ("D02", "(1 - x) / 2"), ("M01", "case when id % 3 = 0 then 0e0 else 1e0 end")))
+
+
+@query("m5_mask", "masked", sql=f"with z as ({_MASKED}), t as (select *, case when gone then 0 else p end q, sum(case when gone then 0 else p end) over (partition by id) s, sum(p) over (partition by id) a from z) select id, label, round(case when s > 0 then q / s else p / a end, 6) p from t")
+def m5_mask(masked):
+    x = F.col("x")
+    p = masked.select("id", F.explode(F.create_map(F.lit("D05"), x, F.lit("D08"), (1 - x) / 2, F.lit("D02"), (1 - x) / 2, F.lit("M01"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(1.0))).alias("label", "p"))
+    return _R(G.mask(p, masked).select("id", "label", "p"), "p")
+
+
 @query("m6_novelty_space", "embeddings", sql="with u as (" + " union all ".join(f"select 'x{i}' feature, embedding[{i + 1}]::double x from embeddings" for i in range(64)) + ") select feature, round(median(x), 6) median, round(avg(x), 6) mean, round(stddev_pop(x), 6) sd from u group by 1 having stddev_pop(x) > 0")
 def m6_novelty_space(embeddings):
     return _R(M.fit_novelty(_wide(embeddings), _X, "vec_id")[0], "median", "mean", "sd")
