@@ -140,3 +140,7 @@ RULES = {
     "M08": "b_oob_read_idx_eq_n or a_index_n or a_index_const1 or a_array_loop_le_n or a_index_mirror_n_minus_i or (a_index_i_plus_1 and not a_index_pair_plus1) or (a_array_loop_start1 and not a_index_const0)",
     "M01": "b_iter_delta_const_pm1 or a_bound_form_n_plus_1 or (a_main_cond_op_le and a_bound_form_n and a_init_form_0 and a_update_dir > 0)",
 }
+
+# fixed values: kinds of effects in the order in which they tell most, rows of a timeline up to which missing passes follow
+EFFECT_ORDER = ["read_void", "write_cell", "compare", "read_cell", "call", "ret"]
+TIMELINE_MOST = 60

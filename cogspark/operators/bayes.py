@@ -232,6 +232,9 @@ def fuse_multimodal(candidates: DataFrame, answers: DataFrame, cues: DataFrame,
     candidates: (key…, label, prior), prior null where there is none; answers: (key…, found, hedges, is_correct,
     needs_probe), found being the label of a deterministic finding or null; cues: (key…, label, strength).
 
+    A candidate without a prior weighs 1 where its answer has none at all, else 1 / number of candidates. A cue without a
+    strength, or with 0, counts as .7. An answer without candidates is OTHER with .5.
+
     A finding triples its label and takes the others down to a fifth; one outside the candidates enters with 2. Each cue
     multiplies its label by 1 + strength / 2. Hedging lowers top_p, the top share, for the whole answer, not below .40.
     Two labels closer than .15, or a probe that is needed, make the answer ambiguous: shown_p is .48 then, and the
@@ -240,14 +243,16 @@ def fuse_multimodal(candidates: DataFrame, answers: DataFrame, cues: DataFrame,
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     open_ = answers.filter(~flag("is_correct"))
     listed = candidates.select(*by, "label", "prior").join(open_.select(*by, "found"), list(by))
-    sets = listed.groupBy(*by).agg(F.array_sort(F.collect_set("label")).alias("__set"))  # labels are few
+    sets = listed.groupBy(*by).agg(F.array_sort(F.collect_set("label")).alias("__set"), F.count("prior").alias("__priors"))  # labels are few
     sure = F.when(F.col("found").isNull(), 1.0).when(F.col("found") == F.col("label"), C.FOUND_FACTOR).otherwise(C.NOT_FOUND_FACTOR)
     known = F.exists(F.col("__set"), lambda x: x == F.col("found"))
     # a finding that is no candidate comes in beside them, and leaves their weights alone
-    own = listed.join(sets, list(by)).select(*by, "label", (F.coalesce("prior", F.lit(1.0)) * F.when(known, sure).otherwise(1.0)).alias("w"))
+    own = listed.join(sets, list(by)).select(*by, "label", (F.coalesce("prior", F.when(F.col("__priors") > 0, 1 / F.size("__set")).otherwise(1.0)) * F.when(known, sure).otherwise(1.0)).alias("w"))
     beside = open_.filter("found is not null").join(sets, list(by), "left").filter(~F.coalesce(known, F.lit(False))).select(*by, F.col("found").alias("label"), F.lit(C.FOUND_OUTSIDE).alias("w"))
-    cue = cues.groupBy(*by, "label").agg(F.product(1 + C.CUE_FACTOR * F.coalesce(F.col("strength"), F.lit(C.CUE_STRENGTH))).alias("__cue"))
-    rows = normalise(own.unionByName(beside).join(cue, [*by, "label"], "left"), by, F.col("w") * F.coalesce("__cue", F.lit(1.0)))
+    cue = cues.groupBy(*by, "label").agg(F.product(1 + C.CUE_FACTOR * F.coalesce(F.nullif(F.col("strength"), F.lit(0.0)), F.lit(C.CUE_STRENGTH))).alias("__cue"))
+    other = open_.join(own.unionByName(beside).select(*by).distinct(), list(by), "left_anti").select(*by, F.lit("OTHER").alias("label"), F.lit(-1.0).alias("w"))
+    own = own.unionByName(other)
+    rows = normalise(own.unionByName(beside).join(cue, [*by, "label"], "left"), by, F.col("w") * F.coalesce("__cue", F.lit(1.0))).withColumn("p", F.when(F.col("w") < 0, 0.5).otherwise(F.col("p")))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round("p", 12)), "label"))).join(open_.select(*by, "hedges", "needs_probe"), list(by)).join(sets, list(by), "left")
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("p"))).over(W.partitionBy(*by))
     ambiguous = flag("needs_probe") | F.coalesce(F.round(at(1) - at(2), 12) < C.FUSE_MARGIN, F.lit(False))

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.columns import bucket, components_of, fingerprint
-from .shared import broadcast_if_small
+from .shared import broadcast_if_small, numbered
+
+
+#: Up to so many rows of a key Spark's window keeps the first ones of each task (spark.sql.optimizer.windowGroupLimitThreshold).
+FEW = 1000
 
 
 def training_rows(rows: DataFrame) -> DataFrame:
@@ -66,23 +70,25 @@ def capped_round_robin(rows: DataFrame, label: str, bucket_cols: list[str], high
 
     Where capped buckets hold fewer than `aim` rows of a label, its cap is `loose` (none by default).
     """
-    turn = F.row_number().over(W.partitionBy(label, *bucket_cols).orderBy(order))
-    rows = rows.withColumn("turn", turn)
+    rows = numbered(rows, (label, *bucket_cols), [order], "turn")
     # every bucket has as many rows up to its cap as turns up to it: countable before any global order
     held = rows.groupBy(label).agg(F.sum((F.col("turn") <= cap).cast("int")).alias("held"))
     rows = rows.join(broadcast_if_small(held), label)
     limit = F.when(F.col("held") < aim, F.lit(loose) if loose else F.col("turn")).otherwise(F.lit(cap))
     rows = rows.filter(F.col("turn") <= limit)
-    rank = F.row_number().over(W.partitionBy(label).orderBy("turn", *bucket_cols, order))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= high).drop("held")
+    turns = ["turn", *bucket_cols, order]
+    # Spark keeps the first rows of each label in every task before it shuffles them, if they are few enough
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy(*turns))) if high <= FEW else numbered(rows, (label,), turns)
+    return ranked.filter(F.col("rank") <= high).drop("held")
 
 
 def backfill(rows: DataFrame, picked: DataFrame, label: str = "label", floor: int = 80, order: str = "id") -> DataFrame:
     """Rows not picked that bring labels up to the floor, in order."""
     have = picked.groupBy(label).agg(F.count(F.lit(1)).alias("have"))
     rest = rows.join(picked.select(order), order, "left_anti").join(broadcast_if_small(have), label, "left")
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order))
-    return rest.withColumn("rank", rank).filter(F.col("rank") <= floor - F.coalesce("have", F.lit(0))).drop("have", "rank")
+    ranked = rest.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy(order))) if floor <= FEW else numbered(rest, (label,), [order])
+    # first by the floor itself: with a fixed number Spark keeps so many rows of each label in every task before it shuffles
+    return ranked.filter(F.col("rank") <= floor).filter(F.col("rank") <= floor - F.coalesce("have", F.lit(0))).drop("have", "rank")
 
 
 def fill_total(rows: DataFrame, picked: DataFrame, total: int = C.LABEL_TOTAL, order: str = "id") -> DataFrame:
@@ -217,9 +223,9 @@ def effective_n(rows: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, order: list[str], source: str = "source") -> DataFrame:
-    """SOURCE-000001 and on, by order within each source."""
-    n = F.row_number().over(W.partitionBy(source).orderBy(*order))
-    return rows.withColumn("new_id", F.format_string("%s-%06d", F.col(source), n))
+    """SOURCE-000001 and on, by order within each source, which is cut into ranges."""
+    out = numbered(rows, (source,), order, "__nth")
+    return out.withColumn("new_id", F.format_string("%s-%06d", F.col(source), F.col("__nth"))).drop("__nth")
 
 
 def feature_dropout(rows: DataFrame, id: str, columns: list[str], rate: float = 0.15, seed: int = 42) -> DataFrame:

@@ -6,6 +6,10 @@ cost after one aggregation does not depend on the number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,7 +114,7 @@ def auroc(df: DataFrame, score: str, y: str, by=()) -> DataFrame:
     """(by…, auroc, n): from rank sums over distinct scores, ties at half; null with one class; non-finite scores go."""
     ok = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
     cells = df.filter(ok).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    upto = cells.withColumn("upto", F.sum("neg").over(W.partitionBy(*by).orderBy("s"))) if by else running(cells, "s", upto="neg")
+    upto = running(cells, "s", by, upto="neg")
     cells = upto.withColumn("below", F.col("upto") - F.col("neg"))
     out = cells.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("p") + F.col("q")).alias("n"))
@@ -129,16 +133,38 @@ def draws(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
     return picks.select("rep", pick.alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("w")).join(numbered, "k").select("rep", cluster, "w")
 
 
+def draw_vectors(clusters: DataFrame, cluster: str, reps: int, seed: int) -> DataFrame:
+    """(cluster, w): how often each replicate draws a cluster, as an array over the replicates; clusters that none draws are left out."""
+    by = draws(clusters, cluster, reps, seed).groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct("rep", F.col("w").cast("double")))).alias("m"))  # `reps` at most
+    return by.select(cluster, F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0.0))).alias("w"))
+
+
+def _weighted(w: str, value: Column) -> Column:
+    """An array of weights times a value (null as 0), as a vector to add up."""
+    from pyspark.ml.functions import array_to_vector
+
+    x = F.coalesce(value.cast("double"), F.lit(0.0))
+    return array_to_vector(F.transform(w, lambda c: c * x))
+
+
+def _replicates(rows: DataFrame, sums: list[str], statistic: Column) -> DataFrame:
+    """(s) for each replicate: a statistic of sums that are weighted by the array w, added up as vectors: a row is never repeated."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    total = rows.agg(*[vector_to_array(Summarizer.sum(_weighted("w", F.col(k)))).alias(k) for k in sums])
+    return total.select(F.inline(F.arrays_zip(*sums))).select(statistic.alias("s"))
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, reps: int = 200, seed: int = 42) -> DataFrame:
     """(estimate, lo, hi, n, n_clusters, valid) of a statistic of sums, whole clusters drawn again.
 
     sums: named aggregates of the rows; statistic: an expression of their names. Undefined draws are left out; with
-    fewer than MIN_DRAWS others there is no interval.
+    fewer than MIN_DRAWS others there is no interval. Each cluster has an array of its weights in the replicates.
     """
     cells = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(k) for k, v in sums.items()])
     point = cells.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("n_clusters"), *[F.sum(k).alias(k) for k in sums]).select("n", "n_clusters", statistic.alias("estimate"))
-    rows = draws(cells, cluster, reps, seed).join(cells, cluster)
-    each = rows.groupBy("rep").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums]).select(statistic.alias("s"))
+    each = _replicates(cells.join(draw_vectors(cells, cluster, reps, seed), cluster), list(sums), statistic)
     ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
     return _interval(point, ends)
 
@@ -149,17 +175,43 @@ def _interval(point: DataFrame, ends: DataFrame) -> DataFrame:
     return point.select("*", enough("lo"), enough("hi"), ends.select("valid").scalar().alias("valid"))
 
 
+def _range_ranks(reps: int):
+    """Sorted rows (s, pos, neg) of a range to its least score, its share of each replicate's U, and its counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, u, p, q = None, *(np.zeros(reps) for _ in range(3))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, neg = (batch.column(i).flatten().to_numpy().reshape(-1, reps) for i in (1, 2))
+            least = batch.column(0)[0].as_py() if least is None else least
+            below = q + np.cumsum(neg, 0) - neg
+            u, p, q = u + (pos * (below + neg / 2)).sum(0), p + pos.sum(0), q + neg.sum(0)
+        if least is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([float(least)]), *(pa.array([x.tolist()]) for x in (u, p, q))], ["least", "u", "p", "q"])
+
+    return run
+
+
 def auroc_interval(df: DataFrame, cluster: str, score: str, y: str, reps: int = 200, seed: int = 42) -> DataFrame:
     """(estimate, lo, hi, n, n_clusters, valid) of the AUROC, whole clusters drawn again.
 
-    The rows are counted by cluster, score and class once; a draw weights those counts and ranks the distinct scores.
+    The rows are counted by cluster, score and class once; each distinct score has arrays of its counts in the draws.
+    Scores are cut into ranges, each of which is ranked in itself; together with the counts below it that is the whole.
     """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     ok = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
     cells = df.filter(ok).groupBy(cluster, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    rows = draws(cells, cluster, reps, seed).join(cells, cluster).groupBy("rep", "s").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    below = F.sum("neg").over(W.partitionBy("rep").orderBy("s")) - F.col("neg")
-    each = rows.withColumn("below", below).groupBy("rep").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    each = each.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("s"))
+    both = cells.join(draw_vectors(cells, cluster, reps, seed), cluster).groupBy("s").agg(*[vector_to_array(Summarizer.sum(_weighted("w", F.col(c)))).alias(c) for c in ("pos", "neg")])
+    parts = both.select("s", "pos", "neg").repartitionByRange("s").sortWithinPartitions("s").mapInArrow(_range_ranks(reps), "least double, u array<double>, p array<double>, q array<double>").collect()  # a row a range
+    u, p, q = (np.zeros(reps) for _ in range(3))
+    for r in sorted(parts, key=lambda r: r["least"]):
+        own = np.array(r["p"])
+        u, p, q = u + np.array(r["u"]) + own * q, p + own, q + np.array(r["q"])
+    ok = (p > 0) & (q > 0)
+    each = df.sparkSession.createDataFrame([(float(x),) for x in u[ok] / (p[ok] * q[ok])], "s double")  # the replicates
     ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
     point = auroc(df, score, y).select(F.col("auroc").alias("estimate"), "n", F.lit(None).cast("long").alias("n_clusters")).withColumn("n_clusters", df.agg(F.countDistinct(cluster)).scalar())
     return _interval(point, ends)
@@ -172,14 +224,16 @@ POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.99
 def bootstrap(df: DataFrame, id: str, sums: dict[str, Column], statistic: Column, reps: int = 200, seed: int = 42) -> DataFrame:
     """(estimate, lo, hi, n, valid) of a statistic of sums over rows drawn again.
 
-    Each row's weight in a replicate is Poisson, by a hash of (seed, replicate, id): rows are not numbered or shuffled,
-    only the replicates' sums are.
+    Each row's weight in a replicate is Poisson, by a hash of (seed, replicate, id), in an array over the replicates: rows
+    are not repeated, numbered or shuffled, only the vectors of sums are.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "rep", F.col("__id"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    w = sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    def weight(rep):
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), F.col("__id"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        return F.array_position(F.transform(F.lit([*POISSON, 2.0]), lambda t: u < t), True) - 1
+
     rows = df.select(F.col(id).cast("string").alias("__id"), *[v.alias(k) for k, v in sums.items()])
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", w)
-    each = each.groupBy("rep").agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums]).select(statistic.alias("s"))
+    w = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: weight(r).cast("double"))
+    each = _replicates(rows.withColumn("w", w), list(sums), statistic)
     ends = each.agg(F.percentile("s", F.lit(0.025)).alias("lo"), F.percentile("s", F.lit(0.975)).alias("hi"), F.count("s").alias("valid"))
     point = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]).select("n", statistic.alias("estimate"))
     return _interval(point, ends)

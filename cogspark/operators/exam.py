@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import class_eig, let, pass_probability, tie_key
+from ..functions.columns import class_eig, let, lookup, pass_probability, tie_key
 from .bayes import belief_exposure, item_eig, labels, likelihood_table, normalise
-from .shared import broadcast_if_small
+from .shared import broadcast_if_small, changes
 
 
 def elo_trajectory(log: DataFrame, start: float = C.ELO_START, by=("exam_id", "sector")) -> DataFrame:
-    """log (by…, seq, difficulty, passed, bonus) to (by…, seq, theta) after each item. Not associative: a bounded, ordered fold."""
-    past = log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "difficulty", F.col("passed").cast("double").alias("passed")))).alias("h"), F.max("bonus").alias("bonus"))
-    first = F.lit(float(start)) + F.when(F.col("bonus"), float(C.ELO_BONUS)).otherwise(0.0)
-
-    def step(s, e):
-        return let(s["t"] + C.ELO_K * (e["passed"] - pass_probability(e["difficulty"], s["t"])), lambda t: F.struct(t.alias("t"), F.concat(s["ts"], F.array(t)).alias("ts")))
+    """log (by…, seq, difficulty, passed, bonus) to (by…, seq, theta) after each item.
 
-    ts = F.aggregate("h", F.struct(first.alias("t"), F.array().cast("array<double>").alias("ts")), step, lambda s: s["ts"])
-    return past.withColumn("ts", ts).select(*by, F.inline(F.arrays_zip(F.transform("h", lambda e: e["seq"]).alias("seq"), F.col("ts").alias("theta"))))
+    Not associative: a key's items are sorted and one number goes from item to item, in time linear in their number.
+    """
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, last = changes(batch.columns[:n], last)
+            first, rating, passed = (batch.column(n + i).to_numpy(zero_copy_only=False).astype(float).tolist() for i in (1, 2, 3))
+            out = []
+            for i, fresh in enumerate(new.tolist()):
+                t = first[i] if fresh else t
+                t += C.ELO_K * (passed[i] - 1 / (1 + 10 ** ((rating[i] - t) / 400)))
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(out, pa.float64(), from_pandas=True)], [*by, "seq", "theta"])
+
+    order = W.partitionBy(*by).orderBy("seq", F.col("difficulty").asc_nulls_last(), F.col("passed").asc_nulls_last())
+    bonus = F.max("bonus").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = F.lit(float(start)) + F.when(bonus, float(C.ELO_BONUS)).otherwise(0.0)
+    rating = lookup(F.col("difficulty"), {k: float(v) for k, v in C.ELO_ITEM.items()})
+    rows = log.select(*by, "seq", first.alias("first"), rating.cast("double").alias("rating"), F.col("passed").cast("double").alias("passed"))
+    kind = dict(log.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind[c]}" for c in (*by, "seq")) + ", theta double")
 
 
 def exam_updates(answers: DataFrame, exposure: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ sorted history.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.columns import forget, is_transfer_family, item_ratios, let, likelihood_ratio
 from .bayes import apply_text
+from .shared import changes, written
 
 KEY = ("learner_id", "class")
 
@@ -89,23 +95,30 @@ def knowledge_fold(events: DataFrame, prior: float = C.POPULATION_PRIOR, as_of:
     return past.select(*by, p.alias("p_active"), F.size(answers).cast("long").alias("times_seen"), F.array_max(F.transform("history", lambda e: e["ts"])).alias("last_tested"))
 
 
-def belief_product(events: DataFrame, prior: float = C.POPULATION_PRIOR, chunk: int = 256, by=KEY) -> DataFrame:
-    """The same p_active by matrix products of chunks of each history, so that a hot key's history is folded in parts."""
-    rows = route_events(events).filter("affects")
-    rows = rows.withColumn("levels", F.col("levels").cast("int")) if "levels" in rows.columns else rows.withColumn("levels", F.lit(0))
+def _matrix() -> dict[str, Column]:
+    """a, b, c, d of an event's matrix on (active, not active), from kind, levels, if_active and if_not."""
     stay = F.pow(F.lit(1 - C.FORGET_RATE), F.greatest(F.col("levels"), F.lit(0)))
     zero, one = F.lit(0.0), F.lit(1.0)
     lose = F.col("kind") == "intervention_done"
     gain = F.col("kind") == "forgetting"
-    m = {
-        "a": F.when(lose, 1 - C.LEARN_RATE).when(gain, one).otherwise(F.col("if_active")),
+    none = (F.col("if_active") == 0) & (F.col("if_not") == 0)  # evidence that is impossible either way says nothing
+    return {
+        "a": F.when(lose, 1 - C.LEARN_RATE).when(gain, one).when(none, one).otherwise(F.col("if_active")),
         "b": F.when(gain, 1 - stay).otherwise(zero),
         "c": F.when(lose, C.LEARN_RATE).otherwise(zero),
-        "d": F.when(lose, one).when(gain, stay).otherwise(F.col("if_not")),
+        "d": F.when(lose, one).when(gain, stay).when(none, one).otherwise(F.col("if_not")),
     }
+
+
+def belief_product(events: DataFrame, prior: float = C.POPULATION_PRIOR, chunk: int = 256, by=KEY) -> DataFrame:
+    """The same p_active by matrix products of chunks of each history, so that a hot key's history is folded in parts."""
+    rows = route_events(events).filter("affects")
+    rows = rows.withColumn("levels", F.col("levels").cast("int")) if "levels" in rows.columns else rows.withColumn("levels", F.lit(0))
+    rows = rows.withColumns(_matrix())
     order = W.partitionBy(*by, "slice").orderBy("ts", "seq")
     # slices of a key by time: one row each is shuffled on
-    rows = rows.withColumns(m).withColumn("slice", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400 / 30)).withColumn("chunk", F.floor((F.row_number().over(order) - 1) / chunk))
+    rows = rows.withColumn("slice", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400 / 30)).withColumn("chunk", F.floor((F.row_number().over(order) - 1) / chunk))
+    zero, one = F.lit(0.0), F.lit(1.0)
     unit = F.struct(one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"))
 
     def times(s, e):  # e after s, scaled to keep the product in range
@@ -118,15 +131,123 @@ def belief_product(events: DataFrame, prior: float = C.POPULATION_PRIOR, chunk:
     return whole.select(*by, (on / (on + off)).alias("p_active"))
 
 
+def _times(e: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Rows of 2x2 matrices (a, b, c, d): e after s, scaled to keep the products in range."""
+    out = np.stack([e[:, 0] * s[:, 0] + e[:, 1] * s[:, 2], e[:, 0] * s[:, 1] + e[:, 1] * s[:, 3], e[:, 2] * s[:, 0] + e[:, 3] * s[:, 2], e[:, 2] * s[:, 1] + e[:, 3] * s[:, 3]], 1)
+    return out / np.maximum(out.max(1, keepdims=True), 1e-300)
+
+
+_UNIT = np.array([1.0, 0.0, 0.0, 1.0])
+
+
+def prefix_products(m: np.ndarray, new: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the product of what lies before each row of its run, the product up to the last row); carry goes before the first run.
+
+    The span that a row's product covers doubles with each step.
+    """
+    m = m.copy()
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
+    if not new[0]:
+        m[:1] = _times(m[:1], carry[None])
+    step, place = 1, np.arange(len(m)) - begin
+    while step <= place.max():
+        at = np.flatnonzero(place >= step)
+        m[at] = _times(m[at], m[at - step])
+        step *= 2
+    before = np.vstack([carry[None], m[:-1]])
+    before[new] = _UNIT
+    return before, m[-1]
+
+
+def _scanned(rows: DataFrame, by, order) -> DataFrame:
+    """rows (with a, b, c, d) in ranges of (by, order), with p0..p3, the product of what lies before each row in its range.
+
+    Adds part, the range; opens, whether the row's key is the first of its range; edge, whether it is the last row of the
+    first or of the last key of its range: two rows a range.
+    """
+    n = len(by)
+    names = [*rows.columns, "p0", "p1", "p2", "p3", "part", "opens", "edge"]
+    at = [rows.columns.index(c) for c in "abcd"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carry, opens, held = TaskContext.get().partitionId(), None, _UNIT, True, None
+
+        def out(batch, before, first, edge):
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(before[:, i]) for i in range(4)), pa.array(np.full(len(first), part, np.int32)), pa.array(first), pa.array(edge)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = last is not None
+            new, last = changes(batch.columns[:n], last)
+            before, carry = prefix_products(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at], 1), new, carry)
+            later = np.flatnonzero(new[1:] if not known else new)
+            first = np.zeros(len(new), bool)
+            if opens:
+                first[: (later[0] + (0 if known else 1)) if len(later) else len(new)] = True
+            edge = np.zeros(len(new), bool)
+            if opens and len(later):
+                end = int(first.sum()) - 1
+                if end >= 0:
+                    edge[end] = True
+                elif held is not None:
+                    held[3][-1] = True
+                opens = False
+            if held is not None:
+                yield out(*held)
+            held = (batch, before, first, edge)
+        if held is not None:
+            held[3][-1] = True
+            yield out(*held)
+
+    ranged = rows.select(*by, *[c for c in rows.columns if c not in by]).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    names[: len(rows.columns)] = ranged.columns
+    at[:] = [ranged.columns.index(c) for c in "abcd"]
+    kind = dict(ranged.dtypes)
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in ranged.columns) + ", p0 double, p1 double, p2 double, p3 double, part int, opens boolean, edge boolean"
+    return written(ranged.mapInArrow(run, schema), "scan")
+
+
+def _carries(scanned: DataFrame, by) -> list[tuple]:
+    """(part, c0..c3) for each range whose first key goes on from the range before: the product of all that lies before it."""
+    cells = [F.col(c) for c in ("p0", "p1", "p2", "p3", "a", "b", "c", "d")]
+    edges = scanned.filter("edge").select("part", "opens", F.array(*cells).alias("m"), F.struct(*by).alias("key")).collect()  # two rows a range
+    out, key, total = [], None, _UNIT
+    ends: dict = {}
+    for r in edges:
+        m = np.array(r["m"])
+        ends.setdefault(r["part"], {})[r["opens"]] = (tuple(r["key"]), _times(m[None, 4:], m[None, :4])[0])
+    for part in sorted(ends):
+        of = ends[part]
+        if True in of:
+            name, product = of[True]
+            if key is not None and name == key:
+                out.append((part, *map(float, total)))
+                product = _times(product[None], total[None])[0]
+            key, total = name, product
+        if False in of:
+            key, total = of[False]
+    return out
+
+
 def knowledge_trajectory(events: DataFrame, prior: float = C.POPULATION_PRIOR, by=KEY) -> DataFrame:
-    """(by…, ts, seq, kind, p_before, p_after) of each event: prefixes of the fold."""
+    """(by…, ts, seq, kind, p_before, p_after) of each event that changes P: prefixes of the fold.
+
+    A prefix scan on two levels: the events are cut into ranges by key and time; in each range the products before every
+    row come in one pass, then the ranges of a key that spans several go on from what lies before. Linear in a key's
+    length, and a hot key is as many tasks as it has ranges.
+    """
     rows = route_events(events)
     rows = rows.withColumn("levels", F.col("levels").cast("int")) if "levels" in rows.columns else rows.withColumn("levels", F.lit(0))
-    past = _history(rows.filter("affects"), by, "kind", "levels", "if_active", "if_not")
-    start = F.struct(F.lit(float(prior)).alias("p"), F.array().cast("array<double>").alias("ps"))
-    ps = F.aggregate("history", start, lambda s, e: let(_step(s["p"], e), lambda p: F.struct(p.alias("p"), F.concat(s["ps"], F.array(p)).alias("ps"))), lambda s: s["ps"])
-    each = past.withColumn("ps", ps).select(*by, "ps", F.posexplode("history").alias("i", "e"))
-    return each.select(*by, F.col("e.ts").alias("ts"), F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), F.when(F.col("i") == 0, float(prior)).otherwise(F.get("ps", F.col("i") - 1)).alias("p_before"), F.get("ps", F.col("i")).alias("p_after"))
+    rows = rows.filter("affects").withColumns(_matrix()).select(*by, "ts", "seq", "kind", "levels", "if_active", "if_not", *"abcd")
+    at = _scanned(rows, by, ["ts", "seq", "kind", "levels", "if_active", "if_not"])
+    carries = at.sparkSession.createDataFrame(_carries(at, by), "part int, c0 double, c1 double, c2 double, c3 double")
+    at = at.join(F.broadcast(carries.withColumn("opens", F.lit(True))), ["part", "opens"], "left")  # at most a row a range
+    on, off = F.coalesce(F.col("c0") * prior + F.col("c1") * (1 - prior), F.lit(prior)), F.coalesce(F.col("c2") * prior + F.col("c3") * (1 - prior), F.lit(1 - prior))
+    active, not_ = F.col("p0") * on + F.col("p1") * off, F.col("p2") * on + F.col("p3") * off
+    at = at.withColumn("p_before", active / (active + not_))
+    e = {c: F.col(c) for c in ("kind", "levels", "if_active", "if_not")}
+    return at.select(*by, "ts", "seq", "kind", "p_before", _step(F.col("p_before"), e).alias("p_after"))
 
 
 def _next_state(state: Column, p: Column, *, step: str | None = None, trap=None, transfer=None, ghost_passed=None, ghost_failed=None, exam_passed=None, exposure=None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from .evaluate import auroc
 from .quality import stumps
+from .shared import written
 
 
 def majority(train: DataFrame, label: str = "label") -> DataFrame:
@@ -122,47 +125,74 @@ def standardise(rows: DataFrame, stats: DataFrame, features: list[str], id: str)
     return z.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("vector"))
 
 
-def _nearest(k: int, exclude_self: bool, chunk: int = 4096):
+#: Pivots at most, reference rows for each, numbers of a chunk's distances.
+PIVOTS, PIVOT_ROWS, CHUNK_CELLS = 256, 1024, 1 << 22
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _to_points(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (points**2).sum(1) - 2 * x @ points.T, 0))
+
+
+def _few_of_equal(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal vectors those with the least ids: no more can be among anyone's nearest."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)
+    _, which = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    by = np.argsort(which, kind="stable")
+    first = np.flatnonzero(np.diff(which[by], prepend=-1))
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids)) - np.repeat(first, np.diff(first, append=len(ids)))
+    return ids[place < most], x[place < most]
+
+
+def _nearest(k: int, exclude_self: bool):
     """Rows (tile, is_row, id, vector), a tile's queries before its rows, to the k nearest rows of each query and tile."""
-    import numpy as np
-    import pyarrow as pa
-
-    def vectors(column) -> np.ndarray:
-        return np.array(column.to_pylist(), float).reshape(len(column), -1)
-
-    def merge(q, ids, best, ref_ids, ref):
-        d = (q**2).sum(1)[:, None] + (ref**2).sum(1) - 2 * q @ ref.T
-        own = ids[:, None] == ref_ids[None, :]
-        if exclude_self:
-            d[own] = np.inf
-        m = min(k + 8, len(ref_ids))  # a few more, as close ones are measured again
-        at = np.argpartition(d, m - 1, 1)[:, :m]
-        near = np.stack([np.sqrt(((ref[a] - x) ** 2).sum(1)) for a, x in zip(at, q)])
-        if exclude_self:
-            near[np.take_along_axis(own, at, 1)] = np.inf
-        near, found = np.concatenate([best[0], near], 1), np.concatenate([best[1], ref_ids[at]], 1)
-        order = np.lexsort((found, np.round(near, 9)), axis=1)[:, :k]
-        return np.take_along_axis(near, order, 1), np.take_along_axis(found, order, 1)
+
+    def first(who, near, ids):
+        """Of each query the k first by distance (nine digits) and id."""
+        order = np.lexsort((ids, np.round(near, 9), who))
+        who, near, ids = who[order], near[order], ids[order]
+        begin = np.maximum.accumulate(np.where(np.diff(who, prepend=-1) != 0, np.arange(len(who)), 0))
+        keep = np.arange(len(who)) - begin < k
+        return who[keep], near[keep], ids[keep]
+
+    def merge(q, q_ids, best, ref_ids, ref):
+        ref_ids, ref = _few_of_equal(ref_ids, ref, k + 1)
+        step = max(1, CHUNK_CELLS // len(ref_ids))
+        parts = [best]
+        for lo in range(0, len(q), step):
+            some = q[lo : lo + step]
+            square = (some**2).sum(1)[:, None] + (ref**2).sum(1) - 2 * some @ ref.T
+            if exclude_self:
+                square[q_ids[lo : lo + step, None] == ref_ids[None, :]] = np.inf
+            at = min(k, len(ref_ids)) - 1
+            # all that may be as near as the k-th, rounding included
+            reach = np.partition(square, at, 1)[:, at] + 1e-9 * (1 + (some**2).sum(1) + (ref**2).sum(1).max())
+            who, which = np.nonzero((square <= reach[:, None]) & np.isfinite(square))
+            for cut in range(0, len(who), 1 << 16):
+                w, r = who[cut : cut + (1 << 16)], which[cut : cut + (1 << 16)]
+                parts.append((w + lo, np.sqrt(((some[w] - ref[r]) ** 2).sum(1)), ref_ids[r]))
+        return first(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked, ids, held = None, [], [], []
-        best = None
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        now, asked, ids, held, best = None, [], [], [], none
 
         def flush():
             nonlocal best, asked, ids
-            if not held or not asked:
-                held.clear()
-                return
-            asked, ids = [np.concatenate(asked)], [np.concatenate(ids)]
-            best = best or (np.full((len(ids[0]), 0), np.inf), np.zeros((len(ids[0]), 0), np.int64))
-            best = merge(asked[0], ids[0], best, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            if held and asked:
+                asked, ids = [np.concatenate(asked)], [np.concatenate(ids)]
+                best = merge(asked[0], ids[0], best, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
             held.clear()
 
         def close():
             flush()
-            if best is not None:
-                ok = np.isfinite(best[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0], best[0].shape[1])[ok.ravel()]), pa.array(best[1][ok]), pa.array(best[0][ok])], ["id", "ref_id", "dist"])
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][best[0]]), pa.array(best[2]), pa.array(best[1])], ["id", "ref_id", "dist"])
 
         for batch in batches:
             tile, is_row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -172,42 +202,91 @@ def _nearest(k: int, exclude_self: bool, chunk: int = 4096):
                     continue
                 if tile[lo] != now and now is not None:
                     yield from close()
-                    asked, ids, best = [], [], None
+                    asked, ids, best = [], [], none
                 now = tile[lo]
-                for start in range(lo, hi, chunk):
-                    part = batch.slice(start, min(chunk, hi - start))
-                    names, x = part.column(2).to_numpy(), vectors(part.column(3))
-                    if is_row[lo]:
-                        held.append((names, x))
-                        if sum(len(y) for y, _ in held) >= chunk:
-                            flush()
-                    else:
-                        asked.append(x)
-                        ids.append(names)
+                part = batch.slice(lo, hi - lo)
+                names, x = part.column(2).to_numpy(), _matrix(part.column(3))
+                if is_row[lo]:
+                    held.append((names, x))
+                    if sum(len(y) for y, _ in held) >= 4096:
+                        flush()
+                else:
+                    asked.append(x)
+                    ids.append(names)
         if now is not None:
             yield from close()
 
     return run
 
 
-def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vector", k: int = 5, exclude_self: bool = True, block: int = 1024, group: int = 1 << 17) -> DataFrame:
-    """(id, ref_id, dist, rank): the k nearest reference rows by Euclidean distance, exact, ties to the smaller id.
+def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vector", k: int = 5, exclude_self: bool = True, block: int = 1 << 14, group: int = 1 << 17, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """(id, ref_id, dist, rank): the k nearest reference rows by Euclidean distance, exact, ties (nine digits) to the smaller id.
 
-    Blocks of queries and groups of reference rows, both of bounded expected size, meet in a shuffle, a pair of them a
-    task; a task holds its queries and streams the group's rows through matrix products. k rows a query and group are
-    then ranked. Nothing goes through the driver.
+    Pivots, a bounded sample of reference rows, cut the space into cells. A cell's queries find k rows no farther than
+    their distance to the pivot and that of a cell's k + 1 first rows to theirs, so by the triangle inequality a row
+    whose distance to the pivot is larger than both together can be left out. What is left meets the cell's queries in
+    blocks and groups of bounded expected size, a pair of them a task, that streams the rows through matrix products.
+    Rows are thus sent once for each cell and block that they may matter to: where the vectors form clusters, a few
+    times; where they do not, once a block of queries. k rows a query and group are then ranked.
     """
+    spark = query.sparkSession
     narrow = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null and vector is not null")
     asked, given = narrow(query), narrow(reference)
-    blocks, groups = max(1, -(-asked.count() // block)), max(1, -(-given.count() // group))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # groups are salted by the partition a row comes from, so that repeated rows are spread
-    tile = (F.col("g") * blocks + F.col("b")).alias("tile")
-    of = lambda n: F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), F.lit(n)).cast("int")
-    a = asked.select("id", "vector", of(blocks).alias("b"), each(groups).alias("g")).select(tile, F.lit(False).alias("is_row"), "id", "vector")
-    b = given.select("id", "vector", of(groups).alias("g"), each(blocks).alias("b")).select(tile, F.lit(True).alias("is_row"), "id", "vector")
-    tiles = a.unionByName(b).repartitionById(blocks * groups, "tile").sortWithinPartitions("tile", "is_row")
-    found = tiles.mapInArrow(_nearest(k, exclude_self), "id long, ref_id long, dist double")
+    n = given.count()
+    m = max(1, min(PIVOTS, n // pivot_rows))
+    found = given.sample(False, min(1.0, 8 * m / max(n, 1)), 7).select("vector").limit(8 * m).collect() or given.select("vector").limit(1).collect()  # bounded
+    if not found:
+        return given.select(F.col("id").alias(id), F.col("id").alias("ref_id"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))  # no rows
+    pivots = np.unique(np.array([r[0] for r in found], float).reshape(len(found), -1), axis=0)
+    pivots = pivots[np.random.default_rng(7).permutation(len(pivots))[:m]]
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _to_points(_matrix(batch.column(1)), shared.value) if len(shared.value) else np.zeros((batch.num_rows, 1))
+            near = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["id", "vector", "pivot", "far"])
+
+    placed = lambda df, name: written(df.mapInArrow(assign, "id long, vector array<double>, pivot int, far double"), name)
+    asked, given = placed(asked, "knn_queries"), placed(given, "knn_rows")
+    place = F.row_number().over(W.partitionBy("pivot").orderBy("far"))
+    near = given.select("pivot", "far").withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("pivot").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"))
+    # a row a pivot each
+    kth = np.full(len(pivots), np.inf)
+    for r in near.collect():
+        kth[r["pivot"]] = r["far"] if r["n"] > k else np.inf
+    cells = {r["pivot"]: (r["far"], r["n"]) for r in asked.groupBy("pivot").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    between = _to_points(pivots, pivots) if len(pivots) else np.zeros((0, 0))
+    slack = 1e-6 * (1 + float(np.abs(pivots).max(initial=0)))
+    groups, tiles, reach, first = max(1, -(-n // group)), 0, {}, {}
+    for c in sorted(cells):
+        far, count = cells[c]
+        bound = far + float((between[c] + kth).min())
+        reach[c], first[c] = (far + bound) * (1 + 1e-9) + slack, (tiles, max(1, -(-count // block)))
+        tiles += first[c][1] * groups
+    plan = spark.sparkContext.broadcast((reach, first))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, first = plan.value
+        for batch in batches:
+            d = _to_points(_matrix(batch.column(1)), shared.value)
+            g = batch.column(2).to_numpy()
+            for c, far in reach.items():
+                rows = np.flatnonzero(d[:, c] <= far)
+                start, blocks = first[c]
+                for b in range(blocks if len(rows) else 0):
+                    tile = start + b * groups + g[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(np.ones(len(rows), bool)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["tile", "is_row", "id", "vector"])
+
+    # groups and blocks are salted by the partition a row comes from, so that repeated rows are spread
+    of = lambda n: F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), n).cast("int")
+    b = given.select("id", "vector", of(F.lit(groups)).alias("g")).mapInArrow(spread, "tile int, is_row boolean, id long, vector array<double>")
+    start, blocks = (F.get(F.lit([first.get(c, (0, 1))[i] for c in range(len(pivots))] or [1]), F.col("pivot")) for i in (0, 1))
+    a = asked.select(start.alias("start"), of(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "vector")
+    a = a.select((F.col("start") + F.col("b") * groups + F.col("g")).cast("int").alias("tile"), F.lit(False).alias("is_row"), "id", "vector")
+    parts = max(1, min(tiles, 64 * spark.sparkContext.defaultParallelism))
+    met = a.unionByName(b).repartitionById(parts, F.pmod("tile", F.lit(parts)).cast("int")).sortWithinPartitions("tile", "is_row")
+    found = met.mapInArrow(_nearest(k, exclude_self), "id long, ref_id long, dist double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("dist", 9), "ref_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumnRenamed("id", id)
 

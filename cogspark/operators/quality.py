@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .shared import broadcast_if_small, running
 
 
 def _rule(df: DataFrame, rule: str, key: Column, value: Column, fail: Column, skip: Column | None = None) -> DataFrame:
@@ -39,10 +40,11 @@ def check_duplicates(rows: DataFrame, allowed=("M01", "M08")) -> DataFrame:
 def ks(rows: DataFrame, value: str, side: Column, by=()) -> DataFrame:
     """(by…, n1, n2, d, p): two-sample Kolmogorov-Smirnov over distinct values, asymptotic p."""
     c = rows.groupBy(*by, F.col(value).alias("x")).agg(F.sum(F.when(side, 1).otherwise(0)).alias("a"), F.sum(F.when(side, 0).otherwise(1)).alias("b"))
-    key = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    c = c.withColumns({"ca": F.sum("a").over(key.orderBy("x")), "cb": F.sum("b").over(key.orderBy("x"))})
-    tot = c.withColumns({"n1": F.sum("a").over(key), "n2": F.sum("b").over(key)})
-    d = tot.groupBy(*by).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))).alias("d"))
+    c = running(c, "x", tuple(by), ca="a", cb="b")
+    # the sums at the largest value are all there is
+    n = c.groupBy(*by).agg(F.max("ca").alias("n1"), F.max("cb").alias("n2"))
+    both = c.join(broadcast_if_small(n), list(by)) if by else c.crossJoin(F.broadcast(n))  # one row without keys
+    d = both.groupBy(*by).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))).alias("d"))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     lam = (en + 0.12 + 0.11 / en) * F.col("d")
     sign = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,16 +33,55 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_
     return F.broadcast(df) if n <= rows and (width or 0) <= size else df
 
 
-def running(cells: DataFrame, order: str, **sums: str) -> DataFrame:
-    """Adds running sums over all rows in one order, name=column; rows that are equal in order count in full for each.
+def _ranges(cells: DataFrame, by: tuple, order: list[str], sums: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in ranges of (by, order), numbered as __part, and for each key that goes on from an earlier range what lies before.
 
-    The order is cut into ranges; their totals, of which there are as many as partitions, are added up first, and each
-    range then goes on from what lies before it. No task sees more than its range.
+    A range can go on with one key only, its first: the second table has at most a row for each partition.
     """
-    cut = written(cells.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "running")
-    total = cut.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    earlier = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    total = total.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = W.partitionBy("__part").orderBy(order)
-    out = cut.join(F.broadcast(total), F.col("__part") == F.col("__p"))  # a row for each partition
-    return out.withColumns({n: F.col(f"__{n}") + F.sum(c).over(inside) for n, c in sums.items()}).select(*cells.columns, *sums)
+    cut = written(cells.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "running")
+    total = cut.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(*(by or (F.lit(0),))).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    total = total.withColumn("__goes_on", F.lag("__part").over(W.partitionBy(*(by or (F.lit(0),))).orderBy("__part"))).withColumns({f"__{n}": F.sum(f"__{n}").over(earlier) for n in sums})
+    return cut, total.filter("__goes_on is not null").select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), *[f"__{n}" for n in sums])
+
+
+def _added(cut: DataFrame, before: DataFrame, by: tuple, own: dict, columns: list[str]) -> DataFrame:
+    """own (a running expression by name) plus what lies before."""
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{i}"))
+    out = cut.join(F.broadcast(before), same, "left")  # at most a row for each partition
+    out = out.withColumns({n: F.coalesce(F.col(f"__{n}"), F.lit(0)) + x for n, x in own.items()})
+    return out.select(*[c for c in columns if c not in own], *own)
+
+
+def running(cells: DataFrame, order: str, by: tuple = (), **sums: str) -> DataFrame:
+    """Adds running sums over all rows, or all of a key, in one order, name=column; rows that are equal in order count in full for each.
+
+    The order is cut into ranges; their totals, of which there are as many as keys and partitions, are added up first,
+    and each range then goes on from what lies before it. No task sees more than its range, however hot a key is.
+    """
+    cut, before = _ranges(cells, tuple(by), [order], sums)
+    inside = W.partitionBy(*by, "__part").orderBy(order)
+    return _added(cut, before, tuple(by), {n: F.sum(c).over(inside) for n, c in sums.items()}, cells.columns)
+
+
+def numbered(rows: DataFrame, by: tuple, order: list[str], name: str = "rank") -> DataFrame:
+    """Adds each row's place from 1 within its key, in order, by ranges as in running(): no task has to hold a key."""
+    at = rows.withColumn(name, F.lit(1).cast("long"))
+    cut, before = _ranges(at, tuple(by), order, {name: name})
+    return _added(cut, before, tuple(by), {name: F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order)).cast("long")}, rows.columns)
+
+
+def changes(columns: list, before: list | None) -> tuple[np.ndarray, list]:
+    """Where a key of several Arrow columns begins in sorted rows, given the last row before them, and the last row."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    for i, c in enumerate(columns):
+        if n > 1:
+            a, b = c.slice(1), c.slice(0, n - 1)
+            differs = pc.fill_null(pc.not_equal(a, b), True)
+            out[1:] |= pc.and_(differs, pc.invert(pc.and_(pc.is_null(a), pc.is_null(b)))).to_numpy(zero_copy_only=False)
+        if before is None or c[0].as_py() != before[i]:
+            out[0] = True
+    return out, [c[n - 1].as_py() for c in columns]

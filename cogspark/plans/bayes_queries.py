@@ -173,9 +173,9 @@ logical("mm_answers", "mm_lines", sql="select key, case min(l_suppkey) % 4 when
     "b_fuse_multimodal",
     "mm_lines",
     "mm_answers",
-    sql="""with a as (select * from mm_answers where not is_correct), c as (select key, label, case when count(*) > 1 then count(*) / 4e0 else 1e0 end w from mm_lines where key in (select key from a) group by 1, 2),
+    sql="""with a as (select * from mm_answers where not is_correct), c0 as (select key, label, case when count(*) > 1 then count(*) / 4e0 end w from mm_lines where key in (select key from a) group by 1, 2), c as (select key, label, coalesce(w, case when count(w) over (partition by key) > 0 then 1e0 / count(*) over (partition by key) else 1e0 end) w from c0),
 k as (select c.key, c.label, w * case when found is null then 1e0 when found = c.label then 3e0 when (c.key, found) in (select key, label from c) then 0.2e0 else 1e0 end w from c join a on a.key = c.key union all select key, found, 2e0 from a where found is not null and (key, found) not in (select key, label from c)),
-u as (select key, label, product(1 + 0.5e0 * strength) m from mm_lines group by 1, 2), q as (select k.key, k.label, w * coalesce(m, 1) / sum(w * coalesce(m, 1)) over (partition by k.key) p from k left join u on u.key = k.key and u.label = k.label),
+u as (select key, label, product(1 + 0.5e0 * case when strength = 0 then 0.7e0 else strength end) m from mm_lines group by 1, 2), q as (select k.key, k.label, w * coalesce(m, 1) / sum(w * coalesce(m, 1)) over (partition by k.key) p from k left join u on u.key = k.key and u.label = k.label),
 r as (select q.*, row_number() over (partition by q.key order by round(p, 12) desc, label)::int "rank" from q), t as (select r.*, hedges, max(case when "rank" = 1 then p end) over (partition by r.key) p1, max(case when "rank" = 2 then p end) over (partition by r.key) p2, needs_probe or coalesce(round(p1 - p2, 12) < 0.15e0, false) amb from r join a on a.key = r.key),
 st as (select key, string_agg(distinct label, '|' order by label) s from c group by 1)
 select t.key, label, round(p, 6) p, "rank", case when amb then 'ambiguous' else 'confident' end status, round(greatest(0.4e0, p1 - least(0.15e0, hedges * 0.08e0)), 6) top_p, case when amb then case when "rank" <= 2 then 0.48e0 end when "rank" = 1 then round(round(p, 12), 2) end shown_p, case when amb then case s when 'M01|M08' then 'T1' when 'M06|M07' then 'T3' end end twin_set from t left join st on st.key = t.key

@@ -39,9 +39,10 @@ def k_belief_product(responses):
     return K.belief_product(responses, chunk=4).select("learner_id", "class", F.round("p_active", 6).alias("p_active"))
 
 
-@query("k_knowledge_trajectory", "responses", sql=_FOLD + " select learner_id, class, ts, seq, kind, round(p0, 6) p_before, round(p, 6) p_after from f")
+@query("k_knowledge_trajectory", "responses", sql=_FOLD + " select learner_id, class, ts, seq, kind, round(round(p0, 12), 6) p_before, round(round(p, 12), 6) p_after from f")
 def k_knowledge_trajectory(responses):
-    return K.knowledge_trajectory(responses).withColumns({c: F.round(c, 6) for c in ("p_before", "p_after")})
+    """Cut to 12 digits first, as products in another order may differ in the last one."""
+    return K.knowledge_trajectory(responses).withColumns({c: F.round(F.round(c, 12), 6) for c in ("p_before", "p_after")})
 
 
 _MASTERY = f"""recursive with {_RATIOS},
@@ -126,10 +127,10 @@ def k_attempt_knowledge(attempts):
     "attempts",
     sql=f"""with {_UPDATES}, v as (select *, coalesce(exposure, 0.5e0) * case kind when 'latent_pass' then 0.5e0 else 1e0 end a from u),
 t as (select learner_id, class, ts, seq, 1 / (1 + exp(-(ln(0.1e0 / 0.9e0) + sum(ln(a / 0.03e0)) over (partition by learner_id, class order by ts, seq)))) p from v)
-select a.attempt_id, t.class, round(max_by(t.p, (t.ts, t.seq)), 6) p from attempts a join t on t.learner_id = a.learner_id and t.ts < a.ts group by 1, 2""",
+select a.attempt_id, t.class, round(round(max_by(t.p, (t.ts, t.seq)), 12), 6) p from attempts a join t on t.learner_id = a.learner_id and t.ts < a.ts group by 1, 2""",
 )
 def j_asof_prior(attempts):
-    return K.asof_prior(attempts, K.knowledge_trajectory(K.attempt_updates(attempts))).withColumn("p", F.round("p", 6))
+    return K.asof_prior(attempts, K.knowledge_trajectory(K.attempt_updates(attempts))).withColumn("p", F.round(F.round("p", 12), 6))
 
 
 @query("k_node_status", "attempts", sql="select learner_id, problem_id node, max_by(case when total > 0 and passed = total then 'done' else 'unstable' end, (ts, attempt_id)) status, max(case when total > 0 and passed = total then 3 else 0 end)::int stars from attempts group by 1, 2")

@@ -67,7 +67,7 @@ def m3_boosted_text(conversations):
     """The role of a turn by boosted trees over its most frequent TF-IDF terms. No SQL: fitted trees."""
     rows = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text").dropDuplicates(["id"])
     wide, columns = G.text_columns(T.tfidf(rows), 64)
-    return _R(_fitted(wide.join(rows.select("id", "role"), "id"), columns, [G.Config(7, 5, 0.5, 3, 0.3)], 4, "role", fold=F.col("id") % 2), "macro_f1_mean", "macro_f1_std", "log_loss_mean")
+    return _R(_fitted(wide.join(rows.select("id", "role"), "id"), columns, [G.Config(7, 5, 0.5, 3, 0.3)], 4, "role", fold=F.pmod(F.floor(F.col("id") / 1000), F.lit(2))), "macro_f1_mean", "macro_f1_std", "log_loss_mean")
 
 
 _CONFIG = """w as (select vec_id id, cast(vec_id % 4 as int) fold, concat('c', label) truth, list_transform(embedding[1:10], lambda x: x::double) v from embeddings),

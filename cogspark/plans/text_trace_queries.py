@@ -9,7 +9,7 @@ from .registry import logical, query
 _R = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 logical("sentences", "conversations", sql="select conv_id * 1000 + turn id, role label, text, concat('c_', cast(conv_id % 8 as varchar(9))) context_id from {conversations}")
 logical("lines", "lineitem", sql="select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) rn from {lineitem}")
-logical("per_test", "lines", sql="select l_orderkey attempt_id, rn test, case when l_returnflag = 'R' then 'crash' when l_returnflag = 'A' then 'timeout' else 'ok' end status, l_returnflag = 'N' passed, cast(l_quantity as int) % 5 iterations, l_partkey % 3 line, round(l_extendedprice / 1000, 0) got, round(l_extendedprice / 1000 + (l_suppkey % 3) - 1, 0) want, l_suppkey from {lines}")
+logical("per_test", "lines", sql="select l_orderkey attempt_id, concat('P', cast(l_orderkey % 3 as varchar(9))) problem_id, rn test, case when l_returnflag = 'R' then 'crash' when l_returnflag = 'A' then 'timeout' else 'ok' end status, l_returnflag = 'N' passed, cast(l_quantity as int) % 5 iterations, l_partkey % 3 line, round(l_extendedprice / 1000, 0) got, round(l_extendedprice / 1000 + (l_suppkey % 3) - 1, 0) want, l_suppkey from {lines}")
 logical("test_events", "lines", sql="select l_orderkey attempt_id, rn test, l_suppkey % 7 ord, case l_partkey % 4 when 0 then 'step_cap' when 1 then 'uninit_read' when 2 then 'oob_eq_n' else 'empty_body' end type, cast(l_quantity as int) line from {lines}")
 logical("steps", "lines", sql="select l_orderkey attempt_id, 1 test, cast(rn as bigint) i, cast(l_quantity as int) % 6 line, cast(1 + l_partkey % 3 as int) depth, l_suppkey % 5 arg, l_partkey % 4 cell, l_suppkey % 3 value from {lines}")
 
@@ -109,20 +109,22 @@ def j_cross_bank_leaks(documents):
 
 
 # traces
-_REF = "rf as (select test, min(iterations) r from per_test group by 1)"
+_REF = "rf as (select problem_id, test, max(iterations) r from per_test group by 1, 2)"
+_KINDS = ", ".join(f"max((type = '{k}')::int) flag_{k}, min_by(line, (test, ord)) filter (type = '{k}') line_{k}" for k in R.EVENTS)
 
 
-@query("r_trace_features", "per_test", "test_events", sql=f"""with {_REF}, a as (select attempt_id, count(*) tests, avg(passed::int) pf, max((status = 'crash')::int) c, max((status = 'timeout')::int) t, avg(iterations - r) md, min((iterations - r = 1)::int) p1, min((iterations - r = -1)::int) m1, avg((iterations < r)::int) es from per_test join rf using (test) group by 1),
-e as (select attempt_id, max((type = 'step_cap')::int) f1, max((type = 'oob_eq_n')::int) f2, min_by(line, (test, ord)) filter (type = 'step_cap') l1, min_by(line, (test, ord)) filter (type = 'oob_eq_n') l2 from test_events group by 1)
-select attempt_id, tests, round(pf, 6) pass_fraction, c any_crash, t any_timeout, f1 flag_step_cap, l1 line_step_cap, f2 flag_oob_eq_n, l2 line_oob_eq_n, round(md, 6) mean_delta, p1 always_plus_one, m1 always_minus_one, round(es, 6) early_share from a join e using (attempt_id)""")
+@query("r_trace_features", "per_test", "test_events", sql=f"""with {_REF}, a as (select attempt_id, count(*) tests, avg(passed::int) pf, max((status = 'crash')::int) c, max((status = 'timeout')::int) t, avg(iterations - r) md, min((iterations - r = 1)::int) p1, min((iterations - r = -1)::int) m1, avg((status = 'ok' and iterations = 1)::int) filter (r >= 2) es from per_test join rf using (problem_id, test) group by 1),
+e as (select attempt_id, {_KINDS} from test_events group by 1)
+select tests, round(pf, 6) pass_fraction, c any_crash, t any_timeout, e.*, round(md, 6) mean_delta, p1 always_plus_one, m1 always_minus_one, round(coalesce(es, 0), 6) early_share from a join e using (attempt_id)""")
 def r_trace_features(per_test, test_events):
-    ref = per_test.groupBy("test").agg(F.min("iterations").alias("iterations"))
-    return _R(R.trace_features(per_test, test_events, ref, ["step_cap", "oob_eq_n"]), "pass_fraction", "mean_delta", "early_share")
+    """All kinds of events; the reference ran as long as the longest run of its problem and test."""
+    ref = per_test.groupBy("problem_id", "test").agg(F.max("iterations").alias("iterations"))
+    return _R(R.trace_features(per_test, test_events, ref, R.EVENTS), "pass_fraction", "mean_delta", "early_share")
 
 
-@query("r_branch_features", "per_test", sql="with s as (select attempt_id, line, sum(passed::int) t, sum((not passed)::int) f from per_test group by 1, 2), v as (select count(*) > 0 v from (select line from per_test group by 1 having sum(passed::int) > 0 and sum((not passed)::int) > 0)) select attempt_id, max((v and f = 0 and t >= 2)::int) always, max((v and t = 0 and f >= 2)::int) never, min(line) filter (v and f = 0 and t >= 2) always_line, min(line) filter (v and t = 0 and f >= 2) never_line from s, v group by 1")
+@query("r_branch_features", "per_test", sql="with s as (select attempt_id, problem_id, line, sum(passed::int) t, sum((not passed)::int) f, min(test) o from per_test group by 1, 2, 3), v as (select problem_id, max((t > 0 and f > 0)::int) = 1 v from (select problem_id, line, sum(passed::int) t, sum((not passed)::int) f from per_test group by 1, 2) group by 1) select attempt_id, max((v and f = 0 and t >= 2)::int) always, max((v and t = 0 and f >= 2)::int) never, min_by(line, (o, line)) filter (v and f = 0 and t >= 2) always_line, min_by(line, (o, line)) filter (v and t = 0 and f >= 2) never_line from s join v using (problem_id) group by 1")
 def r_branch_features(per_test):
-    rows = per_test.select("attempt_id", "line", F.col("passed").cast("int").alias("t"), (~F.col("passed")).cast("int").alias("f"))
+    rows = per_test.select("attempt_id", "problem_id", "line", F.col("test").alias("ord"), F.col("passed").cast("int").alias("t"), (~F.col("passed")).cast("int").alias("f"))
     return R.branch_features(rows, rows)
 
 
@@ -180,7 +182,7 @@ def w_final_memory(steps):
     return R.final_memory(steps).drop("test")
 
 
-@query("r_array_features", "steps", sql="with a as (select attempt_id id, list(arg order by i) b, list(case when attempt_id % 2 = 0 then value else arg end order by i) a from steps group by 1) select id, list_sort(a) = list_sort(b) same_multiset, round(case when len(a) > 1 then list_sum(list_transform(range(1, len(a)), lambda k: (a[k] <= a[k + 1])::int)) / (len(a) - 1) else 1 end, 6) sorted_fraction from a")
+@query("r_array_features", "steps", sql="with a as (select attempt_id id, list(arg order by i) b, list(case when attempt_id % 2 = 0 then value else arg end order by i) a from steps group by 1) select id, list_sort(a) = list_sort(b) same_multiset, round(case when len(a) > 1 then list_sum(list_transform(range(1, len(a)), lambda k: (a[k] <= a[k + 1])::int)) / (len(a) - 1) end, 6) sorted_fraction from a")
 def r_array_features(steps):
     s = steps.groupBy(F.col("attempt_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("i", "arg", "value"))).alias("h"))
     pick = lambda f: F.transform("h", lambda x: x[f])
@@ -192,6 +194,31 @@ def r_timeline_rows(steps):
     return R.timeline_rows(steps).select("attempt_id", "i", "line", "depth")
 
 
+_TIMELINE = """s as (select attempt_id, concat('P', attempt_id % 5) problem_id, i, line, sum((line < 2)::int) over (partition by attempt_id order by i) pass, arg a, value v, case cell when 0 then [] when 1 then ['ret:1'] when 2 then ['compare:x', 'call:f:1'] else ['read_void:p'] end::varchar[] effects, depth = 3 uninit from steps),
+z as (select problem_id, min(attempt_id) ref from s group by 1), m as (select *, dense_rank() over (partition by attempt_id order by pass) - 1 k, row_number() over (partition by attempt_id, pass order by i desc) = 1 is_last from s),
+init as (select attempt_id, 'a' var, min_by(a, i) x from m where k = 0 group by 1 having min(a) <> max(a) union all select attempt_id, 'v', min_by(v, i) from m where k = 0 group by 1 having min(v) <> max(v)),
+e as (select attempt_id, k, lag(a) over w pa, lag(v) over w pv from m where is_last window w as (partition by attempt_id order by k)),
+h as (select m.attempt_id, m.k, min_by(var, (i, var)) var, min(i) i from m join e on e.attempt_id = m.attempt_id and e.k = m.k join init t on t.attempt_id = m.attempt_id where m.k > 0 and case var when 'a' then a = x and pa <> x else v = x and pv <> x end group by 1, 2),
+rv as (select distinct problem_id, var from h join z on ref = attempt_id), n as (select attempt_id, max(k) + 1 n from m group by 1),
+p as (select m.attempt_id, problem_id, m.k, max((effects = ['read_void:p'])::int) void, max(uninit::int) st, min(m.i) filter (uninit or effects = ['read_void:p']) fi, max(m.i) li, max(h.i) hi, bool_or(h.var is not null and (problem_id, h.var) not in (select (problem_id, var) from rv)) reset, bool_or(is_last and effects = ['ret:1']) ret from m left join h on h.attempt_id = m.attempt_id and h.k = m.k group by 1, 2, 3),
+c as (select p.*, n.n, r.n rn, coalesce(fi, case when reset then hi end, li) ci, case when void = 1 then 'void_read' when st = 1 then 'static' when reset then 'reset' when ret and k + 1 = n.n and n.n < r.n then 'early_return' when k >= r.n then 'extra' end flag from p join n on n.attempt_id = p.attempt_id join z using (problem_id) join n r on r.attempt_id = z.ref),
+o as (select c.attempt_id, c.k, c.ci step, x.line, x.a, x.v, flag, case when x.effects[1] is not null then case x.effects[1] when 'compare:x' then 'compare:x' else x.effects[1] end else (select min_by(y.effects[1], (case y.effects[1] when 'read_void:p' then 0 when 'compare:x' then 2 else 5 end, y.i)) from m y where y.attempt_id = c.attempt_id and y.k = c.k and len(y.effects) > 0) end effect from c join m x on x.attempt_id = c.attempt_id and x.i = c.ci),
+b as (select attempt_id, max_by(step, k) base from o group by 1),
+w as (select o.* from o union all select c.attempt_id, y.k, b.base + y.k - c.n + 1, y.line, y.a, y.v, 'missing', y.effects[1] from (select distinct attempt_id, problem_id, n, rn from c) c join z using (problem_id) join m y on y.attempt_id = z.ref and y.is_last and y.k >= c.n join b on b.attempt_id = c.attempt_id),
+q as (select *, row_number() over (partition by attempt_id order by k) r, count(*) over (partition by attempt_id) t from w)"""
+
+
+@query("r_timeline", "steps", sql=f"with {_TIMELINE} select attempt_id, k, step, line, a || '/' || v vars, effect, flag from q where t <= 12 or r <= 10 or r > t - 2")
+def r_timeline(steps):
+    """Passes of each run beside those of the first run of its problem."""
+    k = F.col("cell")
+    effects = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("ret:1"))).when(k == 2, F.array(F.lit("compare:x"), F.lit("call:f:1"))).otherwise(F.array(F.lit("read_void:p")))
+    rows = R.segment_passes(steps, F.col("line") < 2, ("attempt_id",)).select("attempt_id", F.concat(F.lit("P"), F.col("attempt_id") % 5).alias("problem_id"), "test", "i", "line", "pass", F.create_map(F.lit("a"), F.col("arg").cast("string"), F.lit("v"), F.col("value").cast("string")).alias("vars"), effects.alias("effects"), F.when(F.col("depth") == 3, F.array(F.lit("uninit_read"))).alias("events"))
+    first = rows.groupBy("problem_id").agg(F.min("attempt_id").alias("attempt_id"))
+    reference = rows.join(first, ["problem_id", "attempt_id"], "left_semi").drop("attempt_id")
+    return R.timeline(rows, reference).select("attempt_id", "k", "step", "line", F.concat_ws("/", F.col("vars")["a"], F.col("vars")["v"]).alias("vars"), "effect", "flag")
+
+
 @query("r_trace_summary", "test_events", "per_test", sql="with f as (select attempt_id, type, min((test, ord)) m from test_events group by 1, 2), e as (select attempt_id, string_agg(type, ',' order by m, type) events from f group by 1), s as (select attempt_id, max_by(status, case status when 'crash' then 2 when 'timeout' then 1 else 0 end) status from per_test group by 1) select s.attempt_id, status, events from s join e using (attempt_id)")
 def r_trace_summary(test_events, per_test):
     return R.trace_summary(test_events, per_test)
@@ -230,10 +257,14 @@ def r_call_table(steps):
     return out.select("attempt_id", F.array_join(F.transform("rows", show), " ").alias("rows"), "more")
 
 
-@query("r_recursion_features", "steps", sql=f"with {_FR} select attempt_id, round(max(depth) / 2e0, 6) depth_ratio, coalesce(bool_or(pa = arg) filter (parent is not null), false) arg_constant, count(parent) >= 2 and coalesce(bool_and(arg > pa) filter (parent is not null), false) arg_growing, bool_or(not deeper and returned) base_return from g group by 1")
+@query("r_recursion_features", "steps", sql="""with f as (select a.attempt_id, a.i, a.depth, a.arg, a.line % 2 fn, a.value > 0 returned, max(b.i) up, max_by(b.arg, b.i) pa, max_by(b.line % 2, b.i) pf from steps a left join steps b on b.attempt_id = a.attempt_id and b.i < a.i and b.depth = a.depth - 1 group by all),
+h as (select *, case when pf = fn then up end parent from f), g as (select h.*, (attempt_id, i) in (select (attempt_id, parent) from h where parent is not null) deeper from h)
+select attempt_id, round(max(depth) / 2e0, 6) depth_ratio, coalesce(bool_or(pa = arg) filter (parent is not null), false) arg_constant, count(parent) >= 2 and coalesce(bool_and(arg > pa) filter (parent is not null), false) arg_growing, bool_or(not deeper and returned) or (attempt_id % 2 = 0 and not bool_or(returned)) base_return from g group by 1""")
 def r_recursion_features(steps):
+    """Two functions; every second run came to its end."""
     ref = steps.select("test").distinct().withColumn("depth", F.lit(2))
-    return _R(R.recursion_features(_frames(steps), ref).drop("test"), "depth_ratio")
+    frames = _frames(steps).withColumns({"fn": F.col("line") % 2, "ok": F.col("attempt_id") % 2 == 0})
+    return _R(R.recursion_features(frames, ref).drop("test"), "depth_ratio")
 
 
 @query("r_body_once", "steps", sql="with l as (select attempt_id, line, count(*) n from steps where line <> 0 group by 1, 2) select attempt_id, max(n) <= 1 body_once from l group by 1")
