@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,3 +152,36 @@ def same_answer(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
 def bucket(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *keys, F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in the longest matching blocks, found recursively left and right of the longest, by the length of both texts."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def is_close(a: Column, b: Column, limit: float = C.TOO_CLOSE) -> Column:
+    """Whether matching_ratio is above the limit; bounds by length and by letters are tried first."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            m = SequenceMatcher(None, x, y)
+            return m.real_quick_ratio() > limit and m.quick_ratio() > limit and m.ratio() > limit
+
+        return pd.Series([x is not None and y is not None and one(x, y) for x, y in zip(a, b)], dtype="bool")
+
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    near = 2 * shorter > limit * (shorter + longer)
+    return F.when((longer == 0) | near, close(a, b)).otherwise(False)
+
+
+def flat(code: Column) -> Column:
+    """A program with each run of white space as one space, none at its ends."""
+    return F.trim(F.regexp_replace(code, r"\s+", " "))

@@ -144,3 +144,6 @@ RULES = {
 # fixed values: kinds of effects in the order in which they tell most, rows of a timeline up to which missing passes follow
 EFFECT_ORDER = ["read_void", "write_cell", "compare", "read_cell", "call", "ret"]
 TIMELINE_MOST = 60
+#: Items of each kind that a bank has for each class, and how alike two programs of a class may be.
+WANTED = {"predict_output": 2, "mcq": 2, "next_state": 1, "reasoning": 1}
+TOO_CLOSE = 0.8

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .evaluate import macro_f1, soft_truth
+from .evaluate import auroc_interval, macro_f1, soft_truth
 from .shared import written
 
 #: A gradient's unit, numbers of a task's histograms, rounds between two tables of margins, rows taken at once.
@@ -68,6 +68,7 @@ class Ensemble:
     base: np.ndarray
     trees: list[list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=list)
     losses: list[list[float]] = field(default_factory=list)
+    gains: list[np.ndarray] = field(default_factory=list)
 
     def best(self, run: int) -> int:
         """Rounds that the early-stopping rows are best with; all without such rows."""
@@ -267,12 +268,12 @@ def _pass(binned: Binned, rows: DataFrame, state, d: int, level: int, seed: int)
     return {r["key"]: tuple(r)[1:] for r in found}
 
 
-def _wave(binned: Binned, runs: list, rounds: int, patience: int | None, seed: int, base: np.ndarray) -> tuple[list, list]:
-    """(trees by run, losses by run) of some runs."""
+def _wave(binned: Binned, runs: list, rounds: int, patience: int | None, seed: int, base: np.ndarray) -> tuple[list, list, list]:
+    """(trees by run, losses by run, gains by run and feature) of some runs."""
     spark, d, K = binned.rows.sparkSession, len(binned.features), len(binned.labels)
     start = base.tobytes()
     rows = binned.rows.withColumn("m", F.lit(bytearray(start)))
-    trees, losses = [[] for _ in runs], [[] for _ in runs]
+    trees, losses, gains = [[] for _ in runs], [[] for _ in runs], [np.zeros(d) for _ in runs]
     live, since = set(range(len(runs))), []
     for nth in range(rounds + 1):
         if not live:
@@ -295,7 +296,7 @@ def _wave(binned: Binned, runs: list, rounds: int, patience: int | None, seed: i
                             live.discard(r)
                             growing[r] = None
                 if nth == rounds or not live:
-                    return trees, losses
+                    return trees, losses, gains
             width, again = 2**level, False
             for r in live:
                 config = runs[r][0]
@@ -313,6 +314,7 @@ def _wave(binned: Binned, runs: list, rounds: int, patience: int | None, seed: i
                         if gain <= 1e-9 or leaves[r, k] >= config.leaves:
                             continue
                         leaves[r, k] += 1
+                        gains[r][f] += gain
                         tree[0][at], tree[1][at] = f, b
                         tree[3][2 * at + 1], tree[3][2 * at + 2] = -config.rate * lg / (lh + config.l2 * UNIT), -config.rate * rg / (rh + config.l2 * UNIT)
                         nxt[2 * node], nxt[2 * node + 1] = True, True
@@ -325,7 +327,7 @@ def _wave(binned: Binned, runs: list, rounds: int, patience: int | None, seed: i
             trees[r].append(since[-1][r])
         if len(since) == KEEP_EVERY:
             rows, since = written(_margins(rows, runs, since, d, K), "margins"), []
-    return trees, losses
+    return trees, losses, gains
 
 
 def _margins(rows: DataFrame, runs: list, since: list, d: int, K: int) -> DataFrame:
@@ -363,9 +365,10 @@ def boost(binned: Binned, configs: list[Config], folds: list[int | None] | None
     width = max(c.depth for c in configs)
     at_once = max(1, CELLS // max(1, len(binned.labels) * 2 ** (width - 1) * len(binned.features) * 3 * binned.bins))
     for lo in range(0, len(runs), at_once):
-        trees, losses = _wave(binned, runs[lo : lo + at_once], rounds, patience, seed, base[lo : lo + at_once])
+        trees, losses, gains = _wave(binned, runs[lo : lo + at_once], rounds, patience, seed, base[lo : lo + at_once])
         out.trees += trees
         out.losses += losses
+        out.gains += gains
     return out
 
 
@@ -445,10 +448,37 @@ def cross_validate(binned: Binned, configs: list[Config], truths: DataFrame, rou
             one = boost(whole, [c], [f], max(1, model.best(i)), None, seed)
             again.trees += one.trees
             again.losses += one.losses
+            again.gains += one.gains
         model = again
     return model, config_scores(written(out_of_fold(binned, model), "oof"), truths)
 
 
+def check_shift(rows: DataFrame, features: list[str], side: str, group: str, id: str = "id", folds: int = 5, rounds: int = 100, config: Config = Config(min_rows=5), limit: float = C.SHIFT_AUC, top: int = 5, reps: int = 200) -> DataFrame:
+    """Q8: (rule_id, status, key, value): how well boosted trees tell two corpora (side 0 or 1) apart out of fold.
+
+    Folds keep groups together. Rows: auroc, which fails above the limit, lo and hi from drawing whole groups again
+    (null where too few draws have both sides), and the `top` features by their share of the splits' gains over all
+    folds. With fewer than two groups on a side there is one row, SKIP.
+    """
+    rows = rows.filter(F.col(side).isNotNull())
+    groups = rows.groupBy(side).agg(F.countDistinct(group).alias("n")).collect()  # two rows
+    schema = "rule_id string, status string, key string, value double"
+    if len(groups) < 2 or min(r["n"] for r in groups) < 2:
+        return rows.sparkSession.createDataFrame([("Q8", "SKIP", "auroc", None)], schema)
+    fold = F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(min(folds, *(r["n"] for r in groups))))
+    named = rows.withColumn("__side", F.when(F.col(side) == 1, "b").otherwise("a"))
+    binned = bin_rows(named, features, quantile_edges(named, features), "__side", id, fold)
+    model = boost(binned, [config], None, rounds, None)
+    p = out_of_fold(binned, model).filter("label = 'b'").select("id", "p")
+    scored = written(p.join(named.select(F.col(id).cast("long").alias("id"), F.col(side).cast("int").alias("y"), F.col(group).cast("string").alias("g")), "id"), "shift")
+    auc = auroc_interval(scored, "g", "p", "y", reps).first()
+    gain = np.sum(model.gains, axis=0)
+    order = [f for f in np.argsort(-gain, kind="stable")[:top] if gain[f] > 0]
+    status = "FAIL" if auc["estimate"] is not None and auc["estimate"] > limit else "PASS"
+    out = [("Q8", status, "auroc", auc["estimate"]), ("Q8", status, "lo", auc["lo"]), ("Q8", status, "hi", auc["hi"])]
+    return rows.sparkSession.createDataFrame([*out, *(("Q8", status, f"gain:{features[f]}", float(gain[f] / gain.sum())) for f in order)], schema)
+
+
 def text_columns(weights: DataFrame, terms: int = 256) -> tuple[DataFrame, list[str]]:
     """M3: (id, t0, t1, …) of TF-IDF weights (id, term, weight): a column for each of the terms most texts have, 0 where absent."""
     top = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(terms)  # `terms` rows

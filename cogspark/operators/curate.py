@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import bucket, components_of, fingerprint
-from .shared import broadcast_if_small, numbered
+from ..functions.columns import bucket, components_of, fingerprint, flat, is_close
+from .shared import broadcast_if_small, numbered, written
 
 
 #: Up to so many rows of a key Spark's window keeps the first ones of each task (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -204,6 +204,43 @@ def compose_bank(candidates: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return candidates.withColumn("rank", rank).filter(F.col("collision") | (F.col("rank") <= quota)).drop("rank")
 
 
+def choose_bank(candidates: DataFrame, wanted: dict[str, int] = C.WANTED, taken: DataFrame | None = None, limit: float = C.TOO_CLOSE) -> DataFrame:
+    """(item_id, class, kind, slot): the items of a bank, no two of a class too close to each other.
+
+    candidates: (item_id, class, type, code, collision, has_options, in_problem); taken: (code) used before. Programs
+    that equal an earlier one but for white space, or a taken one, and those of problems are left out. All collision
+    items of the first two kinds are in (slot 0). Then each class fills its kinds in order, in order of item_id, leaving
+    out what is more than `limit` alike to one of its own items; reasoning items are predict_output items without
+    need of options. The slots are few; each is one pass over what is left, in which all classes choose at once.
+    """
+    rows = candidates.filter(~F.coalesce("in_problem", F.lit(False))).withColumn("__flat", flat(F.col("code")))
+    rows = rows.join(rows.groupBy("__flat").agg(F.min("item_id").alias("__first")), "__flat").filter(F.col("item_id") == F.col("__first")).drop("__first")
+    if taken is not None:
+        rows = rows.join(taken.select(flat(F.col("code")).alias("__flat")).distinct(), "__flat", "left_anti")
+    rows = rows.select("item_id", "class", "type", F.col("__flat").alias("code"), F.coalesce("collision", F.lit(False)).alias("collision"), F.coalesce("has_options", F.lit(False)).alias("has_options"))
+    picked = rows.filter(F.col("collision") & F.col("type").isin(*list(wanted)[:2])).select("item_id", "class", F.col("type").alias("kind"), F.lit(0).alias("slot"))
+    left, slot = written(rows.filter(~F.col("collision")), "bank"), 0
+    for kind, n in wanted.items():
+        of = F.col("type") == ("predict_output" if kind == "reasoning" else kind)
+        fits = of if kind == "reasoning" else of & F.col("has_options")
+        for _ in range(n):
+            slot += 1
+            new = written(left.filter(fits).groupBy("class").agg(F.min_by(F.struct("item_id", "code"), "item_id").alias("n")).select("class", "n.item_id", "n.code"), "chosen")
+            picked = picked.unionByName(new.select("item_id", "class", F.lit(kind).alias("kind"), F.lit(slot).alias("slot")))
+            if slot == sum(wanted.values()):
+                break
+            beside = left.join(F.broadcast(new.select("class", F.col("item_id").alias("__id"), F.col("code").alias("__code"))), "class", "left")  # a row a class
+            left = written(beside.filter(F.col("__id").isNull() | (F.col("item_id") != F.col("__id")) & ~is_close(F.col("code"), F.col("__code"), limit)).drop("__id", "__code"), "bank")
+    return picked
+
+
+def bank_gaps(picked: DataFrame, classes: list[str], wanted: dict[str, int] = C.WANTED) -> DataFrame:
+    """(class, kind, got, wanted) of the kinds that a class has too few items of; collision items do not count."""
+    want = picked.sparkSession.createDataFrame([(c, k, n) for c in classes for k, n in wanted.items()], "class string, kind string, wanted int")
+    got = picked.filter("slot > 0").groupBy("class", "kind").agg(F.count(F.lit(1)).cast("int").alias("got"))
+    return want.join(got, ["class", "kind"], "left").fillna(0, ["got"]).filter("got < wanted").select("class", "kind", "got", "wanted")
+
+
 def adjudicate(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Labels overridden by hash; old_label and reason are kept. overrides: (hash, new_label, reason)."""
     out = rows.join(overrides, "hash", "left")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as L
+from ..functions import constants as C
 from ..functions.columns import jaccard, token_set
 from ..operators import curate as D
 from .registry import query
@@ -231,3 +233,29 @@ def j3_leak_free_held(corpus):
 @query("a3_effective_n", "corpus", sql="select count(*) n_rows, count(distinct md5(code)) n_hashes, count(distinct (problem_id, op_id)) filter (problem_id is not null and op_id is not null) n_cells from corpus")
 def a3_effective_n(corpus):
     return D.effective_n(corpus.withColumn("hash", F.md5("code")))
+
+
+def _bank(part):
+    """Parts as items: their names are the programs, a seventh has two classes."""
+    k = F.col("p_partkey")
+    cls = F.element_at(F.lit(C.MISCONCEPTIONS), (1 + F.length("p_type") % 5).cast("int"))
+    kind = F.when(F.col("p_size") % 4 == 0, "mcq").when(F.col("p_size") % 4 == 1, "next_state").otherwise("predict_output")
+    return part.select(k.alias("item_id"), cls.alias("class"), kind.alias("type"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("code"), (k % 7 == 0).alias("collision"), (k % 5 != 0).alias("has_options"), (k % 11 == 0).alias("in_problem"))
+
+
+@query("d16_choose_bank", "part")
+def d16_choose_bank(part):
+    """No SQL: which items are too close depends on those chosen before. The tests hold it against a plain loop."""
+    return D.choose_bank(_bank(part))
+
+
+@query("d16_bank_gaps", "part")
+def d16_bank_gaps(part):
+    return D.bank_gaps(D.choose_bank(_bank(part)), C.MISCONCEPTIONS)
+
+
+@query("f_matching_ratio", "part")
+def f_matching_ratio(part):
+    """How alike a part's name and type are, and whether they are too close. No SQL: blocks are matched recursively."""
+    a, b = F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name")
+    return part.select("p_partkey", F.round(L.matching_ratio(a, b), 6).alias("ratio"), L.is_close(a, b).alias("close"))

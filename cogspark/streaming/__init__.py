@@ -59,7 +59,7 @@ def _reassess(cls: str, s: dict, e) -> dict:
     if (kind in PROBATION_KINDS or done or start) and s["state"] in ("ACTIVE", "RELAPSED"):
         s["state"] = "TREATING"
     if not attempt and not start and s["state"] == "TREATING":
-        s.update(p=s["p"] * (1 - C.LEARN_RATE), state="PROBATION", trap=False, transfer=False, asked=[])
+        s.update(p=s["p"] * (1 - C.LEARN_RATE), state="PROBATION", trap=False, transfer=False)
     if done or start:
         return s
     if kind == "ghost" and s["state"] in ("STABLE", "MASTERED"):
@@ -74,9 +74,8 @@ def _reassess(cls: str, s: dict, e) -> dict:
     s["transfer"] = s["transfer"] or (kind == "transfer_code" and correct and counts)
     if attempt and s["family"] is None and s["state"] in ("UNSEEN", "ACTIVE"):
         s["family"] = family
-    if not attempt and e.item_id not in s["asked"]:
-        s["asked"] = [*s["asked"], e.item_id]
-    exam = kind in ("exam_code", "exam_trace")
+    exam = kind in ("exam_code", "exam_trace") or bool(e.exam)
+    attempt = attempt and not exam  # in an exam they are judged as its other answers are
     ghost_failed = not correct and (kind == "ghost" or (exam and exposure >= C.EXAM_MIN_EXPOSURE))
     mastered = s["p"] < C.MASTERED_P and correct and (kind == "ghost" or (exam and exposure >= C.EXAM_MASTERY_EXPOSURE))
     state, p = s["state"], s["p"]
@@ -91,24 +90,23 @@ def _reassess(cls: str, s: dict, e) -> dict:
     return s
 
 
-_ENTRY = "p double, state string, seen long, trap boolean, transfer boolean, family string, asked array<string>"
+_ENTRY = "p double, state string, seen long, trap boolean, transfer boolean, family string"
 _LOG = "learner_id long, class string, ts timestamp, seq long, p_before double, p_after double, state_before string, state_after string, times_seen long, trap_passed boolean, transfer_passed boolean"
 
 
 def stream_states(events: DataFrame, watermark: str = "1 hour", prior: float = C.POPULATION_PRIOR) -> DataFrame:
     """The update log of knowledge with the mastery states: P, state and checklist before and after each event.
 
-    Kept for each learner and class: P, state, times seen, trap and transfer passed, the family it was found in, items
-    asked. Repeated seq within the watermark count once; order and late events as in stream_knowledge.
+    Kept for each learner and class: P, state, times seen, trap and transfer passed, the family it was found in; events
+    may have exam, as in mastery_fold. Repeated seq within the watermark count once; order and late events as in stream_knowledge.
     """
     rows = route_events(timed(events, watermark)).dropDuplicatesWithinWatermark(["learner_id", "seq"])
-    for name, kind in (("levels", "int"), ("exposure", "double"), ("family", "string"), ("item_id", "string")):
+    for name, kind in (("levels", "int"), ("exposure", "double"), ("family", "string"), ("exam", "boolean")):
         rows = rows.withColumn(name, F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind))
     names = [c.split()[0] for c in _ENTRY.split(", ")]
 
     def step(key, batches, state: GroupState):
-        s = dict(zip(names, state.get)) if state.exists else {"p": prior, "state": "UNSEEN", "seen": 0, "trap": False, "transfer": False, "family": None, "asked": []}
-        s["asked"] = list(s["asked"])
+        s = dict(zip(names, state.get)) if state.exists else {"p": prior, "state": "UNSEEN", "seen": 0, "trap": False, "transfer": False, "family": None}
         out = []
         for e in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
             new = _reassess(key[1], s, e)
@@ -117,7 +115,7 @@ def stream_states(events: DataFrame, watermark: str = "1 hour", prior: float = C
         state.update(tuple(s[n] for n in names))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _LOG.split(", ")])
 
-    narrow = rows.select("learner_id", "class", "ts", "seq", "kind", "resolved", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("correct", F.lit(False)).alias("correct"), "exposure", "family", "item_id", "if_active", "if_not")
+    narrow = rows.select("learner_id", "class", "ts", "seq", "kind", "resolved", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("correct", F.lit(False)).alias("correct"), "exposure", "family", F.coalesce("exam", F.lit(False)).alias("exam"), "if_active", "if_not")
     return narrow.groupBy("learner_id", "class").applyInPandasWithState(step, _LOG, _ENTRY, "append", GroupStateTimeout.NoTimeout)
 
 
