@@ -152,7 +152,7 @@ def _few_of_equal(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray
 def _nearest(k: int, exclude_self: bool):
     """Rows (tile, is_row, id, vector), a tile's queries before its rows, to the k nearest rows of each query and tile."""
 
-    def first(who, near, ids):
+    def first_k(who, near, ids):
         """Of each query the k first by distance (nine digits) and id."""
         order = np.lexsort((ids, np.round(near, 9), who))
         who, near, ids = who[order], near[order], ids[order]
@@ -162,21 +162,35 @@ def _nearest(k: int, exclude_self: bool):
 
     def merge(q, q_ids, best, ref_ids, ref):
         ref_ids, ref = _few_of_equal(ref_ids, ref, k + 1)
+        # squared distance of each query's k-th row so far
+        held = np.full(len(q), np.inf)
+        full = np.bincount(best[0], minlength=len(q)) >= k
+        held[full] = best[1][np.flatnonzero(np.diff(best[0], append=-1))[full[np.unique(best[0])]]] ** 2 if full.any() else held[full]
+        parts, length = [best], (ref**2).sum(1)
         step = max(1, CHUNK_CELLS // len(ref_ids))
-        parts = [best]
         for lo in range(0, len(q), step):
-            some = q[lo : lo + step]
-            square = (some**2).sum(1)[:, None] + (ref**2).sum(1) - 2 * some @ ref.T
+            some, own = q[lo : lo + step], (q[lo : lo + step] ** 2).sum(1)
+            square = (-2 * some) @ ref.T
+            square += length
             if exclude_self:
-                square[q_ids[lo : lo + step, None] == ref_ids[None, :]] = np.inf
-            at = min(k, len(ref_ids)) - 1
+                order = np.argsort(ref_ids, kind="stable")
+                first, last = (np.searchsorted(ref_ids[order], q_ids[lo : lo + step], side=x) for x in ("left", "right"))
+                for i in np.flatnonzero(last > first):
+                    square[i, order[first[i] : last[i]]] = np.inf
+            reach = held[lo : lo + step].copy()
+            new = np.flatnonzero(~np.isfinite(reach))
+            if len(new):
+                at = min(k, len(ref_ids)) - 1
+                reach[new] = np.partition(square[new], at, 1)[:, at] + own[new]
             # all that may be as near as the k-th, rounding included
-            reach = np.partition(square, at, 1)[:, at] + 1e-9 * (1 + (some**2).sum(1) + (ref**2).sum(1).max())
-            who, which = np.nonzero((square <= reach[:, None]) & np.isfinite(square))
+            reach += 1e-9 * (1 + own + length.max()) - own
+            who, which = np.nonzero(square <= reach[:, None])
+            some_there = np.isfinite(square[who, which])
+            who, which = who[some_there], which[some_there]
             for cut in range(0, len(who), 1 << 16):
                 w, r = who[cut : cut + (1 << 16)], which[cut : cut + (1 << 16)]
                 parts.append((w + lo, np.sqrt(((some[w] - ref[r]) ** 2).sum(1)), ref_ids[r]))
-        return first(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        return first_k(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -224,10 +238,10 @@ def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vec
 
     Pivots, a bounded sample of reference rows, cut the space into cells. A cell's queries find k rows no farther than
     their distance to the pivot and that of a cell's k + 1 first rows to theirs, so by the triangle inequality a row
-    whose distance to the pivot is larger than both together can be left out. What is left meets the cell's queries in
-    blocks and groups of bounded expected size, a pair of them a task, that streams the rows through matrix products.
-    Rows are thus sent once for each cell and block that they may matter to: where the vectors form clusters, a few
-    times; where they do not, once a block of queries. k rows a query and group are then ranked.
+    whose distance to the pivot is larger than both together can be left out. What is left meets the queries of
+    neighbouring cells in blocks and groups of bounded expected size, a pair of them a task, that streams the rows through matrix products.
+    Rows are thus sent once for each block that they may matter to: where the vectors form clusters, to a few; where they
+    do not, to all, and every query is compared with every row, as any exact search has to. k rows a query and group are then ranked.
     """
     spark = query.sparkSession
     narrow = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null and vector is not null")
@@ -258,31 +272,37 @@ def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vec
     cells = {r["pivot"]: (r["far"], r["n"]) for r in asked.groupBy("pivot").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     between = _to_points(pivots, pivots) if len(pivots) else np.zeros((0, 0))
     slack = 1e-6 * (1 + float(np.abs(pivots).max(initial=0)))
-    groups, tiles, reach, first = max(1, -(-n // group)), 0, {}, {}
-    for c in sorted(cells):
+    groups, tiles, reach, first, blocks = max(1, -(-n // group)), 0, {}, {}, []
+    centred = pivots - pivots.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if pivots.shape[1] else np.zeros(len(pivots))
+    held = block
+    for c in sorted(cells, key=lambda c: (along[c], c)):
+        # cells beside each other share a block as long as it has room; one with more queries has several blocks
         far, count = cells[c]
-        bound = far + float((between[c] + kth).min())
-        reach[c], first[c] = (far + bound) * (1 + 1e-9) + slack, (tiles, max(1, -(-count // block)))
-        tiles += first[c][1] * groups
-    plan = spark.sparkContext.broadcast((reach, first))
+        reach[c] = (2 * far + float((between[c] + kth).min())) * (1 + 1e-9) + slack
+        if held + count > block:
+            blocks.append(([], tiles, max(1, -(-count // block))))
+            tiles, held = tiles + blocks[-1][2] * groups, 0
+        blocks[-1][0].append(c)
+        first[c], held = blocks[-1][1:], held + count
+    plan = spark.sparkContext.broadcast((reach, blocks))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach, first = plan.value
+        reach, blocks = plan.value
         for batch in batches:
             d = _to_points(_matrix(batch.column(1)), shared.value)
             g = batch.column(2).to_numpy()
-            for c, far in reach.items():
-                rows = np.flatnonzero(d[:, c] <= far)
-                start, blocks = first[c]
-                for b in range(blocks if len(rows) else 0):
+            for of, start, many in blocks:
+                rows = np.flatnonzero((d[:, of] <= np.array([reach[c] for c in of])).any(1))
+                for b in range(many if len(rows) else 0):
                     tile = start + b * groups + g[rows]
                     yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(np.ones(len(rows), bool)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["tile", "is_row", "id", "vector"])
 
     # groups and blocks are salted by the partition a row comes from, so that repeated rows are spread
     of = lambda n: F.pmod(F.xxhash64("id") + F.spark_partition_id() * F.lit(0x9E3779B1), n).cast("int")
     b = given.select("id", "vector", of(F.lit(groups)).alias("g")).mapInArrow(spread, "tile int, is_row boolean, id long, vector array<double>")
-    start, blocks = (F.get(F.lit([first.get(c, (0, 1))[i] for c in range(len(pivots))] or [1]), F.col("pivot")) for i in (0, 1))
-    a = asked.select(start.alias("start"), of(blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "vector")
+    start, many = (F.get(F.lit([first.get(c, (0, 1))[i] for c in range(len(pivots))] or [1]), F.col("pivot")) for i in (0, 1))
+    a = asked.select(start.alias("start"), of(many).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "vector")
     a = a.select((F.col("start") + F.col("b") * groups + F.col("g")).cast("int").alias("tile"), F.lit(False).alias("is_row"), "id", "vector")
     parts = max(1, min(tiles, 64 * spark.sparkContext.defaultParallelism))
     met = a.unionByName(b).repartitionById(parts, F.pmod("tile", F.lit(parts)).cast("int")).sortWithinPartitions("tile", "is_row")
