@@ -272,7 +272,9 @@ def knn_join(query: DataFrame, reference: DataFrame, id: str, vector: str = "vec
     cells = {r["pivot"]: (r["far"], r["n"]) for r in asked.groupBy("pivot").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     between = _to_points(pivots, pivots) if len(pivots) else np.zeros((0, 0))
     slack = 1e-6 * (1 + float(np.abs(pivots).max(initial=0)))
-    groups, tiles, reach, first, blocks = max(1, -(-n // group)), 0, {}, {}, []
+    about = max(1, -(-sum(count for _, count in cells.values()) // block))  # blocks; with few of them rows are cut finer, for all cores to have work
+    groups = max(1, -(-n // group), -(-2 * spark.sparkContext.defaultParallelism // about) if n > PIVOT_ROWS else 1)
+    tiles, reach, first, blocks = 0, {}, {}, []
     centred = pivots - pivots.mean(0)
     along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if pivots.shape[1] else np.zeros(len(pivots))
     held = block
