@@ -67,7 +67,10 @@ def running(cells: DataFrame, order: str, by: tuple = (), **sums: str) -> DataFr
 
 
 def numbered(rows: DataFrame, by: tuple, order: list[str], name: str = "rank") -> DataFrame:
-    """Adds each row's place from 1 within its key, in order, by ranges as in running(): no task has to hold a key."""
+    """Adds each row's place from 1 within its key, in order, by ranges as in running(): no task has to hold a key.
+
+    The ranges are written whole: select the columns that are needed first.
+    """
     at = rows.withColumn(name, F.lit(1).cast("long"))
     cut, before = _ranges(at, tuple(by), order, {name: name})
     return _added(cut, before, tuple(by), {name: F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order)).cast("long")}, rows.columns)

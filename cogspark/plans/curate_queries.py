@@ -55,7 +55,7 @@ def d_dedupe_by_priority(corpus):
 k as (select t.* from t join h on h.label = t.label where turn <= case when held < 60 then turn else 3 end), r as (select *, row_number() over (partition by label order by turn, problem_id, op_id, id) rk from k) select id, label, turn::int turn, rk::int "rank" from r where rk <= 90""",
 )
 def d_capped_round_robin(corpus):
-    return D.capped_round_robin(corpus, "label", ["problem_id", "op_id"], 90, 60, 3).select("id", "label", "turn", "rank")
+    return D.capped_round_robin(corpus.select("id", "label", "problem_id", "op_id"), "label", ["problem_id", "op_id"], 90, 60, 3).select("id", "label", "turn", "rank")
 
 
 @query("d_backfill", "corpus", sql="with p as (select * from corpus where id % 3 = 0), h as (select label, count(*) n from p group by 1), r as (select c.id, c.label, coalesce(n, 0) n, row_number() over (partition by c.label order by c.id) rn from corpus c left join h on h.label = c.label where c.id % 3 <> 0) select id, label from r where rn <= 80 - n")
@@ -156,7 +156,7 @@ def d_adjudicate(corpus):
 
 @query("o_assign_ids", "corpus", sql="select id, printf('%s-%06d', source, row_number() over (partition by source order by label, id)) new_id from corpus")
 def o_assign_ids(corpus):
-    return D.assign_ids(corpus, ["label", "id"]).select("id", "new_id")
+    return D.assign_ids(corpus.select("id", "label", "source"), ["label", "id"]).select("id", "new_id")
 
 
 @query("p_feature_dropout", "corpus", sql="select id, case when (('0x' || substr(md5(id || ':42'), 1, 8))::bigint) / 4294967296e0 >= 0.15e0 then n_chars end n_chars from corpus")
