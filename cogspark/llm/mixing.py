@@ -12,8 +12,8 @@ totals it joins have a row for each source and length class, and the order is fo
 to be sorted in one task.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are documents of their own, tied in rank and taken alike; without any words all
-targets are 0; an empty table gives an empty result; other columns are not looked at.
+repeated rows (one id and text) are documents of their own, tied in rank, and of the tied ones on a source's border as
+many are taken as come nearest to its target, whichever they are; without any words all targets are 0; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.shared import numbered
 from .common import WORD, broadcast_if_small, written
 
 WEIGHTS = (5, 2, 1)
@@ -87,10 +88,11 @@ def pareto_rank(u: Column, p: Column) -> Column:
 
 
 def _cuts(docs: DataFrame) -> DataFrame:
-    """docs: (source, size, p, rank, tie). For each source the place (rank, tie) up to which documents are taken.
+    """docs: (source, size, p, rank, tie). For each source the place `to` (rank, tie) up to which documents are taken.
 
     The words wanted are the sum of size * p. Passes of binning find the bin in which they are reached; only what
-    lies in that bin is ordered. The document on the border is taken if that comes nearer.
+    lies in that bin is ordered, repeated rows as one place. The document on the border is taken if that comes nearer:
+    of the `n` rows on the last place the first `m`.
     """
     bins = 1 << BIN_BITS
     at = docs.withColumn("path", F.lit(0).cast("long"))
@@ -110,10 +112,15 @@ def _cuts(docs: DataFrame) -> DataFrame:
         # the last bin that begins before the wanted words are reached
         state = written(by.filter("before <= want").groupBy("source").agg(F.max_by("bin", "before").alias("bin"), F.max("before").alias("before"), F.first("want").alias("want")).withColumn("left", F.col("want") - F.col("before")), "cut")
     last = at.join(_side(state.select("source", F.col("bin").alias("__bin"), "left")), F.col("source").eqNullSafe(F.col("__source"))).filter(F.col("bin") == F.col("__bin"))
-    order = W.partitionBy("source").orderBy("rank", "tie")
-    last = last.withColumn("before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
-    near = last.filter(F.col("before") + F.col("size") / 2 <= F.col("left")).groupBy("source").agg(F.max(F.struct("rank", "tie")).alias("to"))
-    return state.select("source", (F.col("bin") / F.lit(float(bins**PASSES))).alias("floor")).join(near.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "floor", "to")
+    places = last.groupBy("source", "rank", "tie", "size").agg(F.first("left").alias("left"), F.count(F.lit(1)).alias("n"))
+    words = F.col("size") * F.col("n")
+    order = W.partitionBy("source").orderBy("rank", "tie", "size")
+    places = places.withColumn("before", F.sum(words).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - words)
+    m = F.least(F.col("n"), F.floor((F.col("left") - F.col("before")) / F.col("size") + 0.5).cast("long"))
+    place = F.struct("rank", "tie")
+    near = places.withColumn("m", m).filter("m > 0").groupBy("source").agg(F.max(place).alias("to"), F.max_by("m", place).alias("m"), F.max_by("n", place).alias("n"))
+    out = state.select("source", (F.col("bin") / F.lit(float(bins**PASSES))).alias("floor")).join(near.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
+    return out.select("source", "floor", "to", "m", "n")
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -143,13 +150,23 @@ class Mix:
         return at.withColumn("__order", F.xxhash64(F.lit(self.seed), F.lit("tie"), F.col(id), F.col(tie)))
 
     def decide(self, rows: DataFrame, id: str = "id", size: str = "size", tie: str = "tie") -> DataFrame:
-        """Adds __copies, and __source_size and __target; joins small tables only."""
+        """Adds __copies, and __source_size and __target; joins small tables only.
+
+        Where a border lies within repeated rows, these rows alone are numbered, in ranges.
+        """
         at = self._ranked(rows, id, size, tie)
         at = at.join(_side(self.targets.withColumnsRenamed({"source_size": "__source_size", "target": "__target"})), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        at = at.join(_side(self.cuts.withColumnsRenamed({"floor": "__floor", "to": "__to"})), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-        more = F.col("__rank").isNotNull() & ((F.col("__rank") < F.col("__floor")) | (F.struct(F.col("__rank").alias("rank"), F.col("__order").alias("tie")) <= F.col("__to")))
+        at = at.join(_side(self.cuts.withColumnsRenamed({"floor": "__floor", "to": "__to", "m": "__m", "n": "__n"})), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+        place = F.struct(F.col("__rank").alias("rank"), F.col("__order").alias("tie"))
+        more = F.col("__rank").isNotNull() & ((F.col("__rank") < F.col("__floor")) | (place <= F.col("__to")))
         at = at.withColumn("__copies", F.when(F.col(size) > 0, F.col("__whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0).cast("long"))
-        return at.drop("__e", "__whole", "__p", "__rank", "__order", "__floor", "__to")
+        keep = [c for c in at.columns if c not in ("__e", "__whole", "__p", "__rank", "__order", "__floor", "__to", "__m", "__n")]
+        if self.cuts.filter("m < n").isEmpty():
+            return at.select(*keep)
+        split = F.coalesce((F.col("__m") < F.col("__n")) & F.col("__rank").isNotNull() & (place == F.col("__to")), F.lit(False))
+        edge = numbered(at.filter(split).select(*keep, "__m", F.monotonically_increasing_id().alias("__row")), ("source",), ["__row"], "__nth")
+        edge = edge.withColumn("__copies", F.col("__copies") - F.when(F.col("__nth") > F.col("__m"), 1).otherwise(0))
+        return at.filter(~split).select(*keep).unionByName(edge.select(*keep))
 
 
 def _tie(text: Column, seed: int) -> Column:

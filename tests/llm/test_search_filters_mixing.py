@@ -149,6 +149,23 @@ def test_mix_takes_the_first_by_rank(spark):
         assert {i: got[i] for i in want} == want
 
 
+def test_mix_splits_repeated_rows_at_the_border(spark):
+    """Rows with one id and text are tied; the border takes as many of them as the target needs."""
+    hot = spark.range(1200).select(F.lit(7).cast("long").alias("doc_id"), F.lit("w " * 50).alias("text"), F.lit("z").alias("source"))
+    rest = spark.range(1200).select((F.col("id") + 100).alias("doc_id"), F.lit("v " * 130).alias("text"), F.when(F.col("id") % 2 == 0, "b").alias("source"))
+    df = hot.unionByName(rest)
+    got = mixing.mix_sources(df)
+    by = {r["target"]: r for r in got.groupBy("target").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).collect()}
+    assert sorted(by) == [56000.0, 112000.0, 156000.0] and by[112000.0]["taken"] == 112000
+    assert all(abs(r["taken"] - t) <= r["size"] / 2 for t, r in by.items())
+    assert all(0 <= r["copies"] <= 2 for r in got.select("copies").distinct().collect())
+    again = mixing.mix_sources(df.repartition(3))
+    count = lambda d: Counter(map(tuple, d.collect()))
+    assert count(got) == count(again)
+    full = count(mixing.mixed_rows(df).groupBy("source").count())
+    assert full == count(got.join(df.distinct(), "doc_id").groupBy("source").agg(F.sum("copies")))
+
+
 def test_mix_targets_random(spark):
     rng = random.Random(2)
     for n in (1, 4, 9):
