@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.columns import class_eig, let, lookup, pass_probability, tie_key
 from .bayes import belief_exposure, item_eig, labels, likelihood_table, normalise
-from .shared import broadcast_if_small, changes
+from .shared import broadcast_if_small, changes, numbered, written
 
 
 def elo_trajectory(log: DataFrame, start: float = C.ELO_START, by=("exam_id", "sector")) -> DataFrame:
@@ -119,6 +119,118 @@ def recommend_exam_item(scored: DataFrame) -> DataFrame:
     return scored.groupBy("exam_id").agg(best.alias("b")).select("exam_id", "b.item_id", "b.score")
 
 
+#: Kinds of items that one row of a tile has at most.
+TILE = 256
+
+
+def _alike(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items by what their worth depends on: (item_id, alike, ...), and tiles of the different kinds of a sector.
+
+    A tile is (sector, tile, tiles, kinds): at most TILE kinds as an array, and how many tiles its sector has.
+    """
+    cells = F.array_sort(F.transform(F.map_entries("exposure"), lambda e: F.struct(e["key"].alias("class"), e["value"].cast("double").alias("exposure"))))
+    extra = [F.col("name")] if "name" in pool.columns else [F.lit(None).cast("string").alias("name")]
+    of = pool.select("item_id", "kind", "difficulty", "sector", cells.alias("cells"), *extra)
+    of = written(of.withColumn("alike", F.xxhash64("kind", "difficulty", "sector", "cells")), "alike")
+    kinds = of.groupBy("alike", "sector").agg(F.first("kind").alias("kind"), F.first("difficulty").alias("difficulty"), F.first("cells").alias("cells"), F.count(F.lit(1)).alias("n_items"))
+    at = numbered(kinds, ("sector",), ["alike"], "place").withColumn("tile", F.floor((F.col("place") - 1) / TILE))
+    tiles = at.groupBy("sector", "tile").agg(F.collect_list(F.struct("alike", "kind", "difficulty", "n_items", "cells")).alias("kinds"))
+    tiles = written(tiles, "tiles")
+    n = tiles.groupBy("sector").agg(F.count(F.lit(1)).alias("tiles"))
+    return of, tiles.join(broadcast_if_small(n), "sector")
+
+
+def _bits(cell: Column, p: Column) -> Column:
+    """Bits of a cell for a session's P by class; 0 below the least exposure, of a class without a P, and of other labels."""
+    counts = cell["class"].isin(C.MISCONCEPTIONS) & (cell["exposure"] >= C.EXAM_MIN_EXPOSURE)
+    return F.when(counts, class_eig(F.coalesce(F.element_at(p, cell["class"]), F.lit(0.0)), cell["exposure"])).otherwise(0.0)
+
+
+def recommend_next(sessions: DataFrame, pool: DataFrame, names: dict | None = None, sectors: dict | None = None, per_sector: int = C.RECOMMENDATIONS) -> DataFrame:
+    """(exam_id, item_id, sector, score, eig, reason): the next item of each open exam; exams that no item fits have no row.
+
+    sessions: (exam_id, learner_id, p MAP by class, theta MAP by sector, covered ARRAY of sectors, tested ARRAY of
+    classes, states MAP by class, used ARRAY of items, left MAP of slots by kind, by_sector MAP of coding items by
+    sector, last_sector, sectors ARRAY of the plan, slots, and where present stable_since MAP by class);
+    pool: (item_id, kind, difficulty, sector, exposure MAP by class, and where present name).
+
+    An exam without used items opens with an easy coding item of the sector in which such an item gives the most bits.
+    Later ones take the best score under the plan: slots left of the kind, coding items of the sector, not the last
+    sector, and the other sectors still within reach. The score is bits for the cost, a bonus for a sector not yet
+    covered, nearness of the pass rate to its target, and the exposure of stable classes that were not tested again.
+    Ties go by hash, between scores and between bits that agree in nine digits.
+
+    Sessions meet the different kinds of items of the sectors that are open to them, in tiles; items come in only for
+    the kinds that are best, so that nothing is joined by class.
+    """
+    of, tiles = _alike(pool)
+    used = sessions.select("exam_id", F.explode(F.array_distinct("used")).alias("item_id")).join(of.select("item_id", "alike"), "item_id")
+    used = used.groupBy("exam_id", "alike").agg(F.count(F.lit(1)).alias("n")).groupBy("exam_id").agg(F.map_from_entries(F.collect_list(F.struct("alike", "n"))).alias("used_of"))
+    since = F.col("stable_since") if "stable_since" in sessions.columns else F.lit(None).cast("map<string,string>")
+    at = sessions.join(used, "exam_id", "left").withColumn("stable_since", since).withColumn("opening", F.size("used") == 0)
+    at = at.withColumn("sector", F.explode(F.array_distinct("sectors")))
+    after = F.aggregate(F.map_values("left"), F.lit(0).cast("long"), lambda a, x: a + x) - 1
+    uncovered = F.size(F.array_except("sectors", F.array_append("covered", F.col("sector"))))
+    fits = ~F.col("sector").eqNullSafe(F.col("last_sector")) & ((F.col("slots") < F.size("sectors")) | (uncovered <= after))
+    at = at.filter(F.col("opening") | fits)
+    at = at.withColumn("coding", F.coalesce(F.element_at("by_sector", F.col("sector")), F.lit(0)) < per_sector)
+    n = tiles.groupBy("sector").agg(F.first("tiles").alias("tiles"))
+    at = at.join(broadcast_if_small(n), "sector").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
+    met = at.join(broadcast_if_small(tiles.drop("tiles")), ["sector", "tile"])
+
+    stable = lambda c: (c["exposure"] > 0) & F.coalesce(F.element_at("states", c["class"]) == "STABLE", F.lit(False)) & ~F.array_contains("tested", c["class"])
+    theta = F.coalesce(F.element_at("theta", F.col("sector")), F.lit(float(C.ELO_START)))
+    bonus = F.when(F.array_contains("covered", F.col("sector")), 0.0).otherwise(C.EXAM_W_COVERAGE)
+
+    def open_to(x):
+        free = x["n_items"] > F.coalesce(F.element_at("used_of", x["alike"]), F.lit(0))
+        slot = F.coalesce(F.element_at("left", x["kind"]), F.lit(0)) > 0
+        first = (x["kind"] == "coding") & (x["difficulty"] == 1)
+        return F.when(F.col("opening"), first).otherwise(free & slot & ((x["kind"] != "coding") | F.col("coding")))
+
+    def scored(x):
+        bits = F.greatest(F.aggregate(x["cells"], F.lit(0.0), lambda a, c: a + _bits(c, F.col("p"))), F.lit(0.0))
+        ghost = F.aggregate(x["cells"], F.lit(0.0), lambda a, c: a + F.when(stable(c), c["exposure"]).otherwise(0.0))
+        rest = bonus - C.EXAM_W_DIFFICULTY * F.abs(pass_probability(x["difficulty"], theta) - C.EXAM_TARGET_PASS) + C.EXAM_W_GHOST * ghost
+        cost = F.when(x["kind"] == "coding", C.EXAM_COST["coding"]).otherwise(C.EXAM_COST["trace"])
+        return let(bits, lambda b: F.struct((b / cost + rest).alias("score"), b.alias("eig"), x["alike"].alias("alike")))
+
+    met = met.withColumn("gains", F.transform(F.filter("kinds", open_to), scored)).filter(F.size("gains") > 0).drop("kinds")
+    # of a tile only its best kinds go on
+    met = met.withColumn("score", F.array_max(F.transform("gains", lambda g: F.round(g["score"], 9)))).withColumn("bits", F.array_max(F.transform("gains", lambda g: F.round(g["eig"], 9))))
+    met = met.select("exam_id", "learner_id", "opening", "sector", "score", "bits", F.filter("gains", lambda g: F.round(g["score"], 9) == F.col("score")).alias("gains"))
+    reverse = lambda *c: F.translate(tie_key(*[F.col(x).cast("string") for x in c]), "0123456789abcdef", "fedcba9876543210")
+    by = W.partitionBy("exam_id")
+    first = F.max(F.when(F.col("opening"), F.struct("bits", reverse("learner_id", "exam_id", "sector").alias("k"), "sector"))).over(by)["sector"]
+    met = met.withColumn("first", first).filter(~F.col("opening") | (F.col("sector") == F.col("first")))
+    met = met.withColumn("top", F.max("score").over(by)).filter(F.col("score") == F.col("top"))
+    best = met.select("exam_id", "learner_id", F.inline("gains"))
+    open_ = best.join(of, "alike").join(sessions.select("exam_id", F.explode("used").alias("item_id")).distinct(), ["exam_id", "item_id"], "left_anti")
+    picked = open_.groupBy("exam_id").agg(F.max_by(F.struct("item_id", "sector", "kind", "name", "cells", "score", "eig"), reverse("learner_id", "exam_id", "item_id")).alias("b")).select("exam_id", "b.*")
+    rows = picked.join(sessions.withColumn("stable_since", since).select("exam_id", "p", "covered", "tested", "states", "stable_since"), "exam_id")
+    return rows.select("exam_id", "item_id", "sector", "score", "eig", _reason(stable, names or {}, sectors or {}).alias("reason"))
+
+
+def _reason(stable, names: dict, sectors: dict) -> Column:
+    """Why an item: its two classes of the most bits, those to be checked again marked, then what else speaks for it."""
+    named = lambda key, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), key) if table else key
+    counted = F.filter("cells", lambda c: c["class"].isin(C.MISCONCEPTIONS) & (c["exposure"] >= C.EXAM_MIN_EXPOSURE))
+    ranked = F.slice(F.array_sort(F.transform(counted, lambda c: F.struct((-F.round(_bits(c, F.col("p")), 9)).alias("k"), c["class"].alias("class"), stable(c).alias("stable")))), 1, 2)
+
+    def label(r):
+        since = F.element_at("stable_since", r["class"])
+        again = F.when(since.isNull() | (since == ""), " (stable \u2192 recheck)").otherwise(F.concat(F.lit(" (stable since "), since, F.lit(" \u2192 recheck)")))
+        return F.concat(named(r["class"], names), F.when(r["stable"], again).otherwise(""))
+
+    said = F.transform(ranked, label)
+    about = F.when(F.size(said) == 0, "no class above the exposure floor").otherwise(F.array_join(said, " and "))
+    covers = F.when(~F.array_contains("covered", F.col("sector")), F.concat(F.lit("covers "), named(F.col("sector"), sectors)))
+    other = F.when(F.exists("cells", stable) & ~F.exists(ranked, lambda r: r["stable"]), "rechecks a stable misconception")
+    why = F.concat_ws("; ", covers, other)
+    head = F.when((F.col("kind") == "coding") & (F.coalesce("name", F.lit("")) != ""), F.concat_ws(" ", F.col("item_id").cast("string"), "name")).otherwise(F.col("item_id").cast("string"))
+    return F.concat(head, F.lit(" \u2014 most informative about "), about, F.lit("; "), F.when(why == "", "highest information per minute").otherwise(why), F.lit("."))
+
+
 def opening(scored: DataFrame, pool: DataFrame) -> DataFrame:
     """Of each session the easiest items' sector with the most bits, then the best item of it."""
     easy = scored.join(pool.filter("difficulty = 1").select("item_id", "sector").distinct(), "item_id")

@@ -67,6 +67,43 @@ def x_recommend_exam_item(sessions, exposures):
     return X.recommend_exam_item(_scored(sessions, exposures)).select("exam_id", F.round("score", 6).alias("score"))
 
 
+# an exam's plan: four sectors of six in turn; the first two are covered, a third of the exams have not begun
+logical("plan", "sessions", "exposures", sql="select exam_id, (r + exam_id) % 6 k, sector, item_id from (select distinct exam_id from {sessions}) e join (select sector, min(item_id) item_id, row_number() over (order by sector) - 1 r from {exposures} group by sector) t on (r + exam_id) % 6 < 4")
+
+_NEXT = f"""it as (select distinct item_id, sector, difficulty, case when item_id % 2 = 0 then 'coding' else 'trace' end kind from exposures), g as (select exam_id, exam_id % 3 = 0 fresh from (select distinct exam_id from sessions)),
+c as (select g.exam_id, fresh, k, p.sector, it.item_id, difficulty, kind, not fresh and k < 2 cov, 1200e0 + (g.exam_id % 9) * 50e0 + k * 25e0 theta from g join plan p on p.exam_id = g.exam_id join it on it.sector = p.sector
+  where case when fresh then kind = 'coding' and difficulty = 1 else k <> 1 and it.item_id <> p.item_id and (k <> 0 or (g.exam_id % 2 = 1 and kind <> 'coding')) end),
+v as (select c.*, e.class, e.exposure x, coalesce(s.p, 0e0) p, st.state0 = 'STABLE' and not st.tested stab from c join exposures e on e.item_id = c.item_id left join sessions s on s.exam_id = c.exam_id and s.class = e.class left join states st on st.exam_id = c.exam_id and st.class = e.class),
+w as (select *, p * x + (1 - p) * 0.03e0 pf, p * x / (p * x + (1 - p) * 0.03e0) a, p * (1 - x) / (p * (1 - x) + (1 - p) * 0.97e0) b from v),
+u as (select *, case when x >= 0.2e0 then {_H.format('p')} - (pf * {_H.format('a')} + (1 - pf) * {_H.format('b')}) else 0e0 end bits from w),
+m as (select exam_id, item_id, fresh, sector, cov, kind, sum(bits) eig, sum(case when stab then x else 0e0 end) gh, max(abs(1 / (1 + pow(10e0, (1000 + 200 * difficulty - theta) / 400)) - 0.6e0)) off from u group by all),
+n as (select *, eig / case when kind = 'coding' then 1e0 else 0.3e0 end + case when cov then 0e0 else 0.5e0 end - 0.4e0 * off + 0.3e0 * gh score from m),
+o as (select exam_id, arg_max(sector, (round(b, 9), translate(substr(sha256(concat(exam_id, ':', exam_id, ':', sector)), 1, 16), '0123456789abcdef', 'fedcba9876543210'))) sector from (select exam_id, sector, max(eig) b from n where fresh group by 1, 2) group by 1),
+q as (select n.*, row_number() over (partition by n.exam_id order by round(score, 9) desc, substr(sha256(concat(n.exam_id, ':', n.exam_id, ':', item_id)), 1, 16)) rn from n left join o on o.exam_id = n.exam_id where not fresh or n.sector = o.sector),
+z as (select exam_id, item_id, class, coalesce(stab, false) stab, row_number() over (partition by exam_id, item_id order by case when x >= 0.2e0 then round(bits, 9) end desc nulls last, class) r, x from u),
+y as (select exam_id, item_id, string_agg(concat(class, case when stab then ' (stable \u2192 recheck)' else '' end), ' and ' order by r) filter (r <= 2 and x >= 0.2e0) about, bool_or(stab) any_, coalesce(bool_or(stab) filter (r <= 2 and x >= 0.2e0), false) told from z group by 1, 2)
+select q.exam_id, q.item_id, q.sector, round(score, 6) score, round(eig, 6) eig, concat(q.item_id, ' \u2014 most informative about ', coalesce(about, 'no class above the exposure floor'), '; ', case when cov and not (any_ and not told) then 'highest information per minute' else concat_ws('; ', case when not cov then concat('covers ', q.sector) end, case when any_ and not told then 'rechecks a stable misconception' end) end, '.') reason from q join y on y.exam_id = q.exam_id and y.item_id = q.item_id where rn = 1"""
+
+
+@query("x_recommend_next", "sessions", "states", "plan", "exposures", sql="with " + _NEXT)
+def x_recommend_next(sessions, states, plan, exposures):
+    as_map = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    pool = exposures.groupBy("item_id").agg(F.first("sector").alias("sector"), F.first("difficulty").alias("difficulty"), as_map("class", "exposure").alias("exposure")).withColumn("kind", F.when(F.col("item_id") % 2 == 0, "coding").otherwise("trace"))
+    k, e = F.col("k"), F.col("exam_id")
+    had = lambda c: F.collect_list(F.when((k < 2) & (e % 3 != 0), F.col(c)))
+    own = plan.groupBy("exam_id").agg(
+        F.collect_list("sector").alias("sectors"), as_map("sector", (1200 + (e % 9) * 50 + k * 25).cast("double").alias("t")).alias("theta"), had("sector").alias("covered"), F.collect_list(F.when(e % 3 != 0, F.col("item_id"))).alias("used"),
+        F.max(F.when((k == 1) & (e % 3 != 0), F.col("sector"))).alias("last_sector"), F.map_from_entries(F.collect_list(F.when(k == 0, F.struct("sector", F.lit(2))))).alias("by_sector"), F.count(F.lit(1)).alias("slots"))
+    # as many slots as sectors to reach, one more in every second exam
+    uncovered = F.size(F.array_except("sectors", "covered"))
+    left = F.create_map(F.lit("coding"), F.lit(1), F.lit("trace"), (uncovered - 1 + e % 2).cast("int"))
+    own = own.withColumn("left", left).withColumn("learner_id", e)
+    p = sessions.groupBy("exam_id").agg(as_map("class", "p").alias("p"))
+    state = states.groupBy("exam_id").agg(as_map("class", "state0").alias("states"), F.collect_list(F.when(F.col("tested"), F.col("class"))).alias("tested"))
+    rows = own.join(p, "exam_id").join(state, "exam_id")
+    return X.recommend_next(rows, pool, per_sector=2).withColumns({c: F.round(c, 6) for c in ("score", "eig")})
+
+
 @query("x_opening", "sessions", "exposures", sql=f"with {_SCORE}, e as (select s2.*, p.sector from s2 join (select distinct item_id, sector from exposures where difficulty = 1) p on p.item_id = s2.item_id), m as (select exam_id, max_by(sector, (m, sector)) sector from (select exam_id, sector, round(max(eig), 9) m from e group by 1, 2) group by 1) select e.exam_id, round(max(score), 6) score from e join m on m.exam_id = e.exam_id and m.sector = e.sector group by 1")
 def x_opening(sessions, exposures):
     return X.opening(_scored(sessions, exposures), exposures).select("exam_id", F.round("score", 6).alias("score"))
