@@ -6,9 +6,12 @@ vocabulary and one slot for unknown words. A word's customers sit at a leaf's ta
 parent, each of the parent's tables one of the root. Discounts come from the numbers of words seen once and twice on
 each level. There are as many restaurants as the corpus has contexts.
 
-What is counted grows with the corpus and is never cut: blocks of documents send, for each range of hashes of the word
-before, their (context, word) cells with counts; they are read a second time for the cell numbers of their tokens. A range merges these and holds all restaurants of its words before,
-leaves and parents, with all their customers; the root lies in slices by word. A Gibbs sweep seats the customers of a
+What is counted grows with the corpus and is never cut. Texts are read once, into blocks that hold their tokens as
+numbers of the block's own words. Each block sends its words with their counts to slices by hash; a slice numbers its
+words by falling count and answers with the numbers, so that what is sent from then on are small numbers in rising
+order, not hashes. Blocks send, for each range of words before, their (context, word) cells with counts. A range merges
+these and holds all restaurants of its words before, leaves and parents, with all their customers; the root lies in the
+slices. A Gibbs sweep seats the customers of a
 range anew given the root's counts of its words, one after another (those beyond the 64th of a cell in steps of at most
 an eighth of the seated) and each cell given the other cells' tables of the pass before; it sends the parents' tables by
 word to the root's slices, which merge and seat them and answer each range. Tables are kept from sweep to sweep. The
@@ -17,7 +20,7 @@ that sweep's own tables and totals on every level, are averaged. Draws are seede
 follow from the corpus alone, so reruns agree on any cluster.
 
 A range answers each block with log probabilities of its own cells; only packed cells are shuffled. A document is scored
-from its block's stored cell numbers. 64-bit hashes stand for words.
+from its block's stored tokens, the base from its words' counts. Words with the same 64-bit hash count as one.
 
 Defined cases: a null or empty text has one token, its end; without training documents all probabilities are the
 base's; repeated rows are scored alike and count as often as they are there; a null id is trained on; an empty table
@@ -39,8 +42,8 @@ from .common import SpanHash, blocks, bucketed, fold, mix, release, text_bytes,
 #: Leaves for each parent, and parents, where a caller of sample_words names no parents.
 PARENTS, LEAVES = 16, 16
 SWEEPS, STRENGTH, ONE_BY_ONE = 3, (1.0, 1.0, 1.0), 64
-#: Text bytes of a block and of what is tokenised at once; text bytes whose cells share a range of hashes.
-BLOCK, PIECE, RANGE = 6 << 20, 1 << 20, 16 << 20
+#: Text bytes of a block and of what is tokenised at once; text bytes whose cells share a range of words before.
+BLOCK, PIECE, RANGE = 6 << 20, 1 << 20, 12 << 20
 END = np.uint64(0x656E64)
 #: Stands for what is before a text; no word and no end has this hash.
 START = np.uint64(0)
@@ -64,20 +67,27 @@ def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, n
     return word, before, count
 
 
-def _count_block(table: pa.Table) -> tuple:
-    """Words; word before, word before that, word and count of each cell of a block; for each token the number of its cell."""
+def _read_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a block in rising order, the start first; the word's number of each token; tokens of each text."""
     parts = [tokens(t.column("text")) for t in blocks(iter(table.to_batches()), "text", PIECE)]
-    word, before, count = (np.concatenate(x) for x in zip(*parts))
-    held = np.repeat(np.array(table.column("held_out").to_pylist(), bool), count)
-    names, of = np.unique(np.r_[START, word], return_inverse=True)  # the start is the first of them
-    of = of[1:].astype(np.int64)
-    one = np.where(before == START, 0, np.r_[0, of[:-1]])
-    two = np.where(before == START, 0, np.r_[0, one[:-1]])
+    word, _, count = (np.concatenate(x) for x in zip(*parts))
+    names, of = np.unique(np.r_[START, word], return_inverse=True)
+    return names, of[1:].astype(np.uint32), count.astype(np.int64)
+
+
+def _cells(of: np.ndarray, count: np.ndarray, held: np.ndarray) -> tuple:
+    """Word before, word before that, word and training count of each cell of a block; for each token the number of its cell."""
+    of = of.astype(np.int64)
+    first = np.cumsum(count) - count  # no text is without a token
+    one = np.r_[0, of[:-1]][: len(of)]
+    one[first] = 0
+    two = np.r_[0, one[:-1]][: len(of)]
+    two[first] = 0
     pairs, pair = np.unique(one << 32 | two, return_inverse=True)
     cells, cell = np.unique(pair.astype(np.int64) << 32 | of, return_inverse=True)
-    seen = np.bincount(cell[~held], minlength=len(cells)).astype(np.uint32)
+    seen = np.bincount(cell[~np.repeat(held > 0, count)], minlength=len(cells)).astype(np.uint32)
     pair = pairs[cells >> 32]
-    return names, pair >> 32, pair & _LOW, cells & _LOW, seen, cell, count.astype(np.int64)
+    return pair >> 32, pair & _LOW, cells & _LOW, seen, cell
 
 
 def _size(x) -> int:
@@ -104,44 +114,116 @@ def _unpack(data: bytes, size: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def range_of(names: np.ndarray, ranges: int) -> np.ndarray:
+def range_of(ids: np.ndarray, ranges: int) -> np.ndarray:
     """The range that holds the restaurants of each word before."""
-    return ((names >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+    return ((mix(ids) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
-def _count(ranges: int, messages: bool):
-    """Blocks to the cells of each range (messages), or to one row with the documents and their cells, in the same order."""
+def slice_of_hash(names: np.ndarray, slices: int) -> np.ndarray:
+    """The slice that numbers each word."""
+    return ((names >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
+
+
+def slice_of(ids: np.ndarray, slices: int) -> np.ndarray:
+    """The slice that has numbered each word and holds it as part of the root."""
+    return (ids % np.uint64(slices)).astype(np.int64)
+
+
+_BLOCK = (np.int64, np.uint8, np.uint8, np.int64, np.uint64, np.uint32)
+
+
+@tidy
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks: ids and which are null, which are held out, tokens of each text, the block's words, the tokens."""
+    part = TaskContext.get().partitionId()
+    for k, table in enumerate(blocks(batches, "text", BLOCK)):
+        names, of, count = _read_block(table)
+        ids = table.column("doc_id").to_pylist()
+        held = np.array(table.column("held_out").to_pylist(), np.uint8)
+        x = (np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), held, count, names, of)
+        yield _rows([(part << 31 | k, -1, _size(x), _arrays(*x))])
+
+
+def _words(slices: int):
+    """A block's words and their training counts, to the slices that number them."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, table in enumerate(blocks(batches, "text", BLOCK)):
-            names, one, two, of, seen, cell, count = _count_block(table)
-            where = range_of(names, ranges)[one]
-            by = np.argsort(where, kind="stable")  # cells in the order of the ranges
-            new = np.empty(len(by), np.uint32)
-            new[by] = np.arange(len(by), dtype=np.uint32)
-            ids = np.array([0 if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-            null = np.array([x is None for x in table.column("doc_id").to_pylist()], np.uint8)
-            held = np.array(table.column("held_out").to_pylist(), np.uint8)
-            rows = [] if messages else [(part << 31 | k, -1, (ids, null, held, count, new[cell]))]
-            edge = np.searchsorted(where[by], np.arange(ranges + 1))
-            for r in np.flatnonzero(edge[1:] > edge[:-1]) if messages else ():
-                own = by[edge[r] : edge[r + 1]]
-                used, at = np.unique(np.r_[one[own], two[own], of[own]], return_inverse=True)
-                rows.append((part << 31 | k, int(r), (names[used], *at.astype(np.uint32).reshape(3, -1), seen[own])))
-            out = []
-            for block, r, x in rows:
-                out.append((block, r, _size(x), _arrays(*x)))
-                if len(out) == 32 or r == -1:
-                    yield _rows(out)
-                    out = []
-            if out:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
+                seen = np.bincount(of[~np.repeat(held > 0, count)], minlength=len(names)).astype(np.uint32)
+                where = slice_of_hash(names, slices)
+                by = np.argsort(where, kind="stable")
+                edge, out = np.searchsorted(where[by], np.arange(slices + 1)), []
+                for v in np.flatnonzero(edge[1:] > edge[:-1]):
+                    x = tuple(a[by[edge[v] : edge[v + 1]]] for a in (names, seen))
+                    out.append((row["block"], int(v), _size(x), _arrays(*x)))
                 yield _rows(out)
 
     return run
 
 
+def _number(slices: int):
+    """A slice: the number of each word, by falling count, and its training count, for each block."""
+
+    def run(pdf):
+        import pandas as pd
+
+        asked = [_unpack(p, s, np.uint64, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
+        names, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        total = np.zeros(len(names), np.uint64)
+        np.add.at(total, at, np.concatenate([a[1] for a in asked]).astype(np.uint64))
+        ids = np.empty(len(names), np.uint64)
+        ids[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(names), dtype=np.uint64) * np.uint64(slices) + np.uint64(pdf["range"].iloc[0])
+        out, lo = [], 0
+        for b, v, a in zip(pdf["block"].tolist(), pdf["range"].tolist(), asked):
+            own = at[lo : lo + len(a[0])]
+            x = (ids[own], total[own])
+            out.append((b, v, _size(x), _arrays(*x)))
+            lo += len(own)
+        release()
+        return pd.DataFrame(out, columns=["block", "range", "size", "payload"])
+
+    return run
+
+
+def _numbers(names: np.ndarray, answers: list, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number and the training count of each of a block's words, from the slices' answers."""
+    by = np.argsort(slice_of_hash(names, slices), kind="stable")
+    got = [_unpack(a["payload"], a["size"], np.uint64, np.uint64) for a in sorted(answers, key=lambda a: a["range"])]
+    ids, total = np.empty(len(names), np.uint64), np.empty(len(names), np.uint64)
+    ids[by], total[by] = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    return ids, total
+
+
+def _send(ranges: int, slices: int):
+    """Blocks to the cells of each range, in rising order of the words before."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
+                ids, _ = _numbers(names, row["numbers"], slices)
+                one, two, word, seen, _ = _cells(of, count, held)
+                where = range_of(ids, ranges)[one]
+                by = np.argsort(where, kind="stable")  # cells in the order of the ranges
+                edge, out = np.searchsorted(where[by], np.arange(ranges + 1)), []
+                for r in np.flatnonzero(edge[1:] > edge[:-1]):
+                    own = by[edge[r] : edge[r + 1]]
+                    used, at = np.unique(ids[np.r_[one[own], two[own], word[own]]], return_inverse=True)
+                    x = (used, *at.astype(np.uint32).reshape(3, -1), seen[own])
+                    out.append((row["block"], int(r), _size(x), _arrays(*x)))
+                    if len(out) == 32:
+                        yield _rows(out)
+                        out = []
+                if out:
+                    yield _rows(out)
+
+    return run
+
+
 _ASKED = "block long, range long, size long, payload binary"
 
 
@@ -179,11 +261,6 @@ def _merge(slices: int):
     return run
 
 
-def slice_of(names: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of the root that holds each word."""
-    return ((names >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
-
-
 _MERGED = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32)
 
 
@@ -282,11 +359,11 @@ def _sent(sweep: int, rows: list) -> list:
 
 
 def _last(got: list, sweep: int) -> tuple:
-    """What a sweep left for a range: tables of the leaves' cells and of the parents'; the root's customers, tables and counts of each word."""
+    """What a sweep left for a range: tables of the leaves' cells and of the parents'; the root's customers and tables of each word."""
     got = [g for g in got if g["sweep"] == sweep]
     state = next(_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in got if g["slice"] == _STATE)
-    root = [_unpack(g["payload"], g["size"], np.uint32, np.uint32, np.uint32) for g in sorted(got, key=lambda g: g["slice"]) if g["slice"] >= 0]
-    return (*state, *(np.concatenate([x[i] for x in root]) for i in range(3)))
+    root = [_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in sorted(got, key=lambda g: g["slice"]) if g["slice"] >= 0]
+    return (*state, *(np.concatenate([x[i] for x in root]) for i in (0, 1)))
 
 
 def _sweep(slices: int, sweep: int, totals: Totals | None):
@@ -300,11 +377,10 @@ def _sweep(slices: int, sweep: int, totals: Totals | None):
                 last = _last(row["got"], sweep - 1) if sweep else None
                 c0, t0, c1, t1, _, _, word, _, _ = sample_words(names, of, context, seen, totals, sweep, above, last)
                 up = np.bincount(word, t1, minlength=len(names)).astype(np.uint32)
-                count = np.bincount(of, seen.astype(float), minlength=len(names)).astype(np.uint32)
                 stats = np.array([(c0 == 1).sum(), (c0 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), c0.sum()], np.int64)
                 out = [(row["range"], _STATE, (t0.astype(np.uint32), t1.astype(np.uint32))), (row["range"], _STATS, (stats,))]
                 edge = np.searchsorted(slice_of(names, slices), np.arange(slices + 1))
-                out += [(row["range"], int(v), (names[a:b], up[a:b], count[a:b])) for v, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+                out += [(row["range"], int(v), (names[a:b], up[a:b])) for v, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
                 yield from _packed(_sent(sweep, out))
 
     return run
@@ -317,14 +393,14 @@ def _packed(rows: list) -> Iterator[pa.RecordBatch]:
 
 
 def _root(sweep: int, totals: Totals | None):
-    """A slice of the root: seats what the ranges send, answers each range, and sums customers, tables and words."""
+    """A slice of the root: seats what the ranges send, answers each range, and sums customers and tables."""
 
     def run(pdf):
         import pandas as pd
 
-        asked = [_unpack(p, s, np.uint64, np.uint32, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
+        asked = [_unpack(p, s, np.uint64, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
         names, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        c, count = (np.bincount(at, np.concatenate([a[i] for a in asked]).astype(float), minlength=len(names)).astype(np.int64) for i in (1, 2))
+        c = np.bincount(at, np.concatenate([a[1] for a in asked]).astype(float), minlength=len(names)).astype(np.int64)
         t = (c > 0).astype(np.int64)
         if sweep:
             rng = np.random.default_rng([sweep, int(names[0] & np.uint64(0xFFFFFFFF)), len(names)])
@@ -332,7 +408,7 @@ def _root(sweep: int, totals: Totals | None):
         v, out, lo = int(pdf["slice"].iloc[0]), [], 0
         for r, a in zip(pdf["range"].tolist(), asked):
             own = at[lo : lo + len(a[0])]
-            out.append((r, v, tuple(x[own].astype(np.uint32) for x in (c, t, count))))
+            out.append((r, v, tuple(x[own].astype(np.uint32) for x in (c, t))))
             lo += len(own)
         out.append((-1, _STATS, (np.array([(c == 1).sum(), (c == 2).sum(), c.sum(), t.sum(), (c > 0).sum()], np.int64),)))
         release()
@@ -357,7 +433,7 @@ def _with(merged: DataFrame, sent: list[DataFrame], files: int) -> DataFrame:
 
 
 def _answer(kept: list[tuple[int, Totals]]):
-    """A range: log10 probabilities and the words' counts for the cells each block asked for."""
+    """A range: log10 probabilities of the cells each block asked for."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,14 +442,14 @@ def _answer(kept: list[tuple[int, Totals]]):
                 names, of, context, seen, above, block, sizes, at = _unpack(row["payload"], row["size"], *_MERGED)
                 p = 0
                 for sweep, totals in kept:
-                    *last, count = _last(row["got"], sweep)
+                    last = _last(row["got"], sweep)
                     state = sample_words(names, of, context, seen, None, 0, above, last)
                     own = totals_of(state, context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
                     p = p + predictive(state, context, own) / len(kept)
-                log, count = np.log10(p).astype(np.float32), count[of]
+                log = np.log10(p).astype(np.float32)
                 rows, lo = [], 0
                 for b, n in zip(block.tolist(), sizes.tolist()):
-                    x = (log[at[lo : lo + n]], count[at[lo : lo + n]])
+                    x = (log[at[lo : lo + n]],)
                     rows.append((b, row["range"], _size(x), _arrays(*x)))
                     lo += n
                 for i in range(0, len(rows), 64):
@@ -385,26 +461,32 @@ def _answer(kept: list[tuple[int, Totals]]):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n_tokens: int, n_words: int):
+def _score(ranges: int, slices: int, n_tokens: int, n_words: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, data, answers in zip(*(batch.column(c).to_pylist() for c in ("size", "payload", "answers"))):
-                ids, null, held, count, cell = _unpack(data, size, np.int64, np.uint8, np.uint8, np.int64, np.uint32)
-                got = [_unpack(a["payload"], a["size"], np.float32, np.uint32) for a in sorted(answers or [], key=lambda a: a["range"])]
-                log, seen = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-                base = np.log10((seen + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
-                edge = np.r_[0, np.cumsum(count)].astype(np.int64)
-                of = np.repeat(np.arange(len(ids)), count)
-                sum_ = lambda x: np.bincount(of, x[cell], minlength=len(ids))
+            for row in batch.to_pylist():
+                ids, null, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
+                number, total = _numbers(names, row["numbers"], slices)
+                seen = total[of]
+                base = np.log10((total.astype(float) + 0.5) / (n_tokens + 0.5 * (n_words + 1)))[of]
+                one, _, _, _, cell = _cells(of, count, held)
+                log = np.empty(len(one), np.float32)  # ranges answer in their order, as they were asked
+                log[np.argsort(range_of(number, ranges)[one], kind="stable")] = np.concatenate([_unpack(a["payload"], a["size"], np.float32)[0] for a in sorted(row["answers"], key=lambda a: a["range"])])
+                of_text = np.repeat(np.arange(len(ids)), count)
+                sum_ = lambda x: np.bincount(of_text, x, minlength=len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(np.diff(edge)), pa.array(sum_((seen > 0).astype(float)).astype(np.int64)), pa.array(np.full(len(ids), n_tokens)), pa.array(sum_(base)), pa.array(sum_(log.astype(np.float64)))],
+                    [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(count), pa.array(sum_((seen > 0).astype(float)).astype(np.int64)), pa.array(np.full(len(ids), n_tokens)), pa.array(sum_(base)), pa.array(sum_(log[cell].astype(np.float64)))],
                     [x.split()[0] for x in _SCORED.split(", ")],
                 )
 
     return run
 
 
+def _by_block(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("block").agg(F.collect_list(F.struct("range", "size", "payload")).alias(name)).hint("shuffle_hash")
+
+
 def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document; learns from the others than is_held (of doc_id) marks."""
     spark = docs.sparkSession
@@ -412,10 +494,11 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(max(1, np.ceil(size / RANGE)))  # by the data alone, so that draws do not depend on the cluster
     files = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # texts are read for the messages and again for the documents' own cells: cheaper than to store the messages
-    counted = bucketed(rows.mapInArrow(_count(ranges, False), _ASKED), "cells", "block", files)
     slices = max(1, ranges // 4)
-    merged = bucketed(rows.mapInArrow(_count(ranges, True), _ASKED).groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
+    counted = bucketed(rows.mapInArrow(_read, _ASKED), "tokens", "block", files)
+    numbers = bucketed(counted.mapInArrow(_words(slices), _ASKED).groupBy("range").applyInPandas(_number(slices), _ASKED), "numbers", "block", files)
+    own = counted.select("block", "size", "payload").join(_by_block(numbers, "numbers"), "block")
+    merged = bucketed(own.mapInArrow(_send(ranges, slices), _ASKED).groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
     totals, kept, sent, discount = None, [], [], (0.5, 0.5, 0.5)
     n_tokens = n_words = 0
     for sweep in range(sweeps + 1):
@@ -431,9 +514,8 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
         if not n_tokens:
             break
     kept = kept[2:] or kept[-1:]
-    answers = _with(merged, [x for k in kept for x in k[2]], files).mapInArrow(_answer([k[:2] for k in kept]), _ASKED).repartition(files, "block").groupBy("block").agg(F.collect_list(F.struct("range", "size", "payload")).alias("answers"))
-    own = counted.select("block", "size", "payload")
-    return own.join(answers.hint("shuffle_hash"), "block", "left").mapInArrow(_score(n_tokens, n_words), _SCORED)
+    answers = _with(merged, [x for k in kept for x in k[2]], files).mapInArrow(_answer([k[:2] for k in kept]), _ASKED).repartition(files, "block")
+    return own.join(_by_block(answers, "answers"), "block").mapInArrow(_score(ranges, slices, n_tokens, n_words), _SCORED)
 
 
 def language_model(docs: DataFrame, mod: int = 5, held: int = 1) -> DataFrame:
