@@ -313,15 +313,16 @@ def totals_of(state: tuple, context, root: tuple[int, int], discount, n_words: i
     return Totals([np.bincount(context, c0), np.bincount(parent, c1), np.array([root[0]])], [np.bincount(context, t0), np.bincount(parent, t1), np.array([root[1]])], discount, n_words)
 
 
-def sample_words(names, of, context, seen, totals: Totals | None, sweep: int, above=None, last: tuple | None = None) -> tuple:
+def sample_words(names, of, context, seen, totals: Totals | None, sweep: int, above=None, last: tuple | None = None, levels: tuple | None = None) -> tuple:
     """One sweep over cells: (customers and tables of the leaves' cells, of the parents', of the root, parents' cells).
 
     above: the parent of each context; last: tables of the leaves' cells and of the parents', and the root's customers
     and tables of each word, as they are. totals: the root's totals, the discounts and the number of words. Sweep 0 is
-    the least seating, for which neither is read. The root's tables are not seated here.
+    the least seating, for which neither is read. The root's tables are not seated here. levels: the parents' cells, where
+    they are known from another sweep.
     """
     n = len(names)
-    word, parent, up = _levels(of, context, above)
+    word, parent, up = levels or _levels(of, context, above)
     c0 = seen.astype(np.int64)
     t0 = (c0 > 0).astype(np.int64) if last is None else last[0].astype(np.int64)
     rng = np.random.default_rng([sweep, int(names[0] & np.uint64(0xFFFFFFFF)) if n else 0, n])
@@ -440,10 +441,11 @@ def _answer(kept: list[tuple[int, Totals]]):
         for batch in batches:
             for row in batch.to_pylist():
                 names, of, context, seen, above, block, sizes, at = _unpack(row["payload"], row["size"], *_MERGED)
-                p = 0
+                p, levels = 0, None
                 for sweep, totals in kept:
                     last = _last(row["got"], sweep)
-                    state = sample_words(names, of, context, seen, None, 0, above, last)
+                    state = sample_words(names, of, context, seen, None, 0, above, last, levels)
+                    levels = state[6:]
                     own = totals_of(state, context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
                     p = p + predictive(state, context, own) / len(kept)
                 log = np.log10(p).astype(np.float32)
