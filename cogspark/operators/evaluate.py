@@ -7,6 +7,7 @@ cost after one aggregation does not depend on the number of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,30 @@ def _interval(point: DataFrame, ends: DataFrame) -> DataFrame:
     return point.select("*", enough("lo"), enough("hi"), ends.select("valid").scalar().alias("valid"))
 
 
+def mean_intervals(rows: DataFrame, by: str, values: dict[str, Column], cluster: str, whole: str | None = None, reps: int = 200, seed: int = 42) -> DataFrame:
+    """(by, n, n_clusters, for each value its mean, …_lo and …_hi, valid): means with intervals, whole clusters drawn again.
+
+    A draw weights the sums by (by, cluster), of which there is one row each; it counts where it has rows of the group,
+    and fewer than MIN_DRAWS of these give no interval. whole: the name of a group of all rows.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    sums = ["__n", *values]
+    cells = rows.groupBy(by, F.col(cluster).alias("__c")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v.cast("double")).alias(k) for k, v in values.items()])
+    if whole is not None:
+        cells = cells.unionByName(cells.groupBy("__c").agg(*[F.sum(k).alias(k) for k in sums]).withColumn(by, F.lit(whole)))
+    weighed = cells.join(draw_vectors(cells, "__c", reps, seed), "__c")
+    total = weighed.groupBy(by).agg(*[vector_to_array(Summarizer.sum(_weighted("w", F.col(k)))).alias(k) for k in sums])
+    drawn = F.col("__n") > 0
+    each = total.select(by, F.inline(F.arrays_zip(*sums))).select(by, drawn.alias("drawn"), *[F.when(drawn, F.col(k) / F.col("__n")).alias(k) for k in values])
+    ends = each.groupBy(by).agg(F.count_if("drawn").alias("valid"), *[F.percentile(k, F.lit(q)).alias(k + end) for k in values for q, end in ((0.025, "_lo"), (0.975, "_hi"))])
+    point = cells.groupBy(by).agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("n_clusters"), *[(F.sum(k) / F.sum("__n")).alias(k) for k in values])
+    enough = lambda c: F.when(F.col("valid") >= C.MIN_DRAWS, F.col(c)).alias(c)
+    own = [c for k in values for c in (F.col(k), enough(k + "_lo"), enough(k + "_hi"))]
+    return point.join(ends, by, "left").select(by, "n", "n_clusters", *own, F.coalesce("valid", F.lit(0)).cast("long").alias("valid"))
+
+
 def _range_ranks(reps: int):
     """Sorted rows (s, pos, neg) of a range to its least score, its share of each replicate's U, and its counts."""
 
@@ -355,6 +380,13 @@ def rejection_report(pred: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))).select("status", "n", "share", "mean_conf")
 
 
+def rejection_by_grade(pred: DataFrame, grade: str, least: float = 4.0) -> DataFrame:
+    """(graded, n, unsure, matched_wrongly) of out-of-domain rows with a grade of `least` or more, and of those under it; rows without one are left out."""
+    share = lambda s: F.avg((F.col("status") == s).cast("double"))
+    rows = pred.filter(F.col(grade).isNotNull() & ~F.isnan(F.col(grade).cast("double")))
+    return rows.groupBy(F.when(F.col(grade) >= least, "or_more").otherwise("under").alias("graded")).agg(F.count(F.lit(1)).alias("n"), share("unsure").alias("unsure"), share("matched").alias("matched_wrongly"))
+
+
 def rejection_errors(pred: DataFrame, k: int = 5) -> DataFrame:
     """The k classes that out-of-domain rows are most often matched to: (pred, n, rank); ties by name."""
     n = pred.filter("status = 'matched'").groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
@@ -372,6 +404,15 @@ def failure_audit(pred: DataFrame, by: list[str], conf: float = C.AUDIT_CONFIDEN
     return pred.filter((F.col("truth") != F.col("pred")) & (F.col("conf") >= conf)).groupBy(*by, "truth", "pred").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+def failure_members(pred: DataFrame, by: list[str], conf: float = C.AUDIT_CONFIDENCE) -> DataFrame:
+    """(by…, truth, pred, n, id): the rows of each of failure_audit's clusters, one each, beside the cluster's size."""
+    key = [*by, "truth", "pred"]
+    rows = pred.filter((F.col("truth") != F.col("pred")) & (F.col("conf") >= conf)).select(*key, "id")
+    n = rows.groupBy(*[F.col(k).alias("__" + k) for k in key]).agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col("__" + k)) for k in key]  # a null in the cluster's columns is a value
+    return rows.join(n, same).select(*key, "n", "id")
+
+
 def robustness(before: DataFrame, after: DataFrame) -> DataFrame:
     """(rewrite, n, unchanged, acc_before, acc_after) of pairs (id) of which the rewrite keeps the behaviour."""
     rows = before.select("id", "truth", F.col("pred").alias("b")).join(after.filter("keeps").select("id", "rewrite", F.col("pred").alias("a")), "id")
@@ -379,6 +420,19 @@ def robustness(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.groupBy("rewrite").agg(F.count(F.lit(1)).alias("n"), mean(F.col("a") == F.col("b")).alias("unchanged"), mean(F.col("b") == F.col("truth")).alias("acc_before"), mean(F.col("a") == F.col("truth")).alias("acc_after"))
 
 
+def robustness_report(before: DataFrame, after: DataFrame, cluster: str) -> DataFrame:
+    """(rewrite, applicable, dropped, n, n_clusters, unchanged, identical, acc_before, acc_after, each with …_lo and …_hi, valid).
+
+    before: (id, truth, pred, cluster); after: (id, rewrite, pred, keeps, identical), identical: the features are those
+    of before. Of the applicable pairs those whose rewrite does not keep the behaviour are dropped; a rewrite of which
+    none is left has nulls.
+    """
+    rows = before.select("id", "truth", F.col("pred").alias("b"), cluster).join(after.select("id", "rewrite", F.col("pred").alias("a"), "keeps", "identical"), "id")
+    counts = rows.groupBy("rewrite").agg(F.count(F.lit(1)).alias("applicable"), F.count_if(~F.coalesce("keeps", F.lit(False))).alias("dropped"))
+    values = {"unchanged": F.col("a") == F.col("b"), "identical": F.col("identical"), "acc_before": F.col("b") == F.col("truth"), "acc_after": F.col("a") == F.col("truth")}
+    return counts.join(mean_intervals(rows.filter("keeps"), "rewrite", values, cluster), "rewrite", "left")
+
+
 def false_alarms(after: DataFrame) -> DataFrame:
     """(rewrite, n, false_alarm): of rewrites that keep a right program's behaviour, the share that is called something else than CORRECT."""
     return after.filter(F.col("keeps") & (F.col("truth") == "CORRECT")).groupBy("rewrite").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") != "CORRECT").cast("double")).alias("false_alarm"))
@@ -420,16 +474,37 @@ def holdout_scores(pred: DataFrame) -> DataFrame:
     return by.agg(F.avg("a").alias("class_mean"), (F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("micro"), F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("n"))
 
 
+def holdout_report(pred: DataFrame, cluster: str, micro: str = "_micro") -> DataFrame:
+    """(truth, n, n_clusters, accuracy, primary, each with …_lo and …_hi, valid) of rows of held-out operators, by class and over all rows (`micro`).
+
+    pred: (truth, pred, labels ARRAY, cluster): accuracy takes any of a row's labels, primary its truth alone.
+    """
+    values = {"accuracy": F.array_contains("labels", F.col("pred")), "primary": F.col("pred") == F.col("truth")}
+    return mean_intervals(pred, "truth", values, cluster, micro)
+
+
+def holdout_skips(rows: DataFrame, labels: list[str], least: int = 2) -> DataFrame:
+    """(label, operators, reason): the classes that no operator can be held out of, as they have fewer base operators than `least`.
+
+    rows: (label, op_id), where an op_id with a plus is of two bugs and no base operator.
+    """
+    dim = rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    base = rows.filter(~F.contains("op_id", F.lit("+"))).groupBy("label").agg(F.countDistinct("op_id").alias("operators"))
+    n = F.broadcast(dim).join(base, "label", "left").withColumn("operators", F.coalesce("operators", F.lit(0)))
+    return n.filter(F.col("operators") < least).withColumn("reason", F.concat(F.col("operators").cast("string"), F.lit(" base operator(s), at least "), F.lit(str(least)), F.lit(" are needed")))
+
+
 def external_counts(corpus: DataFrame, bank: DataFrame, family: str, key: str) -> DataFrame:
     """(family, n, in_bank, problems) of an outside corpus, and which keys the bank has."""
     known = bank.select(key).distinct().withColumn("known", F.lit(1))
     return corpus.join(known, key, "left").groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("in_bank"), F.countDistinct(key).alias("problems"))
 
 
-def why_gain(df: DataFrame) -> DataFrame:
-    """df: (id, pair, label, truth, p_option, p_text) to (pair, n, option_alone, with_text, gain).
+def why_trials(df: DataFrame, *carry: str) -> DataFrame:
+    """df: (id, pair, label, truth, p_option, p_text) to (id, pair, carry…, option_alone, with_text, always_text), one row an id.
 
-    A tie among k best labels gives each 1 / k; the text multiplies as in a posterior.
+    A tie among k best labels gives each 1 / k; the text multiplies as in a posterior. Where df has `unsure`, the text of
+    such rows is not heard in with_text, but in always_text.
     """
     def credit(p):
         best = F.max(p).over(W.partitionBy("id"))
@@ -437,8 +512,28 @@ def why_gain(df: DataFrame) -> DataFrame:
         return tied / F.sum(tied).over(W.partitionBy("id"))
 
     text = F.col("p_option") * F.pow(C.TEXT_EPSILON + F.col("p_text"), F.lit(C.TEXT_BETA))
-    rows = df.withColumn("a", credit(F.col("p_option"))).withColumn("b", credit(text)).filter("label = truth")
-    return rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("option_alone"), F.avg("b").alias("with_text"), F.avg(F.col("b") - F.col("a")).alias("gain"))
+    heard = F.when(F.col("unsure"), F.col("p_option")).otherwise(text) if "unsure" in df.columns else text
+    rows = df.withColumns({"option_alone": credit(F.col("p_option")), "with_text": credit(heard), "always_text": credit(text)})
+    return rows.filter("label = truth").select("id", "pair", *carry, "option_alone", "with_text", "always_text")
+
+
+def why_gain(df: DataFrame) -> DataFrame:
+    """(pair, n, option_alone, with_text, gain): means of why_trials."""
+    rows = why_trials(df)
+    return rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg("option_alone").alias("option_alone"), F.avg("with_text").alias("with_text"), F.avg(F.col("with_text") - F.col("option_alone")).alias("gain"))
+
+
+def why_report(df: DataFrame, clusters: list[str], whole: str = "_all") -> DataFrame:
+    """(cluster, pair, n, n_clusters, option_alone, with_text, always_text, gain, gain_always, each with …_lo and …_hi, valid).
+
+    By pair and over all trials (`whole`), once for each column of `clusters` (items, contexts), whose groups are drawn
+    again whole.
+    """
+    trials = why_trials(df, *clusters)
+    gain = lambda c: F.col(c) - F.col("option_alone")
+    values = {**{c: F.col(c) for c in ("option_alone", "with_text", "always_text")}, "gain": gain("with_text"), "gain_always": gain("always_text")}
+    each = [mean_intervals(trials, "pair", values, c, whole).select(F.lit(c).alias("cluster"), "*") for c in clusters]
+    return reduce(DataFrame.unionByName, each)
 
 
 def learning_curve(df: DataFrame, last: int) -> DataFrame:

@@ -217,6 +217,16 @@ def outlier_trees(rows: DataFrame, id: str, features: list[str], trees: int = 25
     return rows.select(F.col(id).cast("string").alias("id"), *cols).mapInPandas(score, "id string, score double")
 
 
+def outlier_report(scores: DataFrame, k: int = 20, contamination: float = 0.02) -> DataFrame:
+    """The k rows of the highest score of outlier_trees, ties by id: (id, score, rank, outlier), outlier: above the cut.
+
+    The cut leaves the share `contamination` of all rows above it: the percentile of the scores, linear between values.
+    """
+    cut = scores.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut")).scalar()
+    top = scores.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))  # k rows
+    return top.select("id", "score", "rank", (F.col("score") > cut).alias("outlier"))
+
+
 def _average_path(n: int) -> float:
     """Mean depth of an unsuccessful search among n."""
     import math

@@ -255,3 +255,64 @@ def e_false_alarms(predictions):
 select 'domain' slice, c.v \"value\", sum(n)::bigint n, round(sum(h) / sum(n), 6) accuracy, (select round(quantile_cont(s, 0.025), 6) from s where s.v = c.v) lo, (select round(quantile_cont(s, 0.975), 6) from s where s.v = c.v) hi, (select count(*) from s where s.v = c.v) valid from c group by c.v""")
 def e16_slice_intervals(predictions):
     return _R(E.slice_intervals(predictions, ["domain"], "cluster"), "accuracy", "lo", "hi")
+
+
+def _means(base: str, values: list[str], whole: str | None = None) -> str:
+    """SQL of mean_intervals: base gives g, cluster and the values."""
+    each = lambda f: ", ".join(f.replace("?", v) for v in values)
+    sums = f"count(*) n, {each('sum(?)::double ?')} from base"
+    every = f" union all select '{whole}', cluster, {sums} group by cluster" if whole else ""
+    return (
+        f"with base as ({base}), {_DRAW.replace('from predictions', 'from base')}, c as (select g, cluster, {sums} group by g, cluster{every}), s as (select g, rep, {each('sum(w * ?) / sum(w * n) ?')} from w join k on k.k = w.k join c on c.cluster = k.cluster group by 1, 2), p as (select g, sum(n)::bigint n, count(*) n_clusters, {each('sum(?) / sum(n) ?')} from c group by 1), "
+        f"e as (select g, count(*) valid, {each('quantile_cont(?, 0.025) ?_lo, quantile_cont(?, 0.975) ?_hi')} from s group by 1), r as (select p.g, n, n_clusters, {each('round(?, 6) ?, case when valid >= 100 then round(?_lo, 6) end ?_lo, case when valid >= 100 then round(?_hi, 6) end ?_hi')}, coalesce(valid, 0)::bigint valid from p left join e on e.g = p.g)"
+    )
+
+
+def _ends(*names: str) -> list[str]:
+    return [n + e for n in names for e in ("", "_lo", "_hi")]
+
+
+_REWRITTEN = "select p.id, truth, pred b, cluster, 'r' || (p.id % 3) g, case when p.id % 5 = 0 then 'c0' else pred end a, p.id % 4 <> 1 keeps, p.id % 7 <> 0 same from predictions p"
+
+
+@query("e19_robustness_report", "predictions", sql=_means(f"select g, cluster, (a = b)::int unchanged, same::int identical, (b = truth)::int acc_before, (a = truth)::int acc_after from ({_REWRITTEN}) where keeps", ["unchanged", "identical", "acc_before", "acc_after"]) + f", n as (select g, count(*) applicable, count(*) filter (not keeps) dropped from ({_REWRITTEN}) group by 1) select r.* rename (g as rewrite), applicable, dropped from r join n on n.g = r.g")
+def e19_robustness_report(predictions):
+    i = F.col("id")
+    after = predictions.select("id", F.concat(F.lit("r"), i % 3).alias("rewrite"), F.when(i % 5 == 0, "c0").otherwise(F.col("pred")).alias("pred"), (i % 4 != 1).alias("keeps"), (i % 7 != 0).alias("identical"))
+    return _R(E.robustness_report(predictions, after, "cluster"), *_ends("unchanged", "identical", "acc_before", "acc_after"))
+
+
+@query("e26_holdout_report", "predictions", sql=_means("select truth g, cluster, (pred = truth or (id % 3 = 0 and pred = 'c1'))::int accuracy, (pred = truth)::int own from predictions", ["accuracy", "own"], "_micro") + " select * rename (g as truth, own as \"primary\", own_lo as primary_lo, own_hi as primary_hi) from r")
+def e26_holdout_report(predictions):
+    labels = F.when(F.col("id") % 3 == 0, F.array("truth", F.lit("c1"))).otherwise(F.array("truth"))
+    return _R(E.holdout_report(predictions.withColumn("labels", labels), "cluster"), *_ends("accuracy", "primary"))
+
+
+@query("e26_holdout_skips", "predictions", sql="with n as (select truth, count(distinct domain) filter (id % 2 = 0 and truth < 'c4') k from predictions group by 1), l(label) as (select 'c' || r from range(12) t(r)) select label, coalesce(k, 0) operators, coalesce(k, 0) || ' base operator(s), at least 2 are needed' reason from l left join n on truth = label where coalesce(k, 0) < 2")
+def e26_holdout_skips(predictions):
+    op = F.when((F.col("id") % 2 == 0) & (F.col("truth") < "c4"), F.col("domain")).otherwise(F.concat(F.col("domain"), F.lit("+other")))
+    return E.holdout_skips(predictions.select(F.col("truth").alias("label"), op.alias("op_id")), [f"c{i}" for i in range(12)])
+
+
+@query("e17_rejection_by_grade", "predictions", sql="select case when y >= 4 then 'or_more' else 'under' end graded, count(*) n, round(avg((conf < 0.5)::int), 6) unsure, round(avg((conf >= 0.5 and pred <> 'c0')::int), 6) matched_wrongly from predictions where y is not null group by 1")
+def e17_rejection_by_grade(predictions):
+    rows = predictions.withColumn("status", F.when(F.col("conf") < 0.5, "unsure").when(F.col("pred") == "c0", "correct_reasoning").otherwise("matched"))
+    return _R(E.rejection_by_grade(rows, "y"), "unsure", "matched_wrongly")
+
+
+@query("e18_failure_members", "predictions", sql="select domain, problem_id, truth, pred, count(*) over (partition by domain, problem_id, truth, pred) n, id from predictions where truth <> pred and conf >= 0.6")
+def e18_failure_members(predictions):
+    return E.failure_members(predictions, ["domain", "problem_id"])
+
+
+_WHY = """with l as (select id, cluster, conf < 0.4 unsure, 'p' || (id % 4) g, k, y % 4 t, case when k = id % 4 or k = (id + 1) % 4 then 0.4e0 else 0.1e0 end po, case when k = y % 4 then conf else 0.1e0 end pt from predictions cross join range(4) r(k)), m as (select *, po * pow(0.02e0 + pt, 0.5e0) pa, case when unsure then po else po * pow(0.02e0 + pt, 0.5e0) end pw from l),
+x as (select *, (po >= max(po) over (partition by id) - 1e-9)::int a, (pw >= max(pw) over (partition by id) - 1e-9)::int b, (pa >= max(pa) over (partition by id) - 1e-9)::int z from m), v as (select *, a / sum(a) over (partition by id) option_alone, b / sum(b) over (partition by id) with_text, z / sum(z) over (partition by id) always_text from x)
+select g, cluster, option_alone, with_text, always_text, with_text - option_alone gain, always_text - option_alone gain_always from v where k = t"""
+
+
+@query("e21_why_report", "predictions", sql=_means(_WHY, ["option_alone", "with_text", "always_text", "gain", "gain_always"], "_all") + " select 'cluster' as \"cluster\", r.* rename (g as pair) from r")
+def e21_why_report(predictions):
+    i, k = F.col("id"), F.col("label")
+    rows = predictions.select("id", "y", "conf", "cluster", F.explode(F.array(*[F.lit(x) for x in range(4)])).alias("label"))
+    rows = rows.select("id", "cluster", (F.col("conf") < 0.4).alias("unsure"), F.concat(F.lit("p"), i % 4).alias("pair"), "label", (F.col("y") % 4).alias("truth"), F.when((k == i % 4) | (k == (i + 1) % 4), 0.4).otherwise(0.1).alias("p_option"), F.when(k == F.col("y") % 4, F.col("conf")).otherwise(0.1).alias("p_text"))
+    return _R(E.why_report(rows, ["cluster"]), *_ends("option_alone", "with_text", "always_text", "gain", "gain_always"))

@@ -84,6 +84,13 @@ def q10_outliers(embeddings):
     return Q.outlier_trees(rows, "vec_id", features).withColumn("score", F.round("score", 6))
 
 
+@query("q10_outlier_report", "embeddings", sql="with s as (select vec_id::varchar id, list_sum([abs(x::double) for x in embedding]) s from embeddings), c as (select quantile_cont(s, 0.98) c from s) select id, round(s, 6) score, row_number() over (order by s desc, id)::int \"rank\", s > c outlier from s, c order by s desc, id limit 20")
+def q10_outlier_report(embeddings):
+    """The cut and the twenty first over a score that SQL can express as well; q10_outliers has the trees'."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return Q.outlier_report(embeddings.select(F.col("vec_id").cast("string").alias("id"), total.alias("score"))).withColumn("score", F.round("score", 6))
+
+
 @query("q11_events", "events", sql="with d as (select distinct user_id id, user_id % 5 c, event_type t from events), n as (select c, count(distinct id) n from d group by 1), e as (select c, t, count(*) k from d group by 1, 2) select 'Q11' rule_id, case when k / n >= 0.5 then 'FAIL' else 'PASS' end status, c || ':' || t \"key\", round(k / n, 6) \"value\" from e join n using (c)")
 def q11_events(events):
     return _V(Q.check_events(events.select(F.col("user_id").alias("id"), (F.col("user_id") % 5).cast("string").alias("class"), F.col("event_type").alias("type"))))
