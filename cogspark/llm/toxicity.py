@@ -1,12 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the words of a text (A-Z lower-cased, ASCII punctuation taken for white space), pairs of neighbours and
-pairs with one word between them, hashed to 2^BITS coordinates and counted once a text. Labelled rows are dealt over
+Features are the words of a text (A-Z lower-cased, ASCII punctuation taken for white space), pairs of neighbours,
+pairs with one word between them, and the beginnings of longer words, so that a stem tells under endings that no
+labelled text has; they are hashed to 2^BITS coordinates and counted once a text. Labelled rows are dealt over
 parts of a bounded number of rows; each part is trained on its own, row by row, with a learning rate for each
 coordinate and L1 regularisation. All labelled rows are used, and their evidence is pooled: a coordinate that some part
 has learned gets the mean of the weights of the parts that saw it; for one whose gradients stay under the L1 threshold
-in every part, the sums of all parts' gradients are put to the threshold once, so that rare words tell too. The weights
-are few enough to go with the tasks that score (at most 2^BITS, in practice hundreds).
+in every part, the sums of all parts' gradients are put to the threshold once, so that rare words tell too. Sums of many
+parts pass that threshold by chance as well, so they also have to be some multiple of their noise (the root of the summed
+squares); the multiple is the one of OVER with the least log loss over all labelled rows. The weights are few enough to
+go with the tasks that score (at most 2^BITS, in practice hundreds).
 
 Defined cases: a null or empty text has the score of no features; only labels of documents that may be learned from are
 looked at; without labelled rows of both kinds every score is the share of label 1 (0 without any); of several labels of
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 from .common import SpanHash, blocks, broadcast_if_small, fold, mix, text_bytes, tidy, words
 
 BITS, BLOCK = 20, 1 << 20
+#: Code points of the beginnings of words, and of the shortest words that give them.
+STEMS, LEAST_WORD = (3, 4, 5, 6, 7), 5
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 4.0, 0.1, 2
 #: Rows in a part of the training set, and coordinates that are handed on at once.
 PART_ROWS, SENT = 16_000, 1 << 16
+#: Multiples of their noise that pooled sums may have to exceed; the last one lets none through.
+OVER = (4.0, 6.0, 8.0, 12.0, 16.0, 32.0, float("inf"))
 BIAS = 0  # coordinate
 
 
@@ -37,11 +44,17 @@ def features(texts: pa.Array | pa.ChunkedArray, bits: int = BITS) -> tuple[np.nd
     body, offsets = text_bytes(texts)
     letter = (body >= 128) | ((body >= 48) & (body <= 57)) | ((body >= 65) & (body <= 90)) | ((body >= 97) & (body <= 122))
     body, start, end, of = words(np.where(letter, body, 32).astype(np.uint8), offsets)
-    word = SpanHash(body).of(start, end)
+    spans = SpanHash(body)
+    word = spans.of(start, end)
     shift, found = np.uint64(64 - bits), [(word, of)]
     for gap in (1, 2):
         same = of[gap:] == of[:-gap]
         found.append((mix(word[:-gap] * np.uint64(2 * gap + 1) + word[gap:])[same], of[gap:][same]))
+    point = np.flatnonzero((body & 0xC0) != 0x80)  # where code points start
+    first, last = np.searchsorted(point, start), np.searchsorted(point, end)
+    for n in STEMS:
+        some = last - first > max(n, LEAST_WORD - 1)
+        found.append((mix(spans.of(start[some], point[first[some] + n]) + np.uint64(n)), of[some]))
     at = np.concatenate([(x >> shift).astype(np.int64) for x, _ in found])
     return np.maximum(at, 1), np.concatenate([x for _, x in found])
 
@@ -100,8 +113,27 @@ def _train(bits: int, epochs: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS, epochs: int = EPOCHS, part_rows: int = PART_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(coordinates, weights) learned from the labelled rows that `learn` (of id) marks."""
+def _losses(models: list[tuple[np.ndarray, np.ndarray]], bits: int):
+    """Log loss of each model over labelled rows, in millionths: whole numbers add up alike in any order."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost = np.zeros(len(models), np.int64)
+        for table in blocks(batches, "text", BLOCK):
+            found, label = features(table.column("text"), bits), table.column("label").to_numpy()
+            for k, model in enumerate(models):
+                total = _totals(*found, table.num_rows, *model, bits)
+                lost[k] += np.rint(1e6 * np.logaddexp(0, np.where(label > 0, -total, total))).astype(np.int64).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), pa.array(lost)], ["model", "lost"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = BITS, epochs: int = EPOCHS, part_rows: int = PART_ROWS, over: tuple[float, ...] = (0.0,)) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, weights) learned from the labelled rows that `learn` (of id) marks.
+
+    over: multiples of its noise that a pooled sum has to exceed, of which the one with the least loss is taken.
+    """
     marks = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).filter(learn).groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     rows = docs.filter(learn).select(F.col(id).alias("__id"), F.col(text).alias("text")).join(broadcast_if_small(marks), "__id")
     found, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -116,19 +148,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
     made = dealt.sortWithinPartitions("part", "order").select("text", "label", "part").mapInArrow(_train(bits, epochs), "at long, w double, seen double, z double, n double")
     pooled = made.groupBy("at").agg((F.sum("w") / F.sum("seen")).alias("w"), F.sum("z").alias("z"), F.sum("n").alias("n"))
     step = -(F.col("z") - F.signum("z") * L1) / ((F.lit(BETA) + F.sqrt("n")) / ALPHA + L2)
-    got = pooled.select("at", F.when(F.col("w") != 0, F.col("w")).when(F.abs("z") > L1, step).alias("w")).filter("w is not null").orderBy("at").toArrow()
-    return got.column("at").to_numpy(), got.column("w").to_numpy()
-
-
-def scores(texts: pa.Array | pa.ChunkedArray, at: np.ndarray, weight: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Probability of label 1 for each text."""
+    ratio = F.abs("z") / F.sqrt("n")
+    learned = F.col("w") != 0
+    kept = pooled.filter(learned | ((F.abs("z") > L1) & (ratio > min(over))))
+    got = kept.select("at", F.when(learned, F.col("w")).otherwise(step).alias("w"), F.when(learned, float("inf")).otherwise(ratio).alias("ratio")).orderBy("at").toArrow()
+    at, w, ratio = (got.column(c).to_numpy() for c in ("at", "w", "ratio"))
+    models = [(at[held], w[held]) for held in (np.isinf(ratio) | (ratio > c) for c in sorted(over))]
+    if len({len(m[0]) for m in models}) == 1:
+        return models[0]
+    lost = rows.select("text", "label").mapInArrow(_losses(models, bits), "model int, lost long").groupBy("model").agg(F.sum("lost").alias("lost"))
+    # of equal ones the strictest
+    return models[max(lost.collect(), key=lambda r: (-r["lost"], r["model"]))["model"]]
+
+
+def _totals(x: np.ndarray, of: np.ndarray, n: int, at: np.ndarray, weight: np.ndarray, bits: int) -> np.ndarray:
+    """Sum of the weights of each of n texts; x and of are their features."""
     table = np.zeros(1 << bits)
     table[at] = weight
     bias, table[BIAS] = table[BIAS], 0.0
-    x, of = features(texts, bits)
     told = np.flatnonzero(table[x])
     pair = np.unique(of[told] * (1 << bits) + x[told])
-    total = bias + np.bincount(pair >> bits, table[pair & ((1 << bits) - 1)], minlength=len(texts))
+    return bias + np.bincount(pair >> bits, table[pair & ((1 << bits) - 1)], minlength=n)
+
+
+def scores(texts: pa.Array | pa.ChunkedArray, at: np.ndarray, weight: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    total = _totals(*features(texts, bits), len(texts), at, weight, bits)
     return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
@@ -146,9 +191,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     return docs.mapInArrow(run, docs.select(names).schema.add(out, "double"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 5, held: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 5, held: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     narrow = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    model = fit(narrow, labels.select(F.col(id).cast("long").alias("doc_id"), F.col(label).alias("toxic")), fold("doc_id", mod) != held)
+    model = fit(narrow, labels.select(F.col(id).cast("long").alias("doc_id"), F.col(label).alias("toxic")), fold("doc_id", mod) != held, part_rows=part_rows, over=OVER)
     out = score(narrow, model)
     return out.select("doc_id", F.coalesce(fold("doc_id", mod) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

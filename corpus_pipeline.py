@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores 0.5 or more go; it learns from the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 5) != 0)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 5) != 0, over=toxicity.OVER)
     out = free_name(docs, "toxic")
     return toxicity.score(docs, model, out=out).filter(F.col(out) < 0.5).drop(out)
 

@@ -168,6 +168,23 @@ def test_toxicity_end_to_end_matches_the_plain_rule(spark):
         assert abs(got[i] - 1 / (1 + math.exp(-sum(want.get(x, 0) for x in {0} | plain_features(t))))) < 1e-9
 
 
+def test_toxicity_ranks_held_out_rows_after_many_parts(spark):
+    """Sums of 8 parts' gradients pass the threshold by chance; marks are stems under endings of which most are seen once."""
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(5000):
+        w, bad = [rng.choice(common) for _ in range(rng.randint(20, 120))], i % 10 == 0
+        for _ in range(rng.randint(2, 4) if bad else 0):
+            w.insert(rng.randint(0, len(w)), rng.choice(["zorku", "chón"]) + "".join(rng.choice("ijklmn") for _ in range(6)))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), part_rows=500).collect()
+    ones, zeros = ([r["score"] for r in got if r["held_out"] and (r["doc_id"] % 10 == 0) == k] for k in (True, False))
+    assert np.mean([(a > b) + (a == b) / 2 for a in ones for b in zeros]) > 0.99
+    assert np.mean([s >= 0.5 for s in ones]) > 0.95 and np.mean([s < 0.5 for s in zeros]) > 0.99
+
+
 def brute_counts(docs):
     tokens = [[re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", d[1] or "")] + [None] for d in docs]
     c = Counter()
