@@ -47,7 +47,8 @@ BLOCK, PIECE, RANGE = 6 << 20, 1 << 20, 12 << 20
 END = np.uint64(0x656E64)
 #: Stands for what is before a text; no word and no end has this hash.
 START = np.uint64(0)
-_LOW = np.int64(0xFFFFFFFF)
+#: Cells whose probabilities are computed at once.
+CELLS = 1 << 18
 
 
 def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,19 +76,37 @@ def _read_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, of[1:].astype(np.uint32), count.astype(np.int64)
 
 
-def _cells(of: np.ndarray, count: np.ndarray, held: np.ndarray) -> tuple:
-    """Word before, word before that, word and training count of each cell of a block; for each token the number of its cell."""
-    of = of.astype(np.int64)
+def _groups(columns: tuple, sizes: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns, each below its size, and which rows in that order are the first of their kind."""
+    bits = [max(1, int(n - 1).bit_length()) for n in sizes]
+    if sum(bits) <= 64:
+        key = columns[0].astype(np.uint64)
+        for c, b in zip(columns[1:], bits[1:]):
+            key <<= np.uint64(b)
+            key |= c
+        order = np.argsort(key)
+        columns = (key[order],)
+        del key
+    else:
+        order = np.lexsort(columns[::-1])
+        columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return order, new
+
+
+def _cells(of: np.ndarray, count: np.ndarray, start: int, n: int) -> tuple:
+    """Word before, word and word before that of each cell of a block, in rising order; the order of the tokens by cells, and where each cell begins in it."""
     first = np.cumsum(count) - count  # no text is without a token
-    one = np.r_[0, of[:-1]][: len(of)]
-    one[first] = 0
-    two = np.r_[0, one[:-1]][: len(of)]
-    two[first] = 0
-    pairs, pair = np.unique(one << 32 | two, return_inverse=True)
-    cells, cell = np.unique(pair.astype(np.int64) << 32 | of, return_inverse=True)
-    seen = np.bincount(cell[~np.repeat(held > 0, count)], minlength=len(cells)).astype(np.uint32)
-    pair = pairs[cells >> 32]
-    return pair >> 32, pair & _LOW, cells & _LOW, seen, cell
+    one = np.r_[np.uint32(start), of[:-1]][: len(of)]
+    one[first] = start
+    two = np.r_[np.uint32(start), one[:-1]][: len(of)]
+    two[first] = start
+    order, new = _groups((one, of, two), (n, n, n))
+    lead = order[new]
+    return one[lead], of[lead], two[lead], order, new
 
 
 def _size(x) -> int:
@@ -150,7 +169,7 @@ def _words(slices: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 _, _, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
                 seen = np.bincount(of[~np.repeat(held > 0, count)], minlength=len(names)).astype(np.uint32)
                 where = slice_of_hash(names, slices)
@@ -188,32 +207,47 @@ def _number(slices: int):
     return run
 
 
-def _numbers(names: np.ndarray, answers: list, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number and the training count of each of a block's words, from the slices' answers."""
+def _numbers(names: np.ndarray, of: np.ndarray, answers: list, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The number and the training count of each of a block's words, in the order of the root's slices; the tokens and the start in that order."""
     by = np.argsort(slice_of_hash(names, slices), kind="stable")
     got = [_unpack(a["payload"], a["size"], np.uint64, np.uint64) for a in sorted(answers, key=lambda a: a["range"])]
     ids, total = np.empty(len(names), np.uint64), np.empty(len(names), np.uint64)
     ids[by], total[by] = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-    return ids, total
+    order = _in_slices(ids, slices)
+    rank = np.empty(len(names), np.uint32)
+    rank[order] = np.arange(len(names), dtype=np.uint32)
+    return ids[order], total[order], rank[of], int(rank[0])
+
+
+def _in_slices(ids: np.ndarray, slices: int) -> np.ndarray:
+    """The order of words in which ranges and the root's slices talk of them."""
+    return np.lexsort((ids, slice_of(ids, slices)))
+
+
+def _by_range(ids: np.ndarray, one: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in the order of the ranges, otherwise as they are, and where each range begins."""
+    where = range_of(ids, ranges).astype(np.uint16 if ranges <= 1 << 16 else np.int64)[one]
+    by = np.argsort(where, kind="stable")
+    return by, np.searchsorted(where[by], np.arange(ranges + 1))
 
 
 def _send(ranges: int, slices: int):
-    """Blocks to the cells of each range, in rising order of the words before."""
+    """Blocks to the cells of each range, in rising order of word before, word and word before that."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 _, _, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
-                ids, _ = _numbers(names, row["numbers"], slices)
-                one, two, word, seen, _ = _cells(of, count, held)
-                where = range_of(ids, ranges)[one]
-                by = np.argsort(where, kind="stable")  # cells in the order of the ranges
-                edge, out = np.searchsorted(where[by], np.arange(ranges + 1)), []
+                ids, _, of, start = _numbers(names, of, row["numbers"], slices)
+                one, word, two, order, new = _cells(of, count, start, len(ids))
+                seen = np.add.reduceat(np.repeat(held == 0, count)[order], np.flatnonzero(new), dtype=np.uint32)
+                by, edge = _by_range(ids, one, ranges)
+                out = []
                 for r in np.flatnonzero(edge[1:] > edge[:-1]):
                     own = by[edge[r] : edge[r + 1]]
-                    used, at = np.unique(ids[np.r_[one[own], two[own], word[own]]], return_inverse=True)
-                    x = (used, *at.astype(np.uint32).reshape(3, -1), seen[own])
+                    used, at = np.unique(np.r_[one[own], word[own], two[own]], return_inverse=True)
+                    x = (ids[used], *at.astype(np.uint32).reshape(3, -1), seen[own])
                     out.append((row["block"], int(r), _size(x), _arrays(*x)))
                     if len(out) == 32:
                         yield _rows(out)
@@ -224,6 +258,12 @@ def _send(ranges: int, slices: int):
     return run
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, payloads where they lie: a batch may hold many, and each is large."""
+    for i in range(batch.num_rows):
+        yield {k: c[i].as_buffer() if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c[i].as_py() for k, c in zip(batch.schema.names, batch.columns)}
+
+
 _ASKED = "block long, range long, size long, payload binary"
 
 
@@ -232,36 +272,66 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 
 def _merge(slices: int):
-    """A range: one row with its cells, words in the order of the root's slices, and which cells each block asks for."""
+    """A range: one row with its cells, words in the order of the root's slices, and apart which cells each block asks for.
+
+    Cells lie by parent and word, so that the leaves' cells of a parent's cell follow one another and none is looked up later.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        asked = [_unpack(p, s, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32) for p, s in zip(pdf["payload"], pdf["size"])]
-        names, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        start = np.r_[0, np.cumsum([len(a[0]) for a in asked])]
-        one, two, of = (np.concatenate([inverse[s : s + len(a[0])][a[i]] for s, a in zip(start, asked)]).astype(np.int64) for i in (1, 2, 3))
-        pairs, pair = np.unique(one << 32 | two, return_inverse=True)
-        key = pair.astype(np.int64) << 32 | of
-        del one, two, of, pair, inverse
-        cells, at = np.unique(key, return_inverse=True)
-        seen = np.bincount(at, np.concatenate([a[4] for a in asked]).astype(float), minlength=len(cells)).astype(np.uint32)
-        sizes = np.array([len(a[1]) for a in asked], np.int64)
-        held, of = np.unique(cells & _LOW, return_inverse=True)
-        order = np.argsort(slice_of(names[held], slices), kind="stable")
+        most = int(pdf["size"].sum()) // 16  # four numbers a cell
+        cells, used, sizes, lo, n = [np.empty(most, np.uint32) for _ in range(4)], [], [], 0, 0
+        for payload, size in zip(pdf["payload"], pdf["size"]):
+            own, *piece, counts = _unpack(payload, size, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+            for to, a in zip(cells, (*(a + np.uint32(lo) for a in piece), counts)):
+                to[n : n + len(a)] = a
+            used.append(own)
+            sizes.append(len(counts))
+            lo, n = lo + len(own), n + len(counts)
+        names, inverse = np.unique(np.concatenate(used), return_inverse=True)
+        order = _in_slices(names, slices)
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        above = np.unique(pairs >> 32, return_inverse=True)[1]
-        x = (names[held[order]], rank[of], (cells >> 32).astype(np.uint32), seen, above.astype(np.uint32), pdf["block"].to_numpy(np.int64), sizes, at.astype(np.uint32))
-        out = pd.DataFrame({"block": [0], "range": pdf["range"].iloc[:1].to_numpy(), "size": [_size(x)], "payload": [_arrays(*x)]})
-        del asked, key, cells, at, x
+        names, inverse = names[order], rank[inverse]
+        one, of, two = (inverse[a[:n]] for a in cells[:3])
+        seen, sizes = cells[3][:n], np.array(sizes, np.int64)
+        del cells, used, own, piece, counts, to, a, inverse, order
+        n = len(names)
+        order, new = _groups((one, of, two), (n, n, n))
+        lead = order[new]
+        seen = np.add.reduceat(seen[order], np.flatnonzero(new), dtype=np.uint32)
+        at = np.empty(len(order), np.uint32)
+        at[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        one, of, two = one[lead], of[lead], two[lead]
+        del order, new, lead
+        is_one, held = np.zeros(n, bool), np.zeros(n, bool)
+        is_one[one], held[of] = True, True
+        one, of = (np.cumsum(x, dtype=np.uint32)[a] - np.uint32(1) for x, a in ((is_one, one), (held, of)))
+        up = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (of[1:] != of[:-1])])
+        order, new = _groups((one, two), (n, n))
+        context = np.empty(len(order), np.uint32)
+        context[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        leaves = np.bincount(one[order[new]]).astype(np.uint32)  # contexts of each parent
+        context -= (np.cumsum(leaves, dtype=np.uint32) - leaves)[one]
+        x = (names[held], of[up], one[up], np.diff(up, append=len(one)).astype(np.uint32), leaves, context, seen)
+        y = (pdf["block"].to_numpy(np.int64), sizes, at)
+        out = pd.DataFrame({"range": pdf["range"].iloc[:1].to_numpy(), "size": [_size(x)], "payload": [_arrays(*x)], "asked_size": [_size(y)], "asked": [_arrays(*y)]})
+        del order, new, one, of, two, up, context, at, x, y
         release()
         return out
 
     return run
 
 
-_MERGED = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32)
+_MERGED, _CELLS = "range long, size long, payload binary, asked_size long, asked binary", (np.uint64, *6 * (np.uint32,))
+
+
+def _unmerge(row: dict) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
+    """A range's words, the parents' cells (as _levels has them), the context and the training count of each leaf's cell."""
+    names, word, parent, per, leaves, context, seen = _unpack(row["payload"], row["size"], *_CELLS)
+    up = np.repeat(np.arange(len(word), dtype=np.uint32), per)
+    return names, (word, parent, up), context + (np.cumsum(leaves, dtype=np.uint32) - leaves)[parent][up], seen
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, share: np.ndarray, tables_else: np.ndarray, discount: float, strength: float) -> np.ndarray:
@@ -310,7 +380,7 @@ def _levels(of: np.ndarray, context: np.ndarray, above: np.ndarray | None) -> tu
 def totals_of(state: tuple, context, root: tuple[int, int], discount, n_words: int) -> Totals:
     """The totals of all restaurants that a state holds whole, with the root's customers and tables."""
     c0, t0, c1, t1, _, _, _, parent, _ = state
-    return Totals([np.bincount(context, c0), np.bincount(parent, c1), np.array([root[0]])], [np.bincount(context, t0), np.bincount(parent, t1), np.array([root[1]])], discount, n_words)
+    return Totals([_sums(context, c0), _sums(parent, c1), np.array([root[0]])], [_sums(context, t0), _sums(parent, t1), np.array([root[1]])], discount, n_words)
 
 
 def sample_words(names, of, context, seen, totals: Totals | None, sweep: int, above=None, last: tuple | None = None, levels: tuple | None = None) -> tuple:
@@ -323,31 +393,62 @@ def sample_words(names, of, context, seen, totals: Totals | None, sweep: int, ab
     """
     n = len(names)
     word, parent, up = levels or _levels(of, context, above)
-    c0 = seen.astype(np.int64)
-    t0 = (c0 > 0).astype(np.int64) if last is None else last[0].astype(np.int64)
     rng = np.random.default_rng([sweep, int(names[0] & np.uint64(0xFFFFFFFF)) if n else 0, n])
-    c1 = np.bincount(up, t0, minlength=len(word)).astype(np.int64)
-    t1 = (c1 > 0).astype(np.int64) if last is None else last[1].astype(np.int64)
-    c2 = np.bincount(word, t1, minlength=n).astype(np.int64) if last is None else last[2].astype(np.int64)
+    c0, live = seen, np.flatnonzero(seen > 1)  # the others have a table for each customer
+    least = (c0 > 0).astype(np.uint32)
+    t0 = least if last is None else last[0]
+    # cells with a customer, of each parent's cell and each context: what more tables there are is added for live ones alone
+    below = _sums(up, least, len(word))
+    c1 = _more(below, up, live, t0)
+    t1 = (c1 > 0).astype(np.uint32) if last is None else last[1]
+    c2 = _sums(word, t1, n).astype(np.int64) if last is None else last[2].astype(np.int64)
     t2 = (c2 > 0).astype(np.int64) if last is None else last[3].astype(np.int64)
     if sweep == 0:
         return c0, t0, c1, t1, c2, t2, word, parent, up
     root = totals.own(2, c2, t2, np.zeros(n, int)) + totals.mass(2)[0] / (totals.n_words + 1)
+    inside = _sums(context, least)
     for _ in range(2):
-        now = totals_of((c0, t0, c1, t1, c2, t2, word, parent, up), context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
-        mid = now.own(1, c1, t1, parent) + now.mass(1)[parent] * root[word]
-        t0 = seat(rng, c0, mid[up], now.tables[0][context] - t0, now.discount[0], STRENGTH[0])
-        c1 = np.bincount(up, t0, minlength=len(word)).astype(np.int64)
-        t1 = seat(rng, c1, root[word], now.tables[1][parent] - t1, now.discount[1], STRENGTH[1])
+        now = Totals([None, _sums(parent, c1), None], [_more(inside, context, live, t0), _sums(parent, t1), None], totals.discount, totals.n_words)
+        k, x = up[live], context[live]
+        mid = now.own(1, c1[k], t1[k], parent[k]) + now.mass(1)[parent[k]] * root[word[k]]
+        had, t0 = t0[live].astype(np.int64), least.copy()
+        t0[live] = seat(rng, c0[live].astype(np.int64), mid, now.tables[0][x] - had, now.discount[0], STRENGTH[0])
+        c1 = _more(below, up, live, t0)
+        k = np.flatnonzero(c1 > 1)
+        had, t1 = t1[k].astype(np.int64), (c1 > 0).astype(np.uint32)
+        t1[k] = seat(rng, c1[k].astype(np.int64), root[word[k]], now.tables[1][parent[k]] - had, now.discount[1], STRENGTH[1])
     return c0, t0, c1, t1, c2, t2, word, parent, up
 
 
+def _sums(of: np.ndarray, what: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Sums of what by of, a part of the rows at a time: np.bincount makes 16 bytes of each row."""
+    n = (int(of.max()) + 1 if len(of) else 0) if n is None else n
+    out, step = np.zeros(n, np.uint32), max(CELLS, n // 4)
+    for i in range(0, len(of), step):
+        k = slice(i, i + step)
+        lo = int(of[k].min())
+        some = np.bincount(of[k] - of.dtype.type(lo), what[k])
+        out[lo : lo + len(some)] += some.astype(np.uint32)
+    return out
+
+
+def _more(least: np.ndarray, of: np.ndarray, live: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Sums of the cells' tables, given the sums where each cell with customers has one."""
+    out = least.copy()
+    np.add.at(out, of[live], tables[live].astype(np.uint32) - np.uint32(1))
+    return out
+
+
 def predictive(state: tuple, context, totals: Totals) -> np.ndarray:
     """Probability of each leaf's cell's word in its context."""
     c0, t0, c1, t1, c2, t2, word, parent, up = state
     root = totals.own(2, c2, t2, np.zeros(len(c2), int)) + totals.mass(2)[0] / (totals.n_words + 1)
-    mid = totals.own(1, c1, t1, parent) + totals.mass(1)[parent] * root[word]
-    return totals.own(0, c0, t0, context) + totals.mass(0)[context] * mid[up]
+    mass, mid, p = (totals.mass(0), totals.mass(1)), np.empty(len(c1)), np.empty(len(c0))
+    for k in (slice(i, i + CELLS) for i in range(0, len(c1), CELLS)):
+        mid[k] = totals.own(1, c1[k], t1[k], parent[k]) + mass[1][parent[k]] * root[word[k]]
+    for k in (slice(i, i + CELLS) for i in range(0, len(c0), CELLS)):
+        p[k] = totals.own(0, c0[k], t0[k], context[k]) + mass[0][context[k]] * mid[up[k]]
+    return p
 
 
 _SENT = "sweep long, range long, slice long, size long, payload binary"
@@ -359,12 +460,17 @@ def _sent(sweep: int, rows: list) -> list:
     return [(sweep, r, v, _size(x), _arrays(*x)) for r, v, x in rows]
 
 
-def _last(got: list, sweep: int) -> tuple:
+def _last(got: list, sweep: int, cells: tuple) -> tuple:
     """What a sweep left for a range: tables of the leaves' cells and of the parents'; the root's customers and tables of each word."""
-    got = [g for g in got if g["sweep"] == sweep]
-    state = next(_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in got if g["slice"] == _STATE)
+    (_, (word, _, up), _, seen), got = cells, [g for g in got if g["sweep"] == sweep]
+    more0, more1 = next(_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in got if g["slice"] == _STATE)
+    t0 = (seen > 0).astype(np.uint32)
+    t0[seen > 1] = more0
+    c1 = _sums(up, t0, len(word))
+    t1 = (c1 > 0).astype(np.uint32)
+    t1[c1 > 1] = more1
     root = [_unpack(g["payload"], g["size"], np.uint32, np.uint32) for g in sorted(got, key=lambda g: g["slice"]) if g["slice"] >= 0]
-    return (*state, *(np.concatenate([x[i] for x in root]) for i in (0, 1)))
+    return (t0, t1, *(np.concatenate([x[i] for x in root]) for i in (0, 1)))
 
 
 def _sweep(slices: int, sweep: int, totals: Totals | None):
@@ -373,13 +479,13 @@ def _sweep(slices: int, sweep: int, totals: Totals | None):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                names, of, context, seen, above, *_ = _unpack(row["payload"], row["size"], *_MERGED)
-                last = _last(row["got"], sweep - 1) if sweep else None
-                c0, t0, c1, t1, _, _, word, _, _ = sample_words(names, of, context, seen, totals, sweep, above, last)
-                up = np.bincount(word, t1, minlength=len(names)).astype(np.uint32)
-                stats = np.array([(c0 == 1).sum(), (c0 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), c0.sum()], np.int64)
-                out = [(row["range"], _STATE, (t0.astype(np.uint32), t1.astype(np.uint32))), (row["range"], _STATS, (stats,))]
+            for row in _each(batch):
+                cells = names, levels, context, seen = _unmerge(row)
+                last = _last(row["got"], sweep - 1, cells) if sweep else None
+                c0, t0, c1, t1, _, _, word, _, _ = sample_words(names, None, context, seen, totals, sweep, None, last, levels)
+                up = _sums(word, t1, len(names))
+                stats = np.array([(c0 == 1).sum(), (c0 == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum(), c0.sum(dtype=np.int64)], np.int64)
+                out = [(row["range"], _STATE, (t0[c0 > 1].astype(np.uint32), t1[c1 > 1].astype(np.uint32))), (row["range"], _STATS, (stats,))]
                 edge = np.searchsorted(slice_of(names, slices), np.arange(slices + 1))
                 out += [(row["range"], int(v), (names[a:b], up[a:b])) for v, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
                 yield from _packed(_sent(sweep, out))
@@ -430,7 +536,7 @@ def _with(merged: DataFrame, sent: list[DataFrame], files: int) -> DataFrame:
         rows = rows.unionByName(s)
     # dealt as the bucketed table is, so that grouping and joining share one shuffle
     got = rows.repartition(files, "range").groupBy("range").agg(F.collect_list(F.struct("sweep", "slice", "size", "payload")).alias("got"))
-    return merged.select("range", "size", "payload").join(got.hint("shuffle_hash"), "range", "left")
+    return merged.join(got.hint("shuffle_hash"), "range", "left")
 
 
 def _answer(kept: list[tuple[int, Totals]]):
@@ -439,16 +545,17 @@ def _answer(kept: list[tuple[int, Totals]]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                names, of, context, seen, above, block, sizes, at = _unpack(row["payload"], row["size"], *_MERGED)
-                p, levels = 0, None
+            for row in _each(batch):
+                cells = names, levels, context, seen = _unmerge(row)
+                p = np.zeros(len(seen))
                 for sweep, totals in kept:
-                    last = _last(row["got"], sweep)
-                    state = sample_words(names, of, context, seen, None, 0, above, last, levels)
-                    levels = state[6:]
+                    last = _last(row["got"], sweep, cells)
+                    state = sample_words(names, None, context, seen, None, 0, None, last, levels)
                     own = totals_of(state, context, (totals.customers[2][0], totals.tables[2][0]), totals.discount, totals.n_words)
-                    p = p + predictive(state, context, own) / len(kept)
-                log = np.log10(p).astype(np.float32)
+                    p += predictive(state, context, own)
+                log = np.log10(p / len(kept)).astype(np.float32)
+                del cells, levels, context, seen, last, state, own, p
+                block, sizes, at = _unpack(row["asked"], row["asked_size"], np.int64, np.int64, np.uint32)
                 rows, lo = [], 0
                 for b, n in zip(block.tolist(), sizes.tolist()):
                     x = (log[at[lo : lo + n]],)
@@ -467,18 +574,20 @@ def _score(ranges: int, slices: int, n_tokens: int, n_words: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 ids, null, held, count, names, of = _unpack(row["payload"], row["size"], *_BLOCK)
-                number, total = _numbers(names, row["numbers"], slices)
+                number, total, of, start = _numbers(names, of, row["numbers"], slices)
                 seen = total[of]
                 base = np.log10((total.astype(float) + 0.5) / (n_tokens + 0.5 * (n_words + 1)))[of]
-                one, _, _, _, cell = _cells(of, count, held)
+                one, _, _, order, new = _cells(of, count, start, len(number))
                 log = np.empty(len(one), np.float32)  # ranges answer in their order, as they were asked
-                log[np.argsort(range_of(number, ranges)[one], kind="stable")] = np.concatenate([_unpack(a["payload"], a["size"], np.float32)[0] for a in sorted(row["answers"], key=lambda a: a["range"])])
+                log[_by_range(number, one, ranges)[0]] = np.concatenate([_unpack(a["payload"], a["size"], np.float32)[0] for a in sorted(row["answers"], key=lambda a: a["range"])])
+                scores = np.empty(len(of))
+                scores[order] = log[np.cumsum(new) - 1]
                 of_text = np.repeat(np.arange(len(ids)), count)
                 sum_ = lambda x: np.bincount(of_text, x, minlength=len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(count), pa.array(sum_((seen > 0).astype(float)).astype(np.int64)), pa.array(np.full(len(ids), n_tokens)), pa.array(sum_(base)), pa.array(sum_(log[cell].astype(np.float64)))],
+                    [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(count), pa.array(sum_((seen > 0).astype(float)).astype(np.int64)), pa.array(np.full(len(ids), n_tokens)), pa.array(sum_(base)), pa.array(sum_(scores))],
                     [x.split()[0] for x in _SCORED.split(", ")],
                 )
 
@@ -500,11 +609,12 @@ def score_corpus(docs: DataFrame, is_held: Column, id: str = "doc_id", text: str
     counted = bucketed(rows.mapInArrow(_read, _ASKED), "tokens", "block", files)
     numbers = bucketed(counted.mapInArrow(_words(slices), _ASKED).groupBy("range").applyInPandas(_number(slices), _ASKED), "numbers", "block", files)
     own = counted.select("block", "size", "payload").join(_by_block(numbers, "numbers"), "block")
-    merged = bucketed(own.mapInArrow(_send(ranges, slices), _ASKED).groupBy("range").applyInPandas(_merge(slices), _ASKED), "ranges", "range", files)
+    merged = bucketed(own.mapInArrow(_send(ranges, slices), _ASKED).groupBy("range").applyInPandas(_merge(slices), _MERGED), "ranges", "range", files)
+    cells = merged.select("range", "size", "payload")
     totals, kept, sent, discount = None, [], [], (0.5, 0.5, 0.5)
     n_tokens = n_words = 0
     for sweep in range(sweeps + 1):
-        state = written((_with(merged, sent, files) if sweep else merged).mapInArrow(_sweep(slices, sweep, totals), _SENT), "state")
+        state = written((_with(cells, sent, files) if sweep else cells).mapInArrow(_sweep(slices, sweep, totals), _SENT), "state")
         root = written(state.filter("slice >= 0").groupBy("slice").applyInPandas(_root(sweep, totals), _SENT), "root")
         below, top = _stats(state), _stats(root)
         if not sweep:

@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -327,3 +329,61 @@ def test_probabilities_sum_to_one_after_a_sweep():
     p = pitman_yor.predictive(state, context, own).reshape(words_, 50).sum(0)
     assert all(c2 > 0) and np.allclose(p + own.mass(2)[0] / (words_ + 1) * own.mass(1)[above] * own.mass(0), 1, atol=1e-9)
     assert (state[1] <= seen).all() and (state[1][seen > 0] >= 1).all()
+
+
+def peak_of(run):
+    """What run gives, and the most bytes it held at once beyond those before it."""
+    tracemalloc.start()
+    try:
+        got = run()
+        return got, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_range_with_a_frequent_word():
+    """One word is before most others: its range is larger than the rest, so a cell may take few bytes on the way."""
+    rng = np.random.default_rng(9)
+    words_, n, pieces = 40_000, 200_000, []
+    names = np.arange(words_, dtype=np.uint64)
+    for block in range(3):
+        one = np.where(np.arange(n) < n // 20, rng.integers(1, 500, n), 0)
+        cells = np.unique(np.stack([one, rng.integers(0, words_, n), rng.integers(0, words_, n)]), axis=1).astype(np.uint32)
+        x = (names, *cells, rng.choice([0, 1, 1, 1, 1, 1, 1, 1, 2, 5], cells.shape[1]).astype(np.uint32))
+        pieces.append((block, 0, pitman_yor._size(x), pitman_yor._arrays(*x)))
+    asked = pd.DataFrame(pieces, columns=["block", "range", "size", "payload"])
+    cells = 3 * n
+    merged, peak = peak_of(lambda: pitman_yor._merge(1)(asked))
+    assert peak < 90 * cells
+    row, totals, got = merged.to_dict("records")[0], None, []
+    for sweep in range(3):
+        batch = pa.RecordBatch.from_pylist([row | {"got": got}])
+        sent, peak = peak_of(lambda: [r for b in pitman_yor._sweep(1, sweep, totals)(iter([batch])) for r in b.to_pylist()])
+        assert peak < 80 * cells
+        root = pitman_yor._root(sweep, totals)(pd.DataFrame([r for r in sent if r["slice"] >= 0])).to_dict("records")
+        top = next(pitman_yor._unpack(r["payload"], r["size"], np.int64)[0] for r in root if r["slice"] == pitman_yor._STATS)
+        totals = pitman_yor.Totals([None, None, np.array([top[2]])], [None, None, np.array([top[3]])], (0.5, 0.6, 0.7), words_)
+        got = [r for r in sent if r["slice"] == pitman_yor._STATE] + [r for r in root if r["range"] >= 0]
+    batch = pa.RecordBatch.from_pylist([row | {"got": got}])
+    answers, peak = peak_of(lambda: [r for b in pitman_yor._answer([(2, totals)])(iter([batch])) for r in b.to_pylist()])
+    assert peak < 65 * cells
+    logs = [pitman_yor._unpack(a["payload"], a["size"], np.float32)[0] for a in answers]
+    assert [a["block"] for a in answers] == [0, 1, 2] and all(np.isfinite(x).all() and (x < 0).all() for x in logs) and sum(map(len, logs)) > 0.99 * cells
+
+
+def test_groups_of_many_words():
+    """Columns too wide for one 64-bit key are grouped as narrow ones are."""
+    rng = np.random.default_rng(10)
+    columns = tuple(rng.integers(0, 7, 3000).astype(np.uint32) for _ in range(3))
+    narrow, wide = (pitman_yor._groups(columns, (n, n, n)) for n in (7, 1 << 30))
+    for order, new in (narrow, wide):
+        rows = list(zip(*(c[order].tolist() for c in columns)))
+        assert rows == sorted(rows) and new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+
+
+def test_sums_by_parts(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CELLS", 8)
+    rng = np.random.default_rng(11)
+    for of in (rng.integers(0, 40, 1000), np.sort(rng.integers(3, 40, 1000)).astype(np.uint32), np.zeros(0, np.uint32)):
+        what = rng.integers(0, 9, len(of)).astype(np.uint32)
+        assert pitman_yor._sums(of, what, 50).tolist() == np.bincount(of, what, 50).astype(int).tolist()
