@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.columns import forget, is_transfer_family, item_ratios, let, likelihood_ratio
+from ..functions.columns import forget, is_transfer_family, item_ratios, let, likelihood_ratio, two_digits
 from .bayes import apply_text
 from .shared import changes, written
 
@@ -330,7 +330,7 @@ def reassess_conditions(knowledge: DataFrame) -> DataFrame:
     """A row for each of the three conditions: (keys, id, met, detail)."""
     p = F.col("p_active")
     each = F.array(
-        F.struct(F.lit("p_active").alias("id"), (p < C.STABLE_P).alias("met"), F.format_string("%.2f", p).alias("detail")),
+        F.struct(F.lit("p_active").alias("id"), (p < C.STABLE_P).alias("met"), two_digits(p).alias("detail")),
         F.struct(F.lit("trap").alias("id"), F.col("trap_passed").alias("met"), F.lit("").alias("detail")),
         F.struct(F.lit("transfer").alias("id"), F.col("transfer_passed").alias("met"), F.lit("").alias("detail")),
     )
