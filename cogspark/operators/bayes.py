@@ -155,7 +155,8 @@ def select_probe(posterior: DataFrame, asked: DataFrame, probes: DataFrame, by=(
 def decide(posterior: DataFrame, facts: DataFrame, by=("key",)) -> DataFrame:
     """facts (key…, gate, tests_passed, abstain, fixable, n_asked, probe_bits) to (key…, status, top1, p1, top2, p2, band, latent, twin_set)."""
     two = ranked(posterior, by).filter("rank <= 2").groupBy(*by).agg(*[F.max(F.when(F.col("rank") == i, F.col(c))).alias(n) for i, c, n in ((1, "label", "top1"), (1, "p", "p1"), (2, "label", "top2"), (2, "p", "p2"))])
-    rows = two.join(facts, [*by])
+    # cut to 12 digits, as the order is: a P on a threshold, or halfway between shown digits, is not left to the order of a sum
+    rows = two.withColumns({c: F.round(c, 12) for c in ("p1", "p2")}).join(facts, [*by])
     close = (F.col("p1") < C.CONFIDENT_P) & (F.col("p1") - F.col("p2") < C.CONFIDENT_MARGIN)
     both = F.col("top1").isin(C.MISCONCEPTIONS) & F.col("top2").isin(C.MISCONCEPTIONS) & (F.col("p2") >= C.TWO_BUG_P2) & F.coalesce("fixable", F.lit(False))
     probe = (F.col("n_asked") < C.MAX_PROBES) & (F.col("p1") < C.POSTERIOR_STOP) & (F.coalesce("probe_bits", F.lit(0.0)) >= C.EIG_MIN_BITS)

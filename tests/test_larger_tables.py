@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cogspark.functions import columns as L
+from cogspark.operators import bayes as B
 from cogspark.operators import knowledge as K
 
 
@@ -16,3 +17,12 @@ def test_two_digits_follow_the_exact_value(spark):
     assert [(r["p"], r["s"]) for r in rows] == [(v, f"{v:.2f}") for v in values]
     known = spark.createDataFrame([(1, "M01", 0.625, True, False)], "learner_id long, class string, p_active double, trap_passed boolean, transfer_passed boolean")
     assert K.reassess_conditions(known).filter("id = 'p_active'").first()["detail"] == "0.62"
+
+
+def test_decide_takes_a_p_beside_a_threshold_as_on_it(spark):
+    below = lambda x: math.nextafter(x, 0)
+    post = spark.createDataFrame([(1, "M01", below(0.45)), (1, "M02", 0.1), (2, "M01", below(below(0.75))), (2, "M02", below(0.02)), (3, "M01", below(0.5)), (3, "M02", 0.2)], "key long, label string, p double")
+    facts = spark.createDataFrame([(k, "G0", k == 3, False, False, 0, 0.0) for k in (1, 2, 3)], "key long, gate string, tests_passed boolean, abstain boolean, fixable boolean, n_asked int, probe_bits double")
+    out = {r["key"]: r for r in B.decide(post, facts).collect()}
+    assert (out[1]["band"], out[2]["band"], out[2]["top2"], out[3]["latent"]) == ("Possible", "Likely", "M02", "M01")
+    assert (out[1]["p1"], out[2]["p2"]) == (0.45, 0.02)
