@@ -53,19 +53,32 @@ def normalise(df: DataFrame, by, weight: Column, out: str = "p") -> DataFrame:
 
 
 def posterior_prior(p0: DataFrame, learner: DataFrame, by=("key",)) -> DataFrame:
-    """p0 (key…, label, p, masked), learner (key…, label, active) to (key…, label, p, no_mass)."""
-    rows = p0.join(learner, [*by, "label"], "left")
-    pi = F.when(F.col("label").isin("CORRECT", "OTHER"), 1.0).otherwise(F.greatest(F.coalesce("active", F.lit(C.POPULATION_PRIOR)), F.lit(C.PRIOR_FLOOR)))
-    weight = F.when(F.col("masked"), 0.0).otherwise(F.greatest("p", F.lit(0.0)) * F.pow(pi, F.lit(C.PRIOR_GAMMA)))
-    return normalise(rows, by, weight).select(*by, "label", "p", "no_mass")
+    """p0 (key…, label, p, masked), learner (key…, label, active) to (key…, label, p, no_mass).
 
-
-def by_label(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
-    """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels. One row a key."""
+    Both sides meet as one row a key; a join of rows by label would be planned by the size of the keys alone.
+    """
+    prior = _wide(p0, F.when(F.col("masked"), 0.0).otherwise(F.greatest("p", F.lit(0.0))), by).withColumnRenamed("values", "__p")
+    known = _wide(learner, F.col("active"), by).withColumnRenamed("values", "__k")
+    floor = lambda k: F.pow(F.greatest(F.coalesce(k, F.lit(C.POPULATION_PRIOR)), F.lit(C.PRIOR_FLOOR)), F.lit(C.PRIOR_GAMMA))
+    pi = lambda i, k: F.when(F.get(F.lit(C.LABELS), i).isin("CORRECT", "OTHER"), 1.0).otherwise(floor(k))
+    rows = prior.join(known.hint("merge"), [*by], "left")
+    weight = F.transform("__p", lambda p, i: p * pi(i, F.get("__k", i)))
+    rows = rows.select(*by, weight.alias("w")).withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    out = F.transform("w", lambda x, i: F.struct(F.get(F.lit(C.LABELS), i).alias("label"), F.when(F.col("t") > 0, x / F.col("t")).when(x.isNotNull(), 0.0).alias("p")))
+    return rows.select(*by, (F.col("t") <= 0).alias("no_mass"), F.inline(F.filter(out, lambda x: x["p"].isNotNull()))).select(*by, "label", "p", "no_mass")
+
+
+def _wide(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
+    """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels, null for those without one."""
     at = label_order()
     sums = [F.sum(F.when(F.col("__at") == i + 1, F.col("__v"))).alias(f"__{i}") for i in range(len(C.LABELS))]
     wide = rows.select(*by, at.alias("__at"), value.alias("__v")).groupBy(*by).agg(*sums)
-    return wide.select(*by, F.array(*[F.coalesce(f"__{i}", F.lit(0.0)) for i in range(len(C.LABELS))]).alias("values"))
+    return wide.select(*by, F.array(*[F.col(f"__{i}") for i in range(len(C.LABELS))]).alias("values"))
+
+
+def by_label(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
+    """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels. One row a key."""
+    return _wide(rows, value, by).select(*by, F.transform("values", lambda x: F.coalesce(x, F.lit(0.0))).alias("values"))
 
 
 def _of_option(table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cogspark.functions import columns as L
+from cogspark.functions import constants as C
 from cogspark.operators import bayes as B
 from cogspark.operators import knowledge as K
 
@@ -26,3 +27,26 @@ def test_decide_takes_a_p_beside_a_threshold_as_on_it(spark):
     out = {r["key"]: r for r in B.decide(post, facts).collect()}
     assert (out[1]["band"], out[2]["band"], out[2]["top2"], out[3]["latent"]) == ("Possible", "Likely", "M02", "M01")
     assert (out[1]["p1"], out[2]["p2"]) == (0.45, 0.02)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_posterior_prior_broadcasts_no_rows_by_label(spark):
+    keys = spark.range(40).withColumnRenamed("id", "key")
+    rows = B.labels(keys).withColumn("p", 1 / (F.col("ord") + 1)).withColumn("masked", (F.col("key") + F.col("ord")) % 5 == 0)
+    learner = rows.filter("ord % 3 = 0 and key % 2 = 0").select("key", "label", F.when(F.col("ord") != 6, F.col("key") / 40).alias("active"))
+    p0 = rows.filter("key <> 7 or ord < 2").withColumn("masked", F.col("masked") | (F.col("key") == 9)).drop("ord")
+    out = B.posterior_prior(p0, learner)
+    assert "BroadcastHashJoin" not in plan(out)
+    active = {(r["key"], r["label"]): r["active"] for r in learner.collect()}
+    weight = {}
+    for r in p0.collect():
+        a = active.get((r["key"], r["label"]))
+        pi = 1 if r["label"] in ("CORRECT", "OTHER") else max(C.POPULATION_PRIOR if a is None else a, C.PRIOR_FLOOR) ** C.PRIOR_GAMMA
+        weight.setdefault(r["key"], {})[r["label"]] = 0 if r["masked"] else r["p"] * pi
+    want = {(k, label): (x / sum(w.values()) if sum(w.values()) else 0, not sum(w.values())) for k, w in weight.items() for label, x in w.items()}
+    got = {(r["key"], r["label"]): (r["p"], r["no_mass"]) for r in out.collect()}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[k][0], want[k][0], abs_tol=1e-12) and got[k][1] == want[k][1] for k in want)
