@@ -9,6 +9,7 @@ from cogspark.functions import columns as L
 from cogspark.functions import constants as C
 from cogspark.operators import bayes as B
 from cogspark.operators import knowledge as K
+from cogspark.operators import text as T
 
 
 def test_two_digits_follow_the_exact_value(spark):
@@ -50,3 +51,19 @@ def test_posterior_prior_broadcasts_no_rows_by_label(spark):
     got = {(r["key"], r["label"]): (r["p"], r["no_mass"]) for r in out.collect()}
     assert set(got) == set(want)
     assert all(math.isclose(got[k][0], want[k][0], abs_tol=1e-12) and got[k][1] == want[k][1] for k in want)
+
+
+def test_a_large_vocabulary_is_not_broadcast(spark, monkeypatch):
+    texts = {1: "loop ends Early", 2: "the loop ends", 3: "ends", 4: "", 5: "loop ends early"}
+    rows = spark.sql("select * from values " + ", ".join(f"({i}, '{t}')" for i, t in texts.items()) + " as t(id, text)")
+    monkeypatch.setattr(T, "broadcast_if_small", lambda df: df)  # as beyond its bound
+    for analyzer in ("word", "char_wb"):
+        out = T.tfidf(rows, analyzer=analyzer)
+        assert "BroadcastHashJoin" not in plan(out)
+        got = {(r["id"], r["term"]): r["weight"] for r in out.collect()}
+        monkeypatch.undo()
+        small = {(r["id"], r["term"]): r["weight"] for r in T.tfidf(rows, analyzer=analyzer).collect()}
+        assert set(got) == set(small) and all(math.isclose(got[k], small[k]) for k in got)
+        monkeypatch.setattr(T, "broadcast_if_small", lambda df: df)
+        assert {i for i, _ in got} == {1, 2, 3, 5}
+        assert all(math.isclose(sum(w * w for (j, _), w in got.items() if j == i), 1) for i in (1, 2, 3, 5))
