@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from cogspark.functions import columns as L
 from cogspark.functions import constants as C
 from cogspark.operators import bayes as B
+from cogspark.operators import exam as X
 from cogspark.operators import knowledge as K
 from cogspark.operators import text as T
 
@@ -67,3 +69,44 @@ def test_a_large_vocabulary_is_not_broadcast(spark, monkeypatch):
         monkeypatch.setattr(T, "broadcast_if_small", lambda df: df)
         assert {i for i, _ in got} == {1, 2, 3, 5}
         assert all(math.isclose(sum(w * w for (j, _), w in got.items() if j == i), 1) for i in (1, 2, 3, 5))
+
+
+def exams(spark):
+    rng = random.Random(4)
+    sessions = [(e, c, rng.choice([0.1, 0.4, 0.6]), rng.random() < 0.5, 1200.0 + 50 * (e % 3), ["M01"], e % 2) for e in range(12) for c in ("M01", "M02", "D01") if rng.random() < 0.8]
+    pool = [(i, ("coding", "trace")[i % 2], 1 + i % 3, f"s{i % 2}", c, (0.7, 0.4, 0.1)[(i + k) % 3], i // 6 % 2) for i in range(90) for k, c in enumerate(("M01", "M02", "D01", "M05")) if (i + k) % 4]
+    s = spark.createDataFrame(sessions, "exam_id long, class string, p double, covered boolean, theta double, ghosts array<string>, slice int")
+    p = spark.createDataFrame(pool, "item_id long, kind string, difficulty int, sector string, class string, exposure double, slice int")
+    rows = s.join(p.filter(F.col("exposure") >= C.EXAM_MIN_EXPOSURE), ["class", "slice"])
+    cost = F.when(F.col("kind") == "coding", C.EXAM_COST["coding"]).otherwise(C.EXAM_COST["trace"])
+    g = rows.groupBy("exam_id", "item_id", "difficulty", "sector").agg(F.sum(L.class_eig(F.col("p"), F.col("exposure")) / cost).alias("eig"), F.avg((~F.col("covered")).cast("double")).alias("cov"), F.first(F.abs(L.pass_probability(F.col("difficulty"), F.col("theta")) - C.EXAM_TARGET_PASS)).alias("off"), F.max((F.col("class") == "M01").cast("double")).alias("ghost"))
+    g = g.withColumn("score", F.col("eig") + C.EXAM_W_COVERAGE * F.col("cov") - C.EXAM_W_DIFFICULTY * F.col("off") + C.EXAM_W_GHOST * F.col("ghost"))
+    g = g.withColumn("key", L.tie_key(F.col("exam_id").cast("string"), F.col("item_id").cast("string")))
+    return s, p, g.select("exam_id", "item_id", "difficulty", "sector", "eig", "score", "key").collect()
+
+
+def test_exam_items_are_scored_by_kind_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(X, "TILE", 2)
+    monkeypatch.setattr(X, "CHUNK", 3)
+    s, p, want = exams(spark)
+    scored = X.score_candidates(s, p, "slice")
+    assert not re.search(r"Exchange hashpartitioning\((exam_id\S*, item_id|item_id\S*, exam_id)", plan(scored))
+    got = {(r["exam_id"], r["item_id"]): (r["score"], r["eig"]) for r in scored.collect()}
+    assert set(got) == {(r["exam_id"], r["item_id"]) for r in want} and len(got) > 300
+    assert all(math.isclose(got[r["exam_id"], r["item_id"]][0], r["score"]) and math.isclose(got[r["exam_id"], r["item_id"]][1], r["eig"]) for r in want)
+    free = [r["item_id"] for r in X.score_candidates(s.drop("slice"), p.drop("slice")).filter("exam_id = 3").collect()]
+    assert len(free) > len([1 for e, _ in got if e == 3]) and len(set(free)) == len(free)
+
+    gains, chunks = X.score_kinds(s, p, "slice")
+    best = {r["exam_id"]: r["item_id"] for r in X.recommend_exam_item(gains, chunks).collect()}
+    opened = {r["exam_id"]: r["item_id"] for r in X.opening(gains, chunks).collect()}
+    later = [(r["exam_id"], r["item_id"], r["rank"]) for r in X.deferred_probes(X.first_items(gains, chunks).withColumnRenamed("eig", "eig_bits")).collect()]
+    for e in {r["exam_id"] for r in want}:
+        own = [r for r in want if r["exam_id"] == e]
+        first = lambda rows: min(rows, key=lambda r: (-round(r["score"], 9), r["key"]))["item_id"]
+        assert best[e] == first(own)
+        easy = [r for r in own if r["difficulty"] == 1]
+        sector = max((round(r["eig"], 9), r["sector"]) for r in easy)[1]
+        assert opened[e] == first([r for r in easy if r["sector"] == sector])
+        worth = sorted((r for r in own if r["eig"] >= C.EIG_MIN_BITS), key=lambda r: (-round(r["eig"], 9), r["item_id"]))[:3]
+        assert sorted(x for x in later if x[0] == e) == sorted((e, r["item_id"], i + 1) for i, r in enumerate(worth))
