@@ -111,3 +111,20 @@ def test_exam_items_are_scored_by_kind_without_a_shuffle_of_pairs(spark, monkeyp
         assert opened.get(e) == (first([r for r in easy if r["sector"] == sector]) if easy else None)
         worth = sorted((r for r in own if r["eig"] >= C.EIG_MIN_BITS), key=lambda r: (-round(r["eig"], 9), r["item_id"]))[:3]
         assert sorted(x for x in later if x[0] == e) == sorted((e, r["item_id"], i + 1) for i, r in enumerate(worth))
+
+
+def test_next_item_with_asked_groups_equals_asked_items(spark):
+    rng = random.Random(5)
+    known = spark.createDataFrame([(u, c, rng.choice([0.1, 0.3, 0.8])) for u in range(15) for c in ("M01", "D05") if rng.random() < 0.8], "learner_id long, class string, p_active double")
+    items = spark.range(60).withColumnRenamed("id", "item_id").withColumn("g", F.col("item_id") % 7)
+    exposed = items.select("*", F.explode(F.array(F.lit("M01"), F.lit("D05"))).alias("class")).withColumn("exposure", F.when((F.col("item_id") + F.length("class") + F.ascii("class")) % 3 == 0, 0.7).otherwise(0.4))
+    groups = spark.range(15).select(F.col("id").alias("learner_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 9)).alias("g")).filter("learner_id <> 4")
+    plainly = B.next_item(known, exposed.drop("g"), groups.join(items, "g").select("learner_id", "item_id"))
+    found = B.next_item(known, exposed, groups, group="g")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plainly.collect())) != []
+
+
+def test_b_next_item_makes_no_rows_of_asked_items(spark):
+    from cogspark import plans
+
+    assert not re.search(r"Join \[d#|Join \[.*% 10\)", plan(plans.queries()["b_next_item"](spark, "/root/testdata/sf0.001")))
