@@ -57,8 +57,8 @@ def posterior_prior(p0: DataFrame, learner: DataFrame, by=("key",)) -> DataFrame
 
     Both sides meet as one row a key; a join of rows by label would be planned by the size of the keys alone.
     """
-    prior = _wide(p0, F.when(F.col("masked"), 0.0).otherwise(F.greatest("p", F.lit(0.0))), by).withColumnRenamed("values", "__p")
-    known = _wide(learner, F.col("active"), by).withColumnRenamed("values", "__k")
+    prior = sums_by_label(p0, F.when(F.col("masked"), 0.0).otherwise(F.greatest("p", F.lit(0.0))), by).withColumnRenamed("values", "__p")
+    known = sums_by_label(learner, F.col("active"), by).withColumnRenamed("values", "__k")
     floor = lambda k: F.pow(F.greatest(F.coalesce(k, F.lit(C.POPULATION_PRIOR)), F.lit(C.PRIOR_FLOOR)), F.lit(C.PRIOR_GAMMA))
     pi = lambda i, k: F.when(F.get(F.lit(C.LABELS), i).isin("CORRECT", "OTHER"), 1.0).otherwise(floor(k))
     rows = prior.join(known.hint("merge"), [*by], "left")
@@ -68,7 +68,7 @@ def posterior_prior(p0: DataFrame, learner: DataFrame, by=("key",)) -> DataFrame
     return rows.select(*by, (F.col("t") <= 0).alias("no_mass"), F.inline(F.filter(out, lambda x: x["p"].isNotNull()))).select(*by, "label", "p", "no_mass")
 
 
-def _wide(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
+def sums_by_label(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
     """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels, null for those without one."""
     at = label_order()
     sums = [F.sum(F.when(F.col("__at") == i + 1, F.col("__v"))).alias(f"__{i}") for i in range(len(C.LABELS))]
@@ -78,7 +78,7 @@ def _wide(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
 
 def by_label(rows: DataFrame, value: Column, by=("key",)) -> DataFrame:
     """(key…, label, …) to (key…, values ARRAY): the sums of value for each label in the order of labels. One row a key."""
-    return _wide(rows, value, by).select(*by, F.transform("values", lambda x: F.coalesce(x, F.lit(0.0))).alias("values"))
+    return sums_by_label(rows, value, by).select(*by, F.transform("values", lambda x: F.coalesce(x, F.lit(0.0))).alias("values"))
 
 
 def _of_option(table: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as C
+from ..operators.bayes import sums_by_label
 from ..operators.knowledge import PROBATION_KINDS, route_events
 
 
@@ -120,8 +121,14 @@ def stream_states(events: DataFrame, watermark: str = "1 hour", prior: float = C
 
 
 def stream_posterior(answers: DataFrame, table: DataFrame) -> DataFrame:
-    """(key, label, l): running sums of log likelihoods; the order of answers does not matter. For update or complete mode."""
-    return answers.join(table.withColumnRenamed("option", "answer"), ["item_id", "answer"]).groupBy("key", "label").agg(F.sum(F.log("p")).alias("l"))
+    """(key, label, l): running sums of log likelihoods; the order of answers does not matter. For update or complete mode.
+
+    The state has one row a key, with a sum for each label, instead of a row for each label.
+    """
+    logs = sums_by_label(table.withColumnRenamed("option", "answer"), F.log("p"), ("item_id", "answer")).withColumnRenamed("values", "logs")
+    sums = answers.join(logs, ["item_id", "answer"]).groupBy("key").agg(*[F.sum(F.get("logs", F.lit(i))).alias(f"__{i}") for i in range(len(C.LABELS))])
+    each = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"__{i}").alias("l")) for i, x in enumerate(C.LABELS)])
+    return sums.select("key", F.inline(F.filter(each, lambda x: x["l"].isNotNull())))
 
 
 def activity(events: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "1 hour", by: str = "type") -> DataFrame:

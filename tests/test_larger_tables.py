@@ -128,3 +128,18 @@ def test_b_next_item_makes_no_rows_of_asked_items(spark):
     from cogspark import plans
 
     assert not re.search(r"Join \[d#|Join \[.*% 10\)", plan(plans.queries()["b_next_item"](spark, "/root/testdata/sf0.001")))
+
+
+def test_stream_posterior_keeps_one_row_a_key(spark, tmp_path):
+    from cogspark import streaming
+
+    spark.createDataFrame([(k, "I1", "ab"[k % 2]) for k in range(20)] + [(k, "I2", "a") for k in range(5)], "key long, item_id string, answer string").write.parquet(str(tmp_path / "in"))
+    p = {(i, o, x): 0.1 + 0.05 * n for n, (i, o, x) in enumerate((i, o, x) for i in ("I1", "I2") for o in "ab" for x in ("M01", "CORRECT", "OTHER"))}
+    table = spark.createDataFrame([(*k, v) for k, v in p.items()], "item_id string, label string, option string, p double".replace("label string, option string", "option string, label string"))
+    rows = spark.readStream.schema("key long, item_id string, answer string").parquet(str(tmp_path / "in"))
+    q = streaming.stream_posterior(rows, table).writeStream.format("memory").queryName("one_row_a_key").option("checkpointLocation", str(tmp_path / "at")).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for x in q.recentProgress for s in x["stateOperators"]) == 20
+    want = {(k, x): math.log(p["I1", "ab"[k % 2], x]) + (math.log(p["I2", "a", x]) if k < 5 else 0) for k in range(20) for x in ("M01", "CORRECT", "OTHER")}
+    got = {(r["key"], r["label"]): r["l"] for r in spark.table("one_row_a_key").collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
