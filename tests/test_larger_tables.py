@@ -143,3 +143,30 @@ def test_stream_posterior_keeps_one_row_a_key(spark, tmp_path):
     want = {(k, x): math.log(p["I1", "ab"[k % 2], x]) + (math.log(p["I2", "a", x]) if k < 5 else 0) for k in range(20) for x in ("M01", "CORRECT", "OTHER")}
     got = {(r["key"], r["label"]): r["l"] for r in spark.table("one_row_a_key").collect()}
     assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_marks_differ_no_more_than_sets(spark):
+    rng = random.Random(6)
+    sets = [(sorted(rng.sample(range(300), rng.randint(1, 120))),) for _ in range(40)]
+    sets = [([f"w{x}" for x in s],) for (s,) in sets] + [([f"w{x}" for x in s[: len(s) - 1]],) for (s,) in sets if len(s) > 1]
+    rows = spark.createDataFrame(sets, "t array<string>").select("t", T._marks(F.col("t")).alias("s")).collect()
+    for x in rows:
+        assert 0 < sum(bin(v & (2**64 - 1)).count("1") for v in x["s"]) <= len(x["t"])
+        for y in rows:
+            apart = sum(bin((v ^ w) & (2**64 - 1)).count("1") for v, w in zip(x["s"], y["s"]))
+            assert apart <= len(set(x["t"]) ^ set(y["t"]))
+
+
+def test_near_dups_sends_whole_sets_only_after_marks(spark):
+    rng = random.Random(7)
+    words = [f"w{x}" for x in range(60)]
+    base = [rng.sample(words, 20) for _ in range(12)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], rng.choice(words)]) for x in base] + [" ".join(x[::-1]) for x in base]
+    rows = spark.createDataFrame([(i, "M0" + str(i % 2), x) for i, x in enumerate(texts)], "id long, label string, text string")
+    kept, want = [], {}
+    for i, x in enumerate(texts):
+        own = set(x.split())
+        want[i] = not any(j % 2 == i % 2 and len(own & o) / len(own | o) >= 0.85 for j, o in kept)
+        if want[i]:
+            kept.append((i, own))
+    assert {r["id"]: r["keep"] for r in T.near_dups(rows).collect()} == want and not all(want.values())
