@@ -170,3 +170,11 @@ def test_near_dups_sends_whole_sets_only_after_marks(spark):
         if want[i]:
             kept.append((i, own))
     assert {r["id"]: r["keep"] for r in T.near_dups(rows).collect()} == want and not all(want.values())
+
+
+def test_recommend_next_sorts_no_rows_of_tied_items(spark):
+    from cogspark import plans
+
+    df = plans.queries()["x_recommend_next"](spark, "/root/testdata/sf0.001")
+    assert not re.search(r"SortAggregate\(key=\[exam_id\S*\], functions=\[partial_max_by", plan(df))
+    assert df.count() > 0
